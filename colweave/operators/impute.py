@@ -67,8 +67,8 @@ def _nearest_fill(n_cols: int, k: int):
         if receivers.empty or donors.empty:
             return out
         used = [i for i in range(n_cols) if bool(receivers[f"u{i}"].iloc[0])]
-        donors = donors.sort_values("row_id", kind="stable")
-        give = donors[names].to_numpy(np.float64)
+        donors = donors.sort_values("donor", kind="stable")
+        give = donors[[f"d{i}" for i in range(n_cols)]].to_numpy(np.float64)
         take = receivers[names].to_numpy(np.float64)
         means = [receivers[f"m{i}"].iloc[0] for i in range(n_cols)]
         filled = take.copy()
@@ -86,8 +86,11 @@ def _nearest_fill(n_cols: int, k: int):
                 if not np.isnan(take[r, i]):
                     continue
                 near = np.where(np.isnan(give[:, i]), np.nan, distance)
-                order = np.argsort(near, kind="stable")[:k]
-                order = order[~np.isnan(near[order])]
+                order = np.flatnonzero(~np.isnan(near))
+                if len(order) > k:
+                    reach = np.partition(near[order], k - 1)[k - 1]
+                    order = order[near[order] <= reach]
+                    order = order[np.argsort(near[order], kind="stable")][:k]
                 filled[r, i] = give[order, i].mean() if len(order) else means[i]
         out[names] = filled
         return out
@@ -118,9 +121,14 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS) -> DataFrame
     receivers = rows.where(gap).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
     donors = (rows.where(known)
               .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-              .select("station", "block", "row_id", *names))
+              .select(F.col("station").alias("station"), "block", F.col("row_id").alias("donor"),
+                      *[F.col(n).alias(f"d{i}") for i, n in enumerate(names)]))
     row_type = df.schema["row_id"].dataType.simpleString()
     schema = f"station string, row_id {row_type}, " + ", ".join(f"{n} double" for n in names)
+    # A stated partition count keeps small but compute-heavy blocks apart.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    receivers = receivers.repartition(tasks, "station", "block")
+    donors = donors.repartition(tasks, "station", "block")
     filled = (receivers.groupBy("station", "block").cogroup(donors.groupBy("station", "block"))
               .applyInPandas(_nearest_fill(len(cols), k), schema))
     fixed = filled.select("station", "row_id", *[F.col(n).alias(f"_f_{c}") for n, c in zip(names, cols)])
