@@ -1,6 +1,6 @@
 """All registered queries; importing the topic modules fills the registry."""
 
-from colweave.plans import clean_queries, graph_queries, profile_queries  # noqa: F401
+from colweave.plans import clean_queries, graph_queries, metric_queries, profile_queries  # noqa: F401
 from colweave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
