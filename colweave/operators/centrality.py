@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import null_if_zero
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.operators.paths import (has_rows, links, path_counts, shortest_lengths, tight_links, union_all)
+from colweave.operators.paths import (ROW_NODES, has_rows, links, path_counts, shortest_lengths, tight_links, union_all)
 from colweave.session import materialise, max_group_rows
 
 MAX_ROUNDS = 1000
@@ -205,11 +205,11 @@ def _by_joins(nodes: DataFrame, weighted: DataFrame, name: str, rank: bool) -> D
     return state.select(*GRAPH_KEYS, "idx", F.when(F.col("done"), F.col("x")).otherwise(0.0).alias(name))
 
 
-def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def centralities(nodes: DataFrame, edges: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
     """All five centralities: one row per node of every graph."""
     nodes = materialise(nodes)
     ordered = materialise(with_distance(links(nodes, edges)))
-    lengths = materialise(shortest_lengths(nodes, ordered))
+    lengths = materialise(shortest_lengths(nodes, ordered, row_nodes))
     out = nodes.select(*GRAPH_KEYS, "node", "idx")
     for part in (degree(nodes, ordered), betweenness(nodes, ordered, lengths), closeness(nodes, lengths),
                  eigenvector(nodes, ordered), pagerank(nodes, ordered)):

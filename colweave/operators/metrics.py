@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import null_if_zero
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.operators.paths import components, hop_counts, links, two_way
+from colweave.operators.paths import ROW_NODES, hop_counts, labels_from_reach, links, two_way
 from colweave.session import materialise
 
 METRICS = ["node_count", "edge_count", "density", "avg_degree", "connected_components", "isolated_nodes",
@@ -65,8 +65,8 @@ def clustering(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
             .groupBy(*GRAPH_KEYS).agg(F.avg(F.coalesce(local, F.lit(0.0))).alias("clustering_coefficient")))
 
 
-def extent(nodes: DataFrame, ordered: DataFrame, parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Hop diameter and radius, and whether they describe only the largest component.
+def extent(nodes: DataFrame, ordered: DataFrame, counts: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
+    """Components, hop diameter and radius, and whether these describe only the largest component.
 
     A directed graph uses directed paths when it is strongly connected.  In every
     other disconnected case the largest component (lowest index first on ties) is
@@ -78,9 +78,10 @@ def extent(nodes: DataFrame, ordered: DataFrame, parts: DataFrame, counts: DataF
     starts = nodes.select(*GRAPH_KEYS, "idx", F.lit("any").alias("variant")).unionByName(
         nodes.join(counts.where("directed"), GRAPH_KEYS, "left_semi")
         .select(*GRAPH_KEYS, "idx", F.lit("along").alias("variant")))
-    reach = hop_counts(starts, materialise(near), variant)
-    far = materialise(reach.groupBy(*variant, F.col("s").alias("idx")).agg(
-        F.max("hops").alias("far"), F.count(F.lit(1)).alias("reached")))
+    reach = materialise(hop_counts(starts, materialise(near), variant, row_nodes))
+    parts = labels_from_reach(reach.where("variant = 'any'"))
+    far = reach.groupBy(*variant, F.col("s").alias("idx")).agg(
+        F.max("hops").alias("far"), F.count(F.lit(1)).alias("reached"))
     strong = far.where("variant = 'along'").groupBy(*GRAPH_KEYS).agg(F.sum("reached").alias("pairs"))
     sizes = parts.groupBy(*GRAPH_KEYS, "label").agg(F.count(F.lit(1)).alias("size"))
     largest = Window.partitionBy(*GRAPH_KEYS).orderBy(F.col("size").desc(), "label")
@@ -105,14 +106,13 @@ def extent(nodes: DataFrame, ordered: DataFrame, parts: DataFrame, counts: DataF
         ((F.col("node_count") > 1) & ~F.col("whole")).alias("partial"))
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_metrics(nodes: DataFrame, edges: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
     """All structure metrics and warnings, one row per graph."""
     nodes, edges = materialise(nodes), materialise(edges)
     ordered = materialise(links(nodes, edges))
     counts = materialise(basic_counts(nodes, edges))
-    parts = components(nodes, ordered)
     lonely = isolated_nodes(nodes, ordered).groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("isolated_nodes"))
-    table = (counts.join(extent(nodes, ordered, parts, counts), GRAPH_KEYS)
+    table = (counts.join(extent(nodes, ordered, counts, row_nodes), GRAPH_KEYS)
              .join(clustering(nodes, ordered), GRAPH_KEYS)
              .join(lonely, GRAPH_KEYS, "left").fillna(0, ["isolated_nodes"]))
     return table.select(*GRAPH_KEYS, *METRICS, warnings().alias("warnings"))

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.session import materialise
+from colweave.session import materialise, max_group_rows
 
 # Two path lengths closer than this share of their size are equally short.
 LENGTH_TOLERANCE = 1e-12
+# Graphs up to this many nodes (table columns) fit their N x N lengths in one
+# row and are solved by array expressions, all graphs in parallel and without
+# rounds.  Larger ones take the join rounds.
+ROW_NODES = 200
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -44,13 +48,45 @@ def two_way(ordered: DataFrame) -> DataFrame:
     return ordered.select(*GRAPH_KEYS, flip).distinct()
 
 
-def components(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
+def _row_lengths(nodes: DataFrame, hops: DataFrame, keys: list[str]) -> DataFrame:
+    """Shortest lengths of small graphs as ``(keys, s, t, d)`` from ``hops(keys, s, t, length)``.
+
+    One row per graph holds its N x N lengths; paths through each node in turn
+    shorten them (Floyd-Warshall).
+    """
+    far = F.lit(float("inf"))
+    place = nodes.groupBy(*keys).agg(F.sort_array(F.collect_list("idx")).alias("order"))
+    out = hops.groupBy(*keys, F.col("s").alias("idx")).agg(F.collect_list(F.struct("t", "length")).alias("out"))
+    per_node = (nodes.select(*keys, "idx").join(place, keys).join(out, [*keys, "idx"], "left")
+                .select(*keys, "order", "idx", F.transform("order", lambda j: F.when(
+                    j == F.col("idx"), F.lit(0.0)).otherwise(F.coalesce(F.array_min(F.transform(F.filter(
+                        F.col("out"), lambda e: e["t"] == j), lambda e: e["length"])), far))).alias("row")))
+    grid = per_node.groupBy(*keys, "order").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", "row"))), lambda r: r["row"]).alias("grid"))
+    solved = F.aggregate(
+        F.sequence(F.lit(0), F.size("order") - 1), F.col("grid"),
+        lambda grid, k: F.transform(grid, lambda row: F.zip_with(
+            row, grid[k], lambda direct, rest: F.least(direct, row[k] + rest))))
+    rows = grid.select(*keys, "order", F.posexplode(solved).alias("i", "lengths"))
+    return (rows.select(*keys, F.col("order")[F.col("i")].alias("s"),
+                        F.inline(F.arrays_zip(F.col("order").alias("t"), F.col("lengths").alias("d"))))
+            .where(F.col("d") < far))
+
+
+def fits_rows(nodes: DataFrame, keys: list[str], limit: int = ROW_NODES) -> bool:
+    return max_group_rows(nodes, keys) <= limit
+
+
+def components(nodes: DataFrame, ordered: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
     """``(keys, idx, label)``: smallest node index reachable, directions ignored.
 
-    Every round takes the smallest label among the neighbours and then the label
-    of that label, so chains halve instead of shrinking by one.
+    In the join form every round takes the smallest label among the neighbours
+    and then the label of that label, so chains halve instead of shrinking by one.
     """
-    near = two_way(ordered)
+    if fits_rows(nodes, GRAPH_KEYS, row_nodes):
+        reach = _row_lengths(nodes, two_way(ordered).withColumn("length", F.lit(1.0)), GRAPH_KEYS)
+        return labels_from_reach(reach)
+    near = materialise(two_way(ordered))
     state = materialise(nodes.select(*GRAPH_KEYS, "idx", F.col("idx").alias("label")))
     while True:
         lowest = (near.join(state.withColumnRenamed("idx", "t"), [*GRAPH_KEYS, "t"])
@@ -66,8 +102,15 @@ def components(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
         state = state.drop("was")
 
 
-def hop_counts(nodes: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
+def labels_from_reach(reach: DataFrame) -> DataFrame:
+    return reach.groupBy(*GRAPH_KEYS, F.col("s").alias("idx")).agg(F.min("t").alias("label"))
+
+
+def hop_counts(nodes: DataFrame, near: DataFrame, keys: list[str], row_nodes: int = ROW_NODES) -> DataFrame:
     """Fewest hops between all reachable ordered pairs: ``(keys, s, t, hops)``, self at 0."""
+    if fits_rows(nodes, keys, row_nodes):
+        lengths = _row_lengths(nodes, near.withColumn("length", F.lit(1.0)), keys)
+        return lengths.select(*keys, "s", "t", F.col("d").cast("int").alias("hops"))
     frontier = materialise(nodes.select(*keys, F.col("idx").alias("s"), F.col("idx").alias("t"),
                                         F.lit(0).alias("hops")))
     reached = [frontier]
@@ -81,12 +124,14 @@ def hop_counts(nodes: DataFrame, near: DataFrame, keys: list[str]) -> DataFrame:
         reached.append(frontier)
 
 
-def shortest_lengths(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
+def shortest_lengths(nodes: DataFrame, ordered: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
     """Shortest weighted length between reachable ordered pairs: ``(keys, s, t, d)``.
 
-    ``ordered`` carries a positive ``distance``.  Only pairs that improved in the
-    last round are extended.
+    ``ordered`` carries a positive ``distance``.  In the join form only pairs
+    that improved in the last round are extended.
     """
+    if fits_rows(nodes, GRAPH_KEYS, row_nodes):
+        return _row_lengths(nodes, ordered.withColumnRenamed("distance", "length"), GRAPH_KEYS)
     hop = ordered.select(*GRAPH_KEYS, F.col("s").alias("t"), F.col("t").alias("next"), "distance")
     best = materialise(nodes.select(*GRAPH_KEYS, F.col("idx").alias("s"), F.col("idx").alias("t"),
                                     F.lit(0.0).alias("d"), F.lit(True).alias("improved")))

@@ -12,6 +12,7 @@ from colweave.plans.inputs import (EVENT_COLS, LINE_COLS, LINE_SQL, LINE_STATS_S
                                    RAW_COLS, RAW_SQL, USER_DAYS_SQL, VECTOR_COLS, VECTOR_SQL,
                                    pair_union_sql)
 from colweave.plans.registry import query
+from colweave.session import materialise
 
 PAIRS_SQL = LINE_STATS_SQL + """,
 pairs AS (
@@ -46,14 +47,14 @@ def line_pairs(spark, sf_dir):
 
 def line_graph(spark, sf_dir, graph_type="correlation"):
     """Node and edge tables of one graph type over the line item features."""
-    pairs = line_pairs(spark, sf_dir)
+    # A few rows per station: written once, read for nodes and for edges.
+    pairs = materialise(line_pairs(spark, sf_dir))
     edges = {
         "correlation": lambda: graphs.correlation_graph(pairs, 0.5),
         "top_k": lambda: graphs.top_k_graph(pairs, 2),
         "weighted": lambda: graphs.weighted_graph(pairs),
     }[graph_type]()
-    stations = inputs.line_features(spark, sf_dir).select("station")
-    return graphs.feature_nodes(stations, LINE_COLS, (graph_type,)), edges
+    return graphs.feature_nodes(pairs, LINE_COLS, (graph_type,)), edges
 
 
 @query("standard_scaling", f"""WITH {LINE_STATS_SQL}

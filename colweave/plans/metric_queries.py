@@ -16,8 +16,9 @@ from colweave.session import materialise
 def wide_graph(spark, sf_dir):
     """64 embedding dimensions linked where they correlate above 0.1."""
     rows = inputs.vector_features(spark, sf_dir)
-    edges = graphs.correlation_graph(similarity.pearson_pairs(rows, VECTOR_COLS), 0.1)
-    return graphs.feature_nodes(rows, VECTOR_COLS, ("correlation",)), edges
+    pairs = materialise(similarity.pearson_pairs(rows, VECTOR_COLS))
+    edges = graphs.correlation_graph(pairs, 0.1)
+    return graphs.feature_nodes(pairs, VECTOR_COLS, ("correlation",)), edges
 
 
 WEIGHTED_SQL = PAIRS_SQL + """,
