@@ -14,11 +14,15 @@ METRICS = ["node_count", "edge_count", "density", "avg_degree", "connected_compo
            "clustering_coefficient", "diameter", "radius"]
 
 
-def basic_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes, edges, directedness, mean total degree and density per graph."""
+def basic_counts(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Nodes, edges, directedness, mean total degree and density per graph.
+
+    ``ordered`` are links, where an undirected edge appears once each way.
+    """
     n = nodes.groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("node_count"))
-    m = edges.groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("edge_count"),
-                                       F.bool_or("directed").alias("directed"))
+    halves = F.sum(F.when(F.col("directed"), 2).otherwise(1))
+    m = ordered.groupBy(*GRAPH_KEYS).agg(F.floor(halves / 2).alias("edge_count"),
+                                         F.bool_or("directed").alias("directed"))
     size, count = F.col("node_count"), F.coalesce("edge_count", F.lit(0))
     possible = null_if_zero(size * (size - 1))
     factor = F.when(F.coalesce("directed", F.lit(False)), 1.0).otherwise(2.0)
@@ -78,7 +82,7 @@ def extent(nodes: DataFrame, ordered: DataFrame, counts: DataFrame, row_nodes: i
     starts = nodes.select(*GRAPH_KEYS, "idx", F.lit("any").alias("variant")).unionByName(
         nodes.join(counts.where("directed"), GRAPH_KEYS, "left_semi")
         .select(*GRAPH_KEYS, "idx", F.lit("along").alias("variant")))
-    reach = materialise(hop_counts(starts, materialise(near), variant, row_nodes))
+    reach = materialise(hop_counts(starts, near, variant, row_nodes))
     parts = labels_from_reach(reach.where("variant = 'any'"))
     far = reach.groupBy(*variant, F.col("s").alias("idx")).agg(
         F.max("hops").alias("far"), F.count(F.lit(1)).alias("reached"))
@@ -107,10 +111,12 @@ def extent(nodes: DataFrame, ordered: DataFrame, counts: DataFrame, row_nodes: i
 
 
 def graph_metrics(nodes: DataFrame, edges: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
-    """All structure metrics and warnings, one row per graph."""
-    nodes, edges = materialise(nodes), materialise(edges)
+    """All structure metrics and warnings, one row per graph.
+
+    ``nodes`` is read several times and should be a cheap or written table.
+    """
     ordered = materialise(links(nodes, edges))
-    counts = materialise(basic_counts(nodes, edges))
+    counts = basic_counts(nodes, ordered)
     lonely = isolated_nodes(nodes, ordered).groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("isolated_nodes"))
     table = (counts.join(extent(nodes, ordered, counts, row_nodes), GRAPH_KEYS)
              .join(clustering(nodes, ordered), GRAPH_KEYS)

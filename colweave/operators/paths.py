@@ -111,6 +111,7 @@ def hop_counts(nodes: DataFrame, near: DataFrame, keys: list[str], row_nodes: in
     if fits_rows(nodes, keys, row_nodes):
         lengths = _row_lengths(nodes, near.withColumn("length", F.lit(1.0)), keys)
         return lengths.select(*keys, "s", "t", F.col("d").cast("int").alias("hops"))
+    near = materialise(near)
     frontier = materialise(nodes.select(*keys, F.col("idx").alias("s"), F.col("idx").alias("t"),
                                         F.lit(0).alias("hops")))
     reached = [frontier]

@@ -152,10 +152,10 @@ SELECT station, node_count, edge_count, round(2 * edge_count / node_count, 6) +
        round(2 * edge_count / (node_count * (node_count - 1)), 6) + 0.0 AS density, isolated_nodes FROM c""")
 def line_graph_summary(spark, sf_dir):
     nodes, edges = line_graph(spark, sf_dir)
-    edges = materialise(edges)
-    lonely = metrics.isolated_nodes(nodes, paths.links(nodes, edges)).groupBy("station").agg(
+    ordered = materialise(paths.links(nodes, edges))
+    lonely = metrics.isolated_nodes(nodes, ordered).groupBy("station").agg(
         F.count(F.lit(1)).alias("isolated_nodes"))
-    return (metrics.basic_counts(nodes, edges).join(lonely, "station", "left").fillna(0, ["isolated_nodes"])
+    return (metrics.basic_counts(nodes, ordered).join(lonely, "station", "left").fillna(0, ["isolated_nodes"])
             .select("station", "node_count", "edge_count", rounded(F.col("avg_degree")).alias("avg_degree"),
                     rounded(F.col("density")).alias("density"), "isolated_nodes"))
 
