@@ -1,17 +1,15 @@
 """Node features and node embeddings in closed form.
 
 Nodes are columns.  Their raw features are as long as the table, so the reduction
-uses the dual form: Spark adds up the N x N inner products of row-centred
-columns in one scan and each station's small matrix gives the principal scores.
-No row sampling is needed.  Embeddings then spread these scores over two hops of
+uses the dual form: the N x N inner products that Spark adds up in one scan,
+centred both ways, are the inner products of row-centred columns, and each
+station's small matrix gives the principal scores.  No row sampling is needed.  Embeddings then spread these scores over two hops of
 each graph and keep the leading axes, which are scored by how well a linear
 decoder restores the features.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,7 +18,6 @@ from pyspark.sql import functions as F
 from colweave.operators import quality
 from colweave.operators.graphs import endpoints
 from colweave.operators.layers import RUN_KEYS, attention_layer, sampled_layer
-from colweave.operators.similarity import gram_matrix
 from colweave.session import materialise
 
 MAX_FEATURE_DIM = 32
@@ -54,7 +51,8 @@ def _feature_helper(cols: list[str], width: int):
         size = len(used)
         gram = np.zeros((len(cols), len(cols)))
         gram[i, j] = gram[j, i] = pdf["g"].to_numpy()
-        values, vectors = np.linalg.eigh(gram[np.ix_(used, used)])
+        centre = np.eye(size) - 1.0 / size
+        values, vectors = np.linalg.eigh(centre @ gram[np.ix_(used, used)] @ centre)
         keep = min(size - 1, int(pdf["rows"].iloc[0]), MAX_FEATURE_DIM)
         top = np.argsort(values)[::-1][:keep]
         x = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
@@ -70,19 +68,15 @@ def feature_width(cols: list[str]) -> int:
     return max(1, min(len(cols) - 1, MAX_FEATURE_DIM))
 
 
-def node_features(df: DataFrame, cols: list[str], features: DataFrame, counts: DataFrame) -> DataFrame:
+def node_features(grams: DataFrame, features: DataFrame, counts: DataFrame, cols: list[str]) -> DataFrame:
     """Principal scores of every node: ``(station, node, h)``, at most 32 wide.
 
+    ``grams(station,i,j,g)`` are inner products of the scaled columns and
     ``features(station, column, idx)`` lists each station's nodes; other columns
     are ignored.  Vectors are padded with zeros to one width.
     """
-    present = [F.col(c).isNotNull().cast("double") for c in cols]
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0.0)) for c in cols])
-    mean = F.try_divide(total, reduce(lambda a, b: a + b, present))
-    centred = df.select("station", *[(F.col(c) - mean).alias(c) for c in cols])
-    grams = gram_matrix(centred, cols).select("station", "i", "j", "g")
     own = features.select("station", F.col("idx").alias("i"))
-    kept = (grams.join(own, ["station", "i"], "left_semi")
+    kept = (grams.select("station", "i", "j", "g").join(own, ["station", "i"], "left_semi")
             .join(own.withColumnRenamed("i", "j"), ["station", "j"], "left_semi")
             .join(counts.select("station", "rows"), "station"))
     return kept.groupBy("station").applyInPandas(

@@ -45,10 +45,15 @@ def _unit(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _value(c: str):
+    """A column that is absent in a station is constant there and never splits."""
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
 def _samples(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     """``(station, tree, x)``: up to 256 rows for every tree, chosen by hash."""
     counts = materialise(df.groupBy("station").agg(F.count(F.lit(1)).alias("_n")))
-    rows = df.select("station", "row_id", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    rows = df.select("station", "row_id", F.array(*[_value(c) for c in cols]).alias("x"))
     pool = rows.join(counts, "station").where(
         _unit(F.col("row_id"), F.lit(seed)) < POOL_ROWS / F.col("_n"))
     size = F.least(F.col("_n"), F.lit(POOL_ROWS))
@@ -126,7 +131,7 @@ def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
     names = [f"x{i}" for i in range(len(cols))]
     row_type = df.schema["row_id"].dataType.simpleString()
     schema = f"station string, row_id {row_type}, score double"
-    rows = df.select("station", "row_id", *[F.col(c).cast("double").alias(n) for c, n in zip(cols, names)])
+    rows = df.select("station", "row_id", *[_value(c).alias(n) for c, n in zip(cols, names)])
     if forest.count() <= broadcast_nodes:
         table = {key: part for key, part in forest.toPandas().groupby("station")}
         shared = df.sparkSession.sparkContext.broadcast(table)

@@ -51,12 +51,12 @@ def impute_median_mode(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LI
     return out.select(*df.columns)
 
 
-def impute_in_time(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def impute_in_time(df: DataFrame, cols: list[str], ts: str = "ts", limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Numbers are interpolated over time, others filled forward then backward."""
     numbers = [c for c in cols if is_numeric(df.schema[c].dataType)]
     texts = [c for c in cols if c not in numbers]
-    out = interpolate_in_time(df, numbers, limit) if numbers else df
-    return (fill_both_ways(out, texts, limit) if texts else out).select(*df.columns)
+    out = interpolate_in_time(df, numbers, ts, limit) if numbers else df
+    return (fill_both_ways(out, texts, ts, limit) if texts else out).select(*df.columns)
 
 
 def _nearest_fill(n_cols: int, k: int):
@@ -137,7 +137,8 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS) -> DataFrame
     return out.select(*df.columns)
 
 
-def impute(df: DataFrame, cols: list[str], strategies: DataFrame, limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def impute(df: DataFrame, cols: list[str], strategies: DataFrame, ts: str = "ts",
+           limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Impute each station with its own strategy; ``cols`` are the eligible columns."""
     if not cols:
         return df
@@ -152,7 +153,7 @@ def impute(df: DataFrame, cols: list[str], strategies: DataFrame, limit: int = G
     for strategy in present:
         rows = df.join(chosen.where(F.col("strategy") == strategy), "station", "left_semi")
         if strategy == "interpolate":
-            parts.append(impute_in_time(rows, cols, limit))
+            parts.append(impute_in_time(rows, cols, ts, limit))
         elif strategy == "knn" and numbers:
             near = impute_knn(rows, numbers)
             parts.append(impute_median_mode(near, texts, limit) if texts else near)

@@ -86,23 +86,24 @@ def _drop_neighbours(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
 
 
-def fill_both_ways(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def fill_both_ways(df: DataFrame, cols: list[str], ts: str = "ts", limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Forward fill in time order, then backward fill of the leading gap."""
-    out = with_neighbours(df, cols, limit=limit).withColumns(
+    out = with_neighbours(df, cols, ts, limit=limit).withColumns(
         {c: F.coalesce(F.col(f"_prev_{c}.v"), F.col(f"_next_{c}.v")) for c in cols})
     return _drop_neighbours(out, cols)
 
 
-def interpolate_in_time(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def interpolate_in_time(df: DataFrame, cols: list[str], ts: str = "ts",
+                        limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Linear in elapsed time between neighbours; outer gaps take the nearest value."""
-    now = F.unix_micros(F.col("ts").cast("timestamp"))
+    now = F.unix_micros(F.col(ts).cast("timestamp"))
 
     def filled(c: str):
         prev, nxt = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
         share = F.try_divide((now - prev["t"]).cast("double"), (nxt["t"] - prev["t"]).cast("double"))
         return F.coalesce(F.col(c).cast("double"), prev["v"] + (nxt["v"] - prev["v"]) * share, prev["v"], nxt["v"])
 
-    out = with_neighbours(df, cols, limit=limit).withColumns({c: filled(c) for c in cols})
+    out = with_neighbours(df, cols, ts, limit=limit).withColumns({c: filled(c) for c in cols})
     return _drop_neighbours(out, cols)
 
 

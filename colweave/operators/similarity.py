@@ -121,7 +121,11 @@ def pearson_pairs(df: DataFrame, cols: list[str], centred: bool = False,
     if len(cols) <= wide_limit:
         pairs = _wide_pairs(df, cols, lambda a, b: pearson(a, b, complete), diagonal=False)
         return pairs.withColumnRenamed("value", "r")
-    sums = pair_sums(df, cols, centred).where("i < j")
+    return pairs_from_sums(pair_sums(df, cols, centred), cols)
+
+
+def pairs_from_sums(sums: DataFrame, cols: list[str]) -> DataFrame:
+    """Correlations of pairs i < j from the sums of one pass."""
     n = null_if_zero(F.col("n"))
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     var_a = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -130,7 +134,12 @@ def pearson_pairs(df: DataFrame, cols: list[str], centred: bool = False,
     floor = F.lit(1e-14)
     ok = (var_a > floor * F.col("sxx")) & (var_b > floor * F.col("syy"))
     r = F.when(ok, F.greatest(F.least(cov / F.sqrt(null_if_zero(var_a * var_b)), F.lit(1.0)), F.lit(-1.0)))
-    return _named(sums, cols, F.coalesce(r, F.lit(0.0)), "r")
+    return _named(sums.where("i < j"), cols, F.coalesce(r, F.lit(0.0)), "r")
+
+
+def grams_from_sums(sums: DataFrame, cols: list[str]) -> DataFrame:
+    """Inner products of pairs i <= j from the sums of one pass over centred columns."""
+    return _named(sums, cols, F.col("sxy"), "g")
 
 
 def cosine_pairs(df: DataFrame, cols: list[str], wide_limit: int = WIDE_LIMIT) -> DataFrame:
@@ -151,7 +160,7 @@ def gram_matrix(df: DataFrame, cols: list[str], wide_limit: int = WIDE_LIMIT) ->
     if len(cols) <= wide_limit:
         pairs = _wide_pairs(df, cols, lambda a, b: F.coalesce(F.sum(a * b), F.lit(0.0)), diagonal=True)
         return pairs.withColumnRenamed("value", "g")
-    return _named(pair_sums(df, cols, centred=True), cols, F.col("sxy"), "g")
+    return grams_from_sums(pair_sums(df, cols, centred=True), cols)
 
 
 def row_counts(df: DataFrame) -> DataFrame:

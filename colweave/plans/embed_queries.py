@@ -223,12 +223,15 @@ def line_feature_table(rows):
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("idx")) for i, c in enumerate(LINE_COLS)])))
 
 
-def line_learned(spark, sf_dir):
-    """Learned adjacency from one pass: the Gram matrix also yields counts and correlations."""
-    rows = scaled_line(spark, sf_dir)
+def line_grams(rows):
+    """Inner products of scaled columns; a column's own product is the row count."""
     grams = materialise(similarity.gram_matrix(rows, LINE_COLS))
-    # On scaled columns the inner product is the correlation times the rows.
-    counts = grams.where("i = j").groupBy("station").agg(F.round(F.max("g")).alias("rows"))
+    return grams, grams.where("i = j").groupBy("station").agg(F.round(F.max("g")).alias("rows"))
+
+
+def line_learned(spark, sf_dir):
+    """Learned adjacency from one pass: the inner product is the correlation times the rows."""
+    grams, counts = line_grams(scaled_line(spark, sf_dir))
     pairs = grams.where("i < j").join(counts, "station").withColumn("r", F.col("g") / F.col("rows"))
     return learned.learned_graph(grams, pairs, counts, LINE_COLS)
 
@@ -242,16 +245,16 @@ def line_embeddings(spark, sf_dir):
     rows = scaled_line(spark, sf_dir)
     _, corr = line_graph(spark, sf_dir, "correlation")
     _, top = line_graph(spark, sf_dir, "top_k")
-    counts = materialise(similarity.row_counts(rows))
-    nodes = embed.node_features(rows, LINE_COLS, line_feature_table(counts), counts)
+    grams, counts = line_grams(rows)
+    nodes = embed.node_features(grams, line_feature_table(counts), counts, LINE_COLS)
     return embed.embedding_runs(nodes, corr.unionByName(top), embed.feature_width(LINE_COLS))
 
 
 @query("node_features")
 def node_features(spark, sf_dir):
     rows = scaled_line(spark, sf_dir)
-    counts = materialise(similarity.row_counts(rows))
-    out = embed.node_features(rows, LINE_COLS, line_feature_table(counts), counts)
+    grams, counts = line_grams(rows)
+    out = embed.node_features(grams, line_feature_table(counts), counts, LINE_COLS)
     return out.select("station", "node", *[rounded(F.col("h")[d], 3).alias(f"h{d}") for d in range(4)])
 
 
