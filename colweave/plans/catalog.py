@@ -1,7 +1,7 @@
 """All registered queries; importing the topic modules fills the registry."""
 
 from colweave.plans import (clean_queries, embed_queries, graph_queries, metric_queries,  # noqa: F401
-                            profile_queries)
+                            profile_queries, report_queries)
 from colweave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
