@@ -105,6 +105,8 @@ def apply_drops(df: DataFrame, drops: DataFrame, cols: list[str]) -> tuple[DataF
 
     Returns the table and the columns that are left.
     """
+    if not drops.limit(1).count():
+        return df, cols
     flags = materialise(
         df.select("station").distinct()
         .join(drops.groupBy("station").agg(F.collect_set("column").alias("gone")), "station", "left"))
@@ -114,4 +116,6 @@ def apply_drops(df: DataFrame, drops: DataFrame, cols: list[str]) -> tuple[DataF
     left = [c for i, c in enumerate(cols) if not everywhere[i]]
     removed = [c for c in cols if c not in left]
     blank = {c: F.when(~F.coalesce(F.array_contains("gone", c), F.lit(False)), F.col(c)) for c in left}
+    if not blank:
+        return df.drop(*removed), left
     return df.drop(*removed).join(flags, "station").withColumns(blank).drop("gone"), left

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from colweave.operators import quality
 from colweave.operators.graphs import endpoints
 from colweave.operators.layers import RUN_KEYS, attention_layer, sampled_layer
-from colweave.session import materialise
+from colweave.session import materialise, ready_workers
 
 MAX_FEATURE_DIM = 32
 MIN_NODES = 3
@@ -79,7 +79,7 @@ def node_features(grams: DataFrame, features: DataFrame, counts: DataFrame, cols
     kept = (grams.select("station", "i", "j", "g").join(own, ["station", "i"], "left_semi")
             .join(own.withColumnRenamed("i", "j"), ["station", "j"], "left_semi")
             .join(counts.select("station", "rows"), "station"))
-    return kept.groupBy("station").applyInPandas(
+    return ready_workers(kept).groupBy("station").applyInPandas(
         _feature_helper(cols, feature_width(cols)), "station string, node string, h array<double>")
 
 
@@ -130,7 +130,7 @@ def embedding_runs(features: DataFrame, edges: DataFrame, width: int, embed_dim:
             two = sampled_layer(one, links, None, None, 2 * width)
         parts.append(two.join(start.withColumnRenamed("h", "x"), [*RUN_KEYS, "node"]))
     both = parts[0].unionByName(parts[1])
-    return both.groupBy(*RUN_KEYS).applyInPandas(
+    return ready_workers(both).groupBy(*RUN_KEYS).applyInPandas(
         _reduce_helper(embed_dim),
         "station string, run string, node string, embedding array<double>, x array<double>, x_hat array<double>")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import clamp
 from colweave.operators.quantiles import exact_percentiles
-from colweave.session import GROUP_ROW_LIMIT, materialise
+from colweave.session import GROUP_ROW_LIMIT, materialise, ready_workers
 
 TREES = 100
 TREE_ROWS = 256
@@ -99,7 +99,7 @@ def _grow(seed: int):
 
 def grow_forest(df: DataFrame, cols: list[str], seed: int = 42) -> DataFrame:
     """Tree nodes of every station's forest: ``NODE_SCHEMA``, at most 511 per tree."""
-    return _samples(df, cols, seed).groupBy("station", "tree").applyInPandas(_grow(seed), NODE_SCHEMA)
+    return _samples(ready_workers(df), cols, seed).groupBy("station", "tree").applyInPandas(_grow(seed), NODE_SCHEMA)
 
 
 def _scores(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
@@ -127,7 +127,7 @@ def _scores(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
 def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
                    broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """``(station, row_id, score)``; scores above 0.5 are outliers."""
-    forest = materialise(forest)
+    forest = materialise(ready_workers(forest))
     names = [f"x{i}" for i in range(len(cols))]
     row_type = df.schema["row_id"].dataType.simpleString()
     schema = f"station string, row_id {row_type}, score double"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colweave.functions.stats import is_numeric
 from colweave.operators.ordered import fill_both_ways, interpolate_in_time
 from colweave.operators.quantiles import medians, value_modes
-from colweave.session import GROUP_ROW_LIMIT, materialise
+from colweave.session import GROUP_ROW_LIMIT, materialise, ready_workers
 
 # Stations above this many rows use the median instead of neighbours.
 KNN_ROW_LIMIT = 10_000
@@ -113,7 +113,8 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS) -> DataFrame
         F.ceil(F.count(F.lit(1)) / KNN_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows"),
         *[F.max(F.col(c).isNull()).alias(f"u{i}") for i, c in enumerate(cols)],
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]))
-    if stats.where(F.col("rows") > KNN_ROW_LIMIT).limit(1).count():
+    largest, blocks = stats.agg(F.max("rows"), F.sum("blocks")).first()
+    if (largest or 0) > KNN_ROW_LIMIT:
         raise ValueError(f"nearest neighbours are for stations of at most {KNN_ROW_LIMIT} rows; use the median")
     rows = df.select("station", "row_id", *values).join(stats, "station")
     gap = F.greatest(*[F.col(n).isNull() for n in names])
@@ -126,10 +127,10 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS) -> DataFrame
     row_type = df.schema["row_id"].dataType.simpleString()
     schema = f"station string, row_id {row_type}, " + ", ".join(f"{n} double" for n in names)
     # A stated partition count keeps small but compute-heavy blocks apart.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(int(blocks or 0), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     receivers = receivers.repartition(tasks, "station", "block")
     donors = donors.repartition(tasks, "station", "block")
-    filled = (receivers.groupBy("station", "block").cogroup(donors.groupBy("station", "block"))
+    filled = (ready_workers(receivers).groupBy("station", "block").cogroup(donors.groupBy("station", "block"))
               .applyInPandas(_nearest_fill(len(cols), k), schema))
     fixed = filled.select("station", "row_id", *[F.col(n).alias(f"_f_{c}") for n, c in zip(names, cols)])
     out = df.join(fixed, ["station", "row_id"], "left").withColumns(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.operators.graphs import WEAK_EDGE
+from colweave.session import ready_workers
 
 L1_PENALTY = 0.005
 # Fixed: keeps the inverse tanh of a correlation of 1 finite.
@@ -79,7 +80,7 @@ def learned_graph(grams: DataFrame, pairs: DataFrame, counts: DataFrame, cols: l
              .join(counts.select("station", "rows"), "station")
              .select("station", "i", "j", F.coalesce("g", F.lit(0.0)).alias("g"),
                      F.coalesce("r", F.lit(0.0)).alias("r"), "rows"))
-    learned = cells.groupBy("station").applyInPandas(
+    learned = ready_workers(cells).groupBy("station").applyInPandas(
         _learner(cols, epochs, lr, weight_decay, l1_penalty),
         "station string, source string, target string, weight double")
     return learned.where(F.abs("weight") >= WEAK_EDGE).select(

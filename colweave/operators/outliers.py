@@ -18,14 +18,16 @@ def outlier_report(df: DataFrame, cols: list[str], method: str, limit: int = GRO
 
 
 def treat_outliers(df: DataFrame, cols: list[str], method: str, treatment: str,
-                   limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                   limit: int = GROUP_ROW_LIMIT, report: DataFrame | None = None) -> DataFrame:
     """Clip to the bounds, or winsorise every value to the 1st and 99th percentile.
 
-    Both act only on columns that have an outlier in the station.
+    Both act only on columns that have an outlier in the station.  A ``report``
+    of the same rows saves finding them again.
     """
     if treatment == "none" or not cols:
         return df
-    report = outlier_report(df, cols, method, limit)
+    if report is None:
+        report = outlier_report(df, cols, method, limit)
     bounds = report.groupBy("station").agg(*[
         agg for c in cols for agg in (
             F.max(F.when(F.col("column") == c, F.col("lower_bound"))).alias(f"_lo_{c}"),

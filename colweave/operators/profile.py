@@ -149,10 +149,10 @@ def node_stats(df: DataFrame, cols: list[str]) -> DataFrame:
                        {"mean": "mean", "std": "std", "min": "min", "max": "max"}).withColumnRenamed("column", "node")
 
 
-def audit(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:
-    """The whole profile as one nested row per station."""
+def audit(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT, stats: DataFrame | None = None) -> DataFrame:
+    """The whole profile as one nested row per station; ``stats`` is a column profile made before."""
     numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
-    columns = column_profile(df, cols)
+    columns = column_profile(df, cols) if stats is None else stats
     if numeric:
         iqr = iqr_outliers(df, numeric, limit).select("station", "column", F.col("outliers").alias("outliers_iqr"))
         z = zscore_outliers(df, numeric).select("station", "column", F.col("outliers").alias("outliers_zscore"))

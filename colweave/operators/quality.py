@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.vectors import euclidean
 from colweave.operators.layers import RUN_KEYS
+from colweave.session import ready_workers
 
 SMALL_VALUE = 1e-3
 COLLAPSED_STD = 1e-4
@@ -95,5 +96,5 @@ def project_2d(embeddings: DataFrame) -> DataFrame:
 
     A group is one run: as many short vectors as the table has feature columns.
     """
-    return embeddings.select(*RUN_KEYS, "node", "embedding").groupBy(*RUN_KEYS).applyInPandas(
+    return ready_workers(embeddings).select(*RUN_KEYS, "node", "embedding").groupBy(*RUN_KEYS).applyInPandas(
         _project, "station string, run string, node string, x double, y double").withColumn("method", F.lit("PCA"))

@@ -87,10 +87,11 @@ def parse_quality(sample: DataFrame) -> DataFrame:
 
 
 def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_names: bool = False,
-                 limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+                 limit: int = GROUP_ROW_LIMIT, stats: DataFrame | None = None) -> DataFrame:
     """``(station, column, idx, dtype, role)``; the first matching rule wins.
 
-    A column counts as integer only while it has no missing value.
+    A column counts as integer only while it has no missing value.  ``stats`` is
+    a column profile made before.
     """
     kinds = {c: df.schema[c].dataType for c in cols}
     integers = [c for c in cols if is_integer(kinds[c])]
@@ -99,7 +100,7 @@ def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_n
     numbers = [c for c in cols if is_numeric(kinds[c])]
     flags = [c for c in cols if isinstance(kinds[c], T.BooleanType)]
 
-    stats = materialise(column_profile(df, cols))
+    stats = materialise(column_profile(df, cols)) if stats is None else stats
     name = F.col("column")
     if integers + texts:
         stats = stats.join(parse_quality(_sampled(df, integers + texts, ROLE_SAMPLE, order)),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.stats import cosine, null_if_zero, pearson
-from colweave.session import materialise
+from colweave.session import materialise, ready_workers
 
 # Columns up to which one aggregate with N(N-1)/2 expressions stays in codegen.
 WIDE_LIMIT = 12
@@ -103,7 +103,7 @@ def pair_sums(df: DataFrame, cols: list[str], centred: bool = False) -> DataFram
     else:
         values = [F.col(c).cast("double") for c in cols]
     blocks = df.select(F.col("station").cast("string").alias("station"), F.array(*values).alias("x"))
-    partial = blocks.mapInArrow(_block_sums(len(cols)), PARTIAL_SCHEMA)
+    partial = ready_workers(blocks).mapInArrow(_block_sums(len(cols)), PARTIAL_SCHEMA)
     return partial.groupBy("station", "i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 

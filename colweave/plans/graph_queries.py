@@ -42,7 +42,8 @@ def scaled_line(spark, sf_dir):
 
 
 def line_pairs(spark, sf_dir):
-    return similarity.pearson_pairs(scaled_line(spark, sf_dir), LINE_COLS, centred=True, complete=True)
+    """Correlation does not change under scaling, so one scan of the raw columns gives it."""
+    return similarity.pearson_pairs(inputs.line_features(spark, sf_dir), LINE_COLS, complete=True)
 
 
 def line_graph(spark, sf_dir, graph_type="correlation"):

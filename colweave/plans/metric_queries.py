@@ -142,7 +142,7 @@ def connected_components_wide(spark, sf_dir):
     return paths.components(nodes, materialise(paths.links(nodes, edges))).select("idx", "label")
 
 
-# The flagship: scale, correlate, link and measure.
+# The flagship: correlate, link and measure.
 @query("line_graph_summary", f"""WITH {CORR_EDGES_SQL},
 c AS (SELECT n.station, count(*) AS node_count, (SELECT count(*) FROM edges e WHERE e.station = n.station) AS edge_count,
       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.station = n.station

@@ -56,10 +56,10 @@ def where_flagged(df: DataFrame, cols: list[str], flags: DataFrame,
     ``flags(station, column)``.  Unflagged columns are hidden as NULL from
     ``change`` and put back afterwards.
     """
-    sets = materialise(df.select("station").distinct().join(
-        flags.groupBy("station").agg(F.collect_set("column").alias("_on")), "station", "left"))
+    # A left join: stations without any flag need no row.
+    sets = materialise(flags.groupBy("station").agg(F.collect_set("column").alias("_on")))
     on = {c: F.coalesce(F.array_contains("_on", c), F.lit(False)) for c in cols}
-    shown = df.join(sets, "station").withColumns({f"_keep_{c}": F.when(~on[c], F.col(c)) for c in cols})
+    shown = df.join(sets, "station", "left").withColumns({f"_keep_{c}": F.when(~on[c], F.col(c)) for c in cols})
     shown = shown.withColumns({c: F.when(on[c], F.col(c)) for c in cols})
     changed = change(shown)
     return changed.withColumns({c: F.when(on[c], F.col(c)).otherwise(F.col(f"_keep_{c}")) for c in cols}).drop(
@@ -81,8 +81,9 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
     order = ["_order_ts", "row_id"]
     stations = materialise(similarity.row_counts(dated))
 
-    audit = materialise(profile.audit(dated, cols, limit))
-    found = materialise(roles.column_roles(dated, cols, order, cfg.strict_time_names, limit))
+    stats = materialise(profile.column_profile(dated, cols))
+    audit = materialise(profile.audit(dated, cols, limit, stats))
+    found = materialise(roles.column_roles(dated, cols, order, cfg.strict_time_names, limit, stats))
 
     # Cleaning, in this order: repeated rows, infinities, sparse, constant, missing, redundant, outliers.
     rows = dated
@@ -108,7 +109,6 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
         numbers = [c for c in left if c in numbers]
 
     rows, strategies = _impute(rows, left, found, drops, kept_rows, cfg, limit)
-    rows = materialise(rows)
 
     redundant = None
     if len(numbers) > 1:
@@ -127,8 +127,9 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
     cleaned = materialise(rows)
     scaled = cleaned
     if nodes_left:
-        scaled = materialise(where_flagged(cleaned, nodes_left, features,
-                                           lambda shown: scale.standard_scale(shown, nodes_left)))
+        # A projection over the cleaned rows and one statistics row per station: not worth a copy.
+        scaled = where_flagged(cleaned, nodes_left, features,
+                               lambda shown: scale.standard_scale(shown, nodes_left))
     guard = materialise(clean.feature_guard(features, stations))
     failures = materialise(failures.unionByName(guard.where("status = 'Failed'").select(
         "station", "status", F.concat(F.lit("Insufficient features ("), F.col("features").cast("string"),
@@ -183,7 +184,7 @@ def _impute(rows: DataFrame, left: list[str], found: DataFrame, drops: DataFrame
     done = where_flagged(busy, targets, eligible,
                          lambda shown: impute.impute(shown, targets, strategies, "_impute_ts", limit)).drop("_impute_ts")
     idle = idle.select(*[F.col(c).cast(done.schema[c].dataType).alias(c) for c in done.columns])
-    return done.unionByName(idle), strategies.select("station", "strategy")
+    return materialise(done.unionByName(idle)), strategies.select("station", "strategy")
 
 
 def _treat(rows: DataFrame, cols: list[str], features: DataFrame, cfg: Settings,
@@ -210,7 +211,7 @@ def _treat(rows: DataFrame, cols: list[str], features: DataFrame, cfg: Settings,
                          .join(features.select("station", "column"), ["station", "column"], "left_semi"))
     out = where_flagged(rows, cols, features,
                         lambda shown: outliers.treat_outliers(shown, cols, cfg.outlier_method,
-                                                              cfg.outlier_treatment, limit))
+                                                              cfg.outlier_treatment, limit, report))
     return out, report
 
 

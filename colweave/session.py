@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 GROUP_ROW_LIMIT = 1_000_000
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "colweave", cores: str = "*", shuffle_partitions: int = 8,
@@ -66,3 +69,19 @@ def max_group_rows(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group: one aggregate, one number to the driver."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
     return int(top or 0)
+
+
+def ready_workers(df: DataFrame) -> DataFrame:
+    """``df``, after its Python workers were given this package (once per application)."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="colweave-"), "colweave.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+        sc.addPyFile(target)
+        _shipped.add(sc.applicationId)
+    return df

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from colweave.functions.stats import is_numeric
 from colweave.operators.roles import likely_timestamp
 from colweave.functions.timeparse import parse_timestamp
-from colweave.session import materialise
+from colweave.session import materialise, ready_workers
 
 # Supported file endings and their separators.
 TEXT_SEPARATORS = {"csv": ",", "tsv": "\t"}
@@ -66,7 +66,7 @@ def discover_stations(spark: SparkSession, data_dir: str) -> DataFrame:
     station = F.element_at(F.split("inside", "/"), 1) if nested else F.lit(ROOT_STATION)
     wanted = files.where(F.col("inside").contains("/")) if nested else files
     return (wanted.select(station.alias("station"), "path", name.alias("file_name"), ext.alias("ext"))
-            .where(F.col("ext").isin(*TEXT_SEPARATORS, *PARQUET_ENDINGS)).distinct())
+            .where(F.col("ext").isin(*TEXT_SEPARATORS, *PARQUET_ENDINGS)))
 
 
 def _escape(text: str) -> str:
@@ -92,8 +92,7 @@ def with_columns(files: DataFrame) -> DataFrame:
     """Adds each file's column names, read from its first line or its footer by the tasks."""
     names = files.schema.names
     schema = ", ".join(f"{n} string" for n in names) + ", columns array<string>"
-    spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInPandas(_read_headers, schema)
+    return ready_workers(files).mapInPandas(_read_headers, schema)
 
 
 def read_files(spark: SparkSession, ext: str, paths: list[str]) -> DataFrame:
