@@ -57,9 +57,14 @@ def _samples(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     pool = rows.join(counts, "station").where(
         _unit(F.col("row_id"), F.lit(seed)) < POOL_ROWS / F.col("_n"))
     size = F.least(F.col("_n"), F.lit(POOL_ROWS))
-    dealt = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-             .withColumn("_u", _unit(F.col("row_id"), F.col("tree"), F.lit(seed + 1)))
-             .where(F.col("_u") < (TREE_ROWS + 10.0 * TREE_ROWS ** 0.5) / size))
+    # A row of a small pool meets every tree; otherwise a few drawn ones, enough
+    # to offer each tree more rows than it takes.
+    draws = F.ceil(TREES * (TREE_ROWS + 10.0 * TREE_ROWS ** 0.5) / size).cast("int")
+    trees = F.when(size <= 4 * TREE_ROWS, F.sequence(F.lit(0), F.lit(TREES - 1))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), draws), lambda j: F.pmod(
+            F.xxhash64(F.col("row_id"), j, F.lit(seed + 1)), F.lit(TREES)).cast("int"))))
+    dealt = pool.withColumn("tree", F.explode(trees)).withColumn(
+        "_u", _unit(F.col("row_id"), F.col("tree"), F.lit(seed + 2)))
     rank = Window.partitionBy("station", "tree").orderBy("_u", "row_id")
     return (dealt.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= TREE_ROWS)
             .select("station", "tree", "x"))
@@ -99,29 +104,32 @@ def _grow(seed: int):
 
 def grow_forest(df: DataFrame, cols: list[str], seed: int = 42) -> DataFrame:
     """Tree nodes of every station's forest: ``NODE_SCHEMA``, at most 511 per tree."""
-    return _samples(ready_workers(df), cols, seed).groupBy("station", "tree").applyInPandas(_grow(seed), NODE_SCHEMA)
-
-
-def _scores(x: np.ndarray, forest: pd.DataFrame) -> np.ndarray:
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
-    trees = 0
-    for _, nodes in forest.groupby("tree", sort=True):
-        nodes = nodes.sort_values("id")
-        feature, split = nodes["feature"].to_numpy(), nodes["split"].to_numpy()
-        child, length = nodes["child"].to_numpy(), nodes["length"].to_numpy()
-        at = np.zeros(len(x), dtype=np.int64)
-        for _ in range(DEPTH):
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = x[rows, np.maximum(f, 0)] > split[at]
-            at = np.where(inner, child[at] + right, at)
-        total += length[at]
-        trees += 1
-    scale = float(mean_depth(int(forest["sampled"].max())))
-    return np.power(2.0, -total / max(trees, 1) / (scale if scale > 0 else 1.0))
+    # A stated partition count: the groups are tiny but growing a tree takes time.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _samples(ready_workers(df), cols, seed).repartition(tasks, "station", "tree")
+    return dealt.groupBy("station", "tree").applyInPandas(_grow(seed), NODE_SCHEMA)
+
+
+def _packed(nodes: pd.DataFrame) -> tuple:
+    """A station's trees as flat arrays; a leaf leads to itself."""
+    nodes = nodes.sort_values(["tree", "id"])
+    sizes = nodes.groupby("tree", sort=True).size().to_numpy()
+    roots = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    leaf = nodes["feature"].to_numpy() < 0
+    child = np.where(leaf, np.arange(len(nodes)), nodes["child"].to_numpy() + np.repeat(roots, sizes))
+    split = np.where(leaf, np.inf, nodes["split"].to_numpy())
+    scale = float(mean_depth(int(nodes["sampled"].max())))
+    return (roots, np.maximum(nodes["feature"].to_numpy(), 0), split, child, nodes["length"].to_numpy(),
+            scale if scale > 0 else 1.0)
+
+
+def _scores(x: np.ndarray, trees: tuple) -> np.ndarray:
+    roots, feature, split, child, length, scale = trees
+    at = np.broadcast_to(roots, (len(x), len(roots)))
+    rows = np.arange(len(x))[:, None]
+    for _ in range(DEPTH):
+        at = child[at] + (x[rows, feature[at]] > split[at])
+    return np.power(2.0, -length[at].mean(axis=1) / scale)
 
 
 def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
@@ -133,7 +141,7 @@ def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
     schema = f"station string, row_id {row_type}, score double"
     rows = df.select("station", "row_id", *[_value(c).alias(n) for c, n in zip(cols, names)])
     if forest.count() <= broadcast_nodes:
-        table = {key: part for key, part in forest.toPandas().groupby("station")}
+        table = {key: _packed(part) for key, part in forest.toPandas().groupby("station")}
         shared = df.sparkSession.sparkContext.broadcast(table)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +162,7 @@ def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
 
     def score_part(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["station", "row_id"]].copy()
-        out["score"] = _scores(pdf[names].to_numpy(np.float64), own) if len(pdf) and len(own) else 0.0
+        out["score"] = _scores(pdf[names].to_numpy(np.float64), _packed(own)) if len(pdf) and len(own) else 0.0
         return out
 
     return dealt.groupBy("station", "part").cogroup(trees.groupBy("station", "part")).applyInPandas(score_part, schema)

@@ -1,79 +1,101 @@
 """Exact percentiles with linear interpolation, at any station size.
 
 Small stations use the built-in exact aggregate, whose buffer holds a station's
-distinct values.  Larger ones are narrowed first: a mergeable sketch brackets
-each target rank, one pass counts what lies below and keeps only the few values
-inside the bracket, and their ranks are read off a distributed running total.
+distinct values.  Larger ones are narrowed by counting: a histogram pass finds
+the bin that holds each wanted rank, only the values of that bin are counted one
+by one, and the rank is read off their running total.  Bins are combined before
+the shuffle, so no task ever holds a station's values.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.operators.ordered import running_total
 from colweave.session import GROUP_ROW_LIMIT, materialise, max_group_rows
 
-SKETCH_ACCURACY = 10_000
+# Rows per station up to which the built-in aggregate is used.
+BUILTIN_ROWS = 250_000
+BINS = 4096
+# A bin this full is split again, at most this often; then values are counted as they are.
+SPLIT_ROWS = GROUP_ROW_LIMIT
+SPLIT_ROUNDS = 4
 
 
-def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float],
-                      limit: int = GROUP_ROW_LIMIT) -> DataFrame:
+def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = GROUP_ROW_LIMIT,
+                      bins: int = BINS) -> DataFrame:
     """One row per station; each column becomes the array of its percentiles."""
-    if max_group_rows(df, ["station"]) <= limit:
+    if max_group_rows(df, ["station"]) <= min(limit, BUILTIN_ROWS):
         return df.groupBy("station").agg(*[F.percentile(c, probs).alias(c) for c in cols])
-    return _bracketed(df, cols, probs, 2.0 / SKETCH_ACCURACY, limit)
-
-
-def _bracketed(df: DataFrame, cols: list[str], probs: list[float], margin: float, limit: int) -> DataFrame:
-    wanted = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
-    sketch = materialise(df.groupBy("station").agg(*[
-        agg for c in cols for agg in (
-            F.count(c).alias(f"{c}__n"),
-            F.percentile_approx(c, wanted, SKETCH_ACCURACY).alias(f"{c}__b"))]))
-    rows = df.select("station", *cols).join(sketch, "station")
-
-    def low(c: str, k: int):
-        return F.col(f"{c}__b")[k]
-
-    def high(c: str, k: int):
-        return F.col(f"{c}__b")[len(probs) + k]
-
-    slots = [(i, k) for i in range(len(cols)) for k in range(len(probs))]
-    below = rows.groupBy("station").agg(*[
-        F.count(F.when(F.col(cols[i]) < low(cols[i], k), 1)).alias(f"b{i}_{k}") for i, k in slots])
-    offsets = (below.join(sketch, "station").select("station", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"b{i}_{k}").alias("below"),
-                 F.col(f"{cols[i]}__n").alias("n")) for i, k in slots]))))
-
-    inside = F.filter(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"),
-                 F.when(F.col(cols[i]).between(low(cols[i], k), high(cols[i], k)),
-                        F.col(cols[i]).cast("double")).alias("value"))
-        for i, k in slots]), lambda s: s["value"].isNotNull())
-    counted = (rows.select("station", F.inline(inside))
-               .groupBy("station", "i", "k", "value").agg(F.count(F.lit(1)).alias("held")))
-    ranked = running_total(materialise(counted), ["station", "i", "k"], ["value"], "held", "upto", limit)
-    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("k") + 1) * (F.col("n") - 1)
-    located = (offsets.withColumns({"position": position, "first": F.floor(position)})
-               .join(ranked, ["station", "i", "k"], "left")
-               .withColumn("reach", F.col("below") + F.col("upto"))
-               .groupBy("station", "i", "k", "position", "first", "below", "n").agg(
-                   F.min(F.when(F.col("reach") >= F.col("first") + 1, F.col("value"))).alias("at"),
-                   F.min(F.when(F.col("reach") >= F.ceil("position") + 1, F.col("value"))).alias("after")))
-    located = materialise(located)
-    # The sketch is only a guess; every rank must be inside its bracket.
-    missed = located.where("n > 0 and (at is null or after is null or below > first)").limit(1).count()
-    if missed:
-        if margin >= 1.0:
-            raise RuntimeError("percentile ranks outside the full value range")
-        return _bracketed(df, cols, probs, min(1.0, margin * 16), limit)
-    value = F.col("at") + (F.col("after") - F.col("at")) * (F.col("position") - F.col("first"))
-    return located.withColumn("q", value).groupBy("station").agg(*[
-        F.array(*[F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.col("q"))) for k in range(len(probs))])
-        .alias(c) for i, c in enumerate(cols)])
+    return _by_histogram(df, cols, probs, min(limit, SPLIT_ROWS), limit, bins)
+
+
+def _by_histogram(df: DataFrame, cols: list[str], probs: list[float], split: int, limit: int, bins: int) -> DataFrame:
+    long = (df.select("station", *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot(["station"], cols, "column", "value").where("value is not null"))
+    spans = df.groupBy("station").agg(*[
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("held"), F.min(c).cast("double").alias("lo"),
+                 F.max(c).cast("double").alias("hi")).alias(f"s{i}") for i, c in enumerate(cols)])
+    spans = materialise(spans.select("station", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))]))))
+    # Two ranks per percentile: the value at or below its position and the one after.
+    ranks = F.flatten(F.array(*[
+        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), (rounding(p * (F.col("held") - 1)))
+                           .cast("long").alias("rank")) for side, rounding in enumerate((F.floor, F.ceil))])
+        for k, p in enumerate(probs)]))
+    placed = spans.where("held > 0").select(
+        "station", "column", "held", "lo", "hi", F.lit(0).cast("long").alias("below"), F.inline(ranks))
+    for _ in range(SPLIT_ROUNDS):
+        fullest = placed.where("lo < hi").agg(F.max("held")).first()[0]
+        if fullest is None or fullest <= split:
+            break
+        brackets, opened = _numbered(placed)
+        scale = F.try_divide(F.lit(float(bins - 1)), F.col("hi") - F.col("lo"))
+        # Infinite ends cannot be divided; the finite middle is then one bin.
+        middle = F.when(scale > 0, F.floor((F.col("value") - F.col("lo")) * scale)).otherwise(0) + 1
+        place = (F.when(F.col("value") == F.col("lo"), 0).when(F.col("value") == F.col("hi"), bins + 1)
+                 .otherwise(middle).cast("int"))
+        upto = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        filled = (_inside(long, brackets).groupBy("id", place.alias("bin"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("from"), F.max("value").alias("to"))
+                  .withColumn("upto", F.sum("n").over(upto)))
+        last = F.col("below") + F.col("upto")
+        narrowed = (opened.join(filled, "id").where((F.col("rank") < last) & (F.col("rank") >= last - F.col("n")))
+                    .select("station", "column", F.col("n").alias("held"), F.col("from").alias("lo"),
+                            F.col("to").alias("hi"), (last - F.col("n")).alias("below"), "k", "side", "rank"))
+        placed = materialise(placed.where("lo >= hi").unionByName(narrowed))
+    brackets, opened = _numbered(placed)
+    counted = _inside(long, brackets).groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = running_total(materialise(counted), ["id"], ["value"], "n", "upto", limit)
+    found = (opened.join(totals, "id").where(F.col("below") + F.col("upto") > F.col("rank"))
+             .groupBy("station", "column", "k", "side").agg(F.min("value").alias("value"))
+             .unionByName(placed.where("lo >= hi").select("station", "column", "k", "side", F.col("lo").alias("value"))))
+    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("k") + 1) * (F.col("held") - 1)
+    both = found.groupBy("station", "column", "k").agg(
+        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("at"),
+        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("after"))
+    share = position - F.floor(position)
+    cells = both.join(spans.select("station", "column", "held"), ["station", "column"]).select(
+        "station", "column", "k", F.when(share == 0, F.col("at")).otherwise(
+            F.col("at") + (F.col("after") - F.col("at")) * share).alias("q"))
+    wide = cells.groupBy("station").agg(*[
+        F.array(*[F.max(F.when((F.col("column") == c) & (F.col("k") == k), F.col("q"))) for k in range(len(probs))])
+        .alias(c) for c in cols])
+    # Stations whose columns are all missing keep their row.
+    return spans.select("station").distinct().join(wide, "station", "left").select("station", *[
+        F.when(F.col(c)[0].isNotNull(), F.col(c)).alias(c) for c in cols])
+
+
+def _numbered(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct open brackets under a number, and the ranks with the number of theirs."""
+    bracket = ["station", "column", "lo", "hi", "below"]
+    opened = placed.where("lo < hi").drop("held")
+    brackets = materialise(opened.select(*bracket).distinct().withColumn("id", F.monotonically_increasing_id()))
+    return brackets.drop("below"), opened.join(brackets, bracket)
+
+
+def _inside(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    return long.join(brackets, ["station", "column"]).where(F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def medians(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:
