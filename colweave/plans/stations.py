@@ -20,6 +20,7 @@ from colweave.operators import (centrality, clean, embed, graphs, iforest, imput
 from colweave.session import GROUP_ROW_LIMIT, materialise
 from colweave.sources.discovery import as_timestamp, in_time_order, load_stations
 
+UNNAMED = "(none)"
 IMPUTED_ROLES = (roles.NUMERIC, roles.CATEGORICAL, roles.UNKNOWN)
 
 
@@ -74,7 +75,9 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
                  limit: int = GROUP_ROW_LIMIT) -> StationRun:
     """Profile, clean, scale, link, measure and embed every station of ``df(station, row_id, cols)``."""
     cfg = settings or Settings()
-    df = normalise_nan(df.select("station", "row_id", *cols))
+    # Joins on the station must not lose rows, so it is never NULL.
+    named = F.coalesce(F.col("station").cast("string"), F.lit(UNNAMED)).alias("station")
+    df = normalise_nan(df.select(named, "row_id", *cols))
     dated, invalid = in_time_order(df, cols, cfg.timestamp_col)
     failures = materialise(invalid)
     dated = materialise(dated.join(failures.select("station"), "station", "left_anti"))
