@@ -252,7 +252,8 @@ def _knn_sql(cols: list[str]) -> str:
     return f"""
 near AS (SELECT * FROM (
   SELECT r.row_id, d.row_id AS donor, ({total}) * ({len(cols)} / nullif({shared}, 0)) AS dist
-  FROM user_days r, user_days d WHERE ({gap})) WHERE dist IS NOT NULL),
+  FROM user_days r, user_days d
+  WHERE ({gap}) AND (SELECT count(*) FROM user_days) <= 10000) WHERE dist IS NOT NULL),
 size AS (SELECT count(*) AS rows, {", ".join(f"avg({c}) AS m_{c}, median({c}) AS q_{c}" for c in cols)} FROM user_days),
 {parts}
 SELECT 'users' AS station, u.row_id, """ + ", ".join(

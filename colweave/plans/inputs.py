@@ -93,11 +93,11 @@ signals AS (
   FROM events)"""
 
 
-# One row per user and day, total value per event type, NULL where none happened.
+# One row per user and day, total value per event type (to the cent), NULL where none happened.
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return (events.groupBy("user_id", F.to_date("ts").alias("day"))
-            .agg(*[F.sum(F.when(F.col("event_type") == c, F.col("value"))).alias(c) for c in EVENT_COLS])
+            .agg(*[F.round(F.sum(F.when(F.col("event_type") == c, F.col("value"))), 2).alias(c) for c in EVENT_COLS])
             .select(F.lit("users").alias("station"),
                     F.concat_ws("/", F.col("user_id").cast("string"), F.col("day").cast("string")).alias("row_id"),
                     *EVENT_COLS))
@@ -106,7 +106,7 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 USER_DAYS_SQL = """
 user_days AS (
   SELECT 'users' AS station, user_id::VARCHAR || '/' || CAST(ts AS DATE)::VARCHAR AS row_id, """ + ", ".join(
-    f"sum(value) FILTER (WHERE event_type = '{c}') AS {c}" for c in EVENT_COLS) + """
+    f"round(sum(value) FILTER (WHERE event_type = '{c}'), 2) AS {c}" for c in EVENT_COLS) + """
   FROM events GROUP BY user_id, CAST(ts AS DATE))"""
 
 
