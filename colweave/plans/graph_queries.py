@@ -9,7 +9,7 @@ from colweave.operators import graphs, similarity
 from colweave.operators.scale import standard_scale
 from colweave.plans import inputs
 from colweave.plans.inputs import (EVENT_COLS, LINE_COLS, LINE_SQL, LINE_STATS_SQL, PEARSON_CELL,
-                                   RAW_COLS, RAW_SQL, USER_DAYS_SQL, VECTOR_COLS, VECTOR_SQL,
+                                   USER_DAYS_SQL, VECTOR_COLS, VECTOR_SQL,
                                    pair_union_sql)
 from colweave.plans.registry import query
 from colweave.session import materialise

@@ -82,11 +82,6 @@ def duplicate_columns(spark, sf_dir):
     return profile.duplicate_columns(wide, [*LINE_COLS, "units", "list_price", "raised", "amount"])
 
 
-FENCE_SQL = """
-fences AS (
-  SELECT station, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {t} GROUP BY station)"""
-
-
 def _iqr_sql(source: str, c: str) -> str:
     return f"""SELECT t.station, '{c}' AS "column",
     count(*) FILTER (WHERE q3 > q1 AND (t.{c} < q1 - 1.5 * (q3 - q1) OR t.{c} > q3 + 1.5 * (q3 - q1))) AS outliers,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from colweave.config import Settings
 from colweave.functions.stats import rounded
-from colweave.operators import clean, graphs, metrics, profile, quality, reports, similarity
+from colweave.operators import clean, graphs, metrics, profile, quality, reports
 from colweave.operators.quantiles import exact_percentiles
 from colweave.plans import inputs, stations
 from colweave.plans.graph_queries import CELLS_SQL, CORR_EDGES_SQL, DIRECTED_SQL, line_graph

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from colweave.operators import centrality, graphs, learned, metrics, paths, similarity
 
