@@ -140,6 +140,8 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     groups: dict[tuple, list[str]] = {}
     for row in files.select("ext", "columns", "path").collect():
         groups.setdefault((row["ext"], tuple(row["columns"])), []).append(row["path"])
+    if not groups:
+        raise EmptyStation(f"no data files in {data_dir}")
     reads = {key: read_files(spark, key[0], sorted(paths)) for key, paths in groups.items()}
     counts = reduce(lambda a, b: a.unionByName(b), [
         df.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows")) for df in reads.values()])

@@ -56,6 +56,12 @@ def test_strict_loading(spark, folder):
         discovery.load_stations(spark, str(folder), strict=True)
 
 
+def test_folder_without_data(spark, tmp_path):
+    write(tmp_path, "notes.txt", "not data")
+    with pytest.raises(discovery.EmptyStation):
+        discovery.load_stations(spark, str(tmp_path))
+
+
 def test_reserved_names(spark, tmp_path):
     write(tmp_path, "x.csv", "station,v\nq,1\n")
     (cols, df), = discovery.load_stations(spark, str(tmp_path)).tables
