@@ -14,6 +14,7 @@ Block offsets give random access: an id's block is its place divided by ``block_
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,13 @@ from colweave.session import materialise, ready_workers
 MAGIC = b"CWPACK01"
 BLOCK_IDS = 1 << 16
 END_ID = 2
-# Distinct space-separated pieces a worker remembers; beyond, it starts afresh.
-CACHE_PIECES = 300_000
+# Pieces a worker remembers; as many that were used before those are kept beside them.
+CACHE_PIECES = 400_000
+WORDS_PER_TEXT = 512
+# One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
+ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+TAIL = b".,;:!?|)\"]}"
+ALPHANUMERIC = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _FOOTER = struct.Struct("<5Q8s")
 
 
@@ -154,8 +160,10 @@ class ShardReader:
 class PieceEncoder:
     """Encodes texts piece by piece between ASCII white space, remembering pieces.
 
-    Right for tokenizers that drop white space and never join text across it, as
-    ``word_bpe_49k.json`` does; others take ``pieces=False`` and encode whole texts.
+    Right for tokenizers that lower-case, drop white space and never join text across
+    it, nor letters and punctuation, as ``word_bpe_49k.json`` does; others take
+    ``pieces=False`` and encode whole texts.  The library encodes each piece once
+    while it is remembered; pieces that were not used lately are forgotten.
     """
 
     def __init__(self, path: str, pieces: bool = True) -> None:
@@ -163,23 +171,70 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = pieces
         self.known: dict[bytes, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.older: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pieces that are one word each: many go in one text, and end-of-word ids part them."""
+        out: list[bytes] = []
+        groups = [words[i:i + WORDS_PER_TEXT] for i in range(0, len(words), WORDS_PER_TEXT)]
+        texts = [b" ".join(group).decode() for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
+            if len(ends) == len(group):
+                raw = ids.tobytes()
+                out += [raw[low:high] for low, high in zip([0, *ends], ends)]
+            else:
+                out += self._whole([w.decode() for w in group])
+        return out
+
+    def _encode_new(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        single = [w for w in pieces if self.ends_word is not None and ONE_WORD.match(w)]
+        other = list(set(pieces).difference(single))
+        return dict(zip(single + other, self._words(single) + self._whole([w.decode() for w in other])))
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Put ``fresh`` pieces into ``known``, split into a word and the punctuation after it where that is safe."""
+        older, known = self.older, self.known
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for piece in fresh:
+            if (ids := older.get(piece)) is not None:
+                known[piece] = ids
+                continue
+            word, tail = piece, b""
+            if b"<|" not in piece:  # the texts of special tokens are told apart by case
+                word = piece.lower()
+                core = word.rstrip(TAIL)
+                if core and core[-1] in ALPHANUMERIC:
+                    word, tail = core, word[len(core):]
+            parts[piece] = word, tail
+        wanted = {x for pair in parts.values() for x in pair if x}
+        found = {x: ids for x in wanted if (ids := known.get(x) or older.get(x)) is not None}
+        found.update(self._encode_new([x for x in wanted if x not in found]))
+        found[b""] = b""
+        known.update(found)
+        known.update((piece, found[word] + found[tail] if tail else found[word]) for piece, (word, tail) in parts.items())
+
     def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """The ids of each text with ``end_id`` after them."""
         end = np.array([end_id], dtype="<u4").tobytes()
         if not self.pieces:
-            return [np.frombuffer(x + end, dtype="<u4") for x in self._ids([t.decode() for t in texts])]
+            return [np.frombuffer(x + end, dtype="<u4") for x in self._whole([t.decode() for t in texts])]
         split = [t.split() for t in texts]
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known = self.known = {}
-            fresh = list({w for words in split for w in words})
-        known.update(zip(fresh, self._ids([w.decode() for w in fresh])))
-        get = known.__getitem__
+        if len(self.known) > CACHE_PIECES:
+            self.older, self.known = self.known, {}
+        self._learn({w for words in split for w in words}.difference(self.known))
+        get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in split]
 
 
