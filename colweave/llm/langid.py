@@ -112,7 +112,8 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS_PER_LANGUAGE) -> Da
     low, high = -(1 << 63), (1 << 63) - 1
     limits = [(r["lang"], min(high, low + int(2 * (rows + 50) / r["count"] * 2.0 ** 64))) for r in total] or [("", low)]
     edge = docs.sparkSession.createDataFrame(limits, "edge_lang string, edge long")
-    texts = known.join(edge, F.col("lang") == F.col("edge_lang")).where("rank <= edge").select("lang", "rank", "text")
+    # At most MAX_LANGUAGES rows, so texts need no shuffle to meet them.
+    texts = known.join(F.broadcast(edge), F.col("lang") == F.col("edge_lang")).where("rank <= edge").select("lang", "rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
