@@ -213,6 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column] | N
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:width - 2], pa.array(labels, pa.string()), pa.array(score),
                  pa.array(~letters | (score < model.reject_below))], [*names, "lang_pred", "score", "rejected"])
+        W.release()
 
     schema = StructType([*frame.schema.fields[:-2], StructField("lang_pred", StringType()),
                          StructField("score", DoubleType()), StructField("rejected", BooleanType())])
@@ -221,16 +222,16 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str | Column] | N
 
 def drop_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` without the rows that :func:`identify` rejects; columns unchanged."""
-    frame = ready_workers(docs).withColumns({
-        "_has_letter_of_text": F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)),
-        "_bytes_of_text": F.col("text").cast("binary")})
+    frame = ready_workers(docs).withColumn("_has_letter_of_text", F.coalesce(F.col("text").rlike(HAS_LETTER), F.lit(False)))
     names = docs.columns
+    text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False), dtype=bool)
-            for low, high, data, offsets in W.chunks(batch.column(len(names) + 1)):
+            kept = np.array(batch.column(len(names)).to_numpy(zero_copy_only=False), dtype=bool)
+            for low, high, data, offsets in W.chunks(batch.column(text)):
                 kept[low:high] &= model.predict(data, offsets)[1] >= model.reject_below
             yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], names).filter(pa.array(kept))
+        W.release()
 
     return frame.mapInArrow(run, docs.schema)

@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             prints = np.fromiter((text_fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)),
                                  dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        W.release()
 
     texts = ready_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, "doc_id long, fp long")
@@ -143,6 +144,7 @@ def _link_runs(limit: int):
             held = [(unit[last:], node[last:], prints[last:])]
         if held:
             yield solve(*held[0])
+        W.release()
 
     return run
 
@@ -156,20 +158,22 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
     dense family costs rows in proportion to its members.  A variant with more than
     ``block_rows`` members is compared as pairs of blocks, which go to different tasks.
     """
+    # Only keys travel with the variants; prints join the few that meet.
     keyed = nodes.select(
-        "node", "print",
+        "node",
         F.explode(F.flatten(F.expr(
             f"transform(segments, (s, k) -> transform(sequence(0, {segment_bits - 1}),"
             f" p -> shiftleft(cast(k * {segment_bits} + p as bigint), 32) | (s & ~shiftleft(1L, p))))"))).alias("variant"))
     shared = keyed.groupBy("variant").count().where("count > 1")
     met = keyed.join(shared, "variant").select(
-        "variant", "node", "print", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"))
+        "variant", "node", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"))
     own = F.expr("pmod(xxhash64(node), blocks)")
     dealt = met.withColumn("own", own).withColumn(
         "other", F.explode(F.expr("CASE WHEN blocks = 1 THEN array(0L) ELSE"
                                   " filter(sequence(0L, blocks - 1), x -> x <> own) END")))
     units = dealt.select(
-        F.xxhash64("variant", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node", "print")
+        F.xxhash64("variant", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node")
+    units = units.join(nodes.select("node", "print"), "node").select("unit", "node", "print")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (ready_workers(units).repartition(n, "unit").sortWithinPartitions("unit")
             .mapInArrow(_link_runs(limit), "a long, b long"))
@@ -240,6 +244,7 @@ def _two_prints(shingle: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(wide, pa.binary()), pa.array(fine, pa.binary())],
                 ["doc_id", "text_key", "wide", "fine"])
+        W.release()
 
     return run
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Documents are handled in chunks of about this many bytes (a longer text is a chunk of its own).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _rng = np.random.default_rng(20240601)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,6 +32,11 @@ SPACED = _table([(0x20, 0x20), (0x09, 0x0D)])
 ALPHANUMERIC = _table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
+def release() -> None:
+    """Give Arrow's free memory back: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
