@@ -158,8 +158,10 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
     dense family costs rows in proportion to its members.  A variant with more than
     ``block_rows`` members is compared as pairs of blocks, which go to different tasks.
     """
-    # Only keys travel with the variants; prints join the few that meet.
-    keyed = nodes.select(
+    # Only keys travel with the variants; prints join the few that meet.  A task makes
+    # many rows of each node, so nodes are dealt over as many tasks as the shuffle has.
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = nodes.repartition(n).select(
         "node",
         F.explode(F.flatten(F.expr(
             f"transform(segments, (s, k) -> transform(sequence(0, {segment_bits - 1}),"
@@ -174,7 +176,6 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
     units = dealt.select(
         F.xxhash64("variant", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "node")
     units = units.join(nodes.select("node", "print"), "node").select("unit", "node", "print")
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (ready_workers(units).repartition(n, "unit").sortWithinPartitions("unit")
             .mapInArrow(_link_runs(limit), "a long, b long"))
 
