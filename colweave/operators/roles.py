@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from colweave.functions.stats import is_integer, is_numeric
 from colweave.functions.timeparse import parse_attempts
-from colweave.operators.ordered import head_sample, sequence_tests
+from colweave.operators.ordered import sequence_tests
 from colweave.operators.profile import column_profile
 from colweave.session import GROUP_ROW_LIMIT, materialise
 
@@ -26,7 +26,6 @@ TIME_FRAGMENTS = ("timestamp", "datetime", "date", "time")
 TARGET, TIMESTAMP, SEQUENCE = "Target Candidate", "Timestamp", "Sequential Index"
 IDENTIFIER, CATEGORICAL, NUMERIC, UNKNOWN = "Identifier", "Categorical Feature", "Numeric Feature", "Unknown"
 
-ROLE_SAMPLE, SEARCH_SAMPLE = 100, 200
 LARGE_INTEGER = 1e9
 
 
@@ -64,26 +63,29 @@ def time_name_score(name: Column) -> Column:
             .when(_any([low.contains(k) for k in TIME_FRAGMENTS]), 1).otherwise(0))
 
 
-def _sampled(df: DataFrame, cols: list[str], n: int, order: list[str]) -> DataFrame:
-    long = df.select("station", *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                     *[F.col(c).cast("string").alias(c) for c in cols])
-    keys = [f"_o{i}" for i in range(len(order))]
-    return head_sample(long.unpivot(["station", *keys], cols, "column", "value"), n, keys)
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All present values as text: ``(station, column, value)``."""
+    long = df.select("station", *[F.col(c).cast("string").alias(c) for c in cols])
+    return long.unpivot(["station"], cols, "column", "value").where("value IS NOT NULL")
 
 
-def parse_quality(sample: DataFrame) -> DataFrame:
-    """Best share of a column's sample that one layout parses, and its distinct times."""
+def parse_quality(values: DataFrame) -> DataFrame:
+    """Best share of a column's values that one layout parses, and whether its times and values differ.
+
+    One aggregate over all values: counts and extremes are combined within tasks,
+    no value is shuffled.
+    """
     attempts = parse_attempts(F.col("value"))
-    per_layout = sample.groupBy("station", "column").agg(
-        F.count(F.lit(1)).alias("sampled"),
+    per_layout = values.groupBy("station", "column").agg(
+        F.count(F.lit(1)).alias("present"),
         F.max(F.expr("try_cast(value as double)")).alias("largest"),
-        F.countDistinct("value").alias("values"),
-        F.array(*[F.struct(F.count(a).alias("parsed"), F.size(F.collect_set(a)).alias("times"))
+        (F.min("value") != F.max("value")).alias("values_differ"),
+        F.array(*[F.struct(F.count(a).alias("parsed"), (F.min(a) != F.max(a)).alias("differ"))
                   for a in attempts]).alias("layouts"))
     return (per_layout.withColumn("best", F.array_max("layouts"))
-            .select("station", "column", "sampled", "largest", "values",
-                    (F.col("best.parsed") / F.col("sampled")).alias("parse_ratio"),
-                    F.col("best.times").alias("times")))
+            .select("station", "column", "largest", "values_differ",
+                    (F.col("best.parsed") / F.col("present")).alias("parse_ratio"),
+                    F.coalesce("best.differ", F.lit(False)).alias("times_differ")))
 
 
 def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_names: bool = False,
@@ -103,10 +105,10 @@ def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_n
     stats = materialise(column_profile(df, cols)) if stats is None else stats
     name = F.col("column")
     if integers + texts:
-        stats = stats.join(parse_quality(_sampled(df, integers + texts, ROLE_SAMPLE, order)),
+        stats = stats.join(parse_quality(_values(df, integers + texts)),
                            ["station", "column"], "left")
     else:
-        stats = stats.selectExpr("*", "0L sampled", "0D largest", "0L values", "0D parse_ratio", "0 times")
+        stats = stats.selectExpr("*", "0D largest", "false values_differ", "0D parse_ratio", "false times_differ")
     if integers:
         stats = stats.join(sequence_tests(df, integers, order, limit), ["station", "column"], "left")
     else:
@@ -117,8 +119,8 @@ def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_n
     whole = name.isin(integers) & (F.col("nulls") == 0)
     text = name.isin(texts)
     integer_time = (whole & (named_like_time(name, strict_time_names) | (F.col("largest") > LARGE_INTEGER))
-                    & (F.col("values") > 1))
-    text_time = text & (F.col("parse_ratio") > 0.8) & (F.col("times") > 1)
+                    & F.col("values_differ"))
+    text_time = text & (F.col("parse_ratio") > 0.8) & F.col("times_differ")
     role = (F.when(named_like_target(name), TARGET)
             .when(name.isin(dates) | integer_time | text_time, TIMESTAMP)
             .when(whole & F.col("monotonic") & (F.col("consecutive") | named_like_index(name)), SEQUENCE)
@@ -145,22 +147,22 @@ def likely_timestamp(df: DataFrame, cols: list[str], order: list[str],
             "station", F.lit(preferred).alias("column"), F.lit(3).alias("score"), F.lit(1.0).alias("parse_ratio"))
     kinds = {c: df.schema[c].dataType for c in cols}
     low = {c: c.lower() for c in cols}
-    # Only names that can score are sampled at all.
+    # Only columns whose names can score are parsed at all.
     usable = [c for c in cols if not isinstance(kinds[c], T.BooleanType) and (
         any(f in low[c] for f in TIME_FRAGMENTS) or low[c] in EXACT_TIME_NAMES
         or set(low[c].split("_")) & set(EXACT_TIME_NAMES))]
     if not usable:
         return df.select("station").limit(0).selectExpr(
             "station", "'' column", "0 score", "0D parse_ratio")
-    quality = parse_quality(_sampled(df, usable, SEARCH_SAMPLE, order))
+    quality = parse_quality(_values(df, usable))
     native = [c for c in usable if not isinstance(kinds[c], T.StringType)]
     known = F.col("column").isin(native)
     ranked = quality.select(
         "station", "column", time_name_score(F.col("column")).alias("score"),
         F.when(known, 1.0).otherwise(F.col("parse_ratio")).alias("parse_ratio"),
-        F.when(known, F.col("values")).otherwise(F.col("times")).alias("times"),
+        F.when(known, F.col("values_differ")).otherwise(F.col("times_differ")).alias("differ"),
         F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column")).alias("idx"))
     best = Window.partitionBy("station").orderBy(F.col("score").desc(), F.col("parse_ratio").desc(), "idx")
-    return (ranked.where("parse_ratio >= 0.8 and times > 1")
+    return (ranked.where("parse_ratio >= 0.8 and differ")
             .withColumn("rank", F.row_number().over(best)).where("rank = 1")
             .select("station", "column", "score", "parse_ratio"))

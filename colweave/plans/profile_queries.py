@@ -207,8 +207,7 @@ def _role_sql(source: str, kinds: dict[str, str], order: str) -> str:
                               for k in roles.ID_NAMES)
         target = " OR ".join(f"{name} = '{k}' OR ends_with({name}, '_{k}')" for k in roles.TARGET_NAMES)
         time_like = " OR ".join(f"contains({name}, '{k}')" for k in roles.TIME_NAMES)
-        sample = (f"(SELECT {c} AS v FROM (SELECT {c} FROM {source} WHERE {c} IS NOT NULL "
-                  f"ORDER BY {order} LIMIT 100))")
+        sample = f"(SELECT {c} AS v FROM {source} WHERE {c} IS NOT NULL)"
         is_time = "false"
         if kind == "timestamp":
             is_time = "true"
@@ -257,14 +256,12 @@ WITH t AS (
          CASE WHEN value > 3 THEN strftime(ts, '%Y-%m-%d') ELSE 'unknown' END AS date,
          strftime(ts, '%Y-%m-%d') AS update_day FROM events),
 s AS (
-  SELECT station, 'created_ts' AS "column", 2 AS score, created_ts AS v, 1 AS idx,
-         row_number() OVER (PARTITION BY station ORDER BY ts, event_id) AS rk FROM t
-  UNION ALL SELECT station, 'date', 3, date, 2, row_number() OVER (PARTITION BY station ORDER BY ts, event_id) FROM t
-  UNION ALL SELECT station, 'update_day', 1, update_day, 3,
-         row_number() OVER (PARTITION BY station ORDER BY ts, event_id) FROM t),
+  SELECT station, 'created_ts' AS "column", 2 AS score, created_ts AS v, 1 AS idx FROM t
+  UNION ALL SELECT station, 'date', 3, date, 2 FROM t
+  UNION ALL SELECT station, 'update_day', 1, update_day, 3 FROM t),
 q AS (
   SELECT station, "column", score, idx, count(try_cast(v AS TIMESTAMP)) / count(*) AS ratio,
-         count(DISTINCT try_cast(v AS TIMESTAMP)) AS times FROM s WHERE rk <= 200
+         count(DISTINCT try_cast(v AS TIMESTAMP)) AS times FROM s
   GROUP BY station, "column", score, idx)
 SELECT station, "column", score, round(ratio, 6) + 0.0 AS parse_ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY station ORDER BY score DESC, ratio DESC, idx) AS rk

@@ -217,3 +217,11 @@ def test_guard_and_status(spark, rows):
     assert (good.count(), bad.count()) == (2, 2)
     with pytest.raises(RuntimeError, match="2 station"):
         clean.split_by_status(guard, strict=True)
+
+
+def test_all_values_decide_a_role(spark):
+    """Dates in the first hundred rows do not make a time column of text."""
+    from colweave.operators import roles as R
+    rows = [("s", i, f"2024-01-{i % 28 + 1:02d}" if i < 100 else f"item {i % 50}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "station string, row_id long, note string")
+    assert [r["role"] for r in R.column_roles(df, ["note"], ["row_id"]).collect()] == [R.CATEGORICAL]
