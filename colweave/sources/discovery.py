@@ -7,6 +7,7 @@ read by Spark.
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -28,7 +29,6 @@ PARQUET_ENDINGS = ("parquet", "pq")
 ROOT_STATION = "root_station"
 # Column names the operators use themselves; a file's column of that name gets a trailing underscore.
 RESERVED = ("station", "row_id")
-HEADER_BYTES = 1 << 20
 
 
 class SchemaDrift(ValueError):
@@ -83,8 +83,9 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found.append(list(pq.read_schema(inner, filesystem=store).names))
             else:
                 with store.open_input_stream(inner) as stream:
-                    head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace").splitlines()
-                found.append(next(csv.reader(head[:1], delimiter=TEXT_SEPARATORS[ext]), []))
+                    # To the end of the first record, however long it is.
+                    text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="replace", newline="")
+                    found.append(next(csv.reader(text, delimiter=TEXT_SEPARATORS[ext]), []))
         yield pdf.assign(columns=found)
 
 
@@ -98,7 +99,8 @@ def with_columns(files: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, ext: str, paths: list[str]) -> DataFrame:
     """Rows of same-schema files, with the file they come from and their place in it."""
     if ext in TEXT_SEPARATORS:
-        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext])
+        # A doubled quote inside quotes is one quote.
+        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"')
     else:
         df = spark.read.parquet(*paths)
     renamed = [F.col(f"`{c}`").alias(f"{c}_" if c in RESERVED else c) for c in df.columns]

@@ -117,3 +117,15 @@ def test_embedding_scans(spark, tmp_path, rows):
     got = artefacts.read_embedding_csvs(spark, str(tmp_path / "saved"), "s").orderBy("node").collect()
     assert [(r["run"], r["node"], r["embedding"]) for r in got] == [
         ("top_k_GAT", "a", [0.5, 1.0]), ("top_k_GAT", "b", [2.0, -3.0])]
+
+
+def test_long_header_and_doubled_quotes(spark, tmp_path):
+    names = [f"column_with_a_long_name_{i}" for i in range(30_000)]
+    (tmp_path / "Wide").mkdir()
+    (tmp_path / "Wide" / "w.csv").write_text(",".join(names) + "\n")
+    found = discovery.with_columns(discovery.discover_stations(spark, str(tmp_path))).first()
+    assert list(found["columns"]) == names
+    (tmp_path / "Quotes").mkdir()
+    (tmp_path / "Quotes" / "q.csv").write_text('note,value\n"say ""hi"", now",1.5\n')
+    got = discovery.read_files(spark, "csv", [str(tmp_path / "Quotes" / "q.csv")]).select("note", "value").first()
+    assert tuple(got) == ('say "hi", now', 1.5)
