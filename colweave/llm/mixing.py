@@ -15,8 +15,9 @@ from colweave.session import materialise
 
 SOURCE_WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-# Rows a key slice should hold; only slices at a source's cut are ever sorted.
-SLICE_ROWS = 50_000
+# Rows of the input per slice of keys; only the slice at a source's cut is ever sorted.
+SLICE_ROWS = 20_000
+MIN_SLICES = 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,7 +83,7 @@ def mix_shares(docs: DataFrame, quality: DataFrame | None = None, weights: tuple
         base = base.join(known, base.doc_id == known["_id"], "left")
         weight = F.coalesce("_weight", F.lit(1.0))
     keyed = materialise(base.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), weight, seed).alias("key")))
-    slices = max(1, -(-keyed.count() // slice_rows))
+    slices = max(MIN_SLICES, -(-keyed.count() // slice_rows))
     # 1 - exp(-key) is the key's share of its range; it keeps the key's order.
     place = F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), F.lit(slices - 1)).cast("long")
     sliced = keyed.withColumn("slice", place)
