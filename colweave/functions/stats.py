@@ -47,6 +47,12 @@ def normalise_nan(df: DataFrame) -> DataFrame:
     })
 
 
+def join_station(df: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` with the columns of a per-station table; a NULL station is a station too."""
+    own = small.withColumnRenamed("station", "_own_station")
+    return df.join(own, F.col("station").eqNullSafe(F.col("_own_station")), how).drop("_own_station")
+
+
 def pearson(a: Column, b: Column, complete: bool = False) -> Column:
     """Pairwise-complete Pearson correlation as an aggregate; undefined gives 0.
 
@@ -56,7 +62,9 @@ def pearson(a: Column, b: Column, complete: bool = False) -> Column:
     left = a if complete else F.when(b.isNotNull(), a)
     right = b if complete else F.when(a.isNotNull(), b)
     scale = null_if_zero(F.stddev_pop(left) * F.stddev_pop(right))
-    return F.coalesce(F.covar_pop(a, b) / scale, F.lit(0.0))
+    r = F.covar_pop(a, b) / scale
+    # Rounding can carry a perfect correlation past 1; least and greatest would skip an undefined one.
+    return F.coalesce(clamp(r, F.lit(-1.0), F.lit(1.0)), F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -25,6 +25,15 @@ def parse_attempts(text: Column) -> list[Column]:
     return [iso] + [F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS]
 
 
-def parse_timestamp(value: Column) -> Column:
-    """First layout that fits; NULL if none does."""
-    return F.coalesce(*parse_attempts(value.cast("string")))
+def best_layout(text: Column) -> Column:
+    """As an aggregate: the layout that reads most values, of equals the one preferred."""
+    counts = F.array(*[F.count(attempt) for attempt in parse_attempts(text)])
+    return F.array_position(counts, F.array_max(counts)) - 1
+
+
+def parse_by_layout(text: Column, layout: Column) -> Column:
+    """Only this layout is tried, so days and months are never mixed up; NULL if it does not fit."""
+    value = F.lit(None).cast("timestamp")
+    for number, attempt in enumerate(parse_attempts(text)):
+        value = F.when(layout == number, attempt).otherwise(value)
+    return value

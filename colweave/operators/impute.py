@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.functions.stats import is_numeric
+from colweave.functions.stats import is_numeric, join_station
 from colweave.operators.ordered import fill_both_ways, interpolate_in_time
 from colweave.operators.quantiles import medians, value_modes
 from colweave.session import GROUP_ROW_LIMIT, materialise, ready_workers
@@ -40,13 +40,13 @@ def impute_median_mode(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LI
     out = df
     if numbers:
         fills = materialise(medians(df, numbers, limit).select("station", *[F.col(c).alias(f"_m_{c}") for c in numbers]))
-        out = out.join(fills, "station").withColumns(
+        out = join_station(out, fills).withColumns(
             {c: F.coalesce(F.col(c).cast("double"), f"_m_{c}") for c in numbers}).drop(*[f"_m_{c}" for c in numbers])
     if texts:
         modes = value_modes(df, texts).groupBy("station").agg(*[
             F.coalesce(F.max(F.when(F.col("column") == c, F.col("value"))), F.lit(MISSING_TEXT)).alias(f"_m_{c}")
             for c in texts])
-        out = out.join(materialise(modes), "station").withColumns(
+        out = join_station(out, materialise(modes)).withColumns(
             {c: F.coalesce(c, f"_m_{c}") for c in texts}).drop(*[f"_m_{c}" for c in texts])
     return out.select(*df.columns)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colweave.functions.stats import is_numeric, null_if_zero
+from colweave.functions.stats import is_numeric, join_station, null_if_zero
 from colweave.operators.quantiles import exact_percentiles
 from colweave.session import GROUP_ROW_LIMIT, materialise
 
@@ -108,7 +108,7 @@ def iqr_outliers(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -
     """Values outside the quartile fences; none where the quartiles coincide."""
     q = materialise(exact_percentiles(df, cols, [0.25, 0.75], limit).select(
         "station", *[F.col(c).alias(f"{c}__q") for c in cols]))
-    rows = df.select("station", *cols).join(q, "station")
+    rows = join_station(df.select("station", *cols), q)
     aggs = []
     for i, c in enumerate(cols):
         q1, q3 = F.col(f"{c}__q")[0], F.col(f"{c}__q")[1]
@@ -124,7 +124,7 @@ def zscore_outliers(df: DataFrame, cols: list[str]) -> DataFrame:
     """Values more than three sample deviations from the mean."""
     stats = materialise(df.groupBy("station").agg(*[
         agg for c in cols for agg in (F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s"))]))
-    rows = df.select("station", *cols).join(stats, "station")
+    rows = join_station(df.select("station", *cols), stats)
     aggs = []
     for i, c in enumerate(cols):
         mean, std = F.col(f"{c}__m"), F.col(f"{c}__s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.functions.stats import null_if_zero
+from colweave.functions.stats import join_station, null_if_zero
 from colweave.session import materialise
 
 
@@ -27,7 +27,7 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
     if not cols:
         return df
     stats = materialise(scaling_stats(df, cols))
-    joined = df.join(stats, "station")
+    joined = join_station(df, stats)
     scaled = {
         c: (F.col(c) - F.col(f"{c}__mean")) / F.coalesce(null_if_zero(F.col(f"{c}__std")), F.lit(1.0))
         for c in cols

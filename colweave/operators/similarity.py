@@ -3,6 +3,7 @@
 Narrow tables use one wide aggregate (no explode, partial aggregation before
 the only shuffle).  Wide tables multiply Arrow blocks inside the scan tasks and
 add up N x N partial sums, so the data itself is never shuffled either way.
+Both forms take NaN as missing and a NULL station as a station.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colweave.functions.stats import cosine, null_if_zero, pearson
+from colweave.functions.stats import cosine, join_station, normalise_nan, null_if_zero, pearson
 from colweave.session import materialise, ready_workers
 
 # Columns up to which one aggregate with N(N-1)/2 expressions stays in codegen.
@@ -36,7 +37,7 @@ def _wide_pairs(df: DataFrame, cols: list[str], expr, diagonal: bool) -> DataFra
     index = [(i, j) for i, j in combinations(range(len(cols)), 2)]
     if diagonal:
         index += [(i, i) for i in range(len(cols))]
-    wide = df.groupBy("station").agg(
+    wide = normalise_nan(df.select("station", *cols)).groupBy("station").agg(
         *[expr(F.col(cols[i]), F.col(cols[j])).alias(f"p{i}_{j}") for i, j in index])
     cells = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(cols[i]).alias("source"),
@@ -69,7 +70,7 @@ def _block_sums(n_cols: int):
                 continue
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(batch.num_rows, n_cols)
-            codes = batch.column(0).dictionary_encode()
+            codes = batch.column(0).dictionary_encode(null_encoding="encode")
             keys = codes.dictionary.to_pylist()
             order = np.argsort(codes.indices.to_numpy(), kind="stable")
             bounds = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(keys) + 1))
@@ -96,9 +97,10 @@ def pair_sums(df: DataFrame, cols: list[str], centred: bool = False) -> DataFram
     station's column means are subtracted first so large offsets do not cancel;
     correlation does not change under that shift.
     """
+    df = normalise_nan(df.select("station", *cols))
     if not centred:
         means = materialise(df.groupBy("station").agg(*[F.avg(c).alias(f"{c}__m") for c in cols]))
-        df = df.join(means, "station")
+        df = join_station(df, means)
         values = [F.col(c) - F.col(f"{c}__m") for c in cols]
     else:
         values = [F.col(c).cast("double") for c in cols]
@@ -148,10 +150,12 @@ def cosine_pairs(df: DataFrame, cols: list[str], wide_limit: int = WIDE_LIMIT) -
         return _wide_pairs(df, cols, cosine, diagonal=False).withColumnRenamed("value", "r")
     grams = gram_matrix(df, cols, wide_limit)
     diag = grams.where("i = j").select("station", F.col("i").alias("d"), F.col("g").alias("sq"))
-    left = diag.select("station", F.col("d").alias("i"), F.col("sq").alias("sq_i"))
-    right = diag.select("station", F.col("d").alias("j"), F.col("sq").alias("sq_j"))
+    left = diag.select(F.col("station").alias("station_i"), F.col("d").alias("d_i"), F.col("sq").alias("sq_i"))
+    right = diag.select(F.col("station").alias("station_j"), F.col("d").alias("d_j"), F.col("sq").alias("sq_j"))
+    of_i = F.col("station").eqNullSafe(F.col("station_i")) & (F.col("i") == F.col("d_i"))
+    of_j = F.col("station").eqNullSafe(F.col("station_j")) & (F.col("j") == F.col("d_j"))
     value = F.col("g") / null_if_zero(F.sqrt("sq_i") * F.sqrt("sq_j"))
-    return (grams.where("i < j").join(left, ["station", "i"]).join(right, ["station", "j"])
+    return (grams.where("i < j").join(left, of_i).join(right, of_j)
             .select("station", "i", "j", "source", "target", F.coalesce(value, F.lit(0.0)).alias("r")))
 
 

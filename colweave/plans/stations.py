@@ -18,7 +18,7 @@ from colweave.functions.stats import is_float, is_numeric, normalise_nan
 from colweave.operators import (centrality, clean, embed, graphs, iforest, impute, learned, metrics, outliers, profile,
                                 quality, reports, roles, scale, similarity)
 from colweave.session import GROUP_ROW_LIMIT, materialise
-from colweave.sources.discovery import as_timestamp, in_time_order, load_stations
+from colweave.sources.discovery import in_time_order, load_stations, with_times
 
 UNNAMED = "(none)"
 IMPUTED_ROLES = (roles.NUMERIC, roles.CATEGORICAL, roles.UNKNOWN)
@@ -111,7 +111,10 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
         drops = materialise(drops.unionByName(constant))
         numbers = [c for c in left if c in numbers]
 
-    rows, strategies = _impute(rows, left, found, drops, kept_rows, cfg, limit)
+    rows, strategies, unordered = _impute(rows, left, found, drops, kept_rows, cfg, limit)
+    failures = materialise(failures.unionByName(unordered))
+    found, kept_rows, stations = (t.join(unordered.select("station"), "station", "left_anti")
+                                  for t in (found, kept_rows, stations))
 
     redundant = None
     if len(numbers) > 1:
@@ -153,41 +156,47 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
 
 
 def _impute(rows: DataFrame, left: list[str], found: DataFrame, drops: DataFrame, kept_rows: DataFrame,
-            cfg: Settings, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Impute the eligible columns of every station; also which strategy each station used."""
+            cfg: Settings, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Impute the eligible columns of every station.
+
+    Also which strategy each station used, and the stations to be interpolated that
+    lack a time in some row: these fail alone and their rows go.
+    """
+    no_failures = rows.sparkSession.createDataFrame([], "station string, status string, reason string")
     eligible = (found.where(F.col("role").isin(*IMPUTED_ROLES)).select("station", "column")
                 .where(F.col("column").isin(left))
                 .join(drops.select("station", "column"), ["station", "column"], "left_anti"))
     gaps = rows.groupBy("station").agg(*[F.max(F.col(c).isNull()).alias(c) for c in left]) if left else None
     if gaps is None:
-        return rows, kept_rows.select("station", F.lit(None).cast("string").alias("strategy"))
+        return rows, kept_rows.select("station", F.lit(None).cast("string").alias("strategy")), no_failures
     gappy = gaps.select("station", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("gap")) for c in left]))).where("gap")
     eligible = materialise(eligible.join(gappy.select("station", "column"), ["station", "column"], "left_semi"))
     wanted = [r["column"] for r in eligible.select("column").distinct().collect()]
     targets = [c for c in left if c in wanted]
     if not targets:
-        return rows, kept_rows.select("station", F.lit(None).cast("string").alias("strategy"))
+        return rows, kept_rows.select("station", F.lit(None).cast("string").alias("strategy")), no_failures
     # The time to interpolate over is the first column with that role.
     clock = found.where(F.col("role") == roles.TIMESTAMP).groupBy("station").agg(
-        F.min_by("column", "idx").alias("_clock"))
+        F.min_by("column", "idx").alias("_time"))
     facts = (kept_rows.join(eligible.select("station").distinct(), "station", "left_semi")
-             .join(clock, "station", "left").withColumn("has_timestamp", F.col("_clock").isNotNull()))
+             .join(clock, "station", "left").withColumn("has_timestamp", F.col("_time").isNotNull()))
     strategies = materialise(impute.choose_strategy(facts, cfg.missing_impute_strategy))
-    blocked = strategies.where("strategy = 'interpolate' and not has_timestamp").limit(1).count()
-    if blocked:
-        raise ValueError("Interpolation requires a timestamp column to ensure sorted, regular time index.")
-    times = F.lit(None).cast("timestamp")
-    for c in [r["_clock"] for r in strategies.select("_clock").where("_clock is not null").distinct().collect()]:
-        if c in rows.columns:
-            times = F.when(F.col("_clock") == c, as_timestamp(rows, c)).otherwise(times)
-    timed = rows.join(strategies.select("station", "_clock"), "station", "left").withColumn("_impute_ts", times).drop("_clock")
+    timed = with_times(rows, strategies.select("station", "_time"), "_impute_ts")
+    failed = materialise(
+        timed.where("_impute_ts is null").join(strategies.where("strategy = 'interpolate'"), "station", "left_semi")
+        .groupBy("station").agg(F.first("_time").alias("_time")).select(
+            "station", F.lit("Failed").alias("status"),
+            F.coalesce(F.concat(F.lit("Not every row has a time in '"), "_time", F.lit("' to interpolate over.")),
+                       F.lit("No time column to interpolate over.")).alias("reason")))
+    timed = timed.drop("_time").join(failed.select("station"), "station", "left_anti")
+    strategies = materialise(strategies.join(failed.select("station"), "station", "left_anti"))
     idle = timed.join(strategies.select("station"), "station", "left_anti").drop("_impute_ts")
     busy = timed.join(strategies.select("station"), "station", "left_semi")
     done = where_flagged(busy, targets, eligible,
                          lambda shown: impute.impute(shown, targets, strategies, "_impute_ts", limit)).drop("_impute_ts")
     idle = idle.select(*[F.col(c).cast(done.schema[c].dataType).alias(c) for c in done.columns])
-    return materialise(done.unionByName(idle)), strategies.select("station", "strategy")
+    return materialise(done.unionByName(idle)), strategies.select("station", "strategy"), failed
 
 
 def _treat(rows: DataFrame, cols: list[str], features: DataFrame, cfg: Settings,

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import is_numeric
 from colweave.operators.roles import likely_timestamp
-from colweave.functions.timeparse import parse_timestamp
+from colweave.functions.timeparse import best_layout, parse_by_layout
 from colweave.session import materialise, ready_workers
 
 # Supported file endings and their separators.
 TEXT_SEPARATORS = {"csv": ",", "tsv": "\t"}
 PARQUET_ENDINGS = ("parquet", "pq")
+# Fixed list of words that stand for a missing value in a text file.
+MISSING_WORDS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 ROOT_STATION = "root_station"
 # Column names the operators use themselves; a file's column of that name gets a trailing underscore.
 RESERVED = ("station", "row_id")
@@ -101,6 +104,7 @@ def read_files(spark: SparkSession, ext: str, paths: list[str]) -> DataFrame:
     if ext in TEXT_SEPARATORS:
         # A doubled quote inside quotes is one quote.
         df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"')
+        df = _without_missing_words(df)
     else:
         df = spark.read.parquet(*paths)
     renamed = [F.col(f"`{c}`").alias(f"{c}_" if c in RESERVED else c) for c in df.columns]
@@ -111,6 +115,19 @@ def read_files(spark: SparkSession, ext: str, paths: list[str]) -> DataFrame:
         *renamed)
 
 
+def _without_missing_words(df: DataFrame) -> DataFrame:
+    """Text columns with words for missing values as NULL; those that hold numbers besides become double."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    if not texts:
+        return df
+    known = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in texts}
+    # Two counts a column, whatever the number of rows.
+    counts = df.agg(*[count for i, c in enumerate(texts) for count in (
+        F.count(known[c]).alias(f"known_{i}"), F.count(known[c].try_cast("double")).alias(f"numbers_{i}"))]).first()
+    numbers = {c for i, c in enumerate(texts) if 0 < counts[f"known_{i}"] == counts[f"numbers_{i}"]}
+    return df.withColumns({c: known[c].try_cast("double") if c in numbers else known[c] for c in texts})
+
+
 def _aligned(parts: list[DataFrame]) -> DataFrame:
     """Union by name; a column whose type differs becomes double if numeric, else text."""
     first = parts[0]
@@ -157,12 +174,12 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
         F.countDistinct(F.when(F.col("rows") > 0, F.col("signature"))).alias("schemas")))
     failures = judged.where("rows = 0 or schemas > 1").select(
         "station", F.lit("Failed").alias("status"),
-        F.when(F.col("rows") == 0, "No data loaded.")
-        .otherwise("Schema drift detected. Columns do not match preceding files.").alias("reason"))
+        F.when(F.col("rows") == 0, "No file has a row.")
+        .otherwise("The files of the station differ in their columns.").alias("reason"))
     if strict:
         bad = failures.orderBy("station").limit(1).collect()
         if bad:
-            kind = EmptyStation if bad[0]["reason"].startswith("No data") else SchemaDrift
+            kind = EmptyStation if bad[0]["reason"].startswith("No file") else SchemaDrift
             raise kind(f"{bad[0]['station']}: {bad[0]['reason']}")
     good = judged.where("rows > 0 and schemas = 1").select("station")
     owner = materialise(inventory.where("rows > 0").join(good, "station", "left_semi")
@@ -187,24 +204,42 @@ def in_time_order(df: DataFrame, cols: list[str], preferred: str | None = None,
     """
     order = order or ["row_id"]
     found = materialise(likely_timestamp(df, cols, order, preferred).select("station", F.col("column").alias("_time")))
-    names = [r["_time"] for r in found.select("_time").distinct().collect()]
-    joined = df.join(found, "station", "left")
-    value = F.lit(None).cast("timestamp")
-    for name in names:
-        value = F.when(F.col("_time") == name, as_timestamp(df, name)).otherwise(value)
-    dated = joined.withColumn("_order_ts", value)
+    dated = with_times(df, found, "_order_ts")
     invalid = (dated.where("_time is not null and _order_ts is null").groupBy("station")
                .agg(F.first("_time").alias("_time")).select(
                    "station", F.lit("Failed").alias("status"),
-                   F.concat(F.lit("Invalid dates in timestamp column '"), "_time", F.lit("'.")).alias("reason")))
+                   F.concat(F.lit("Some values are no times in column '"), "_time", F.lit("'.")).alias("reason")))
     return dated.drop("_time"), invalid
 
 
+def with_times(df: DataFrame, chosen: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``, the time in the column that ``chosen(station, _time)`` names, and that name.
+
+    Text is read by one layout per station, the one that fits most of its values;
+    values it does not fit are NULL, like the rows of stations without a time column.
+    """
+    names = [r["_time"] for r in chosen.select("_time").distinct().collect() if r["_time"] in df.columns]
+    joined = df.join(chosen, "station", "left")
+    texts = [name for name in names if df.schema[name].dataType.simpleString() == "string"]
+    shown = F.lit(None).cast("string")
+    for name in texts:
+        shown = F.when(F.col("_time") == name, F.col(f"`{name}`")).otherwise(shown)
+    joined = joined.withColumn("_time_text", shown)
+    value = F.lit(None).cast("timestamp")
+    if texts:
+        layouts = materialise(joined.where("_time_text is not null").groupBy("station").agg(
+            best_layout(F.col("_time_text")).alias("_time_layout")))
+        joined = joined.join(layouts, "station", "left")
+        value = parse_by_layout(F.col("_time_text"), F.col("_time_layout"))
+    for name in names:
+        if name not in texts:
+            value = F.when(F.col("_time") == name, as_timestamp(df, name)).otherwise(value)
+    return joined.withColumn(out, value).drop("_time_text", "_time_layout")
+
+
 def as_timestamp(df: DataFrame, name: str):
-    """A column as UTC time: text is parsed, whole numbers are nanoseconds since 1970."""
+    """A column that is no text as UTC time: whole numbers are nanoseconds since 1970."""
     kind = df.schema[name].dataType
     if is_numeric(kind):
         return F.timestamp_micros(F.floor(F.col(f"`{name}`") / 1000).cast("long"))
-    if kind.simpleString() == "string":
-        return parse_timestamp(F.col(f"`{name}`"))
     return F.col(f"`{name}`").cast("timestamp")

@@ -273,3 +273,23 @@ def test_power_iterations_by_joins(random_graphs):
         rows = run(nodes.where(keep), ordered).orderBy("idx").toPandas()[name]
         joins = run(nodes.where(keep), ordered, row_links=0).orderBy("idx").toPandas()[name]
         assert np.allclose(rows, joins, atol=1e-12)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_both_forms_agree_on_missing(spark, rows, offset):
+    nan = float("nan")
+    values = [(1.0, 2.0, 5.0), (2.0, nan, 1.0), (3.0, 7.0, None), (4.0, 6.0, 2.0), (nan, 1.0, 8.0), (6.0, 9.0, 4.0)]
+    df = spark.createDataFrame([(s, *[v if v is None else v + offset for v in r]) for s in ("s", None) for r in values],
+                               "station string, a double, b double, c double")
+    cols = ["a", "b", "c"]
+    for find, name in ((similarity.pearson_pairs, "r"), (similarity.gram_matrix, "g"), (similarity.cosine_pairs, "r")):
+        got = {limit: {(r["station"], r["i"], r["j"]): r[name] for r in find(df, cols, wide_limit=limit).collect()}
+               for limit in (12, 0)}
+        assert got[12].keys() == got[0].keys() and {k[0] for k in got[0]} == {"s", None}
+        assert all(v == v for v in got[12].values())
+        if find is similarity.pearson_pairs or offset == 0.0:
+            assert got[0] == pytest.approx(got[12], abs=1e-9)
+    both = [(r[0], r[1]) for r in values if r[0] == r[0] and r[1] == r[1]]
+    want = np.corrcoef(np.array(both).T)[0, 1]
+    found = {(r["station"], r["i"], r["j"]): r["r"] for r in similarity.pearson_pairs(df, cols, wide_limit=0).collect()}
+    assert found[(None, 0, 1)] == pytest.approx(want, abs=1e-9)

@@ -13,14 +13,14 @@ def write(folder, name, text):
 
 @pytest.fixture
 def folder(tmp_path):
-    write(tmp_path / "Station A", "one.csv", "timestamp,value\n2026-06-02,2.5\n2026-06-01,1.5\n")
-    write(tmp_path / "Station A" / "deep", "two.csv", "value,timestamp\n3.5,2026-06-03\n")
-    write(tmp_path / "Station A", "empty.csv", "timestamp,value\n")
-    write(tmp_path / "Station A", "notes.txt", "not data")
-    (tmp_path / "Station_B").mkdir()
-    pd.DataFrame({"timestamp": ["2026-06-01"], "temp": [20.0]}).to_parquet(tmp_path / "Station_B" / "b.parquet")
-    write(tmp_path / "Drift", "a.csv", "time,val_a\n2026-06-01,1.0\n")
-    write(tmp_path / "Drift", "b.csv", "time,val_b\n2026-06-01,1.0\n")
+    write(tmp_path / "Mill A", "one.csv", "timestamp,value\n2031-03-12,2.5\n2031-03-11,1.5\n")
+    write(tmp_path / "Mill A" / "deep", "two.csv", "value,timestamp\n3.5,2031-03-13\n")
+    write(tmp_path / "Mill A", "empty.csv", "timestamp,value\n")
+    write(tmp_path / "Mill A", "notes.txt", "not data")
+    (tmp_path / "Quay 7").mkdir()
+    pd.DataFrame({"timestamp": ["2031-03-11"], "depth": [20.0]}).to_parquet(tmp_path / "Quay 7" / "b.parquet")
+    write(tmp_path / "Drift", "a.csv", "time,flow\n2031-03-11,1.0\n")
+    write(tmp_path / "Drift", "b.csv", "time,level\n2031-03-11,1.0\n")
     write(tmp_path / "Hollow", "h.tsv", "time\tv\n")
     write(tmp_path / "Tabs", "t.tsv", "timestamp\tvalue\n2026-01-01\t7\n")
     write(tmp_path, "stray.csv", "x\n1\n")
@@ -30,8 +30,8 @@ def folder(tmp_path):
 def test_discovery(spark, folder, rows):
     found = discovery.discover_stations(spark, str(folder))
     assert rows(found, "station", "file_name") == [
-        ("Drift", "a.csv"), ("Drift", "b.csv"), ("Hollow", "h.tsv"), ("Station A", "empty.csv"),
-        ("Station A", "one.csv"), ("Station A", "two.csv"), ("Station_B", "b.parquet"), ("Tabs", "t.tsv")]
+        ("Drift", "a.csv"), ("Drift", "b.csv"), ("Hollow", "h.tsv"), ("Mill A", "empty.csv"),
+        ("Mill A", "one.csv"), ("Mill A", "two.csv"), ("Quay 7", "b.parquet"), ("Tabs", "t.tsv")]
 
 
 def test_root_station(spark, tmp_path, rows):
@@ -42,13 +42,13 @@ def test_root_station(spark, tmp_path, rows):
 def test_loading(spark, folder, rows):
     loaded = discovery.load_stations(spark, str(folder))
     assert rows(loaded.failures, "station", "reason") == [
-        ("Drift", "Schema drift detected. Columns do not match preceding files."), ("Hollow", "No data loaded.")]
-    assert ("Station A", "empty.csv", 0, 2) in rows(loaded.inventory, "station", "file_name", "rows", "cols")
+        ("Drift", "The files of the station differ in their columns."), ("Hollow", "No file has a row.")]
+    assert ("Mill A", "empty.csv", 0, 2) in rows(loaded.inventory, "station", "file_name", "rows", "cols")
     tables = {tuple(sorted(cols)): df for cols, df in loaded.tables}
     # A tab file with the same columns shares the table, although it was read on its own.
     values = rows(tables[("timestamp", "value")], "station", "value")
-    assert values == [("Station A", 1.5), ("Station A", 2.5), ("Station A", 3.5), ("Tabs", 7.0)]
-    assert rows(tables[("temp", "timestamp")], "station", "temp") == [("Station_B", 20.0)]
+    assert values == [("Mill A", 1.5), ("Mill A", 2.5), ("Mill A", 3.5), ("Tabs", 7.0)]
+    assert rows(tables[("depth", "timestamp")], "station", "depth") == [("Quay 7", 20.0)]
 
 
 def test_strict_loading(spark, folder):
@@ -71,11 +71,11 @@ def test_reserved_names(spark, tmp_path):
 
 def test_time_order(spark, rows):
     df = spark.createDataFrame([
-        ("a", 1, "2026-06-02", 1.0), ("a", 2, "2026-06-01", 2.0), ("b", 1, "2026-06-01", 1.0),
-        ("b", 2, "2026-06-02", 2.0), ("b", 3, "2026-06-03", 2.0), ("b", 4, "2026-06-04", 2.0),
+        ("a", 1, "2031-03-12", 1.0), ("a", 2, "2031-03-11", 2.0), ("b", 1, "2031-03-11", 1.0),
+        ("b", 2, "2031-03-12", 2.0), ("b", 3, "2031-03-13", 2.0), ("b", 4, "2031-03-14", 2.0),
         ("b", 5, "no date", 2.0)], "station string, row_id long, time string, v double")
     dated, invalid = discovery.in_time_order(df, ["time", "v"])
-    assert rows(invalid, "station", "reason") == [("b", "Invalid dates in timestamp column 'time'.")]
+    assert rows(invalid, "station", "reason") == [("b", "Some values are no times in column 'time'.")]
     first = dated.where("station = 'a'").orderBy("_order_ts").first()
     assert first["row_id"] == 2
 
@@ -129,3 +129,24 @@ def test_long_header_and_doubled_quotes(spark, tmp_path):
     (tmp_path / "Quotes" / "q.csv").write_text('note,value\n"say ""hi"", now",1.5\n')
     got = discovery.read_files(spark, "csv", [str(tmp_path / "Quotes" / "q.csv")]).select("note", "value").first()
     assert tuple(got) == ('say "hi", now', 1.5)
+
+
+def test_missing_words(spark, tmp_path, rows):
+    path = tmp_path / "m.csv"
+    path.write_text("v,note,empty\n1.5,NA,n/a\nNA,yes,NULL\n2,null,NA\n")
+    got = discovery.read_files(spark, "csv", [str(path)]).select("v", "note", "empty")
+    assert dict(got.dtypes) == {"v": "double", "note": "string", "empty": "string"}
+    assert rows(got) == [(1.5, None, None), (2.0, None, None), (None, "yes", None)]
+
+
+def test_one_layout_per_station(spark, rows):
+    df = spark.createDataFrame(
+        [("day", i, t, 1.0) for i, t in enumerate(["13/01/2024", "03/02/2024", "22/02/2024"])]
+        + [("month", i, t, 1.0) for i, t in enumerate(["01/13/2024", "02/03/2024", "02/22/2024"])]
+        + [("mixed", i, t, 1.0) for i, t in enumerate(["13/01/2024", "14/01/2024", "15/01/2024", "16/01/2024", "2024-01-17"])],
+        "station string, row_id int, time string, v double")
+    dated, invalid = discovery.in_time_order(df, ["time", "v"])
+    got = rows(dated.selectExpr("station", "cast(cast(_order_ts AS date) AS string) day"))
+    assert [d for s, d in got if s == "day"] == ["2024-01-13", "2024-02-03", "2024-02-22"]
+    assert [d for s, d in got if s == "month"] == ["2024-01-13", "2024-02-03", "2024-02-22"]
+    assert rows(invalid, "station") == [("mixed",)]

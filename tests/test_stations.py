@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from colweave import Settings
+from colweave.operators import similarity
+from colweave.plans import stations
 from colweave.plans.stations import run_folder, save_run
 
 
@@ -32,7 +34,7 @@ def folder(tmp_path_factory):
 def test_whole_folder(spark, folder, rows, tmp_path):
     runs, failures = run_folder(spark, str(folder), Settings(redundant_correlation_threshold=0.999, top_k_neighbors=1))
     reasons = dict(rows(failures, "station", "reason"))
-    assert reasons == {"void": "No data loaded.", "thin": "Insufficient features (1) to build graph."}
+    assert reasons == {"void": "No file has a row.", "thin": "Insufficient features (1) to build graph."}
     run = next(r for r in runs if "heat" in r.cleaned.columns)
     drops = {(r["station"], r["column"]): r["reason"] for r in run.drops.collect()}
     assert drops[("alpha", "sparse")].startswith("Excessive missingness")
@@ -72,3 +74,17 @@ def test_forest_and_kept_duplicates(spark, folder):
     assert clean["alpha"]["dropped_rows"] == 0 and clean["alpha"]["imputation_strategy"] == "median"
     assert run.outliers.count() == 2
     assert run.cleaned.where("station = 'alpha'").count() == 61
+
+
+def test_interpolation_without_a_time_fails_one_station(spark, rows):
+    data = [(s, i, None if s == "bad" and i == 3 else f"2026-01-{i + 1:02d}", None if i == 4 else float(i * i))
+            for s in ("bad", "good") for i in range(8)]
+    df = spark.createDataFrame(data, "station string, row_id int, seen string, a double")
+    found = spark.createDataFrame([(s, *r) for s in ("bad", "good") for r in (("seen", 0, "Timestamp"), ("a", 1, "Numeric Feature"))],
+                                  "station string, column string, idx int, role string")
+    drops = spark.createDataFrame([], "station string, column string, reason string")
+    out, used, failed = stations._impute(df, ["seen", "a"], found, drops, similarity.row_counts(df),
+                                         Settings(missing_impute_strategy="interpolate"), 1000)
+    assert rows(failed, "station", "status") == [("bad", "Failed")]
+    assert rows(used) == [("good", "interpolate")]
+    assert rows(out.where("row_id = 4"), "station", "a") == [("good", 17.0)] and out.count() == 8
