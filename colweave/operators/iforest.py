@@ -7,12 +7,13 @@ rows, and all rows are scored in parallel.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from colweave.functions.stats import clamp
 from colweave.operators.quantiles import exact_percentiles
@@ -22,8 +23,8 @@ TREES = 100
 TREE_ROWS = 256
 DEPTH = math.ceil(math.log2(TREE_ROWS))
 ANOMALY_SCORE = 0.5
-# Rows from which the trees of one station draw.
-POOL_ROWS = 40_000
+# Rows offered to every tree, so that it finds its 256 whatever the hash gives.
+OFFERED_ROWS = TREE_ROWS + 10 * math.isqrt(TREE_ROWS)
 # Tree nodes that may be sent to every task; beyond, rows meet their forest by key.
 BROADCAST_NODES = 600_000
 # Rows of one scoring group in that case.
@@ -51,19 +52,18 @@ def _value(c: str):
 
 
 def _samples(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
-    """``(station, tree, x)``: up to 256 rows for every tree, chosen by hash."""
+    """``(station, tree, x)``: up to 256 rows for every tree, drawn by hash from all rows of the station."""
     counts = materialise(df.groupBy("station").agg(F.count(F.lit(1)).alias("_n")))
-    rows = df.select("station", "row_id", F.array(*[_value(c) for c in cols]).alias("x"))
-    pool = rows.join(counts, "station").where(
-        _unit(F.col("row_id"), F.lit(seed)) < POOL_ROWS / F.col("_n"))
-    size = F.least(F.col("_n"), F.lit(POOL_ROWS))
-    # A row of a small pool meets every tree; otherwise a few drawn ones, enough
-    # to offer each tree more rows than it takes.
-    draws = F.ceil(TREES * (TREE_ROWS + 10.0 * TREE_ROWS ** 0.5) / size).cast("int")
-    trees = F.when(size <= 4 * TREE_ROWS, F.sequence(F.lit(0), F.lit(TREES - 1))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), draws), lambda j: F.pmod(
-            F.xxhash64(F.col("row_id"), j, F.lit(seed + 1)), F.lit(TREES)).cast("int"))))
-    dealt = pool.withColumn("tree", F.explode(trees)).withColumn(
+    rows = df.select("station", "row_id", F.array(*[_value(c) for c in cols]).alias("x")).join(counts, "station")
+    # A row of a small station meets every tree.  Otherwise it has a few slots, mostly one, and
+    # each slot leads to some tree with the chance that offers every tree enough rows.
+    slots = F.ceil(TREES * OFFERED_ROWS / F.col("_n")).cast("int")
+    chance = TREES * OFFERED_ROWS / (F.col("_n") * slots)
+    drawn = F.transform(
+        F.filter(F.sequence(F.lit(1), slots), lambda j: _unit(F.col("row_id"), j, F.lit(seed)) < chance),
+        lambda j: F.pmod(F.xxhash64(F.col("row_id"), j, F.lit(seed + 1)), F.lit(TREES)).cast("int"))
+    trees = F.when(F.col("_n") <= 4 * TREE_ROWS, F.sequence(F.lit(0), F.lit(TREES - 1))).otherwise(F.array_distinct(drawn))
+    dealt = rows.withColumn("tree", F.explode(trees)).withColumn(
         "_u", _unit(F.col("row_id"), F.col("tree"), F.lit(seed + 2)))
     rank = Window.partitionBy("station", "tree").orderBy("_u", "row_id")
     return (dealt.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= TREE_ROWS)
@@ -132,56 +132,72 @@ def _scores(x: np.ndarray, trees: tuple) -> np.ndarray:
     return np.power(2.0, -length[at].mean(axis=1) / scale)
 
 
-def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
-                   broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """``(station, row_id, score)``; scores above 0.5 are outliers."""
+def with_scores(df: DataFrame, cols: list[str], forest: DataFrame,
+                broadcast_nodes: int = BROADCAST_NODES, out: str = "_score") -> DataFrame:
+    """``df`` with the anomaly score of each row; scores above 0.5 are outliers.
+
+    A forest of up to ``broadcast_nodes`` nodes is sent to every task and rows stay
+    where they are; beyond, rows and their station's trees meet by (station, part).
+    A station without trees scores 0.0.
+    """
     forest = materialise(ready_workers(forest))
-    names = [f"x{i}" for i in range(len(cols))]
-    row_type = df.schema["row_id"].dataType.simpleString()
-    schema = f"station string, row_id {row_type}, score double"
-    rows = df.select("station", "row_id", *[_value(c).alias(n) for c, n in zip(cols, names)])
     if forest.count() <= broadcast_nodes:
         table = {key: _packed(part) for key, part in forest.toPandas().groupby("station")}
         shared = df.sparkSession.sparkContext.broadcast(table)
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = pdf[["station", "row_id"]].copy()
-                out["score"] = 0.0
-                for key, at in pdf.groupby("station").indices.items():
-                    out.iloc[at, 2] = _scores(pdf[names].to_numpy(np.float64)[at], shared.value[key])
-                yield out
-
-        return rows.mapInPandas(score, schema)
+        @F.pandas_udf("double")
+        def score(station: pd.Series, *values: pd.Series) -> pd.Series:
+            x = np.column_stack([v.to_numpy(np.float64) for v in values])
+            scores = np.zeros(len(x))
+            for key, at in station.groupby(station).indices.items():
+                if key in shared.value:
+                    scores[at] = _scores(x[at], shared.value[key])
+            return pd.Series(scores)
+
+        return df.withColumn(out, score("station", *[_value(c) for c in cols]))
+    names = [f"_x{i}" for i in range(len(cols))]
     parts = materialise(df.groupBy("station").agg(
-        F.ceil(F.count(F.lit(1)) / SCORE_ROWS).alias("parts")))
-    dealt = rows.join(parts, "station").withColumn("part", F.pmod(F.xxhash64("row_id"), F.col("parts")))
+        F.ceil(F.count(F.lit(1)) / SCORE_ROWS).alias("_parts")))
+    dealt = df.withColumns({n: _value(c) for c, n in zip(cols, names)}).join(parts, "station").withColumn(
+        "_part", F.pmod(F.xxhash64("row_id"), F.col("_parts"))).select("station", "_part", F.struct(*df.columns).alias("_row"), *names)
     trees = forest.join(parts, "station").select(
-        F.col("station").alias("station"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.col("station").alias("station"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"),
         "tree", "id", "feature", "split", "child", "length", "sampled")
 
-    def score_part(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["station", "row_id"]].copy()
-        out["score"] = _scores(pdf[names].to_numpy(np.float64), _packed(own)) if len(pdf) and len(own) else 0.0
-        return out
+    def score_part(rows: pa.Table, own: pa.Table) -> pa.Table:
+        scores = np.zeros(rows.num_rows)
+        if rows.num_rows and own.num_rows:
+            x = np.column_stack([rows[n].to_numpy() for n in names])
+            scores = _scores(x, _packed(own.to_pandas()))
+        return pa.table({"_row": rows["_row"], out: pa.array(scores)})
 
-    return dealt.groupBy("station", "part").cogroup(trees.groupBy("station", "part")).applyInPandas(score_part, schema)
+    kind = df.select(F.struct(*df.columns).alias("_row")).schema["_row"].dataType
+    scored = dealt.groupBy("station", "_part").cogroup(trees.groupBy("station", "_part")).applyInArrow(
+        score_part, StructType([StructField("_row", kind), StructField(out, DoubleType())]))
+    return scored.select("_row.*", out)
+
+
+def anomaly_scores(df: DataFrame, cols: list[str], forest: DataFrame,
+                   broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """``(station, row_id, score)``; scores above 0.5 are outliers."""
+    return with_scores(df, cols, forest, broadcast_nodes, "score").select("station", "row_id", "score")
 
 
 def treat_by_forest(df: DataFrame, cols: list[str], treatment: str, seed: int = 42,
                     limit: int = GROUP_ROW_LIMIT, broadcast_nodes: int = BROADCAST_NODES) -> tuple[DataFrame, DataFrame]:
     """Clip flagged rows to each column's 1st and 99th percentile.
 
-    Returns the table and ``(station, outliers)``.
+    Returns the table and ``(station, outliers)``.  Rows are scored where they
+    stand and written once; only the percentiles, one row per station, join them.
     """
-    flags = materialise(anomaly_scores(df, cols, grow_forest(df, cols, seed), broadcast_nodes)
-                        .select("station", "row_id", (F.col("score") > ANOMALY_SCORE).alias("_out")))
-    found = flags.groupBy("station").agg(F.count(F.when(F.col("_out"), 1)).alias("outliers"))
+    scored = with_scores(df, cols, grow_forest(df, cols, seed), broadcast_nodes)
+    flagged = materialise(scored.withColumn("_out", F.col("_score") > ANOMALY_SCORE).drop("_score"))
+    found = flagged.groupBy("station").agg(F.count(F.when(F.col("_out"), 1)).alias("outliers"))
     if treatment == "none":
         return df, found
     tails = materialise(exact_percentiles(df, cols, [0.01, 0.99], limit).select(
         "station", *[F.col(c).alias(f"_q_{c}") for c in cols]))
-    marked = df.join(flags.where("_out"), ["station", "row_id"], "left").join(tails, "station", "left")
+    marked = flagged.join(tails, "station", "left")
     treated = {c: F.when(F.col("_out"), clamp(F.col(c).cast("double"), F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]))
                .otherwise(F.col(c).cast("double")) for c in cols}
     return marked.withColumns(treated).select(*df.columns), found

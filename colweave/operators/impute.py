@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.stats import is_numeric, join_station
+from colweave.operators.neighbours import impute_knn
 from colweave.operators.ordered import fill_both_ways, interpolate_in_time
 from colweave.operators.quantiles import medians, value_modes
-from colweave.session import GROUP_ROW_LIMIT, materialise, ready_workers
+from colweave.session import GROUP_ROW_LIMIT, materialise
 
-# Stations above this many rows use the median instead of neighbours.
-KNN_ROW_LIMIT = 10_000
-NEIGHBOURS = 5
-# Incomplete rows handled by one task.
-KNN_BLOCK = 512
 MISSING_TEXT = "missing"
 
 
 def choose_strategy(stations: DataFrame, setting: str) -> DataFrame:
-    """``(station, rows, has_timestamp)`` -> the strategy each station uses."""
-    small = F.col("rows") <= KNN_ROW_LIMIT
-    by_size = F.when(small, "knn").otherwise("median")
-    if setting == "auto":
-        chosen = F.when(F.col("has_timestamp") & (F.col("rows") > 5), "interpolate").otherwise(by_size)
-    elif setting == "knn":
-        chosen = by_size
-    else:
-        chosen = F.lit(setting)
+    """``(station, has_timestamp)`` -> the strategy each station uses.
+
+    ``auto`` interpolates where there is a time column and takes the median elsewhere;
+    the number of rows never picks the strategy.
+    """
+    chosen = F.when(F.col("has_timestamp"), "interpolate").otherwise("median") if setting == "auto" else F.lit(setting)
     return stations.withColumn("strategy", chosen)
 
 
@@ -59,85 +50,6 @@ def impute_in_time(df: DataFrame, cols: list[str], ts: str = "ts", limit: int =
     return (fill_both_ways(out, texts, ts, limit) if texts else out).select(*df.columns)
 
 
-def _nearest_fill(n_cols: int, k: int):
-    names = [f"x{i}" for i in range(n_cols)]
-
-    def fill(_key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        out = receivers[["station", "row_id", *names]].copy()
-        if receivers.empty or donors.empty:
-            return out
-        used = [i for i in range(n_cols) if bool(receivers[f"u{i}"].iloc[0])]
-        donors = donors.sort_values("donor", kind="stable")
-        give = donors[[f"d{i}" for i in range(n_cols)]].to_numpy(np.float64)
-        take = receivers[names].to_numpy(np.float64)
-        means = [receivers[f"m{i}"].iloc[0] for i in range(n_cols)]
-        filled = take.copy()
-        for r in range(len(take)):
-            total = np.zeros(len(give))
-            shared = np.zeros(len(give))
-            for i in used:
-                step = (take[r, i] - give[:, i]) ** 2
-                known = ~np.isnan(step)
-                total += np.where(known, step, 0.0)
-                shared += known
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.where(shared > 0, total * (len(used) / shared), np.nan)
-            for i in used:
-                if not np.isnan(take[r, i]):
-                    continue
-                near = np.where(np.isnan(give[:, i]), np.nan, distance)
-                order = np.flatnonzero(~np.isnan(near))
-                if len(order) > k:
-                    reach = np.partition(near[order], k - 1)[k - 1]
-                    order = order[near[order] <= reach]
-                    order = order[np.argsort(near[order], kind="stable")][:k]
-                filled[r, i] = give[order, i].mean() if len(order) else means[i]
-        out[names] = filled
-        return out
-
-    return fill
-
-
-def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS) -> DataFrame:
-    """Mean of the ``k`` nearest rows that have the value, by NaN-aware Euclidean distance.
-
-    Distances use the columns being imputed (those with gaps in the station),
-    scaled by the share of coordinates both rows have; ties go to the lower row
-    id and a row without any usable distance takes the column mean.  Incomplete
-    rows are dealt over blocks and each block meets the station's donors: at most
-    ``KNN_ROW_LIMIT`` rows, as larger stations never choose this strategy.
-    """
-    values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
-    names = [f"x{i}" for i in range(len(cols))]
-    stats = materialise(df.groupBy("station").agg(
-        F.ceil(F.count(F.lit(1)) / KNN_BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("rows"),
-        *[F.max(F.col(c).isNull()).alias(f"u{i}") for i, c in enumerate(cols)],
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]))
-    largest, blocks = stats.agg(F.max("rows"), F.sum("blocks")).first()
-    if (largest or 0) > KNN_ROW_LIMIT:
-        raise ValueError(f"nearest neighbours are for stations of at most {KNN_ROW_LIMIT} rows; use the median")
-    rows = df.select("station", "row_id", *values).join(stats, "station")
-    gap = F.greatest(*[F.col(n).isNull() for n in names])
-    known = F.greatest(*[F.col(n).isNotNull() for n in names])
-    receivers = rows.where(gap).withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
-    donors = (rows.where(known)
-              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-              .select(F.col("station").alias("station"), "block", F.col("row_id").alias("donor"),
-                      *[F.col(n).alias(f"d{i}") for i, n in enumerate(names)]))
-    row_type = df.schema["row_id"].dataType.simpleString()
-    schema = f"station string, row_id {row_type}, " + ", ".join(f"{n} double" for n in names)
-    # A stated partition count keeps small but compute-heavy blocks apart.
-    tasks = max(1, min(int(blocks or 0), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    receivers = receivers.repartition(tasks, "station", "block")
-    donors = donors.repartition(tasks, "station", "block")
-    filled = (ready_workers(receivers).groupBy("station", "block").cogroup(donors.groupBy("station", "block"))
-              .applyInPandas(_nearest_fill(len(cols), k), schema))
-    fixed = filled.select("station", "row_id", *[F.col(n).alias(f"_f_{c}") for n, c in zip(names, cols)])
-    out = df.join(fixed, ["station", "row_id"], "left").withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), f"_f_{c}") for c in cols})
-    return out.select(*df.columns)
-
-
 def impute(df: DataFrame, cols: list[str], strategies: DataFrame, ts: str = "ts",
            limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Impute each station with its own strategy; ``cols`` are the eligible columns."""

@@ -143,8 +143,7 @@ WITH s AS (
   SELECT event_type AS station, count(*) AS rows, true AS has_timestamp FROM events GROUP BY event_type
   UNION ALL SELECT 'docs-' || lang, count(*), false FROM documents GROUP BY lang
   UNION ALL SELECT 'lines-' || l_returnflag, count(*), false FROM lineitem GROUP BY l_returnflag)
-SELECT station, rows, CASE WHEN has_timestamp AND rows > 5 THEN 'interpolate'
-       WHEN rows <= 10000 THEN 'knn' ELSE 'median' END AS strategy FROM s""")
+SELECT station, rows, CASE WHEN has_timestamp THEN 'interpolate' ELSE 'median' END AS strategy FROM s""")
 def imputation_strategy(spark, sf_dir):
     def counted(name, key, prefix, timed):
         return table(spark, sf_dir, name).groupBy(F.concat(F.lit(prefix), F.col(key)).alias("station")).agg(
@@ -253,18 +252,18 @@ def _knn_sql(cols: list[str]) -> str:
 near AS (SELECT * FROM (
   SELECT r.row_id, d.row_id AS donor, ({total}) * ({len(cols)} / nullif({shared}, 0)) AS dist
   FROM user_days r, user_days d
-  WHERE ({gap}) AND (SELECT count(*) FROM user_days) <= 10000) WHERE dist IS NOT NULL),
-size AS (SELECT count(*) AS rows, {", ".join(f"avg({c}) AS m_{c}, median({c}) AS q_{c}" for c in cols)} FROM user_days),
+  WHERE {gap}) WHERE dist IS NOT NULL),
+means AS (SELECT {", ".join(f"avg({c}) AS m_{c}" for c in cols)} FROM user_days),
 {parts}
 SELECT 'users' AS station, u.row_id, """ + ", ".join(
-        f"round(coalesce(u.{c}, CASE WHEN rows <= 10000 THEN coalesce(f_{c}.v, m_{c}) ELSE q_{c} END), 6) + 0.0 AS {c}"
-        for c in cols) + " FROM user_days u CROSS JOIN size " + " ".join(
+        f"round(coalesce(u.{c}, f_{c}.v, m_{c}), 6) + 0.0 AS {c}"
+        for c in cols) + " FROM user_days u CROSS JOIN means " + " ".join(
         f"LEFT JOIN f_{c} ON f_{c}.row_id = u.row_id" for c in cols)
 
 
 @query("knn_imputation", f"WITH {USER_DAYS_SQL}, {_knn_sql(EVENT_COLS)}")
 def knn_imputation(spark, sf_dir):
-    """Neighbour imputation by the size rule: stations above 10,000 rows take the median."""
+    """Neighbour imputation of one station that holds every row."""
     rows = inputs.user_days(spark, sf_dir)
     counts = similarity.row_counts(rows).withColumn("has_timestamp", F.lit(False))
     out = impute.impute(rows, EVENT_COLS, impute.choose_strategy(counts, "knn"))

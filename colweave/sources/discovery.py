@@ -53,12 +53,8 @@ def _scanned_path():
     return _plain(F.url_decode(encoded))
 
 
-def discover_stations(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``(station, path, file_name, ext)``: one station per sub folder, searched in depth.
-
-    Without sub folders the files of the folder itself form ``root_station``.
-    Only names are listed, no content is read.
-    """
+def _listed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Every file below a folder with its station, whatever its kind."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(data_dir).select("path")
     base = data_dir.rstrip("/").split(":", 1)[-1].replace("//", "/")
     inside = F.regexp_extract(_plain(F.col("path")), ".*?" + _escape(base) + "/(.*)$", 1)
@@ -68,8 +64,20 @@ def discover_stations(spark: SparkSession, data_dir: str) -> DataFrame:
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     station = F.element_at(F.split("inside", "/"), 1) if nested else F.lit(ROOT_STATION)
     wanted = files.where(F.col("inside").contains("/")) if nested else files
-    return (wanted.select(station.alias("station"), "path", name.alias("file_name"), ext.alias("ext"))
-            .where(F.col("ext").isin(*TEXT_SEPARATORS, *PARQUET_ENDINGS)))
+    return wanted.select(station.alias("station"), "path", name.alias("file_name"), ext.alias("ext"))
+
+
+def _readable():
+    return F.col("ext").isin(*TEXT_SEPARATORS, *PARQUET_ENDINGS)
+
+
+def discover_stations(spark: SparkSession, data_dir: str) -> DataFrame:
+    """``(station, path, file_name, ext)``: one station per sub folder, searched in depth.
+
+    Without sub folders the files of the folder itself form ``root_station``.
+    Only names are listed, no content is read.
+    """
+    return _listed(spark, data_dir).where(_readable())
 
 
 def _escape(text: str) -> str:
@@ -99,11 +107,23 @@ def with_columns(files: DataFrame) -> DataFrame:
     return ready_workers(files).mapInPandas(_read_headers, schema)
 
 
-def read_files(spark: SparkSession, ext: str, paths: list[str]) -> DataFrame:
-    """Rows of same-schema files, with the file they come from and their place in it."""
+def with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
+    """The text files that hold a record of several lines: some line opens a quote and does not close it."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    found = spark.read.text(paths).where(quotes % 2 == 1).select(_scanned_path().alias("path")).distinct()
+    return {r["path"] for r in found.collect()}
+
+
+def read_files(spark: SparkSession, ext: str, paths: list[str], line_breaks: bool = False) -> DataFrame:
+    """Rows of same-schema files, with the file they come from and their place in it.
+
+    With ``line_breaks`` a quoted value of a text file may go on over lines; such a
+    file is read by one task.
+    """
     if ext in TEXT_SEPARATORS:
         # A doubled quote inside quotes is one quote.
-        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"')
+        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"',
+                            multiLine=line_breaks)
         df = _without_missing_words(df)
     else:
         df = spark.read.parquet(*paths)
@@ -152,16 +172,22 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     """Read all stations; stations with the same columns share one table.
 
     Files without rows are skipped.  A station whose files differ in their column
-    set fails; the order of columns does not matter.
+    set fails, as does one without a file that can be read; the order of columns
+    does not matter.
     """
-    files = materialise(with_columns(discover_stations(spark, data_dir)))
+    listed = materialise(_listed(spark, data_dir))
+    files = materialise(with_columns(listed.where(_readable())))
+    unread = listed.select("station").distinct().join(files, "station", "left_anti")
     # Metadata only: Spark itself keeps the file list on the driver.
-    groups: dict[tuple, list[str]] = {}
-    for row in files.select("ext", "columns", "path").collect():
-        groups.setdefault((row["ext"], tuple(row["columns"])), []).append(row["path"])
-    if not groups:
+    found = files.select("ext", "columns", "path").collect()
+    if not found:
         raise EmptyStation(f"no data files in {data_dir}")
-    reads = {key: read_files(spark, key[0], sorted(paths)) for key, paths in groups.items()}
+    texts = [row["path"] for row in found if row["ext"] in TEXT_SEPARATORS]
+    broken = with_line_breaks(spark, sorted(texts)) if texts else set()
+    groups: dict[tuple, list[str]] = {}
+    for row in found:
+        groups.setdefault((row["ext"], tuple(row["columns"]), row["path"] in broken), []).append(row["path"])
+    reads = {key: read_files(spark, key[0], sorted(paths), key[2]) for key, paths in groups.items()}
     counts = reduce(lambda a, b: a.unionByName(b), [
         df.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows")) for df in reads.values()])
     inventory = materialise(
@@ -175,7 +201,8 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     failures = judged.where("rows = 0 or schemas > 1").select(
         "station", F.lit("Failed").alias("status"),
         F.when(F.col("rows") == 0, "No file has a row.")
-        .otherwise("The files of the station differ in their columns.").alias("reason"))
+        .otherwise("The files of the station differ in their columns.").alias("reason")).unionByName(
+            unread.select("station", F.lit("Failed").alias("status"), F.lit("No file of a known kind.").alias("reason")))
     if strict:
         bad = failures.orderBy("station").limit(1).collect()
         if bad:
@@ -185,7 +212,7 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     owner = materialise(inventory.where("rows > 0").join(good, "station", "left_semi")
                         .select(F.col("path").alias("_path"), "station"))
     by_set: dict[tuple, list[DataFrame]] = {}
-    for (_, columns), df in reads.items():
+    for (_, columns, _), df in reads.items():
         by_set.setdefault(tuple(sorted(columns)), []).append(df)
     tables = []
     for parts in by_set.values():

@@ -51,6 +51,16 @@ def test_loading(spark, folder, rows):
     assert rows(tables[("depth", "timestamp")], "station", "depth") == [("Quay 7", 20.0)]
 
 
+def test_quoted_line_breaks(spark, tmp_path, rows):
+    write(tmp_path / "Mill", "a.csv", 'note,v\n"two\nlines",1\n"say ""hi""",2\n')
+    write(tmp_path / "Mill", "b.csv", "note,v\nplain,3\n")
+    write(tmp_path / "Sheets", "s.xlsx", "no table")
+    loaded = discovery.load_stations(spark, str(tmp_path))
+    assert rows(loaded.failures, "station", "reason") == [("Sheets", "No file of a known kind.")]
+    (_, df), = loaded.tables
+    assert rows(df, "note", "v") == [("plain", 3), ('say "hi"', 2), ("two\nlines", 1)]
+
+
 def test_strict_loading(spark, folder):
     with pytest.raises(discovery.SchemaDrift):
         discovery.load_stations(spark, str(folder), strict=True)
