@@ -239,7 +239,7 @@ SELECT nodes.station, node, round(CASE WHEN done THEN x[idx + 1] ELSE 0 END, 6)
 FROM nodes JOIN final ON final.station = nodes.station"""
 
 
-def _pagerank_sql(base: str, directed: bool) -> str:
+def pagerank_sql(base: str, directed: bool) -> str:
     return _matrix_sql(base, directed) + """,
 it(station, n, p, stuck, x, k, done) AS (
   SELECT mats.station, n, p, stuck, list_transform(range(n), lambda i: 1.0::DOUBLE / n), 0, false
@@ -280,12 +280,12 @@ for _type, (_base, _directed) in _BASES.items():
     for _name, _sql in (("degree", _degree_sql(_base)), ("closeness", _closeness_sql(_base, _directed)),
                         ("betweenness", _betweenness_sql(_base, _directed)),
                         ("eigenvector", _eigen_sql(_base, _directed)),
-                        ("pagerank", _pagerank_sql(_base, _directed))):
+                        ("pagerank", pagerank_sql(_base, _directed))):
         query(f"{_name}_centrality_{_type}", _sql)(
             lambda spark, sf_dir, t=_type, m=_name: _centrality(spark, sf_dir, t, m))
 
 
-@query("pagerank_wide", _pagerank_sql(WIDE_SQL, False))
+@query("pagerank_wide", pagerank_sql(WIDE_SQL, False))
 def pagerank_wide(spark, sf_dir):
     nodes, edges = wide_graph(spark, sf_dir)
     nodes = materialise(nodes)

@@ -9,6 +9,7 @@ from colweave.operators import ordered, profile, roles
 from colweave.plans import inputs
 from colweave.plans.inputs import (EVENT_VALUES_SQL, LINE_COLS, LINE_SQL, table)
 from colweave.plans.registry import query
+from colweave.session import materialise
 
 DOC_COLS = ["source", "text", "n_chars"]
 
@@ -164,10 +165,12 @@ def audit_report(spark, sf_dir):
 SELECT event_type AS station, event_id AS row_id, ts,
        row_number() OVER (ORDER BY event_type, ts, event_id) AS place FROM events""")
 def chronological_sort(spark, sf_dir):
-    """Global place of every event, as a range partitioned running count."""
-    rows = inputs.event_values(spark, sf_dir).select("station", "row_id", "ts", F.lit("all").alias("everything"),
-                                                     F.lit(1).alias("one"))
-    placed = ordered.running_total(rows, ["everything"], ["station", "ts", "row_id"], "one", "place")
+    """Global place of every event in the sorted table."""
+    rows = ordered.chronological(inputs.event_values(spark, sf_dir)).select(
+        "station", "row_id", "ts", F.lit("all").alias("everything"), F.lit(1).alias("one"),
+        F.monotonically_increasing_id().alias("at"))
+    # Numbers given after the sort grow with it; their running count has no gaps.
+    placed = ordered.running_total(materialise(rows), ["everything"], ["at"], "one", "place", limit=100)
     return placed.select("station", "row_id", F.col("ts").cast("timestamp").alias("ts"), "place")
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from colweave.config import Settings
 from colweave.functions.stats import rounded
-from colweave.operators import clean, graphs, metrics, profile, quality, reports
+from colweave.operators import centrality, clean, graphs, metrics, profile, quality, reports
 from colweave.operators.quantiles import exact_percentiles
 from colweave.plans import inputs, stations
 from colweave.plans.graph_queries import CELLS_SQL, CORR_EDGES_SQL, DIRECTED_SQL, line_graph
 from colweave.plans.inputs import EVENT_COLS, LINE_COLS, LINE_SQL
-from colweave.plans.metric_queries import WEIGHTED_SQL, metrics_sql
+from colweave.plans.metric_queries import WEIGHTED_SQL, metrics_sql, pagerank_sql
 from colweave.plans.registry import query
-from colweave.session import materialise
-from colweave.sources import discovery
+from colweave.session import materialise, shared_folder
+from colweave.sources import artefacts, discovery
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -24,48 +26,92 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
     f"SELECT '{t}.parquet' AS file_name, (SELECT count(*) FROM {t}) AS rows, "
     f"(SELECT count(*) FROM (DESCRIBE {t})) AS cols" for t in TABLES))
 def file_inventory(spark, sf_dir):
-    """Discovery over the folder: every file with its rows and columns."""
-    files = discovery.with_columns(discovery.discover_stations(spark, sf_dir))
-    listed = [(r["ext"], r["path"]) for r in files.select("ext", "path").collect()]
-    counts = None
-    for ext, path in listed:
-        rows = discovery.read_files(spark, ext, [path]).groupBy(F.col("_path").alias("path")).agg(
-            F.count(F.lit(1)).alias("rows"))
-        counts = rows if counts is None else counts.unionByName(rows)
-    return files.join(counts, "path", "left").select(
-        "file_name", F.coalesce("rows", F.lit(0)).alias("rows"), F.size("columns").cast("long").alias("cols"))
-
-
-@query("schema_drift", """
-WITH f AS (
-  SELECT 'parties' AS station, 'customer.parquet' AS file_name,
-         (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE customer)) AS sig
-  UNION ALL SELECT 'parties', 'supplier.parquet',
-         (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE supplier))
-  UNION ALL SELECT 'sales', 'orders.parquet',
-         (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE orders)))
-SELECT station, CASE WHEN count(DISTINCT sig) > 1 THEN 'Failed' ELSE 'Success' END AS status FROM f GROUP BY station""")
+    """The inventory that loading a folder of stations gives: every file with its rows and columns."""
+    return discovery.load_stations(spark, sf_dir).inventory.select(
+        "file_name", F.col("rows").cast("long").alias("rows"), F.col("cols").cast("long").alias("cols"))
+
+
+@query("schema_drift", "WITH f AS (" + " UNION ALL ".join(
+    f"SELECT (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {t})) AS sig, "
+    f"(SELECT count(*) FROM {t}) AS n" for t in TABLES) + """)
+SELECT 'root_station' AS station, 'Failed' AS status, 'The files of the station differ in their columns.' AS reason
+FROM f WHERE n > 0 HAVING count(DISTINCT sig) > 1""")
 def schema_drift(spark, sf_dir):
-    """Two files of one station with different columns fail that station only."""
-    files = discovery.with_columns(discovery.discover_stations(spark, sf_dir)).withColumn(
-        "station", F.when(F.col("file_name").isin("customer.parquet", "supplier.parquet"), "parties")
-        .when(F.col("file_name") == "orders.parquet", "sales"))
-    return (files.where("station is not null")
-            .groupBy("station").agg(F.countDistinct(F.concat_ws(",", F.array_sort("columns"))).alias("schemas"))
-            .select("station", F.when(F.col("schemas") > 1, "Failed").otherwise("Success").alias("status")))
+    """Files of one station with different columns fail that station."""
+    return discovery.load_stations(spark, sf_dir).failures
+
+
+def _scratch(spark) -> str:
+    return f"{shared_folder(spark)}/colweave/{uuid.uuid4().hex}"
+
+
+@query("csv_stations", """
+SELECT o_orderstatus AS station, o_orderkey AS order_key, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
+       'line 1' || chr(10) || 'he said "' || o_orderpriority || '", twice' AS note FROM orders""")
+def csv_stations(spark, sf_dir):
+    """Orders written as CSV files, one station per status, with quotes, line breaks and words for missing values."""
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        "o_orderstatus", F.col("o_orderkey").alias("order_key"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("string")).otherwise("NA").alias("price"),
+        F.concat(F.lit("line 1\nhe said \""), "o_orderpriority", F.lit("\", twice")).alias("note"))
+    folder = _scratch(spark)
+    orders.write.option("header", "true").option("escape", '"').partitionBy("o_orderstatus").csv(folder)
+    (_, loaded), = discovery.load_stations(spark, folder).tables
+    return loaded.select(F.substring_index("station", "=", -1).alias("station"), F.col("order_key").cast("long").alias("order_key"),
+                         "price", "note")
+
+
+@query("day_first_times", """
+SELECT o_orderstatus AS station, o_orderkey AS row_id, strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS seen
+FROM orders""")
+def day_first_times(spark, sf_dir):
+    """Text dates with the day first: one layout holds for the whole column."""
+    rows = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("station"), F.col("o_orderkey").alias("row_id"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"))
+    dated, _ = discovery.in_time_order(rows, ["order_date"], "order_date")
+    return dated.select("station", "row_id", F.col("_order_ts").cast("timestamp_ntz").alias("seen"))
 
 
 @query("saved_adjacency_graph", f"""WITH {CELLS_SQL}
 SELECT station, source, target, round(weight, 6) + 0.0 AS weight FROM cells
 WHERE source_idx < target_idx AND abs(weight) > 1e-12""")
 def saved_adjacency_graph(spark, sf_dir):
-    """The edges of a matrix survive writing it down and reading it back."""
+    """The edges of labelled matrices survive writing them down and reading them back."""
     nodes, edges = line_graph(spark, sf_dir)
-    cells = materialise(graphs.adjacency_cells(nodes, edges))
-    out = graphs.graph_from_adjacency(cells)
+    folder = _scratch(spark)
+    artefacts.write_adjacency(materialise(nodes), edges, folder)
+    out = graphs.graph_from_adjacency(artefacts.read_saved_adjacency(spark, folder))
     return out.select("station", "source", "target", rounded(F.col("weight")).alias("weight"))
 
 
+@query("saved_features", """
+SELECT event_type AS station, event_id, user_id FROM events""")
+def saved_features(spark, sf_dir):
+    """Without a scaled table the cleaned one is read, less its columns that are no features."""
+    folder = _scratch(spark)
+    events = inputs.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("station"), "event_id", "user_id", "value", F.col("ts").cast("string").alias("time"))
+    artefacts.write_table(events, f"{folder}/cleaned")
+    return artefacts.read_features(spark, f"{folder}/scaled", f"{folder}/cleaned").select("station", "event_id", "user_id")
+
+
+@query("saved_embeddings", """
+SELECT 'label ' || label AS station, 'run ' || vec_id % 3 AS run, vec_id::VARCHAR AS node,
+       len(embedding)::BIGINT AS dimension, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 6) + 0.0 AS total
+FROM embeddings""")
+def saved_embeddings(spark, sf_dir):
+    """Vectors written by station and run, and read back."""
+    folder = _scratch(spark)
+    vectors = inputs.table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("label "), "label").alias("station"), F.concat(F.lit("run "), F.col("vec_id") % 3).alias("run"),
+        F.col("vec_id").cast("string").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
+    artefacts.write_embeddings(vectors, folder)
+    return artefacts.read_embeddings(spark, folder).select(
+        "station", "run", "node", F.size("embedding").cast("long").alias("dimension"),
+        rounded(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
 def line_metrics(spark, sf_dir):
     """Structure metrics of three graph types of the line items in one plan."""
     parts = [line_graph(spark, sf_dir, t) for t in ("correlation", "top_k", "weighted")]
@@ -142,21 +188,20 @@ SELECT n.station, n.node, """ + ", ".join(
     f"CASE n.node " + " ".join(f"WHEN '{c}' THEN round(max(s.{f}_{c}), 4) + 0.0" for c in LINE_COLS) + f" END AS {f}"
     for f in ("mean", "std")) + """,
   round((SELECT count(*) FROM edges e WHERE e.station = n.station AND (e.source = n.node OR e.target = n.node)) / 4, 6)
-    + 0.0 AS degree_centrality
+    + 0.0 AS degree_centrality, r.value AS pagerank
 FROM nodes n JOIN (SELECT station, """ + ", ".join(
-    f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in LINE_COLS) + """ FROM line GROUP BY station) s
-ON s.station = n.station GROUP BY n.station, n.node""")
+    f"avg({c}) AS mean_{c}, stddev_pop({c}) AS std_{c}" for c in LINE_COLS) + f""" FROM line GROUP BY station) s
+ON s.station = n.station JOIN ({pagerank_sql(CORR_EDGES_SQL, False)}) r ON r.station = n.station AND r.node = n.node
+GROUP BY n.station, n.node, r.value""")
 def node_feature_table(spark, sf_dir):
-    from colweave.operators import centrality, paths
     nodes, edges = line_graph(spark, sf_dir)
     nodes = materialise(nodes)
-    ordered = materialise(paths.links(nodes, edges))
-    central = centrality.degree(nodes, ordered).join(
-        nodes.select(*graphs.GRAPH_KEYS, "idx", "node"), [*graphs.GRAPH_KEYS, "idx"]).withColumn("pagerank", F.lit(0.0))
+    central = materialise(centrality.centralities(nodes, edges))
     stats = profile.node_stats(inputs.line_features(spark, sf_dir), LINE_COLS)
     out = reports.node_feature_table(nodes, stats, central)
     return out.select("station", "node", rounded(F.col("mean"), 4).alias("mean"), rounded(F.col("std"), 4).alias("std"),
-                      rounded(F.col("degree_centrality")).alias("degree_centrality"))
+                      rounded(F.col("degree_centrality")).alias("degree_centrality"),
+                      rounded(F.col("pagerank")).alias("pagerank"))
 
 
 def line_run(spark, sf_dir):

@@ -312,13 +312,13 @@ def run_folder(spark: SparkSession, data_dir: str, settings: Settings | None = N
 
 def save_run(run: StationRun, results_dir: str, fmt: str = "parquet") -> None:
     """Write every result table and the nested reports below ``results_dir``."""
-    from colweave.sources.artefacts import write_embeddings, write_report, write_table
+    from colweave.sources.artefacts import write_adjacency, write_embeddings, write_report, write_table
 
     drop = ["row_id", "_order_ts"]
     write_table(run.cleaned.drop(*drop), f"{results_dir}/cleaned", fmt)
     write_table(run.scaled.drop(*drop), f"{results_dir}/scaled", fmt)
     write_table(run.edges, f"{results_dir}/edges", fmt)
-    write_table(graphs.adjacency_cells(run.nodes, run.edges), f"{results_dir}/adjacency", fmt)
+    write_adjacency(run.nodes, run.edges, f"{results_dir}/adjacency")
     write_embeddings(run.embeddings, f"{results_dir}/embeddings")
     write_report(run.audit, f"{results_dir}/audit")
     write_report(run.report, f"{results_dir}/stations")

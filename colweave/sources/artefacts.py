@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colweave.operators import graphs
 from colweave.session import materialise
 
 # Columns of a saved feature table that are never features.
@@ -24,6 +25,31 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Labelled N x N matrices as CSV, one folder per station and graph type.
+
+    Columns are the labels of all stations; those of other stations stay empty.
+    """
+    labels = [r["node"] for r in nodes.groupBy("node").agg(F.min("idx").alias("at")).orderBy("at", "node").collect()]
+    own = nodes.groupBy("station", "graph_type").agg(F.collect_set("node").alias("_own"))
+    matrix = graphs.adjacency_matrix(nodes, edges, labels).join(own, ["station", "graph_type"])
+    cells = matrix.withColumns({c: F.when(F.array_contains("_own", c), F.col(f"`{c}`")) for c in labels}).drop("_own")
+    (cells.orderBy("station", "graph_type", "idx").drop("idx").write.mode("overwrite").option("header", "true")
+     .partitionBy("station", "graph_type").csv(path))
+
+
+def read_saved_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of all matrices below a folder written by :func:`write_adjacency`, in one scan."""
+    raw = spark.read.csv(path, header=True)
+    keys = ["station", "graph_type"]
+    labels = [c for c in raw.columns if c not in ("source", *keys)]
+    cells = raw.unpivot([*keys, "source"], [f"`{c}`" for c in labels], "target", "value").where("value is not null")
+    place = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("target"))
+    first = F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("source"))
+    return cells.select(*[F.col(k).cast("string").alias(k) for k in keys], "source", "target", first.alias("source_idx"), place.alias("target_idx"),
+                        F.col("value").cast("double").alias("weight"))
+
+
 def read_adjacency(spark: SparkSession, path: str, station: str, graph_type: str) -> DataFrame:
     """Cells of a saved N x N matrix whose first column holds the row labels.
 
