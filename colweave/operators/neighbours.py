@@ -18,11 +18,13 @@ from colweave.session import materialise, ready_workers
 
 NEIGHBOURS = 5
 # Values of one slice, and rows that meet a slice in one task.
-SLICE_ROWS = 4096
+SLICE_ROWS = 512
 VISIT_ROWS = 2048
 # Rows whose distances to a slice are held at once.
 _CHUNK = 256
 _NO = "_knn_no"
+# A slice's number is its part of the sorted table, then its place there.
+_PART_BITS = 30
 # Rounding in a radius must not lose a neighbour at its rim.
 _RIM = 1 + 1e-9
 
@@ -132,21 +134,34 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS, slice_rows:
     index = F.monotonically_increasing_id()
     slices = materialise(
         cells.repartitionByRange("station", "axis", "at", _NO).sortWithinPartitions("station", "axis", "at", _NO)
-        .withColumn("slice", F.shiftright(index, 33) * (1 << 30)
+        .withColumn("slice", F.shiftright(index, 33) * (1 << _PART_BITS)
                     + F.floor(index.bitwiseAND(F.lit((1 << 33) - 1)) / slice_rows)))
     key = ["station", "axis", "slice"]
+    # A stated partition count keeps small but compute-heavy groups apart.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reach = materialise(
-        ready_workers(slices).groupBy(*key).applyInArrow(_radius(names, k), f"{_NO} long, reach double")
+        ready_workers(slices).repartition(tasks, *key).groupBy(*key).applyInArrow(_radius(names, k), f"{_NO} long, reach double")
         .groupBy(_NO).agg(F.min("reach").alias("reach")))
-    bounds = materialise(slices.groupBy(*key).agg(F.min("at").alias("low"), F.max("at").alias("high")))
+    bounds = materialise(slices.groupBy(*key).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+                         .withColumn("part", F.shiftright("slice", _PART_BITS)))
+    parts = materialise(bounds.groupBy("station", "axis", "part").agg(F.min("low").alias("low"), F.max("high").alias("high")))
 
     known = sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0))
     wide = F.sqrt(F.col("reach") * known / F.col("used")) * _RIM
-    asking = cells.join(reach, _NO).withColumn("wide", wide)
-    meets = (asking["station"].eqNullSafe(bounds["station"]) & (asking["axis"] == bounds["axis"])
-             & (bounds["low"] <= asking["at"] + asking["wide"]) & (bounds["high"] >= asking["at"] - asking["wide"]))
-    visits = materialise(asking.join(bounds, meets).select(
-        asking["station"], asking["axis"], "slice", _NO, "targets", "used", *names))
+    asking = cells.join(reach, _NO).withColumns({"from": F.col("at") - wide, "to": F.col("at") + wide})
+
+    def meeting(side: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
+        """Rows with the spans of values that reach into theirs; ``keys`` besides station and axis are equal."""
+        own = spans.select(*[F.col(c).alias(f"_{c}") for c in spans.columns])
+        same = F.col("station").eqNullSafe(F.col("_station"))
+        for c in ("axis", *keys):
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        return side.join(own, same & (F.col("_low") <= F.col("to")) & (F.col("_high") >= F.col("from")))
+
+    # First the parts of the sorted table, then the slices of these: never all slices.
+    near = meeting(asking, parts).withColumnRenamed("_part", "part").drop("_station", "_axis", "_low", "_high")
+    visits = materialise(meeting(near, bounds, "part").withColumnRenamed("_slice", "slice").select(
+        *key, _NO, "targets", "used", *names))
     # A slice that many rows visit meets them block by block.
     blocks = materialise(visits.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / visit_rows).alias("blocks"))).select(
         F.col("station").alias("_s"), F.col("axis").alias("_a"), F.col("slice").alias("_l"), "blocks")
@@ -161,6 +176,8 @@ def impute_knn(df: DataFrame, cols: list[str], k: int = NEIGHBOURS, slice_rows:
     # The two sides come from the same tables: own names keep their columns apart.
     donors = donors.select(*[F.col(c).alias(f"d_{c}") for c in key], F.col("other").alias("d_block"), _NO, *names)
     group = [*key, "block"]
+    asked = asked.repartition(tasks, *group)
+    donors = donors.repartition(tasks, *[f"d_{c}" for c in group])
     found = asked.groupBy(*group).cogroup(donors.groupBy(*[f"d_{c}" for c in group])).applyInArrow(
         _nearest(names, k), f"{_NO} long, target int, distance double, donor long, value double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "donor", "value"))), 1, k)
