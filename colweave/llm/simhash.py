@@ -165,13 +165,7 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
         F.explode(F.flatten(F.expr(
             f"transform(segments, (s, k) -> transform(sequence(0, {segment_bits - 1}),"
             f" p -> shiftleft(cast(k * {segment_bits} + p as bigint), 32) | (s & ~shiftleft(1L, p))))"))).alias("variant"))
-    return _met_links(keyed, nodes, limit, block_rows)
-
-
-def _met_links(keyed: DataFrame, nodes: DataFrame, limit: int, block_rows: int) -> DataFrame:
-    """Edges between the nodes of ``keyed(node, variant)`` that share a variant and are near by their prints."""
     # Only keys travel with the variants; prints join the few that meet.
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = keyed.groupBy("variant").count().where("count > 1")
     met = keyed.join(shared, "variant").select(
         "variant", "node", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"))
@@ -224,7 +218,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 2) -> Dat
 # That is 0.9998 at 0.8, 0.38 at 0.5 and 0.002 at 0.2.
 BAND_ROWS, BANDS = 6, 28
 _ORDERS = W.mix(np.arange(1, 2 * BAND_ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)).reshape(2, -1)
-_SEEDS = W.mix(np.arange(4, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+# Members of a band key that are compared with each other in one unit; their sets travel with them.
+SET_BLOCK_ROWS = 512
+# Text hashes of documents that met as a bit map of fixed size: 8 MB.
+MAP_BITS = 1 << 26
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -242,16 +239,6 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return keys
 
 
-def bit_limit(similarity: float, bits: int = 256, slack: float = 2.0) -> int:
-    """Differing bits to allow for shingle sets of this Jaccard similarity.
-
-    Sets of similarity s have cosine 2s / (1 + s) at equal sizes, and a bit differs with
-    probability acos(cosine) / pi; ``slack`` standard deviations keep pairs at the edge.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
-
-
 def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
     """Per text the sorted distinct hashes of its runs of ``shingle`` words; fewer words are one run."""
     for _, _, data, offsets in W.chunks(column):
@@ -263,50 +250,189 @@ def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                             W.runs(hashes[low:high], max(1, high - low)))
 
 
-def _keys_and_prints(shingle: int):
+def _keys_and_digests(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fine = [], []
+            keys, digests = [], []
             for own in _shingle_sets(batch.column(2), shingle):
                 keys.append(band_keys(own).view(np.int64))
-                fine.append(majority(W.mix(own[:, None] ^ _SEEDS)).tobytes())
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(fine, pa.binary())],
-                ["doc_id", "text_key", "keys", "fine"])
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
+                ["doc_id", "text_key", "keys", "digest"])
         W.release()
 
     return run
 
 
+def _wanted_sets(shingle: int, held):
+    """Sets of the texts whose hash is on the bit map; a few others come along."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(MAP_BITS - 1)
+            hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            wanted = batch.column(1).filter(pa.array(hit))
+            sets = [own.tobytes() for own in _shingle_sets(wanted, shingle)]
+            if sets:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).filter(pa.array(hit)), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()),
+                     pa.array(sets, pa.binary())], ["text_key", "digest", "shingles"])
+        W.release()
+
+    return run
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """``keys(text_key)`` as bits; at most ``MAP_BITS / 64`` rows of two numbers reach the driver."""
+    place = F.expr(f"text_key & {MAP_BITS - 1}L")
+    cells = (keys.select(F.shiftright(place, 6).alias("cell"), F.expr("shiftleft(1L, cast(text_key & 63 as int))").alias("bit"))
+             .groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas())
+    out = np.zeros(MAP_BITS // 64, dtype=np.uint64)
+    out[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def link_sets(group: np.ndarray, sets: list[bytes], similarity: float) -> np.ndarray:
+    """For each row of a unit the first row of its class; rows of equal ``group`` are one class already.
+
+    Two rows link where the Jaccard similarity of their sets (sorted distinct 64-bit
+    hashes) is at least ``similarity``.  Pairs within a class are not compared.
+    """
+    n = len(group)
+    _, first, place = np.unique(group, return_index=True, return_inverse=True)
+    label = first[place]
+    size = np.array([len(x) // 8 for x in sets])
+    known: dict[int, frozenset] = {}
+
+    def members(i: int) -> frozenset:
+        if i not in known:
+            known[i] = frozenset(np.frombuffer(sets[i], dtype=np.uint64).tolist())
+        return known[i]
+
+    for step in range(1, n):
+        left = np.flatnonzero(label[:-step] != label[step:])
+        if len(left) == 0:
+            if label.max() == 0:
+                break
+            continue
+        # The smaller set's share of the larger bounds the similarity.
+        few, many = np.minimum(size[left], size[left + step]), np.maximum(size[left], size[left + step])
+        near = []
+        for i in left[few >= similarity * many - 1e-6].tolist():
+            shared = len(members(i) & members(i + step))
+            if shared / max(1, int(size[i] + size[i + step]) - shared) >= similarity:
+                near.append(i)
+        if near:
+            label = _settle(label, np.array(near), np.array(near) + step)
+    return label
+
+
+def _link_set_runs(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, node, group, sets = None, [], [], []
+
+        def solve():
+            label = link_sets(np.array(group), sets, similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            held = np.array(node)
+            return pa.RecordBatch.from_arrays([pa.array(held[moved]), pa.array(held[label[moved]])], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if row[0] != unit:
+                    if len(node) > 1:
+                        yield solve()
+                    unit, node, group, sets = row[0], [], [], []
+                node.append(row[1])
+                group.append(row[2])
+                sets.append(row[3])
+        if len(node) > 1:
+            yield solve()
+        W.release()
+
+    return run
+
+
+def _links_in_units(units: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``(a, b)`` within ``units(unit, node, class)``, decided on ``sets(node, shingles)``."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Units of the same members are compared once; two hashes stand for the members.
+    kinds = units.groupBy("unit").agg(
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"),
+        (F.min("class") != F.max("class")).alias("open")).where("open AND size > 1")
+    chosen = kinds.groupBy("size", "x", "y").agg(F.min("unit").alias("unit")).select("unit")
+    rows = units.join(chosen, "unit").join(sets, "node").select("unit", "node", "class", "shingles")
+    return (ready_workers(rows).repartition(n, "unit").sortWithinPartitions("unit", "node")
+            .mapInArrow(_link_set_runs(similarity), "a long, b long"))
+
+
+def set_links(keyed: DataFrame, sets: DataFrame, similarity: float, block_rows: int = SET_BLOCK_ROWS) -> DataFrame:
+    """``(node, root)`` of all that links among nodes that share a key: ``keyed(node, variant, count)``.
+
+    First each key's members link within blocks of about ``block_rows``; a family is
+    mostly joined then, so only pairs of blocks that still hold several classes are
+    compared after it.  Every link is decided on the whole sets.
+    """
+    blocks = keyed.withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("long")).withColumn(
+        "own", F.expr("pmod(xxhash64(node, variant), blocks)"))
+    once = blocks.select(F.xxhash64("variant", "own").alias("unit"), "node", F.col("node").alias("class"))
+    first = materialise(_links_in_units(once, sets, similarity))
+    roots = materialise(components(first))
+    wide = blocks.where("blocks > 1").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    held = materialise(wide.select("variant", "node", "class", "blocks", "own"))
+    # Keys of one class are done.
+    open_keys = held.groupBy("variant").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("variant")
+    left = materialise(held.join(open_keys, "variant"))
+    if left.limit(1).count() == 0:
+        return roots
+    # Blocks as sorted pairs; a pair whose members are all of one class needs no comparing.
+    spans = left.groupBy("variant", "own").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    a, b = (spans.select("variant", *[F.col(c).alias(f"{side}_{c}") for c in ("own", "low", "high")]) for side in "ab")
+    pairs = a.join(b, "variant").where("a_own < b_own AND (a_low <> a_high OR b_low <> b_high OR a_low <> b_low)")
+    dealt = pairs.select("variant", F.xxhash64("variant", "a_own", "b_own").alias("unit"),
+                         F.explode(F.array("a_own", "b_own")).alias("own"))
+    units = left.join(dealt, ["variant", "own"]).select("unit", "node", "class")
+    return materialise(components(first.unionAll(_links_in_units(units, sets, similarity))))
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, text_key, group, keep)``: near copies by SimHash at a shingle similarity.
+    """``(doc_id, text_key, group, keep)``: near copies at a shingle similarity.
 
     Candidates share one of the :func:`band_keys` of their sets of ``shingle``-word
-    shingles; they link where 256-bit fingerprints over the same sets differ by at most :func:`bit_limit`.  Groups are
-    components of links; in each the row with the smallest doc_id (nulls last, then
-    the text's hash) has ``keep``.  ``text_key`` is xxhash64 of the text, so that
-    ``(doc_id, text_key)`` finds the row again; rows equal in both are all marked.
-
-    Texts without words (null, empty, blank) have the same fingerprint and form one
-    group.  Distances are estimates of the similarity, so pairs just below the
-    threshold may link; see the README for measured figures.
+    shingles; they link where the Jaccard similarity of these sets (of 64-bit hashes) is
+    at least ``similarity``.  Groups are components of links; in each the row with the
+    smallest doc_id (nulls last, then the text's hash) has ``keep``.  ``text_key`` is
+    xxhash64 of the text, so that ``(doc_id, text_key)`` finds the row again; rows equal
+    in both are all marked.
+
+    Texts without words (null, empty, blank) form one group.  Sets are made again for
+    the texts that share a key, so that no others are stored.
     """
+    spark = docs.sparkSession
     texts = ready_workers(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.col("text").cast("binary").alias("text"))
-    prints = materialise(texts.mapInArrow(_keys_and_prints(shingle), "doc_id long, text_key long, keys array<long>, fine binary"))
+    prints = materialise(texts.mapInArrow(_keys_and_digests(shingle), "doc_id long, text_key long, keys array<long>, digest binary"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    distinct = materialise(prints.groupBy("keys", "fine").agg(F.min(rank).alias("best"))
+    distinct = materialise(prints.groupBy("digest").agg(F.min(rank).alias("best"), F.first("keys").alias("keys"))
                            .withColumn("node", F.monotonically_increasing_id()))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = distinct.repartition(n).select("node", F.explode("keys").alias("variant"))
-    links = _met_links(keyed, distinct.select("node", F.col("fine").alias("print")), bit_limit(similarity), BLOCK_ROWS)
-    roots = materialise(components(links))
-    classed = (distinct.join(roots, "node", "left")
-               .select("keys", "fine", "best", F.coalesce("root", "node").alias("group")))
-    best = classed.groupBy("group").agg(F.min("best").alias("winner"))
-    labels = materialise(classed.join(best, "group").select("keys", "fine", "group", "winner"))
-    return prints.join(labels, ["keys", "fine"]).select(
+    shared = keyed.groupBy("variant").count().where("count > 1")
+    met = materialise(keyed.join(shared, "variant"))
+    wanted = distinct.join(met.select("node").distinct(), "node").select("node", "digest", F.col("best.text_key").alias("text_key"))
+    wanted = materialise(wanted)
+    held = spark.sparkContext.broadcast(_bit_map(wanted))
+    made = texts.select("text_key", "text").mapInArrow(
+        _wanted_sets(shingle, held), "text_key long, digest binary, shingles binary")
+    # A set that several rows have is met once.
+    sets = materialise(made.join(wanted.select("node", "digest"), "digest").select("node", "shingles").dropDuplicates(["node"]))
+    roots = set_links(met, sets, similarity)
+    labelled = distinct.join(roots, "node", "left").select("digest", "best", F.coalesce("root", "node").alias("group"))
+    best = labelled.groupBy("group").agg(F.min("best").alias("winner"))
+    labels = materialise(labelled.join(best, "group").select("digest", "group", "winner"))
+    return prints.join(labels, "digest").select(
         "doc_id", "text_key", "group",
         (F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("text_key") == F.col("winner.text_key"))).alias("keep"))
 
