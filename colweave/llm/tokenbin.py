@@ -38,7 +38,6 @@ WORDS_PER_TEXT = 512
 # One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
 ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 TAIL = b".,;:!?|)\"]}"
-ALPHANUMERIC = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _FOOTER = struct.Struct("<5Q8s")
 
 
@@ -213,9 +212,10 @@ class PieceEncoder:
                 continue
             word, tail = piece, b""
             if b"<|" not in piece:  # the texts of special tokens are told apart by case
-                word = piece.lower()
+                # The tokenizer composes before it lower-cases, so only pieces of ASCII are lower-cased here.
+                word = piece.lower() if piece.isascii() else piece
                 core = word.rstrip(TAIL)
-                if core and core[-1] in ALPHANUMERIC:
+                if core[-1:].isalnum():
                     word, tail = core, word[len(core):]
             parts[piece] = word, tail
         wanted = {x for pair in parts.values() for x in pair if x}

@@ -139,6 +139,19 @@ def test_pieces_encode_as_whole_texts():
     assert [x.tolist() for x in plain] == [x.tolist() for x in got[:50]]
 
 
+def test_capitals_that_compose_only_when_small():
+    """NFC comes before lower-casing: a capital and its mark stay two characters where only the small letter composes."""
+    import unicodedata
+    marks = [chr(c) for c in range(0x300, 0x345)]
+    apart = [a + m for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks
+             if len(unicodedata.normalize("NFC", a + m)) > len(unicodedata.normalize("NFC", a.lower() + m))]
+    assert {"J\u030c", "T\u0308", "W\u030a", "Y\u030a", "H\u0331"} <= set(apart)
+    texts = [x for a in apart for x in (a, f"{a}an, ", f"x{a}", f"({a}URA) OTHER \u00c9T\u00c9.", f"{a}\u0301 {a.lower()}")]
+    encoder = tokenbin.PieceEncoder(TOKENIZER)
+    got = encoder.encode([t.encode() for t in texts], 2)
+    assert [x.tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 @pytest.mark.parametrize("block_ids", [1 << 16, 3])
 def test_token_files_against_the_tokenizer(spark, block_ids):
     rows = [(i, f"Text number {i}, été! " * (i % 5)) for i in range(60, 0, -1)]
