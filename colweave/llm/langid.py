@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from colweave.llm import words as W
-from colweave.session import ready_workers
+from colweave.session import materialise, ready_workers
 
 BUCKETS = 1 << 14
 SUBWORD_BYTES = (2, 3, 4)
 DIMENSIONS = 16
 # Bound of the labelled sample: rows per language, the ones with the smallest hashes.
 SAMPLE_ROWS_PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
 # Share of held-back sample documents of a right prediction that may be rejected.
 REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
@@ -107,13 +106,12 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS_PER_LANGUAGE) -> Da
     known = (docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(HAS_LETTER))
              .select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"),
                      F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rank")))
-    total = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     # A limit on the hash keeps about twice the rows wanted; the exact cut is made below.
-    low, high = -(1 << 63), (1 << 63) - 1
-    limits = [(r["lang"], min(high, low + int(2 * (rows + 50) / r["count"] * 2.0 ** 64))) for r in total] or [("", low)]
-    edge = docs.sparkSession.createDataFrame(limits, "edge_lang string, edge long")
-    # At most MAX_LANGUAGES rows, so texts need no shuffle to meet them.
-    texts = known.join(F.broadcast(edge), F.col("lang") == F.col("edge_lang")).where("rank <= edge").select("lang", "rank", "text")
+    share = F.lit(2.0 * (rows + 50)) / F.col("count")
+    limit = F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0 ** 63)) + share * F.lit(2.0 ** 64)).cast("long"))
+    # One row a language, so texts need no shuffle to meet them while these are known to be few.
+    edge = materialise(known.groupBy("lang").count().select(F.col("lang").alias("edge_lang"), limit.alias("edge")))
+    texts = known.join(edge, F.col("lang") == F.col("edge_lang")).where("rank <= edge").select("lang", "rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -132,6 +132,12 @@ def test_no_labels_no_language(spark):
     assert langid.identify(frame(spark, []), model).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} text", lang) for i, lang in enumerate(names)] * 2, "doc_id long, text string, lang string")
+    assert sorted({r["lang"] for r in langid.labelled_sample(docs).collect()}) == sorted(names)
+
+
 def test_subwords_do_not_cross_documents():
     texts = [b"ab", b"", b"cd ef", b"x"]
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
