@@ -138,17 +138,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
                                        F.col("text").cast("binary").alias("text"))
     found = materialise(texts.mapInArrow(
         _candidates(lengths, held), "doc_id long, text_key long, n_words long, start long, length int, words binary"))
-    known = windows.groupBy("words").agg(F.collect_set("item_id").alias("window_items"))
-    spots = (found.where("words IS NOT NULL").select("doc_id", "text_key", "start", "length", "words").join(known, "words")
-             .groupBy("doc_id", "text_key")
-             .agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("places"),
-                  F.array_sort(F.array_distinct(F.flatten(F.collect_set("window_items")))).alias("items"))
+    # Places carry a window's number; its items meet each (document, window) once, as rows.
+    known = materialise(windows.select("words").distinct().withColumn("window", F.monotonically_increasing_id()))
+    owners = windows.join(known, "words").select("window", "item_id").distinct()
+    places = materialise(found.where("words IS NOT NULL").join(known, "words").select("doc_id", "text_key", "start", "length", "window"))
+    items = (places.select("doc_id", "text_key", "window").distinct().join(owners, "window")
+             .select("doc_id", "text_key", "item_id").distinct()
+             .groupBy(F.col("doc_id").alias("_item_id"), F.col("text_key").alias("_item_key"))
+             .agg(F.array_sort(F.collect_list("item_id")).alias("items")))
+    spots = (places.groupBy("doc_id", "text_key")
+             .agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("places"))
              .withColumn("spans", F.expr(
                  "aggregate(places, cast(array() as array<struct<start:bigint,end:bigint>>), (runs, x) ->"
                  " CASE WHEN size(runs) > 0 AND element_at(runs, -1).end >= x.start"
                  " THEN concat(slice(runs, 1, size(runs) - 1), array(named_struct('start', element_at(runs, -1).start,"
                  " 'end', greatest(element_at(runs, -1).end, x.end))))"
                  " ELSE concat(runs, array(named_struct('start', x.start, 'end', x.end))) END)")))
+    spots = spots.join(items, F.col("doc_id").eqNullSafe(F.col("_item_id")) & (F.col("text_key") == F.col("_item_key")))
     hits = spots.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "items", "spans",
                         F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit"))
     rows = found.where("n_words IS NOT NULL").select("doc_id", "text_key", "n_words")

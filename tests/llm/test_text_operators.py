@@ -197,6 +197,19 @@ def slow_contamination(docs, items, size=10):
     return sorted(out, key=str)
 
 
+def test_items_of_a_shared_passage_are_not_gathered_per_place(spark):
+    passage = " ".join(f"word{i}" for i in range(14))
+    items = spark.createDataFrame([(i, f"item {i} {passage}") for i in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{passage} and {passage}"), (2, "word1 word2"), (None, passage)], "doc_id long, text string")
+    found = decontam.contamination(docs, items)
+    got = {r["doc_id"]: (r["n_items"], list(r["items"]), r["n_hit"]) for r in found.collect()}
+    every = sorted(str(i) for i in range(50))
+    assert got == {1: (50, every, 28), 2: (0, [], 0), None: (50, every, 14)}
+    # Ids are gathered once, per document: not per window, and no array of ids is an aggregate's input.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "window_items" not in plan and plan.count("collect_list(item_id") == 1
+
+
 def test_contamination_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vocabulary = ["un", "deux", "trois", "É", "x9", "fin"]
