@@ -1,7 +1,8 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Each view trains a logistic model on the labelled sample; over rounds each hands its
-most confident predictions on an unlabelled pool to the other as labels.  Both are
+most confident predictions over the whole corpus to the other as labels.  Tasks score
+all unlabelled documents and sum what the picked ones say; no pool is held.  Both are
 calibrated on held-back labels and combined to score every document.
 """
 
@@ -19,14 +20,17 @@ from pyspark.sql import functions as F
 from colweave.llm import words as W
 from colweave.session import ready_workers
 
-# Bounds of the samples the models are fitted on; every document is scored.
+# Bound of the labelled sample; every unlabelled document is scored and may be picked in each round.
 LABELLED_ROWS = 3000
-POOL_ROWS = 3000
 BUCKETS = 2048
 HASHED_NAMES = 32
 ROUNDS = 4
-# Share of the pool that a view labels for the other in a round.
+# Share of the unlabelled documents that a view labels for the other, more with each round.
 ROUND_SHARE = 0.08
+# Odds are counted in cells from -ODDS_RANGE to ODDS_RANGE.
+ODDS_RANGE, ODDS_CELLS = 40.0, 4000
+# Least deviation that inputs are scaled by: a name that few documents have stays bounded.
+LEAST_DEVIATION = {"text": 1e-6, "meta": 0.02}
 
 _CLASSES = {
     "symbol": [b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"-()"],
@@ -145,36 +149,185 @@ def _calibrate(view: View, x: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = max(float(a), 0.0), float(c)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> QualityModel | None:
-    """Fit both views; ``label`` is 0, 1 or -1 for the pool.  None without rows of both classes."""
-    known = np.flatnonzero(label >= 0)
-    held = known[4::5]
-    fit = np.setdiff1d(known, held)
+def _refit(view: View, x: np.ndarray, y: np.ndarray, mean: np.ndarray, scale: np.ndarray, picked: tuple, share: float,
+           steps: int = 120, rate: float = 0.05, decay: float = 1e-3) -> View:
+    """``view`` after labelled rows and sums over picked rows: ``picked`` is (slopes, slope of the bias, curvatures, same).
+
+    The loss of the picked rows stands by its slope at ``view`` and its curvature, to which
+    the labelled rows' own loss gives the shape away from ``view``.
+    """
+    z = ((x - mean) * scale).astype(np.float32)
+    start = np.divide(view.weights, scale, out=np.zeros_like(scale), where=scale > 0)
+    start_bias = float(view.bias + mean @ view.weights)
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) / len(y)
+
+    def slope(w, b):
+        back = weight * (_sigmoid(z @ w.astype(np.float32) + b) - y)
+        return (z.T @ back.astype(np.float32)).astype(float), float(back.sum())
+
+    own, own_bias = slope(start, start_bias)
+    g0, gb0, h, hb = picked
+    w, b = start.copy(), start_bias
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    for step in range(1, steps + 1):
+        g, gb = slope(w, b)
+        g = (1 + share) * g + share * (g0 - own + h * (w - start)) + decay * w
+        gb = (1 + share) * gb + share * (gb0 - own_bias + hb * (b - start_bias))
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        fix = np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+        w -= rate * fix * m / (np.sqrt(v) + 1e-8)
+        b -= rate * fix * mb / (np.sqrt(vb) + 1e-8)
+    weights = w * scale
+    return View(weights, float(b - mean @ weights))
+
+
+def _cell(odds: np.ndarray) -> np.ndarray:
+    return np.clip((odds + ODDS_RANGE) * (ODDS_CELLS / (2 * ODDS_RANGE)), 0, ODDS_CELLS - 1).astype(np.int64)
+
+
+def _both_odds(views: dict, bucket: np.ndarray, owner: np.ndarray, meta: np.ndarray) -> dict:
+    n = len(meta)
+    sums = np.bincount(owner, weights=views["text"].weights[bucket], minlength=n)
+    return {"text": sums / np.maximum(np.bincount(owner, minlength=n), 1) + views["text"].bias, "meta": views["meta"].odds(meta)}
+
+
+def _blocks(name: str, bucket: np.ndarray, owner: np.ndarray, meta: np.ndarray, chosen: np.ndarray):
+    """``(documents, inputs)`` of a view for the chosen documents, 64 at a time."""
+    places = np.flatnonzero(chosen)
+    for k in range(0, len(places), 64):
+        part = places[k:k + 64]
+        if name == "meta":
+            yield part, meta[part]
+            continue
+        low, high = np.searchsorted(owner, part[0]), np.searchsorted(owner, part[-1], side="right")
+        at = np.searchsorted(part, owner[low:high])
+        own = part[at] == owner[low:high]
+        found = np.bincount(at[own] * BUCKETS + bucket[low:high][own], minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS)
+        yield part, found / np.maximum(found.sum(axis=1), 1)[:, None]
+
+
+def _corpus_sums(docs: DataFrame, known: np.ndarray, size: int, add) -> np.ndarray:
+    """Sums over all documents with text but the ``known`` ids; ``add(total, bucket, owner, meta, use)`` adds a chunk's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            ids = batch.column(0)
+            free = ~(np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), known) & ids.is_valid().to_numpy(zero_copy_only=False))
+            lang, source, chars = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            for low, high, data, offsets in W.chunks(batch.column(4)):
+                bucket, owner = text_buckets(data, offsets)
+                meta = metadata(lang[low:high], source[low:high], chars[low:high], layout(data, offsets))
+                add(total, bucket, owner, meta, free[low:high] & (np.diff(offsets) > 0))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["slot", "value"])
+
+    rows = _frame(docs).mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+    out = np.zeros(size)
+    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["value"].to_numpy(dtype=float)
+    return out
+
+
+def _count_odds(views: dict, widths: dict, moments: bool):
+    """Adds documents by cell of their odds in each view, and sums and squares of the inputs if wanted."""
+    def add(total, bucket, owner, meta, use):
+        odds = _both_odds(views, bucket, owner, meta)
+        at = 0
+        for name in views:
+            total[at:at + ODDS_CELLS] += np.bincount(_cell(odds[name][use]), minlength=ODDS_CELLS)
+            at += ODDS_CELLS
+        for name in views if moments else ():
+            width = widths[name]
+            for _, x in _blocks(name, bucket, owner, meta, use):
+                total[at:at + width] += x.sum(axis=0)
+                total[at + width:at + 2 * width] += (x * x).sum(axis=0)
+            at += 2 * width
+
+    return add
+
+
+def _sum_picked(views: dict, widths: dict, cells: dict):
+    """Adds, per view and class, what the documents say that the other view is sure of."""
+    def add(total, bucket, owner, meta, use):
+        odds = _both_odds(views, bucket, owner, meta)
+        at = 0
+        for name, other in (("text", "meta"), ("meta", "text")):
+            by, (low, high), width = odds[other], cells[other], widths[name]
+            cell = _cell(by)
+            for value, chosen in ((0, (cell <= low) & (by < -1)), (1, (cell >= high) & (by > 1))):
+                for part, x in _blocks(name, bucket, owner, meta, use & chosen):
+                    p = _sigmoid(odds[name][part])
+                    back, bend = p - value, p * (1 - p)
+                    total[at:at + 3] += len(part), back.sum(), bend.sum()
+                    total[at + 3:at + 3 + 3 * width] += np.concatenate([back @ x, bend @ x, bend @ (x * x)])
+                at += 3 + 3 * width
+
+    return add
+
+
+def _edges(counts: np.ndarray, low: float, high: float) -> tuple[int, int]:
+    """The last cell of the ``low`` least odds and the first of the ``high`` greatest, whole cells."""
+    last = int(np.searchsorted(np.cumsum(counts), low)) if low > 0 else -1
+    first = ODDS_CELLS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), high)) if high > 0 else ODDS_CELLS
+    return last, first
+
+
+def _picked_slopes(sums: np.ndarray, width: int, mean: np.ndarray, scale: np.ndarray) -> tuple[tuple, float]:
+    """Slopes and curvatures for scaled inputs, both classes alike, and the number of picked documents."""
+    g, gb, h, hb, number = np.zeros(width), 0.0, np.zeros(width), 0.0, 0.0
+    for part in sums.reshape(2, -1):
+        n, back, bend = part[:3]
+        if n == 0:
+            continue
+        back_x, bend_x, bend_xx = part[3:].reshape(3, width)
+        g += 0.5 / n * scale * (back_x - mean * back)
+        h += 0.5 / n * scale ** 2 * (bend_xx - 2 * mean * bend_x + mean ** 2 * bend)
+        gb, hb, number = gb + 0.5 / n * back, hb + 0.5 / n * bend, number + n
+    return (g, gb, np.maximum(h, 0), hb), number
+
+
+def co_train(docs: DataFrame, known: np.ndarray, inputs: dict, label: np.ndarray, rounds: int = ROUNDS) -> QualityModel | None:
+    """Fit both views on labelled rows ``inputs`` and all other documents of ``docs``.
+
+    None without labelled rows of both classes.  In each round two passes over the
+    corpus count the odds of both views and sum over the documents they are sure of.
+    """
+    rows = np.arange(len(label))
+    held = rows[4::5]
+    fit = np.setdiff1d(rows, held)
     if len(np.unique(label[fit])) < 2:
         return None
-    pool = np.flatnonzero(label < 0)
-    labels = {"text": label.astype(float), "meta": label.astype(float)}
-    inputs = {"text": text, "meta": meta}
-    used = {"text": fit, "meta": fit}
     share = (label[fit] == 1).mean()
-    views = {}
-    for turn in range(rounds + 1):
-        views = {name: _fit(x[used[name]], labels[name][used[name]]) for name, x in inputs.items()}
-        if turn == rounds or len(pool) == 0:
+    y = label[fit].astype(float)
+    views = {name: _fit(x[fit], y) for name, x in inputs.items()}
+    widths = {name: x.shape[1] for name, x in inputs.items()}
+    scales: dict[str, tuple] = {}
+    for turn in range(1, rounds + 1):
+        size = 2 * ODDS_CELLS + (0 if scales else 2 * sum(widths.values()))
+        sums = _corpus_sums(docs, known, size, _count_odds(views, widths, not scales))
+        total = sums[:ODDS_CELLS].sum()
+        if total == 0:
             break
-        for name, other in (("text", "meta"), ("meta", "text")):
-            free = np.setdiff1d(pool, used[other])
-            odds = views[name].odds(inputs[name][free])
-            order = free[np.argsort(odds, kind="stable")]
-            odds = np.sort(odds, kind="stable")
-            count = max(2, int(ROUND_SHARE * len(pool)))
-            low, high = int(round(count * (1 - share))), int(round(count * share))
-            # Only what the view is sure of, in the proportions of the labels.
-            sure = np.concatenate([order[:low][odds[:low] < -1], order[len(order) - high:][odds[len(odds) - high:] > 1]])
-            value = np.concatenate([np.zeros((odds[:low] < -1).sum()), np.ones((odds[len(odds) - high:] > 1).sum())])
-            labels[other] = labels[other].copy()
-            labels[other][sure] = value
-            used[other] = np.concatenate([used[other], sure])
+        if not scales:
+            at = 2 * ODDS_CELLS
+            for name, width in widths.items():
+                mean, square = sums[at:at + 2 * width].reshape(2, width) / total
+                deviation = np.sqrt(np.maximum(square - mean ** 2, 0))
+                scales[name] = mean, np.where(deviation < 1e-9, 0.0, 1 / np.maximum(deviation, LEAST_DEVIATION[name]))
+                at += 2 * width
+        count = max(2.0, turn * ROUND_SHARE * total)
+        # Only what a view is sure of, in the proportions of the labels.
+        cells = {name: _edges(sums[k * ODDS_CELLS:(k + 1) * ODDS_CELLS], count * (1 - share), count * share)
+                 for k, name in enumerate(views)}
+        found = _corpus_sums(docs, known, sum(2 * (3 + 3 * width) for width in widths.values()), _sum_picked(views, widths, cells))
+        at, new = 0, {}
+        for name, width in widths.items():
+            picked, number = _picked_slopes(found[at:at + 2 * (3 + 3 * width)], width, *scales[name])
+            at += 2 * (3 + 3 * width)
+            # Picked documents weigh as much as labelled ones up to a share that grows with the rounds.
+            weight = min(number / len(fit), turn * ROUND_SHARE)
+            new[name] = _refit(views[name], inputs[name][fit], y, *scales[name], picked, weight) if number else views[name]
+        views = new
     check = held if len(np.unique(label[held])) == 2 else fit
     for name, x in inputs.items():
         _calibrate(views[name], x[check], label[check])
@@ -188,8 +341,8 @@ def _frame(docs: DataFrame) -> DataFrame:
         F.col("text").cast("binary").alias("text"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, pool: int = POOL_ROWS) -> DataFrame:
-    """``(doc_id, label, buckets, counts, meta)`` of at most ``labelled`` + ``pool`` documents.
+def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS) -> DataFrame:
+    """``(doc_id, label, buckets, counts, meta)`` of at most ``labelled`` documents.
 
     Ids with the smallest hashes are drawn before any text is read.  An id labelled
     both ways goes by majority, a tie leaves it out; of rows with the same id one is taken.
@@ -199,14 +352,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
              .agg(F.avg("quality").alias("vote")).where("vote <> 0.5")
              .select("doc_id", (F.col("vote") > 0.5).cast("int").alias("label")))
     chosen = voted.orderBy(rank, "doc_id").limit(labelled)
-    ids = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
-    count = ids.count()
-    edge = min((1 << 63) - 1, -(1 << 63) + int(1.5 * (pool + labelled + 100) / max(count, 1) * 2.0 ** 64))
-    free = (ids.where(rank <= edge).distinct().join(voted, "doc_id", "left_anti").orderBy(rank, "doc_id").limit(pool)
-            .select("doc_id", F.lit(-1).alias("label")))
-    # At most labelled + pool rows of two numbers.
-    drawn = chosen.unionByName(free)
-    texts = _frame(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "lang", "source", "n_chars", "text", "label")
+    # At most ``labelled`` rows of two numbers.
+    texts = _frame(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "source", "n_chars", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +374,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED
     return rows.dropDuplicates(["doc_id"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, pool: int = POOL_ROWS) -> QualityModel | None:
-    """A model from the bounded samples; None if the labels do not hold both classes."""
-    rows = sorted(training_sample(docs, labels, labelled, pool).collect(), key=lambda r: r["doc_id"])
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS) -> QualityModel | None:
+    """A model from a bounded labelled sample and all other documents; None if the labels do not hold both classes."""
+    rows = sorted(training_sample(docs, labels, labelled).collect(), key=lambda r: r["doc_id"])
     if not rows:
         return None
     text = np.zeros((len(rows), BUCKETS), dtype=np.float32)
@@ -237,7 +384,8 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED_ROWS, poo
         if len(r["buckets"]):
             number = np.asarray(r["counts"], dtype=float)
             text[i, np.asarray(r["buckets"])] = number / number.sum()
-    return co_train(text, np.array([r["meta"] for r in rows]), np.array([r["label"] for r in rows]))
+    inputs = {"text": text, "meta": np.array([r["meta"] for r in rows])}
+    return co_train(docs, np.array([r["doc_id"] for r in rows], dtype=np.int64), inputs, np.array([r["label"] for r in rows]))
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -> DataFrame:

@@ -159,6 +159,17 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([not x["keep"] for q, x in held if q == 0]) >= 0.5
 
 
+def test_co_training_reaches_every_unlabelled_document(spark):
+    """A source that two of 12,000 unlabelled documents have gets a weight from them."""
+    rare = next(f"rare{i}" for i in range(99) if quality._name_bucket("source", f"rare{i}") != quality._name_bucket("source", "s"))
+    text = ["good words here and there " * 3, "$$ ## %% zz qq xx " * 4]
+    rows = [(i, text[i % 2], "en", "s") for i in range(12_200)] + [(20_000, text[1], "en", rare), (20_001, text[1], "en", rare)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.learn(frame(spark, rows), labels)
+    place = len(model.meta.weights) - quality.HASHED_NAMES + quality._name_bucket("source", rare)
+    assert model.meta.weights[place] < 0
+
+
 def test_quality_edges(spark):
     rows = [(1, None, None, None), (2, "", "en", "s"), (3, "some text here", None, None), (3, "some text here", None, None), (None, "other " * 30_000, "en", "s")]
     no_labels = spark.createDataFrame([(1, None), (None, 1), (3, 1)], "doc_id long, quality int")
