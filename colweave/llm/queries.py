@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colweave.llm import (decontam, embed_dedup, langid, licenses, mixing, quality, simhash, tokenbin, urlfilter,
-                          warc)
+from colweave.llm import (decontam, embed_dedup, langid, licenses, merkle, mixing, quality, simhash, tokenbin, toxicity,
+                          urlfilter, warc, whitening)
 
 TOKENIZER = "word_bpe_49k.json"
 # Documents of this remainder of crc32(doc_id) are held out from learning languages.
 HELD_OUT, FOLDS = 2, 4
+# Documents whose crc32(doc_id) this divides are held out from learning toxicity.
+TOXICITY_FOLDS = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +71,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.write_pages(_table(spark, sf_dir, "pages")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle.manifest(merkle.document_leaves(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                       "folded_root", "verified")
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % TOXICITY_FOLDS == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % TOXICITY_FOLDS != 0)
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), labels, ["doc_id", held_out.alias("held_out")])
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
 QUERIES = {run.__name__: run for run in (
     op1_simhash, op2_mixing, op3_quality, op4_language, op5_decontamination, op6_embeddings, op7_url_filter, op8_licenses,
-    op9_token_ids, op10_warc)}
+    op9_token_ids, op10_warc, op11_merkle, op12_toxicity, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -175,4 +194,59 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN NULL ELSE first_id END AS refers_to
 FROM p LEFT JOIN first USING (payload_digest)""",
+    # crc32 is worked out bit by bit from the digits of the id.
+    "op11_merkle": """
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, d.*, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents d),
+fields AS (
+  SELECT r, doc_id, lang, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS struck, n_chars,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+  FROM docs),
+leaves AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(length((n_chars + struck::INT)::VARCHAR) || ':' || (n_chars + struck::INT), '-') || tail) AS held
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, place, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 2, any_value((n + 1) // 2), sha256(string_agg(node, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2),
+subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, any_value((n + 1) // 2), sha256(string_agg(node, '' ORDER BY place))
+  FROM tops WHERE n > 1 GROUP BY level, place // 2),
+steps AS (
+  SELECT p.r, s.level AS level, xor(p.place >> s.level, 1) < p.place >> s.level AS before, coalesce(x.node, '') AS sibling
+  FROM placed p JOIN (SELECT DISTINCT lang, level, n FROM nodes WHERE n > 1) s ON p.lang IS NOT DISTINCT FROM s.lang
+  LEFT JOIN nodes x ON x.lang IS NOT DISTINCT FROM p.lang AND x.level = s.level AND x.place = xor(p.place >> s.level, 1)
+  UNION ALL
+  SELECT p.r, 1000 + s.level, xor(b.place >> s.level, 1) < b.place >> s.level, coalesce(x.node, '')
+  FROM placed p JOIN subroots b ON p.lang IS NOT DISTINCT FROM b.lang
+  CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) s
+  LEFT JOIN tops x ON x.level = s.level AND x.place = xor(b.place >> s.level, 1)),
+proofs AS (
+  SELECT r, string_agg(sibling, '' ORDER BY level) AS siblings,
+    list({'before': before, 'sibling': sibling} ORDER BY level) AS path FROM steps GROUP BY r),
+folds AS (
+  SELECT p.r, 1 AS step, p.held AS node, coalesce(len(path), 0) AS height FROM placed p LEFT JOIN proofs USING (r)
+  UNION ALL
+  SELECT f.r, step + 1, CASE WHEN path[step].before THEN sha256(path[step].sibling || node) ELSE sha256(node || path[step].sibling) END, height
+  FROM folds f JOIN proofs USING (r) WHERE step <= height)
+SELECT p.doc_id, p.leaf, b.subroot, t.node AS root, sha256(coalesce(siblings, '')) AS proof_sha256, f.node AS folded_root,
+  f.node = t.node AS verified
+FROM placed p JOIN subroots b ON p.lang IS NOT DISTINCT FROM b.lang JOIN tops t ON t.n = 1
+  JOIN folds f ON f.r = p.r AND f.step > f.height LEFT JOIN proofs q ON q.r = p.r""",
 }
