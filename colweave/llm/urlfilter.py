@@ -36,7 +36,8 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
     return spark.createDataFrame(list(rules), "verdict string, host string, path string")
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow",
+          prefix_digits: int = PREFIX_DIGITS) -> DataFrame:
     """``(page_id, host, path, rule, verdict)``, one row per row of ``pages``.
 
     A rule ``(verdict, host, path)`` fits its host and all subdomains if the URL's path
@@ -48,7 +49,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     Each URL is expanded only into the numbers of host labels and the path lengths
     that occur in rules, so a URL has few expressions however long it is.  Expressions
-    meet rules on a short prefix of their SHA-256; the full digest then confirms.
+    meet the rules of a short prefix of their SHA-256, all in one row; the full digest
+    then picks among them.
     """
     digest = F.sha2(F.concat("host", "path"), 256)
     known = (rules.where("host <> '' AND path IS NOT NULL AND verdict IS NOT NULL")
@@ -58,10 +60,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
                       F.collect_set(F.length("path")).alias("lengths")).first()
     labels = F.array(*map(F.lit, sorted(shape.labels))).cast("array<int>")
     lengths = F.array(*map(F.lit, sorted(shape.lengths))).cast("array<int>")
-    best_rule = (known.groupBy("rule_digest", "host", "path")
+    # One row a prefix: the rules whose digests begin with it (a few, as digests spread evenly).
+    by_prefix = (known.groupBy("rule_digest", "host", "path")
                  .agg(F.max("verdict").alias("rule_verdict"))  # block sorts after allow
-                 .select(F.substring("rule_digest", 1, PREFIX_DIGITS).alias("prefix"), "rule_digest", "rule_verdict",
-                         F.concat("host", "path").alias("rule"), F.length("host").alias("host_length")))
+                 .groupBy(F.substring("rule_digest", 1, prefix_digits).alias("prefix"))
+                 .agg(F.collect_list(F.struct(
+                     "rule_digest", F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"),
+                     F.col("rule_verdict").alias("verdict"), F.concat("host", "path").alias("rule"))).alias("near")))
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # Equal rows are judged once; their number brings them back.
     distinct = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("rows"))
@@ -72,10 +77,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     expanded = (parts.select("page_id", "host", "path", "rows", F.explode_outer(expressions).alias("expression"))
                 .withColumn("digest", F.sha2("expression", 256))
-                .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS)))
-    fitting = expanded.join(best_rule, (expanded.prefix == best_rule.prefix) & (expanded.digest == best_rule.rule_digest), "left")
-    winner = F.max(F.when(F.col("rule").isNotNull(),
-                          F.struct(F.length("rule").alias("length"), "host_length", F.col("rule_verdict").alias("verdict"), "rule")))
+                .withColumn("prefix", F.substring("digest", 1, prefix_digits)))
+    confirmed = F.filter("near", lambda x: x["rule_digest"] == F.col("digest"))
+    fitting = expanded.join(by_prefix, "prefix", "left").withColumn("fits", confirmed)
+    winner = F.max(F.array_max(F.transform("fits", lambda x: F.struct(
+        x["length"].alias("length"), x["host_length"].alias("host_length"), x["verdict"].alias("verdict"), x["rule"].alias("rule")))))
     judged = fitting.groupBy("page_id", "host", "path", "rows").agg(winner.alias("winner"))
     return (judged.withColumn("_row", F.explode(F.expr("sequence(1L, rows)")))
             .select("page_id", "host", "path", F.col("winner.rule").alias("rule"),
