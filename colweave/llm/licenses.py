@@ -37,7 +37,7 @@ TEMPLATES = {
 DIAGONAL_GAP = 2
 # The share of a template's word pairs that a span must hold.
 COVERAGE = 0.7
-MAX_TEMPLATE_WORDS = 100_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,8 +51,6 @@ def _pairs(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[s
         if len(words) < 2:
             raise ValueError("a template needs two words")
         rows += [(words[t], words[t + 1], number, label, exact, t, len(words) - 1) for t in range(len(words) - 1)]
-    if len(rows) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"more than {MAX_TEMPLATE_WORDS} template words")
     pairs = spark.createDataFrame(rows, "first string, second string, template int, label string, exact boolean, t int, pairs int")
     mark = spark.range(1).select(
         F.lit(0).cast("long").alias("gram"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second"),
@@ -66,8 +64,8 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     """One row per document row with its license labels, score and spans.
 
     ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)``.
-    Words are runs of ASCII letters and digits and of characters beyond ASCII, letters
-    in lower case.  A phrase is found where its words stand consecutively: ``n_base``
+    Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z in
+    lower case.  A phrase is found where its words stand consecutively: ``n_base``
     places, of all phrases, with their smallest and largest first word.  A template is
     found where a run of neighbouring diagonals holds at least ``coverage`` of its word
     pairs.  ``labels`` are those of phrases and templates, ``score`` is 1 for a phrase,
@@ -76,19 +74,23 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
 
     A null or empty text has no words, no labels (empty strings) and no places.  Repeated
     rows and ids stay one row each (a row is known by doc_id and its text's hash).
-    Templates are bounded by ``MAX_TEMPLATE_WORDS`` and broadcast; the documents' word
-    pairs are never shuffled, only the matches are.  A pair's hash is confirmed by its words.
+    Templates are a written table of known size: while that is small Spark broadcasts it
+    and the documents' word pairs stay where they are, beyond it joins them by hash.  A
+    pair's hash is confirmed by its words.  The work grows with the number of words,
+    in a long text as in many short ones.
     """
-    pairs = _pairs(docs.sparkSession, phrases, templates)
+    pairs = materialise(_pairs(docs.sparkSession, phrases, templates))
     words = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_key"),
-                        F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda x: x != "").alias("words"))
-    grams = words.select(
-        "doc_id", "text_key", "words", F.size("words").alias("n_words"),
-        F.posexplode(F.expr("concat(array(0L), zip_with(slice(words, 1, greatest(size(words) - 1, 0)),"
-                            " slice(words, 2, greatest(size(words) - 1, 0)), (a, b) -> xxhash64(a, b)))")).alias("place", "gram"))
-    confirmed = F.expr("(template = -1 AND place = 0) OR (template >= 0 AND place > 0"
-                       " AND try_element_at(words, place) = first AND try_element_at(words, place + 1) = second)")
-    met = materialise(grams.join(F.broadcast(pairs), "gram").where(confirmed).select(
+                        F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), SEPARATORS), lambda x: x != "").alias("words"))
+    # Each pair carries its own two words, so that the array of all words stays behind.
+    listed = F.expr("concat(array(named_struct('gram', 0L, 'left', cast(null AS string), 'right', cast(null AS string))),"
+                    " zip_with(slice(words, 1, greatest(size(words) - 1, 0)), slice(words, 2, greatest(size(words) - 1, 0)),"
+                    " (a, b) -> named_struct('gram', xxhash64(a, b), 'left', a, 'right', b)))")
+    grams = (words.select("doc_id", "text_key", F.size("words").alias("n_words"), listed.alias("listed"))
+             .select("doc_id", "text_key", "n_words", F.posexplode("listed").alias("place", "pair"))
+             .select("doc_id", "text_key", "n_words", "place", "pair.gram", "pair.left", "pair.right"))
+    confirmed = F.expr("(template = -1 AND place = 0) OR (template >= 0 AND place > 0 AND left = first AND right = second)")
+    met = materialise(grams.join(pairs, "gram").where(confirmed).select(
         "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), "template", "label", "exact", "pairs",
         (F.col("place") - 1).cast("long").alias("place"), F.col("t").cast("long").alias("t")))
     rows = met.where("template = -1").select(

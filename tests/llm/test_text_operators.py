@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -274,6 +275,68 @@ def test_license_phrases_against_brute_force(spark):
     assert licenses.scan(frame(spark, [])).collect() == []
 
 
+def slow_spans(words, template, coverage, gap):
+    """Merged diagonals of a template's word pairs, pair by pair."""
+    pairs = list(zip(template, template[1:]))
+    cells = {}
+    for p in range(len(words) - 1):
+        for t, pair in enumerate(pairs):
+            if pair == (words[p], words[p + 1]):
+                cells.setdefault(p - t, []).append((p, t))
+    spans, run = [], None
+    for diagonal in sorted(cells):
+        if run is None or diagonal - run[0] > gap:
+            run = [diagonal, set(), 10 ** 9, -1]
+            spans.append(run)
+        run[0] = diagonal
+        run[1] |= {t for _, t in cells[diagonal]}
+        run[2] = min([run[2], *(p for p, _ in cells[diagonal])])
+        run[3] = max([run[3], *(p for p, _ in cells[diagonal])])
+    return [(low, high + 2, len(seen) / len(pairs)) for _, seen, low, high in spans if len(seen) / len(pairs) >= coverage]
+
+
+def test_license_diagonals_against_brute_force(spark):
+    rng = random.Random(3)
+    listed = {"one": ("a b c d e f g", "x y z x y"), "two": ("c d e a b c d", "q r")}
+    texts = []
+    for _ in range(120):
+        w = []
+        for _ in range(rng.randint(0, 6)):
+            t = rng.choice([t for ts in listed.values() for t in ts]).split()
+            for _ in range(rng.randint(0, 3)):  # words left out, put in and replaced
+                at = rng.randrange(len(t) + 1)
+                t[at:at + rng.randint(0, 1)] = rng.choices("abcxyzqr", k=rng.randint(0, 2))
+            w += t + rng.choices("mnop", k=rng.randint(0, 3))
+        texts.append(" ".join(w))
+    got = licenses.scan(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), {"a b": "ab"}, listed, 0.6, 1).collect()
+    for r in got:
+        words, spans = texts[r["doc_id"]].split(), []
+        for label, ts in listed.items():
+            for t in ts:
+                spans += [(label, *s) for s in slow_spans(words, t.split(), 0.6, 1)]
+        base = [("ab", i, i + 2, 1.0) for i in range(len(words) - 1) if words[i:i + 2] == ["a", "b"]]
+        found = spans + base
+        assert sorted((s["label"], s["start"], s["end"]) for s in r["spans"]) == sorted(s[:3] for s in found)
+        assert r["labels"] == ",".join(sorted({s[0] for s in found}))
+        assert r["score"] == pytest.approx(max((s[3] for s in found), default=0.0))
+
+
+def test_license_scan_of_letters_beyond_ascii(spark):
+    got = licenses.scan(frame(spark, [(1, "CC BY", None, None), (2, "\u212a \u0130 cc by", None, None)])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_base"]) for r in got} == {1: (2, 1), 2: (4, 1)}
+
+
+def test_license_scan_time_grows_with_words(spark):
+    import time
+    texts = {n: " ".join(f"w{i % 977}" for i in range(n)) + " all rights reserved" for n in (80_000, 320_000)}
+    took = {}
+    for n in (80_000, 320_000, 80_000, 320_000):
+        start = time.perf_counter()
+        assert licenses.scan(frame(spark, [(1, texts[n], None, None)])).first()["first_word"] == n
+        took[n] = time.perf_counter() - start
+    assert took[320_000] < 2.5 * took[80_000] + 3
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan(frame(spark, [(1, "cc by", None, None)]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
