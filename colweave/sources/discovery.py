@@ -22,6 +22,7 @@ from colweave.functions.stats import is_numeric
 from colweave.operators.roles import likely_timestamp
 from colweave.functions.timeparse import best_layout, parse_by_layout
 from colweave.session import materialise, ready_workers
+from colweave.sources import quoted
 
 # Supported file endings and their separators.
 TEXT_SEPARATORS = {"csv": ",", "tsv": "\t"}
@@ -108,36 +109,43 @@ def with_columns(files: DataFrame) -> DataFrame:
 
 
 def with_line_breaks(spark: SparkSession, paths: list[str]) -> set[str]:
-    """The text files that hold a record of several lines: some line opens a quote and does not close it."""
+    """The text files that may hold a record of several lines: some line has an odd number of quotes."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     found = spark.read.text(paths).where(quotes % 2 == 1).select(_scanned_path().alias("path")).distinct()
     return {r["path"] for r in found.collect()}
 
 
-def read_files(spark: SparkSession, ext: str, paths: list[str], line_breaks: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, ext: str, paths: list[str], line_breaks: bool = False,
+               columns: list[str] | None = None) -> DataFrame:
     """Rows of same-schema files, with the file they come from and their place in it.
 
-    With ``line_breaks`` a quoted value of a text file may go on over lines; such a
-    file is read by one task.
+    With ``line_breaks`` a quoted value of a text file may go on over lines; the file is
+    read by many tasks all the same, and ``columns`` are its names.
     """
-    if ext in TEXT_SEPARATORS:
+    if ext in TEXT_SEPARATORS and line_breaks:
+        records = quoted.read_records(spark, paths, TEXT_SEPARATORS[ext], _scanned_path())
+        df = quoted.typed(records, columns, TEXT_SEPARATORS[ext])
+        names = df.columns[2:]
+        df = _without_missing_words(df, names)
+        path, block, place = F.col("_file"), F.lit(0).cast("long"), F.col("_number")
+    elif ext in TEXT_SEPARATORS:
         # A doubled quote inside quotes is one quote.
-        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"',
-                            multiLine=line_breaks)
-        df = _without_missing_words(df)
+        df = spark.read.csv(paths, header=True, inferSchema=True, sep=TEXT_SEPARATORS[ext], escape='"')
+        names = df.columns
+        df = _without_missing_words(df, names)
+        path, block, place = _scanned_path(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     else:
         df = spark.read.parquet(*paths)
-    renamed = [F.col(f"`{c}`").alias(f"{c}_" if c in RESERVED else c) for c in df.columns]
-    return df.select(
-        _scanned_path().alias("_path"),
-        F.struct(_scanned_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("pos")).alias("row_id"),
-        *renamed)
+        names = df.columns
+        path, block, place = _scanned_path(), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    renamed = [F.col(f"`{c}`").alias(f"{c}_" if c in RESERVED else c) for c in names]
+    return df.select(path.alias("_path"), F.struct(path.alias("file"), block.alias("block"), place.alias("pos")).alias("row_id"),
+                     *renamed)
 
 
-def _without_missing_words(df: DataFrame) -> DataFrame:
+def _without_missing_words(df: DataFrame, names: list[str]) -> DataFrame:
     """Text columns with words for missing values as NULL; those that hold numbers besides become double."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    texts = [c for c in names if df.schema[c].dataType.simpleString() == "string"]
     if not texts:
         return df
     known = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING_WORDS), F.col(f"`{c}`")) for c in texts}
@@ -187,7 +195,7 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     groups: dict[tuple, list[str]] = {}
     for row in found:
         groups.setdefault((row["ext"], tuple(row["columns"]), row["path"] in broken), []).append(row["path"])
-    reads = {key: read_files(spark, key[0], sorted(paths), key[2]) for key, paths in groups.items()}
+    reads = {key: read_files(spark, key[0], sorted(paths), key[2], list(key[1])) for key, paths in groups.items()}
     counts = reduce(lambda a, b: a.unionByName(b), [
         df.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows")) for df in reads.values()])
     inventory = materialise(

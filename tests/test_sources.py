@@ -1,9 +1,12 @@
+import csv
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from colweave.operators import graphs
-from colweave.sources import artefacts, discovery
+from colweave.sources import artefacts, discovery, quoted
 
 
 def write(folder, name, text):
@@ -61,6 +64,62 @@ def test_quoted_line_breaks(spark, tmp_path, rows):
     assert rows(df, "note", "v") == [("plain", 3), ('say "hi"', 2), ("two\nlines", 1)]
 
 
+def test_quotes_at_the_end_of_a_line():
+    lines = ['a,b', '"a,b', 'a"b,c', 'a,"b""', 'a,"b"",c"', '"a"x,"', 'a",b', '', '"', '""', '"""', 'a,b"', '"a""b"," c']
+    for line in lines:
+        for inside in (False, True):
+            state = inside
+            fresh = not inside
+            k = 0
+            while k < len(line):  # letter by letter
+                if state:
+                    if line[k] == '"':
+                        if line[k + 1:k + 2] == '"':
+                            k += 1
+                        else:
+                            state = False
+                elif line[k] == '"' and fresh:
+                    state = True
+                fresh = not state and line[k] == ","
+                k += 1
+            assert quoted.ends_outside(line, inside, ",") == (not state), (line, inside)
+
+
+def test_records_over_lines_in_many_splits(spark, tmp_path):
+    """One file, splits of a few hundred bytes: every record comes out as the csv module reads it."""
+    rng = random.Random(5)
+    values = ["plain", "two\nlines", 'say "hi"', "", 'a "" b', "x, y", 'inch 5" pipe', "\n\n", "tail\n", '"', "dé\nf" * 40]
+    table = [[str(i), rng.choice(values), rng.choice(values), str(rng.random())] for i in range(900)]
+    path = tmp_path / "one.csv"
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["n", "file", "number", "v"])
+        writer.writerows(table[:400])
+        out.write("\n")  # a blank line is no record
+        out.write('900,inch 5" pipe,x,0.5\n')  # a quote within a bare value is plain
+        writer.writerows(table[400:])
+    want = [r for r in csv.reader(open(path, newline="", encoding="utf-8")) if r][1:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        df = discovery.read_files(spark, "csv", [str(path)], True, ["n", "file", "number", "v"])
+        assert spark.read.text(str(path), lineSep="\n").rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = df.orderBy("row_id.pos").select("n", "file", "number", "v").collect()
+    assert [[str(r["n"]), r["file"] or "", r["number"] or "", r["v"]] for r in got] == [[*r[:3], float(r[3])] for r in want]
+    assert df.schema["n"].dataType.simpleString() == "int" and df.schema["v"].dataType.simpleString() == "double"
+
+
+def test_windows_line_ends_and_an_open_quote(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    path.write_bytes(b'a,b\r\n1,"x\r\ny"\r\n2,z\r\n3,"never\r\nclosed')
+    got = discovery.read_files(spark, "csv", [str(path)], True, ["a", "b"]).orderBy("row_id.pos").select("a", "b").collect()
+    assert [(r["a"], r["b"].replace("\r\n", "\n")) for r in got] == [(1, "x\ny"), (2, "z"), (3, "never\nclosed")]
+
+
 def test_strict_loading(spark, folder):
     with pytest.raises(discovery.SchemaDrift):
         discovery.load_stations(spark, str(folder), strict=True)
