@@ -34,7 +34,7 @@ OWN_CONTEXT = 2
 # Added to the number of words when evidence is divided by it, so that a few words alone say little.
 EXTRA_WORDS = 30
 # A chunk ends at this many bytes of text or documents; a longer text is a chunk of its own.
-CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 50_000
+CHUNK_BYTES, CHUNK_DOCS = 10 << 20, 50_000
 # One labelled document in so many calibrates the score and is not counted.
 CALIBRATION = 5
 # Evidence is counted in cells for the calibration.
@@ -107,9 +107,9 @@ class _Chunk:
             named, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
             doc = np.repeat(np.arange(len(edges) - 1), np.diff(words.first))
             cell, count = np.unique(doc * max(1, len(named)) + inverse, return_counts=True)
-            self.doc.append(self.docs + row + cell // max(1, len(named)))
+            self.doc.append((self.docs + row + cell // max(1, len(named))).astype(np.uint32))
             self.hash.append(named[cell % max(1, len(named))])
-            self.count.append(count)
+            self.count.append(count.astype(np.uint32))
             length = words.end[at] - words.start[at]
             before = np.cumsum(length) - length
             self.words.append(words.data[np.repeat(words.start[at] - before, length) + np.arange(length.sum())])
@@ -125,14 +125,15 @@ class _Chunk:
         text = np.concatenate([*self.words, np.zeros(0, np.uint8)])
         known, at = np.unique(named, return_index=True)
         word = np.searchsorted(known, np.concatenate([*self.hash, np.zeros(0, np.uint64)]))
+        self.hash = self.named = self.words = self.length = None
         # Frequent words get small numbers, which pack better.
         rank = np.empty(len(known), dtype=np.int64)
         order = np.argsort(-np.bincount(word, minlength=len(known)), kind="stable")
         rank[order] = np.arange(len(known))
         at = at[order]
-        cell = np.concatenate([*self.doc, np.zeros(0, np.int64)]) * max(1, len(known)) + rank[word]
+        cell = np.concatenate([*self.doc, np.zeros(0, np.uint32)]).astype(np.int64) * max(1, len(known)) + rank[word]
         cell, place = np.unique(cell, return_inverse=True)
-        count = np.bincount(place, weights=np.concatenate([*self.count, np.zeros(0, np.int64)]), minlength=len(cell)).astype(np.int64)
+        count = np.bincount(place, weights=np.concatenate([*self.count, np.zeros(0, np.uint32)]), minlength=len(cell)).astype(np.int64)
         doc, word = cell // max(1, len(known)), cell % max(1, len(known))
         first = np.searchsorted(doc, np.arange(self.docs + 1))
         steps = np.diff(word, prepend=0)
