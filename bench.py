@@ -17,13 +17,13 @@ from colweave.session import build_session  # noqa: E402
 
 HEADLINES = [
     "line_graph_summary", "standard_scaling", "pearson_matrix", "pearson_matrix_wide", "gram_matrix_wide",
-    "cosine_matrix", "correlation_graph", "top_k_graph", "weighted_graph", "learned_graph", "adjacency_matrix",
+    "cosine_matrix", "correlation_graph", "top_k_graph", "weighted_graph", "adjacency_matrix",
     "column_profile_orders", "duplicate_row_counts", "duplicate_columns", "iqr_outlier_counts_lines",
     "zscore_outlier_counts_lines", "column_roles", "timestamp_search", "row_dedupe", "sparse_columns",
     "redundant_columns", "fill_both_ways", "time_interpolation", "impute_median_mode", "knn_imputation",
     "outliers_iqr_clip", "outliers_z_score_winsorize", "isolation_forest_treatment", "graph_metrics_correlation",
     "graph_metrics_top_k", "betweenness_centrality_top_k", "eigenvector_centrality_correlation",
-    "pagerank_centrality_top_k", "attention_model_top_k", "mean_model_correlation", "embedding_run_reports",
+    "pagerank_centrality_top_k", "attention_model_top_k", "mean_model_correlation", "station_reports",
 ]
 
 

@@ -34,6 +34,8 @@ class Settings:
 
     correlation_threshold: float = 0.5
     top_k_neighbors: int = 5
+    # The similarity that the top-k graph ranks by.
+    top_k_similarity: str = "correlation"
     # Only a drawing option; accepted and without effect on the edges.
     weighted_graph: bool = True
     learnable_epochs: int = 150
@@ -47,6 +49,8 @@ class Settings:
     gnn_hidden_dim: int = 16
     gnn_embedding_dim: int = 8
     gnn_weight_decay: float = 1e-4
+    # Leading axes that node features keep.
+    node_feature_dim: int = 32
 
     # Accepted; Spark decides the parallelism.
     multiprocessing: bool = True
@@ -72,13 +76,14 @@ class Settings:
             ("missing_impute_strategy", IMPUTE_STRATEGIES),
             ("outlier_method", OUTLIER_METHODS),
             ("outlier_treatment", OUTLIER_TREATMENTS),
+            ("top_k_similarity", SIMILARITIES),
         ):
             need(getattr(self, name) in allowed, f"{name} must be one of {sorted(allowed)}")
         need(str(self.log_level).upper() in LOG_LEVELS, f"log_level must be one of {sorted(LOG_LEVELS)}")
         for name in ("correlation_threshold", "redundant_correlation_threshold", "missing_threshold_drop"):
             need(0.0 <= getattr(self, name) <= 1.0, f"{name} must be between 0.0 and 1.0")
         for name in ("top_k_neighbors", "learnable_epochs", "learnable_lr", "gnn_epochs",
-                     "gnn_lr", "gnn_hidden_dim", "gnn_embedding_dim"):
+                     "gnn_lr", "gnn_hidden_dim", "gnn_embedding_dim", "node_feature_dim"):
             need(getattr(self, name) > 0, f"{name} must be positive")
         for name in ("learnable_weight_decay", "gnn_weight_decay", "near_constant_threshold"):
             need(getattr(self, name) >= 0, f"{name} must be non-negative")

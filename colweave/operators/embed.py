@@ -20,31 +20,13 @@ from colweave.operators.graphs import endpoints
 from colweave.operators.layers import RUN_KEYS, attention_layer, sampled_layer
 from colweave.session import materialise, ready_workers
 
+# Leading axes of a node's features, if the settings name no other number.
 MAX_FEATURE_DIM = 32
 MIN_NODES = 3
 MODELS = ("GAT", "GraphSAGE")
-# Rows a station keeps when it is subsampled.
-SAMPLE_ROWS = 10_000
 
 
-def subsample(df: DataFrame, seed: int, rows: int = SAMPLE_ROWS, row_id: str = "row_id") -> DataFrame:
-    """At most ``rows`` rows per station, the same ones on every run.
-
-    A hash threshold from the station's row count keeps a little more than
-    needed, so the exact cut ranks a bounded number of rows.
-    """
-    counts = materialise(df.groupBy("station").agg(F.count(F.lit(1)).alias("_rows")))
-    draw = F.xxhash64(F.col("station"), F.col(row_id), F.lit(seed))
-    # The hash as a number in [0, 1).
-    unit = F.pmod(draw, F.lit(1 << 40)) / float(1 << 40)
-    share = (rows + 8.0 * rows ** 0.5) / F.col("_rows")
-    rank = Window.partitionBy("station").orderBy("_draw", row_id)
-    return (df.join(counts, "station").withColumn("_draw", draw).where(unit <= share)
-            .withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= rows)
-            .drop("_rows", "_draw", "_rank"))
-
-
-def _feature_helper(cols: list[str], width: int):
+def _feature_helper(cols: list[str], width: int, limit: int):
     def scores(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
         used = np.unique(np.concatenate([i, j]))
@@ -53,7 +35,7 @@ def _feature_helper(cols: list[str], width: int):
         gram[i, j] = gram[j, i] = pdf["g"].to_numpy()
         centre = np.eye(size) - 1.0 / size
         values, vectors = np.linalg.eigh(centre @ gram[np.ix_(used, used)] @ centre)
-        keep = min(size - 1, int(pdf["rows"].iloc[0]), MAX_FEATURE_DIM)
+        keep = min(size - 1, int(pdf["rows"].iloc[0]), limit)
         top = np.argsort(values)[::-1][:keep]
         x = vectors[:, top] * np.sqrt(np.maximum(values[top], 0.0))
         signs = np.sign(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])]) if x.size else np.ones(x.shape[1])
@@ -64,12 +46,13 @@ def _feature_helper(cols: list[str], width: int):
     return scores
 
 
-def feature_width(cols: list[str]) -> int:
-    return max(1, min(len(cols) - 1, MAX_FEATURE_DIM))
+def feature_width(cols: list[str], limit: int = MAX_FEATURE_DIM) -> int:
+    return max(1, min(len(cols) - 1, limit))
 
 
-def node_features(grams: DataFrame, features: DataFrame, counts: DataFrame, cols: list[str]) -> DataFrame:
-    """Principal scores of every node: ``(station, node, h)``, at most 32 wide.
+def node_features(grams: DataFrame, features: DataFrame, counts: DataFrame, cols: list[str],
+                  limit: int = MAX_FEATURE_DIM) -> DataFrame:
+    """Principal scores of every node: ``(station, node, h)``, at most ``limit`` axes.
 
     ``grams(station,i,j,g)`` are inner products of the scaled columns and
     ``features(station, column, idx)`` lists each station's nodes; other columns
@@ -80,7 +63,7 @@ def node_features(grams: DataFrame, features: DataFrame, counts: DataFrame, cols
             .join(own.withColumnRenamed("i", "j"), ["station", "j"], "left_semi")
             .join(counts.select("station", "rows"), "station"))
     return ready_workers(kept).groupBy("station").applyInPandas(
-        _feature_helper(cols, feature_width(cols)), "station string, node string, h array<double>")
+        _feature_helper(cols, feature_width(cols, limit), limit), "station string, node string, h array<double>")
 
 
 def run_name(graph_type, model: str):

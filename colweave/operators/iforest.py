@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from colweave.functions.stats import clamp
+from colweave.functions.stats import clamp, join_station
 from colweave.operators.quantiles import exact_percentiles
 from colweave.session import GROUP_ROW_LIMIT, materialise, ready_workers
 
@@ -29,6 +29,8 @@ OFFERED_ROWS = TREE_ROWS + 10 * math.isqrt(TREE_ROWS)
 BROADCAST_NODES = 600_000
 # Rows of one scoring group in that case.
 SCORE_ROWS = 200_000
+# The key under which rows without a station meet their trees.
+NO_STATION = "\u0001"
 EULER_GAMMA = 0.5772156649015329
 
 NODE_SCHEMA = ("station string, tree int, id int, feature int, split double, child int, length double, sampled int")
@@ -51,10 +53,15 @@ def _value(c: str):
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
 
+def _key():
+    return F.coalesce(F.col("station").cast("string"), F.lit(NO_STATION))
+
+
 def _samples(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     """``(station, tree, x)``: up to 256 rows for every tree, drawn by hash from all rows of the station."""
     counts = materialise(df.groupBy("station").agg(F.count(F.lit(1)).alias("_n")))
-    rows = df.select("station", "row_id", F.array(*[_value(c) for c in cols]).alias("x")).join(counts, "station")
+    rows = df.select("station", "row_id", F.array(*[_value(c) for c in cols]).alias("x"))
+    rows = join_station(rows, counts)
     # A row of a small station meets every tree.  Otherwise it has a few slots, mostly one, and
     # each slot leads to some tree with the chance that offers every tree enough rows.
     slots = F.ceil(TREES * OFFERED_ROWS / F.col("_n")).cast("int")
@@ -142,7 +149,7 @@ def with_scores(df: DataFrame, cols: list[str], forest: DataFrame,
     """
     forest = materialise(ready_workers(forest))
     if forest.count() <= broadcast_nodes:
-        table = {key: _packed(part) for key, part in forest.toPandas().groupby("station")}
+        table = {key: _packed(part) for key, part in forest.withColumn("station", _key()).toPandas().groupby("station")}
         shared = df.sparkSession.sparkContext.broadcast(table)
 
         @F.pandas_udf("double")
@@ -154,14 +161,14 @@ def with_scores(df: DataFrame, cols: list[str], forest: DataFrame,
                     scores[at] = _scores(x[at], shared.value[key])
             return pd.Series(scores)
 
-        return df.withColumn(out, score("station", *[_value(c) for c in cols]))
+        return df.withColumn(out, score(_key(), *[_value(c) for c in cols]))
     names = [f"_x{i}" for i in range(len(cols))]
     parts = materialise(df.groupBy("station").agg(
         F.ceil(F.count(F.lit(1)) / SCORE_ROWS).alias("_parts")))
-    dealt = df.withColumns({n: _value(c) for c, n in zip(cols, names)}).join(parts, "station").withColumn(
-        "_part", F.pmod(F.xxhash64("row_id"), F.col("_parts"))).select("station", "_part", F.struct(*df.columns).alias("_row"), *names)
-    trees = forest.join(parts, "station").select(
-        F.col("station").alias("station"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"),
+    dealt = join_station(df.withColumns({n: _value(c) for c, n in zip(cols, names)}), parts).withColumn(
+        "_part", F.pmod(F.xxhash64("row_id"), F.col("_parts"))).select(_key().alias("_station"), "_part", F.struct(*df.columns).alias("_row"), *names)
+    trees = join_station(forest, parts).select(
+        _key().alias("_station"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"),
         "tree", "id", "feature", "split", "child", "length", "sampled")
 
     def score_part(rows: pa.Table, own: pa.Table) -> pa.Table:
@@ -172,7 +179,7 @@ def with_scores(df: DataFrame, cols: list[str], forest: DataFrame,
         return pa.table({"_row": rows["_row"], out: pa.array(scores)})
 
     kind = df.select(F.struct(*df.columns).alias("_row")).schema["_row"].dataType
-    scored = dealt.groupBy("station", "_part").cogroup(trees.groupBy("station", "_part")).applyInArrow(
+    scored = dealt.groupBy("_station", "_part").cogroup(trees.groupBy("_station", "_part")).applyInArrow(
         score_part, StructType([StructField("_row", kind), StructField(out, DoubleType())]))
     return scored.select("_row.*", out)
 
@@ -197,7 +204,7 @@ def treat_by_forest(df: DataFrame, cols: list[str], treatment: str, seed: int =
         return df, found
     tails = materialise(exact_percentiles(df, cols, [0.01, 0.99], limit).select(
         "station", *[F.col(c).alias(f"_q_{c}") for c in cols]))
-    marked = flagged.join(tails, "station", "left")
+    marked = join_station(flagged, tails, "left")
     treated = {c: F.when(F.col("_out"), clamp(F.col(c).cast("double"), F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]))
                .otherwise(F.col(c).cast("double")) for c in cols}
     return marked.withColumns(treated).select(*df.columns), found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.functions.stats import clamp
+from colweave.functions.stats import clamp, join_station
 from colweave.operators import profile
 from colweave.operators.quantiles import exact_percentiles
 from colweave.session import GROUP_ROW_LIMIT, materialise
@@ -35,12 +35,12 @@ def treat_outliers(df: DataFrame, cols: list[str], method: str, treatment: str,
     if treatment == "winsorize":
         tails = exact_percentiles(df, cols, [0.01, 0.99], limit)
         tails = tails.select("station", *[F.col(c).alias(f"_q_{c}") for c in cols])
-        bounds = bounds.join(tails, "station").withColumns({
+        bounds = join_station(bounds, tails).withColumns({
             name: F.when(F.col(f"_lo_{c}").isNotNull(), F.col(f"_q_{c}")[side])
             for c in cols for side, name in ((0, f"_lo_{c}_w"), (1, f"_hi_{c}_w"))})
         bounds = bounds.select("station", *[
             col for c in cols for col in (F.col(f"_lo_{c}_w").alias(f"_lo_{c}"), F.col(f"_hi_{c}_w").alias(f"_hi_{c}"))])
-    joined = df.join(materialise(bounds), "station", "left")
+    joined = join_station(df, materialise(bounds), "left")
     treated = {c: F.when(F.col(f"_lo_{c}").isNotNull(),
                          clamp(F.col(c).cast("double"), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")))
                .otherwise(F.col(c).cast("double")) for c in cols}

@@ -1,101 +1,113 @@
-"""Exact percentiles with linear interpolation, at any station size.
+"""Exact percentiles with linear interpolation, at any station size, in two scans.
 
-Small stations use the built-in exact aggregate, whose buffer holds a station's
-distinct values.  Larger ones are narrowed by counting: a histogram pass finds
-the bin that holds each wanted rank, only the values of that bin are counted one
-by one, and the rank is read off their running total.  Bins are combined before
-the shuffle, so no task ever holds a station's values.
+The first scan keeps a mergeable quantile sketch per station and column; for every wanted
+percentile it gives two values that enclose its rank.  The second scan counts what lies
+below each pair and keeps, counted by value, only what lies within it; the wanted ranks
+are read off the running totals of these few values.  Sketches and counts are combined
+before the shuffle, so no task ever holds a station's values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colweave.functions.stats import join_station
 from colweave.operators.ordered import running_total
-from colweave.session import GROUP_ROW_LIMIT, materialise, max_group_rows
+from colweave.session import GROUP_ROW_LIMIT, materialise
 
-# Rows per station up to which the built-in aggregate is used.
-BUILTIN_ROWS = 250_000
-BINS = 4096
-# A bin this full is split again, at most this often; then values are counted as they are.
-SPLIT_ROWS = GROUP_ROW_LIMIT
-SPLIT_ROUNDS = 4
+# The sketch's rank error is one in so many rows; a pair of values encloses about four of these.
+ACCURACY = 2000
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = GROUP_ROW_LIMIT,
-                      bins: int = BINS) -> DataFrame:
-    """One row per station; each column becomes the array of its percentiles."""
-    if max_group_rows(df, ["station"]) <= min(limit, BUILTIN_ROWS):
-        return df.groupBy("station").agg(*[F.percentile(c, probs).alias(c) for c in cols])
-    return _by_histogram(df, cols, probs, min(limit, SPLIT_ROWS), limit, bins)
-
-
-def _by_histogram(df: DataFrame, cols: list[str], probs: list[float], split: int, limit: int, bins: int) -> DataFrame:
-    long = (df.select("station", *[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot(["station"], cols, "column", "value").where("value is not null"))
-    spans = df.groupBy("station").agg(*[
-        F.struct(F.lit(c).alias("column"), F.count(c).alias("held"), F.min(c).cast("double").alias("lo"),
-                 F.max(c).cast("double").alias("hi")).alias(f"s{i}") for i, c in enumerate(cols)])
-    spans = materialise(spans.select("station", F.inline(F.array(*[F.col(f"s{i}") for i in range(len(cols))]))))
-    # Two ranks per percentile: the value at or below its position and the one after.
-    ranks = F.flatten(F.array(*[
-        F.array(*[F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), (rounding(p * (F.col("held") - 1)))
-                           .cast("long").alias("rank")) for side, rounding in enumerate((F.floor, F.ceil))])
-        for k, p in enumerate(probs)]))
-    placed = spans.where("held > 0").select(
-        "station", "column", "held", "lo", "hi", F.lit(0).cast("long").alias("below"), F.inline(ranks))
-    for _ in range(SPLIT_ROUNDS):
-        fullest = placed.where("lo < hi").agg(F.max("held")).first()[0]
-        if fullest is None or fullest <= split:
-            break
-        brackets, opened = _numbered(placed)
-        scale = F.try_divide(F.lit(float(bins - 1)), F.col("hi") - F.col("lo"))
-        # Infinite ends cannot be divided; the finite middle is then one bin.
-        middle = F.when(scale > 0, F.floor((F.col("value") - F.col("lo")) * scale)).otherwise(0) + 1
-        place = (F.when(F.col("value") == F.col("lo"), 0).when(F.col("value") == F.col("hi"), bins + 1)
-                 .otherwise(middle).cast("int"))
-        upto = Window.partitionBy("id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        filled = (_inside(long, brackets).groupBy("id", place.alias("bin"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("from"), F.max("value").alias("to"))
-                  .withColumn("upto", F.sum("n").over(upto)))
-        last = F.col("below") + F.col("upto")
-        narrowed = (opened.join(filled, "id").where((F.col("rank") < last) & (F.col("rank") >= last - F.col("n")))
-                    .select("station", "column", F.col("n").alias("held"), F.col("from").alias("lo"),
-                            F.col("to").alias("hi"), (last - F.col("n")).alias("below"), "k", "side", "rank"))
-        placed = materialise(placed.where("lo >= hi").unionByName(narrowed))
-    brackets, opened = _numbered(placed)
-    counted = _inside(long, brackets).groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = running_total(materialise(counted), ["id"], ["value"], "n", "upto", limit)
-    found = (opened.join(totals, "id").where(F.col("below") + F.col("upto") > F.col("rank"))
-             .groupBy("station", "column", "k", "side").agg(F.min("value").alias("value"))
-             .unionByName(placed.where("lo >= hi").select("station", "column", "k", "side", F.col("lo").alias("value"))))
-    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("k") + 1) * (F.col("held") - 1)
-    both = found.groupBy("station", "column", "k").agg(
-        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("at"),
-        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("after"))
-    share = position - F.floor(position)
-    cells = both.join(spans.select("station", "column", "held"), ["station", "column"]).select(
-        "station", "column", "k", F.when(share == 0, F.col("at")).otherwise(
-            F.col("at") + (F.col("after") - F.col("at")) * share).alias("q"))
-    wide = cells.groupBy("station").agg(*[
-        F.array(*[F.max(F.when((F.col("column") == c) & (F.col("k") == k), F.col("q"))) for k in range(len(probs))])
-        .alias(c) for c in cols])
-    # Stations whose columns are all missing keep their row.
-    return spans.select("station").distinct().join(wide, "station", "left").select("station", *[
-        F.when(F.col(c)[0].isNotNull(), F.col(c)).alias(c) for c in cols])
-
-
-def _numbered(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct open brackets under a number, and the ranks with the number of theirs."""
-    bracket = ["station", "column", "lo", "hi", "below"]
-    opened = placed.where("lo < hi").drop("held")
-    brackets = materialise(opened.select(*bracket).distinct().withColumn("id", F.monotonically_increasing_id()))
-    return brackets.drop("below"), opened.join(brackets, bracket)
-
-
-def _inside(long: DataFrame, brackets: DataFrame) -> DataFrame:
-    return long.join(brackets, ["station", "column"]).where(F.col("value").between(F.col("lo"), F.col("hi")))
+                      accuracy: int = ACCURACY) -> DataFrame:
+    """One row per station; each column becomes the array of its percentiles, NULL without values.
+
+    ``limit`` is the number of distinct values of one bracket that a window may order in one task.
+    """
+    values = df.select("station", *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    cells = _bracketed(values, len(cols), probs, accuracy)
+    counted = _counted(values, cells, len(cols), len(probs))
+    found = _ranks(cells, counted, limit)
+    # A sketch may err by more than it states; such ranks are sought among all values of the column.
+    missed = cells.join(found, ["cell"], "left").where("(at IS NULL OR after IS NULL) AND held > 0")
+    if missed.limit(1).count():
+        wider = materialise(cells.join(missed.select("cell"), "cell", "left_semi").withColumn("low", F.col("least")).withColumn("high", F.col("most")))
+        found = found.where("at IS NOT NULL AND after IS NOT NULL").unionByName(
+            _ranks(wider, _counted(values, wider, len(cols), len(probs)), limit))
+    share = F.col("position") - F.floor("position")
+    quantile = F.when(share == 0, F.col("at")).otherwise(F.col("at") + (F.col("after") - F.col("at")) * share)
+    placed = cells.join(found, "cell", "left").select("station", "i", "k", quantile.alias("q"))
+    wide = placed.groupBy("station").agg(*[
+        F.array(*[F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.col("q"))) for k in range(len(probs))]).alias(c)
+        for i, c in enumerate(cols)])
+    return wide.select("station", *[F.when(F.col(f"`{c}`")[0].isNotNull(), F.col(f"`{c}`")).alias(c) for c in cols])
+
+
+def _bracketed(values: DataFrame, width: int, probs: list[float], accuracy: int) -> DataFrame:
+    """A row per station, column and percentile: ``cell``, the values ``low`` and ``high`` around it, and counts."""
+    spread = 2.0 / accuracy
+    ends = sorted({min(1.0, max(0.0, p + side * spread)) for p in probs for side in (-1, 1)})
+    sketch = values.groupBy("station").agg(*[agg for i in range(width) for agg in (
+        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"),
+        F.percentile_approx(f"v{i}", ends, accuracy).alias(f"s{i}"))])
+
+    def end(i: int, p: float, side: int) -> Column:
+        # Of a few values all lie within; the outermost ranks are the least and the greatest.
+        outer = F.col(f"{'az'[side > 0]}{i}")
+        place = ends.index(min(1.0, max(0.0, p + side * spread)))
+        if not 0 < ends[place] < 1:
+            return outer
+        return F.when(F.col(f"n{i}") <= 4 * accuracy, outer).otherwise(F.col(f"s{i}")[place])
+
+    rows = sketch.select("station", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"n{i}").alias("held"), F.col(f"a{i}").alias("least"),
+                 F.col(f"z{i}").alias("most"), end(i, p, -1).alias("low"), end(i, p, 1).alias("high"),
+                 (F.lit(float(p)) * (F.col(f"n{i}") - 1)).alias("position"))
+        for i in range(width) for k, p in enumerate(probs)])))
+    return materialise(rows.withColumn("cell", F.monotonically_increasing_id()))
+
+
+def _counted(values: DataFrame, cells: DataFrame, width: int, percentiles: int) -> DataFrame:
+    """``(cell, value, n, below)``: values within brackets with their number; ``below`` on rows without a value."""
+    brackets = cells.groupBy("station").agg(*[
+        F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.struct("cell", "low", "high"))).alias(f"b{i}_{k}")
+        for i in range(width) for k in range(percentiles)])
+    rows = join_station(values, materialise(brackets))
+    pairs = [(i, k) for i in range(width) for k in range(percentiles)]
+    within = F.filter(F.array(*[
+        F.when(F.col(f"v{i}").between(F.col(f"b{i}_{k}.low"), F.col(f"b{i}_{k}.high")),
+               F.struct(F.col(f"b{i}_{k}.cell").alias("cell"), F.col(f"v{i}").alias("value")))
+        for i, k in pairs]), lambda x: x.isNotNull())
+    # A row counts once for what it is below of, whatever number of brackets it lies in.
+    events = rows.select("station", *[f"v{i}" for i in range(width)], *[f"b{i}_{k}" for i, k in pairs],
+                         F.posexplode_outer(within).alias("at", "event"))
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    counts = materialise(events.groupBy("station", F.col("event.cell").alias("cell"), F.col("event.value").alias("value")).agg(
+        F.count("*").alias("n"),
+        *[F.count(F.when(first & (F.col(f"v{i}") < F.col(f"b{i}_{k}.low")), 1)).alias(f"c{i}_{k}") for i, k in pairs]))
+    below = counts.groupBy("station").agg(*[F.sum(f"c{i}_{k}").alias(f"c{i}_{k}") for i, k in pairs])
+    below = below.select("station", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"c{i}_{k}").alias("below")) for i, k in pairs])))
+    own = cells.select(F.col("station").alias("_own"), "i", "k", "cell")
+    placed = below.join(own, F.col("station").eqNullSafe(F.col("_own")) & (below.i == own.i) & (below.k == own.k))
+    inside = counts.where("cell IS NOT NULL").groupBy("cell", "value").agg(F.sum("n").alias("n"))
+    return inside.select("cell", "value", "n", F.lit(None).cast("long").alias("below")).unionAll(
+        placed.select("cell", F.lit(None).cast("double"), F.lit(None).cast("long"), "below"))
+
+
+def _ranks(cells: DataFrame, counted: DataFrame, limit: int) -> DataFrame:
+    """``(cell, at, after)``: the values of the ranks at or below each percentile's position, and after it."""
+    counted = materialise(counted)
+    below = counted.where("below IS NOT NULL").select("cell", "below")
+    totals = running_total(counted.where("value IS NOT NULL").select("cell", "value", "n"), ["cell"], ["value"], "n", "upto", limit)
+    seen = totals.join(cells.select("cell", "position"), "cell").join(below, "cell")
+    last = F.col("below") + F.col("upto")
+    known = F.col("below") <= F.floor("position")
+    return seen.groupBy("cell").agg(
+        F.min(F.when(known & (last > F.floor("position")), F.col("value"))).alias("at"),
+        F.min(F.when(known & (last > F.ceil("position")), F.col("value"))).alias("after"))
 
 
 def medians(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT) -> DataFrame:

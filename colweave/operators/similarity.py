@@ -148,7 +148,11 @@ def cosine_pairs(df: DataFrame, cols: list[str], wide_limit: int = WIDE_LIMIT) -
     """Cosine similarity of columns per station for i < j, named ``r`` like correlation."""
     if len(cols) <= wide_limit:
         return _wide_pairs(df, cols, cosine, diagonal=False).withColumnRenamed("value", "r")
-    grams = gram_matrix(df, cols, wide_limit)
+    return cosines_from_grams(gram_matrix(df, cols, wide_limit))
+
+
+def cosines_from_grams(grams: DataFrame) -> DataFrame:
+    """Cosine similarities for i < j from inner products, named ``r`` like correlation."""
     diag = grams.where("i = j").select("station", F.col("i").alias("d"), F.col("g").alias("sq"))
     left = diag.select(F.col("station").alias("station_i"), F.col("d").alias("d_i"), F.col("sq").alias("sq_i"))
     right = diag.select(F.col("station").alias("station_j"), F.col("d").alias("d_j"), F.col("sq").alias("sq_j"))

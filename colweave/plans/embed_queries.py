@@ -27,7 +27,7 @@ def fixed_vector(n: int, offset: int) -> list[float]:
 
 def quantile_features(spark, sf_dir, run):
     """Minimum, quartiles and maximum of each scaled column as its node feature."""
-    q = exact_percentiles(scaled_line(spark, sf_dir), LINE_COLS, [0.0, 0.25, 0.75, 1.0])
+    q = materialise(exact_percentiles(scaled_line(spark, sf_dir), LINE_COLS, [0.0, 0.25, 0.75, 1.0]))
     return q.select("station", F.lit(run).alias("run"), F.inline(F.array(*[
         F.struct(F.lit(c).alias("node"), F.col(c).alias("h")) for c in LINE_COLS])))
 
@@ -223,57 +223,6 @@ def line_feature_table(rows):
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("idx")) for i, c in enumerate(LINE_COLS)])))
 
 
-def line_grams(rows):
-    """Inner products of scaled columns; a column's own product is the row count."""
-    grams = materialise(similarity.gram_matrix(rows, LINE_COLS))
-    return grams, grams.where("i = j").groupBy("station").agg(F.round(F.max("g")).alias("rows"))
-
-
-def line_learned(spark, sf_dir):
-    """Learned adjacency from one pass: the inner product is the correlation times the rows."""
-    grams, counts = line_grams(scaled_line(spark, sf_dir))
-    pairs = grams.where("i < j").join(counts, "station").withColumn("r", F.col("g") / F.col("rows"))
-    return learned.learned_graph(grams, pairs, counts, LINE_COLS)
-
-
-@query("learned_graph")
-def learned_graph(spark, sf_dir):
-    return line_learned(spark, sf_dir).select("station", "source", "target", rounded(F.col("weight")).alias("weight"))
-
-
-def line_embeddings(spark, sf_dir):
-    rows = scaled_line(spark, sf_dir)
-    _, corr = line_graph(spark, sf_dir, "correlation")
-    _, top = line_graph(spark, sf_dir, "top_k")
-    grams, counts = line_grams(rows)
-    nodes = embed.node_features(grams, line_feature_table(counts), counts, LINE_COLS)
-    return embed.embedding_runs(nodes, corr.unionByName(top), embed.feature_width(LINE_COLS))
-
-
-@query("node_features")
-def node_features(spark, sf_dir):
-    rows = scaled_line(spark, sf_dir)
-    grams, counts = line_grams(rows)
-    out = embed.node_features(grams, line_feature_table(counts), counts, LINE_COLS)
-    return out.select("station", "node", *[rounded(F.col("h")[d], 3).alias(f"h{d}") for d in range(4)])
-
-
-@query("embedding_run_reports")
-def embedding_run_reports(spark, sf_dir):
-    return embed.run_reports(materialise(line_embeddings(spark, sf_dir)))
-
-
-@query("embedding_projection")
-def embedding_projection(spark, sf_dir):
-    return quality.project_2d(line_embeddings(spark, sf_dir))
-
-
-@query("vector_projection")
-def vector_projection(spark, sf_dir):
-    """First principal coordinates of five column profiles."""
-    return quality.project_2d(dimension_vectors(spark, sf_dir))
-
-
 @query("isolation_forest_scores")
 def isolation_forest_scores(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "orders").select(
@@ -286,13 +235,3 @@ def isolation_forest_scores(spark, sf_dir):
 def isolation_forest_treatment(spark, sf_dir):
     treated, _ = iforest.treat_by_forest(inputs.event_values(spark, sf_dir), ["value"], "clip")
     return treated.select("station", "row_id", "value")
-
-
-@query("row_subsample", """
-SELECT l_returnflag AS station, least(count(*), 10000)::BIGINT AS rows FROM lineitem GROUP BY l_returnflag""")
-def row_subsample(spark, sf_dir):
-    """Rows kept per station by the deterministic cap."""
-    rows = inputs.table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("station"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"))
-    return embed.subsample(rows, 42).groupBy("station").agg(F.count(F.lit(1)).alias("rows"))

@@ -74,13 +74,16 @@ for _name in ("closeness", "eigenvector", "pagerank"):
 
 
 @query("isolation_forest_forms", """
-SELECT o_orderstatus AS station, count(*) AS rows, count(DISTINCT o_orderkey) AS scored, 0::BIGINT AS differing,
-       true AS within FROM orders GROUP BY o_orderstatus""")
+SELECT nullif(o_orderstatus, 'P') AS station, count(*) AS rows, count(DISTINCT o_orderkey) AS scored, 0::BIGINT AS differing,
+       true AS within FROM orders GROUP BY nullif(o_orderstatus, 'P')""")
 def isolation_forest_forms(spark, sf_dir):
-    """Both ways to bring rows and trees together give every row the same score, once, between 0 and 1."""
+    """Both ways to bring rows and trees together give every row the same score, once, between 0 and 1.
+
+    Rows without a station are a station, too.
+    """
     cols = ["o_totalprice", "day"]
     rows = inputs.table(spark, sf_dir, "orders").select(
-        F.col("o_orderstatus").alias("station"), F.col("o_orderkey").alias("row_id"),
+        F.nullif("o_orderstatus", F.lit("P")).alias("station"), F.col("o_orderkey").alias("row_id"),
         "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day"))
     forest = materialise(iforest.grow_forest(rows, cols))
     both = iforest.with_scores(iforest.with_scores(rows, cols, forest, out="sent"), cols, forest, 0, "keyed")

@@ -17,6 +17,7 @@ from colweave.plans.metric_queries import WEIGHTED_SQL, metrics_sql, pagerank_sq
 from colweave.plans.registry import query
 from colweave.session import materialise, shared_folder
 from colweave.sources import artefacts, discovery
+from colweave.sources.results import ResultStore, global_report
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -214,3 +215,80 @@ def station_reports(spark, sf_dir):
     """The whole analysis of the line items, as one JSON document per station."""
     report = line_run(spark, sf_dir).report
     return report.select("station", F.to_json(F.struct(*report.columns)).alias("report"))
+
+
+# A folder of two kinds of stations: line items by flag and orders by status, which share no column set.
+ORDER_COLS = ["price", "buyer", "age"]
+GLOBAL_SQL = f"""WITH {LINE_SQL},
+ord AS (SELECT o_orderstatus AS station, o_totalprice AS price, o_custkey::DOUBLE AS buyer,
+    date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE AS age FROM orders),
+pairs AS (
+  SELECT 'flag ' || station AS station, value AS r, 5 AS n FROM ({inputs.pair_union_sql(LINE_COLS, inputs.PEARSON_CELL, 'line')})
+  UNION ALL
+  SELECT 'status ' || station, value, 3 FROM ({inputs.pair_union_sql(ORDER_COLS, inputs.PEARSON_CELL, 'ord')}))"""
+_saved_runs: dict[tuple, ResultStore] = {}
+
+
+def global_run(spark, sf_dir) -> ResultStore:
+    """The whole analysis of both kinds of stations, loaded from files, saved as one run; made once per session and tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved_runs:
+        folder = _scratch(spark)
+        line = inputs.line_features(spark, sf_dir).withColumn("station", F.concat(F.lit("flag "), "station"))
+        orders = inputs.table(spark, sf_dir, "orders").select(
+            F.concat(F.lit("status "), "o_orderstatus").alias("station"), F.col("o_totalprice").alias("price"),
+            F.col("o_custkey").cast("double").alias("buyer"),
+            F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double").alias("age"))
+        for rows in (line, orders):
+            rows.write.mode("append").partitionBy("station").parquet(f"{folder}/data")
+        cfg = Settings(redundant_correlation_threshold=1.0, top_k_neighbors=2, outlier_treatment="none")
+        runs, failures = stations.run_folder(spark, f"{folder}/data", cfg)
+        _saved_runs[key] = stations.save_runs(runs, failures, f"{folder}/results", "whole folder", cfg)
+    return _saved_runs[key]
+
+
+def _station():
+    return F.substring_index("station", "=", -1).alias("station")
+
+
+@query("global_comparison", f"""{GLOBAL_SQL}
+SELECT 'flag ' || station AS station, count(*) AS raw_rows, 5::BIGINT AS raw_columns, 5::BIGINT AS nodes,
+       40 * count(*) AS bytes, 'Success' AS embedding_status FROM line GROUP BY station
+UNION ALL
+SELECT 'status ' || station, count(*), 3, 3, 24 * count(*), 'Success' FROM ord GROUP BY station""")
+def global_comparison(spark, sf_dir):
+    """Stations of every column set side by side, read through the results folder's manifest."""
+    saved = global_run(spark, sf_dir).read("comparison")
+    return saved.select(_station(), "raw_rows", F.col("raw_columns").cast("long").alias("raw_columns"),
+                        F.col("nodes").cast("long").alias("nodes"), "bytes", "embedding_status")
+
+
+@query("global_density", f"""{GLOBAL_SQL}
+SELECT station, round(sum((abs(r) > 0.5)::INT) / (n * (n - 1) / 2), 6) + 0.0 AS correlation,
+       round(n * least(2, n - 1) / (n * (n - 1)), 6) + 0.0 AS top_k,
+       round(sum((r <> 0)::INT) / (n * (n - 1) / 2), 6) + 0.0 AS weighted
+FROM pairs GROUP BY station, n""")
+def global_density(spark, sf_dir):
+    saved = global_run(spark, sf_dir).read("density")
+    return saved.select(_station(), *[rounded(F.col(c)).alias(c) for c in ("correlation", "top_k", "weighted")])
+
+
+@query("global_profile", f"""{GLOBAL_SQL} """ + " UNION ALL ".join(
+    f"SELECT '{kind} ' || station AS station, '{c}' AS column, count({c}) AS known, "
+    f"round(avg({c}), 4) + 0.0 AS mean FROM {source} GROUP BY station"
+    for kind, source, cols in (("flag", "line", LINE_COLS), ("status", "ord", ORDER_COLS)) for c in cols))
+def global_profile(spark, sf_dir):
+    """Cleaned rows of stations with different columns, read as one table: columns a station lacks stay out."""
+    cols = sorted({*LINE_COLS, *ORDER_COLS})
+    cleaned = global_run(spark, sf_dir).read("cleaned")
+    wide = cleaned.groupBy("station").agg(*[agg for c in cols for agg in (
+        F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"))])
+    return (wide.select(_station(), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("known"), F.col(f"m_{c}").alias("mean")) for c in cols])))
+        .where("known > 0").select("station", "column", "known", rounded(F.col("mean"), 4).alias("mean")))
+
+
+@query("global_summary")
+def global_summary(spark, sf_dir):
+    """Profile, densities and mean distances of every station, one row each."""
+    return global_report(global_run(spark, sf_dir)).withColumn("station", _station())

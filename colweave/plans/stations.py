@@ -19,6 +19,7 @@ from colweave.operators import (centrality, clean, embed, graphs, iforest, imput
                                 quality, reports, roles, scale, similarity)
 from colweave.session import GROUP_ROW_LIMIT, materialise
 from colweave.sources.discovery import in_time_order, load_stations, with_times
+from colweave.sources.results import ResultStore, global_report, metadata
 
 UNNAMED = "(none)"
 IMPUTED_ROLES = (roles.NUMERIC, roles.CATEGORICAL, roles.UNKNOWN)
@@ -247,7 +248,8 @@ def _graphs_and_reports(scaled: DataFrame, cleaned: DataFrame, cols: list[str],
 
     nodes = materialise(own.select("station", F.explode(F.array(*[F.lit(t) for t in graphs.GRAPH_TYPES])).alias("graph_type"),
                                    F.col("column").alias("node"), "idx"))
-    edges = [graphs.BUILDERS[name](pairs, cfg) for name in graphs.BUILDERS]
+    ranked = {"top_k": materialise(similarity.cosines_from_grams(grams))} if cfg.top_k_similarity == "cosine" else {}
+    edges = [graphs.BUILDERS[name](ranked.get(name, pairs), cfg) for name in graphs.BUILDERS]
     edges.append(learned.learned_graph(grams, pairs, counts, names, cfg.learnable_epochs, cfg.learnable_lr,
                                        cfg.learnable_weight_decay))
     merged = edges[0]
@@ -257,8 +259,9 @@ def _graphs_and_reports(scaled: DataFrame, cleaned: DataFrame, cols: list[str],
 
     measured = materialise(metrics.graph_metrics(nodes, merged))
     central = materialise(centrality.centralities(nodes, merged))
-    vectors = embed.node_features(grams, own, counts, names)
-    runs = materialise(embed.embedding_runs(vectors, merged, embed.feature_width(names), cfg.gnn_embedding_dim))
+    vectors = embed.node_features(grams, own, counts, names, cfg.node_feature_dim)
+    runs = materialise(embed.embedding_runs(vectors, merged, embed.feature_width(names, cfg.node_feature_dim),
+                                            cfg.gnn_embedding_dim))
     run_reports = materialise(embed.run_reports(runs))
     stored = materialise(embed.stored_embeddings(runs, run_reports))
     scored = materialise(quality.embedding_quality(stored))
@@ -310,18 +313,58 @@ def run_folder(spark: SparkSession, data_dir: str, settings: Settings | None = N
     return runs, failures
 
 
-def save_run(run: StationRun, results_dir: str, fmt: str = "parquet") -> None:
-    """Write every result table and the nested reports below ``results_dir``."""
+# Tables of a run by the name they are saved under.
+SAVED = ("edges", "nodes", "metrics", "centralities", "embeddings", "run_reports", "quality", "audit", "roles", "drops",
+         "cleaning", "outliers", "features", "report")
+
+
+def saved_tables(run: StationRun) -> dict[str, DataFrame]:
+    """Every table of a run that is saved."""
+    drop = ["row_id", "_order_ts"]
+    return {"cleaned": run.cleaned.drop(*drop), "scaled": run.scaled.drop(*drop),
+            **{name: getattr(run, name) for name in SAVED}, **run.tables}
+
+
+def save_runs(runs: list[StationRun], failures: DataFrame, results_dir: str, name: str,
+              settings: Settings | None = None) -> ResultStore:
+    """Save the runs of all column sets of a folder, and its failures, as one run of the results folder.
+
+    Earlier runs and saves stay as they are.  Everything appears at once, with the
+    manifest.
+    """
+    spark = failures.sparkSession
+    store = ResultStore(spark, results_dir)
+    sets = [([c for c in run.cleaned.columns if c not in ("station", "row_id", "_order_ts")], saved_tables(run)) for run in runs]
+    cfg = settings or Settings()
+    store.save(name, sets, {"failures": failures, "metadata": metadata(spark, name, cfg.to_dict())})
+    return store
+
+
+def save_run(run: StationRun, results_dir: str, name: str = "run") -> ResultStore:
+    """Save one column set's run; see :func:`save_runs`."""
+    return save_runs([run], run.failures, results_dir, name)
+
+
+def export_run(run: StationRun, folder: str, fmt: str = "parquet") -> None:
+    """One column set's tables as plain folders of files for other tools; an export replaces the one before."""
     from colweave.sources.artefacts import write_adjacency, write_embeddings, write_report, write_table
 
     drop = ["row_id", "_order_ts"]
-    write_table(run.cleaned.drop(*drop), f"{results_dir}/cleaned", fmt)
-    write_table(run.scaled.drop(*drop), f"{results_dir}/scaled", fmt)
-    write_table(run.edges, f"{results_dir}/edges", fmt)
-    write_adjacency(run.nodes, run.edges, f"{results_dir}/adjacency")
-    write_embeddings(run.embeddings, f"{results_dir}/embeddings")
-    write_report(run.audit, f"{results_dir}/audit")
-    write_report(run.report, f"{results_dir}/stations")
-    write_report(run.failures, f"{results_dir}/failures")
-    for name, df in run.tables.items():
-        write_report(df, f"{results_dir}/summary_{name}")
+    write_table(run.cleaned.drop(*drop), f"{folder}/cleaned", fmt)
+    write_table(run.scaled.drop(*drop), f"{folder}/scaled", fmt)
+    write_table(run.edges, f"{folder}/edges", fmt)
+    write_adjacency(run.nodes, run.edges, f"{folder}/adjacency")
+    write_embeddings(run.embeddings, f"{folder}/embeddings")
+    for part, df in (("audit", run.audit), ("stations", run.report), ("failures", run.failures), *(
+            (f"summary_{name}", df) for name, df in run.tables.items())):
+        write_report(df, f"{folder}/{part}")
+
+
+def export_global_report(store: ResultStore, folder: str, run: str | None = None) -> None:
+    """The report over all stations as JSON: how the run was made, one summary line and one nested report per station."""
+    from colweave.sources.artefacts import write_report
+
+    write_report(store.read("metadata", run), f"{folder}/metadata")
+    write_report(global_report(store, run), f"{folder}/summary")
+    write_report(store.read("report", run), f"{folder}/stations")
+    write_report(store.read("failures", run), f"{folder}/failures")

@@ -145,16 +145,6 @@ def test_projection(spark):
     assert np.allclose(out[out.run == "thin"]["y"], 0.0)
 
 
-def test_subsample(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 4800, "hot").otherwise("cold").alias("station"),
-                                  F.col("id").alias("row_id"))
-    one = embed.subsample(df, 42, 300).orderBy("row_id").collect()
-    assert one == embed.subsample(df.repartition(7), 42, 300).orderBy("row_id").collect()
-    counts = {s: sum(r["station"] == s for r in one) for s in ("hot", "cold")}
-    assert counts == {"hot": 300, "cold": 200}
-    assert one != embed.subsample(df, 43, 300).orderBy("row_id").collect()
-
-
 def test_isolation_forest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 2))
@@ -176,3 +166,17 @@ def test_isolation_forest(spark):
     calm = int(np.argmin(s))
     assert treated.where(f"station = 's' and row_id = {calm}").first()["a"] == x[calm, 0]
     assert found.where("station = 's'").first()["outliers"] == int((s > 0.5).sum())
+
+
+def test_forest_of_rows_without_station(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 4 == 0 else "s", i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    rows[0] = (None, 0, 40.0, 40.0)
+    df = spark.createDataFrame(rows, "station string, row_id long, a double, b double")
+    for nodes in (10 ** 6, 0):
+        scored = iforest.with_scores(df, ["a", "b"], iforest.grow_forest(df, ["a", "b"]), nodes).toPandas()
+        assert len(scored) == 400 and (scored["_score"] > 0).all()
+        assert scored.set_index("row_id")["_score"].idxmax() == 0
+        treated, found = iforest.treat_by_forest(df, ["a", "b"], "clip", broadcast_nodes=nodes)
+        assert treated.count() == 400 and found.count() == 2
+        assert treated.where("row_id = 0").first()["a"] < 40.0

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colweave.session import materialise
 from colweave.operators import clean, impute, ordered, outliers, profile, quantiles, roles, scale, similarity
 
 
@@ -110,16 +111,39 @@ def test_slices_agree_with_plain_windows(spark, rows):
 
 def test_bracketed_percentiles(spark):
     df = _random_log(spark).withColumn("w", F.when(F.col("row_id") < 150, 1.0).otherwise(F.col("w")))
-    probs = [0.01, 0.25, 0.5, 0.99]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
     local = df.toPandas()
-    for limit in (1_000_000, 1):
-        for r in quantiles.exact_percentiles(df, ["v", "w"], probs, limit).collect():
+    # A coarse sketch, so that brackets leave most values out.
+    for limit, accuracy in ((1_000_000, 2000), (1_000_000, 12), (1, 12)):
+        for r in quantiles.exact_percentiles(df, ["v", "w"], probs, limit, accuracy).collect():
             part = local[local.station == r["station"]]
             for c in ("v", "w"):
                 want = np.percentile(part[c].dropna(), [100 * p for p in probs])
                 assert np.allclose(r[c], want, atol=1e-12), (limit, r["station"], c)
 
 
+def test_percentiles_of_large_null_and_empty_stations(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=20_000), np.repeat(0.25, 15_000), [np.inf, -np.inf]])
+    rows = [(None if i % 2 else "s", float(v), None) for i, v in enumerate(x)] + [("none", None, None)]
+    df = spark.createDataFrame(rows, "station string, v double, w int").repartition(6)
+    probs = [0.25, 0.5, 0.9]
+    got = {r["station"]: r for r in quantiles.exact_percentiles(df, ["v", "w"], probs, 1000, 200).collect()}
+    assert set(got) == {None, "s", "none"}
+    for station, part in ((None, x[1::2]), ("s", x[::2])):
+        assert np.allclose(got[station]["v"], np.percentile(part, [25, 50, 90]), atol=1e-12)
+    assert got["none"]["v"] is None and all(r["w"] is None for r in got.values())
+
+
+def test_ranks_that_the_sketch_misses_are_found(spark, monkeypatch):
+    """Brackets that enclose no wanted rank: the values are sought in the whole column."""
+    df = spark.createDataFrame([("s", float(i)) for i in range(1000)], "station string, v double")
+    right = quantiles._bracketed
+    monkeypatch.setattr(quantiles, "_bracketed", lambda *args: materialise(
+        right(*args).withColumn("low", F.lit(10.0)).withColumn("high", F.lit(20.0))))
+    assert np.allclose(quantiles.exact_percentiles(df, ["v"], [0.5, 0.015]).first()["v"], [499.5, 14.985])
+
+
 def _knn_by_hand(x, k=5):
     out = x.copy()
     used = [c for c in range(x.shape[1]) if np.isnan(x[:, c]).any()]
