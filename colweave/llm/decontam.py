@@ -1,9 +1,11 @@
 """Benchmark decontamination by winnowing.
 
-Of the k-gram hashes in each window of words the smallest is the window's fingerprint,
-so a span of one window's words that a document shares with an item always shares a
-fingerprint.  Fingerprints select candidate windows; a join on the windows' words
-decides.
+Of the k-gram hashes in each window of words the smallest, the rightmost of equals, is
+kept with its place; neighbouring windows mostly keep the same one, so a text has far
+fewer fingerprints than words.  Equal windows keep the same k-gram, so a document that
+shares a window with an item shares its fingerprint.  The fingerprints of documents and
+items are joined as rows; each one that meets another is extended to the windows it was
+kept for, whose words decide.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colweave.llm import words as W
@@ -24,15 +26,18 @@ GRAM_WORDS = 5
 MAP_BITS = 1 << 26
 
 
-def _winnowed(hashes: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` words its smallest k-gram hash."""
+def _winnowed(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` words its kept fingerprint and the place of that k-gram."""
     gram = min(GRAM_WORDS, length)
     grams = W.runs(hashes, gram)
     n = max(0, len(hashes) - length + 1)
-    least = grams[:n].copy()
-    for j in range(1, length - gram + 1):
-        np.minimum(least, grams[j:j + n], out=least)
-    return W.mix(least ^ np.uint64(length))
+    last = length - gram
+    least, place = grams[last:last + n].copy(), np.arange(last, last + n)
+    for j in range(last - 1, -1, -1):
+        less = grams[j:j + n] < least
+        least[less] = grams[j:j + n][less]
+        place[less] = np.flatnonzero(less) + j
+    return W.mix(least ^ np.uint64(length)), place
 
 
 def _item_windows(window: int):
@@ -46,7 +51,7 @@ def _item_windows(window: int):
                     if a == b:
                         continue
                     length = min(window, b - a)
-                    fingers = _winnowed(hashes[a:b], length)
+                    fingers, _ = _winnowed(hashes[a:b], length)
                     item = batch.column(0)[low + d].as_py()
                     for i in range(len(fingers)):
                         ids.append(item)
@@ -78,40 +83,69 @@ def _bit_map(spark: SparkSession, windows: DataFrame) -> np.ndarray:
 
 
 def _candidates(lengths: list[int], held):
+    """A row per document with its number of words, and per kept fingerprint that the bit map knows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         for batch in batches:
-            rows, numbers, starts, sizes, texts = [], [], [], [], []
+            rows, numbers, starts, counts, sizes, prints, texts = [], [], [], [], [], [], []
             for low, high, data, offsets in W.chunks(batch.column(2)):
                 found = W.split(data, offsets, W.ALPHANUMERIC)
                 hashes = found.hashes()
                 rows += range(low, high)
                 numbers += np.diff(found.first).tolist()
-                starts += [None] * (high - low)
-                sizes += [None] * (high - low)
-                texts += [None] * (high - low)
+                for column in (starts, counts, sizes, prints, texts):
+                    column += [None] * (high - low)
                 for length in lengths:
                     if len(hashes) < length:
                         continue
-                    fingers = _winnowed(hashes, length)
-                    place = fingers & np.uint64(MAP_BITS - 1)
-                    hit = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    at = np.flatnonzero(hit & found.fits(length)[:len(fingers)])
+                    fingers, place = _winnowed(hashes, length)
+                    cell = fingers & np.uint64(MAP_BITS - 1)
+                    known = (bits[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
+                    at = np.flatnonzero(known & found.fits(length)[:len(fingers)])
+                    if not len(at):
+                        continue
+                    # Windows that keep the same k-gram are one fingerprint; texts end between windows that fit.
                     owner = np.searchsorted(found.first, at, side="right") - 1
-                    rows += (low + owner).tolist()
-                    numbers += [None] * len(at)
-                    starts += (at - found.first[owner]).tolist()
-                    sizes += [length] * len(at)
-                    texts += [found.text(i, length) for i in at.tolist()]
+                    opens = np.flatnonzero(np.concatenate([[True], (np.diff(place[at]) != 0) | (np.diff(at) != 1) | (np.diff(owner) != 0)]))
+                    many = np.diff(np.append(opens, len(at)))
+                    first = at[opens]
+                    rows += (low + owner[opens]).tolist()
+                    numbers += [None] * len(first)
+                    starts += (first - found.first[owner[opens]]).tolist()
+                    counts += many.tolist()
+                    sizes += [length] * len(first)
+                    prints += fingers[first].view(np.int64).tolist()
+                    texts += [found.text(i, n + length - 1) for i, n in zip(first.tolist(), many.tolist())]
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int64()),
-                 pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(texts, pa.binary())],
-                ["doc_id", "text_key", "n_words", "start", "length", "words"])
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()),
+                 pa.array(counts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(texts, pa.binary())],
+                ["doc_id", "text_key", "n_words", "start", "windows", "length", "print", "words"])
 
     return run
 
 
+def _extended(found: DataFrame, prints: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, start, length, words)``: the windows of the fingerprints that documents and items share."""
+    met = found.where("words IS NOT NULL").join(prints, ["print", "length"])
+    listed = F.split(F.col("words").cast("string"), " ")
+    each = met.select("doc_id", "text_key", "start", "length", listed.alias("listed"), F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("step"))
+    return each.select("doc_id", "text_key", (F.col("start") + F.col("step")).alias("start"), "length",
+                       F.array_join(F.slice("listed", F.col("step") + 1, F.col("length")), " ").cast("binary").alias("words"))
+
+
+def _spans(places: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, spans, n_hit)``: the merged runs of hit words, in order."""
+    places = places.select("doc_id", "text_key", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    order = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (places.withColumn("_new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int"))
+            .withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("doc_id", "text_key", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")))
+    return runs.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"),
+                                                  F.sum(F.col("end") - F.col("start")).alias("n_hit"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """``(doc_id, text_key, n_words, n_hit, n_items, items, spans, contaminated)`` per document row.
 
@@ -125,10 +159,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     A null or empty text has no words.  Documents are told apart by ``doc_id`` and
     ``text_key``, the text's xxhash64; repeated rows and ids stay one row each.
 
-    Every window of a document is tested by its fingerprint against a bit map of fixed
-    size; the few that pass are joined to the benchmark's windows on their words.
-    Neither side is broadcast unless Spark knows it to be small, and a window that
-    very many documents hold is one row on the benchmark's side.
+    Only fingerprints that a bit map of fixed size knows leave their task; the map has no
+    say in the result.  They are joined to the benchmark's fingerprints, each of which is
+    one row however many items or documents hold it, and extended to windows, which meet
+    the benchmark's windows on their words.  Neither side is broadcast unless Spark
+    knows it to be small.  The work grows with the number of hits, in one text or in many.
     """
     spark = docs.sparkSession
     windows = materialise(benchmark_windows(benchmark.where("item_id IS NOT NULL AND text IS NOT NULL"), window))
@@ -137,26 +172,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     texts = ready_workers(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
                                        F.col("text").cast("binary").alias("text"))
     found = materialise(texts.mapInArrow(
-        _candidates(lengths, held), "doc_id long, text_key long, n_words long, start long, length int, words binary"))
+        _candidates(lengths, held),
+        "doc_id long, text_key long, n_words long, start long, windows int, length int, print long, words binary"))
     # Places carry a window's number; its items meet each (document, window) once, as rows.
     known = materialise(windows.select("words").distinct().withColumn("window", F.monotonically_increasing_id()))
     owners = windows.join(known, "words").select("window", "item_id").distinct()
-    places = materialise(found.where("words IS NOT NULL").join(known, "words").select("doc_id", "text_key", "start", "length", "window"))
+    prints = materialise(windows.select("print", "length").distinct())
+    places = materialise(_extended(found, prints).join(known, "words").select("doc_id", "text_key", "start", "length", "window"))
     items = (places.select("doc_id", "text_key", "window").distinct().join(owners, "window")
              .select("doc_id", "text_key", "item_id").distinct()
              .groupBy(F.col("doc_id").alias("_item_id"), F.col("text_key").alias("_item_key"))
              .agg(F.array_sort(F.collect_list("item_id")).alias("items")))
-    spots = (places.groupBy("doc_id", "text_key")
-             .agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("places"))
-             .withColumn("spans", F.expr(
-                 "aggregate(places, cast(array() as array<struct<start:bigint,end:bigint>>), (runs, x) ->"
-                 " CASE WHEN size(runs) > 0 AND element_at(runs, -1).end >= x.start"
-                 " THEN concat(slice(runs, 1, size(runs) - 1), array(named_struct('start', element_at(runs, -1).start,"
-                 " 'end', greatest(element_at(runs, -1).end, x.end))))"
-                 " ELSE concat(runs, array(named_struct('start', x.start, 'end', x.end))) END)")))
-    spots = spots.join(items, F.col("doc_id").eqNullSafe(F.col("_item_id")) & (F.col("text_key") == F.col("_item_key")))
-    hits = spots.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "items", "spans",
-                        F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit"))
+    spots = _spans(places).join(items, F.col("doc_id").eqNullSafe(F.col("_item_id")) & (F.col("text_key") == F.col("_item_key")))
+    hits = spots.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "items", "spans", "n_hit")
     rows = found.where("n_words IS NOT NULL").select("doc_id", "text_key", "n_words")
     joined = rows.join(hits, rows.doc_id.eqNullSafe(hits["_id"]) & (rows.text_key == hits["_key"]), "left")
     return joined.select(

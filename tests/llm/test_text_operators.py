@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from colweave.llm import decontam, langid, licenses, mixing, quality
+from colweave.llm import words as W
 from colweave.llm.queries import op2_mixing, op4_language
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, words string"
@@ -242,6 +243,40 @@ def test_contamination_against_brute_force(spark):
     assert left.count() == sum(not w[-1] for w in want)
 
 
+def test_shared_spans_always_share_a_fingerprint():
+    rng = random.Random(2)
+    for length in (1, 3, 5, 7, 10):
+        for _ in range(60):
+            shared = [rng.getrandbits(3) for _ in range(length)]  # few words, so that hashes tie
+            texts = [np.array([rng.getrandbits(3) for _ in range(rng.randint(0, 12))] + shared
+                              + [rng.getrandbits(3) for _ in range(rng.randint(0, 12))], dtype=np.uint64) for _ in range(2)]
+            kept = []
+            for t in texts:
+                at = next(i for i in range(len(t)) if t[i:i + length].tolist() == shared)
+                prints, place = decontam._winnowed(W.mix(t), length)
+                kept.append((prints[at], place[at] - at))
+            assert kept[0] == kept[1]
+    # A text keeps far fewer fingerprints than it has windows.
+    prints, place = decontam._winnowed(W.mix(np.arange(20_000, dtype=np.uint64)), 10)
+    assert len(set(place.tolist())) < 0.35 * len(prints)
+
+
+def test_many_hits_in_one_document(spark):
+    """Separate hits, in their thousands, are merged in time that grows with their number."""
+    import time
+    item = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(1, item), (2, "w3 w4 w5 w6 w7 w8 w9 x y z")], "item_id long, text string")
+    took = {}
+    for n in (5_000, 20_000, 5_000, 20_000):
+        docs = spark.createDataFrame([(1, f"{item} gap " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        r = decontam.contamination(docs, items).first()
+        took[n] = time.perf_counter() - start
+        assert (r["n_words"], r["n_hit"], r["n_items"], len(r["spans"])) == (11 * n, 10 * n, 1, n)
+        assert [tuple(x) for x in r["spans"][:2]] == [(0, 10), (11, 21)]
+    assert took[20_000] < 2.5 * took[5_000] + 4
+
+
 def test_contamination_of_nothing(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "some words", None, None)])
