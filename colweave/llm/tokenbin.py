@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.llm import store
+from colweave.llm import words as W
 from colweave.session import materialise, ready_workers
 
 MAGIC = b"CWPACK01"
@@ -35,9 +36,13 @@ END_ID = 2
 # Pieces a worker remembers; as many that were used before those are kept beside them.
 CACHE_PIECES = 400_000
 WORDS_PER_TEXT = 512
+# Texts are encoded in groups of about this many bytes, in which each distinct piece is looked up once.
+TEXT_BYTES = 4 << 20
 # One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
 ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
-TAIL = b".,;:!?|)\"]}"
+_CLOSING = np.isin(np.arange(256), list(b".,;:!?|)\"]}"))
+_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
+_LETTER_OR_DIGIT = np.array([bytes([b]).isalnum() for b in range(256)])
 _FOOTER = struct.Struct("<5Q8s")
 
 
@@ -83,9 +88,13 @@ class ShardWriter:
         self.place += len(data)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id or 0)
-        self.valid.append(doc_id is not None)
-        self.lengths.append(len(ids))
+        self.add_many([doc_id], ids, np.array([len(ids)]))
+
+    def add_many(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents whose ids follow each other in ``ids``."""
+        self.doc_ids += [x or 0 for x in doc_ids]
+        self.valid += [x is not None for x in doc_ids]
+        self.lengths += lengths.tolist()
         self.ids += len(ids)
         self.open.append(ids)
         self.held += len(ids)
@@ -202,40 +211,98 @@ class PieceEncoder:
         other = list(set(pieces).difference(single))
         return dict(zip(single + other, self._words(single) + self._whole([w.decode() for w in other])))
 
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Put ``fresh`` pieces into ``known``, split into a word and the punctuation after it where that is safe."""
-        older, known = self.older, self.known
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for piece in fresh:
-            if (ids := older.get(piece)) is not None:
-                known[piece] = ids
-                continue
-            word, tail = piece, b""
-            if b"<|" not in piece:  # the texts of special tokens are told apart by case
-                # The tokenizer composes before it lower-cases, so only pieces of ASCII are lower-cased here.
-                word = piece.lower() if piece.isascii() else piece
-                core = word.rstrip(TAIL)
-                if core[-1:].isalnum():
-                    word, tail = core, word[len(core):]
-            parts[piece] = word, tail
-        wanted = {x for pair in parts.values() for x in pair if x}
-        found = {x: ids for x in wanted if (ids := known.get(x) or older.get(x)) is not None}
-        found.update(self._encode_new([x for x in wanted if x not in found]))
-        found[b""] = b""
-        known.update(found)
-        known.update((piece, found[word] + found[tail] if tail else found[word]) for piece, (word, tail) in parts.items())
-
-    def encode(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """The ids of each text with ``end_id`` after them."""
-        end = np.array([end_id], dtype="<u4").tobytes()
-        if not self.pieces:
-            return [np.frombuffer(x + end, dtype="<u4") for x in self._whole([t.decode() for t in texts])]
-        split = [t.split() for t in texts]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, encoding those that are not remembered."""
         if len(self.known) > CACHE_PIECES:
             self.older, self.known = self.known, {}
-        self._learn({w for words in split for w in words}.difference(self.known))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in split]
+        known, older = self.known, self.older
+        fresh = []
+        for word in words:
+            if word not in known:
+                ids = older.get(word)
+                if ids is None:
+                    fresh.append(word)
+                else:
+                    known[word] = ids
+        known.update(self._encode_new(fresh))
+        return [*map(known.__getitem__, words)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie one after the other in ``data``, ``end_id`` after each, and how many each has."""
+        docs = len(offsets) - 1
+        end = np.array([end_id], dtype="<u4").tobytes()
+        if not self.pieces:
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            found = [ids + end for ids in self._whole(texts)]
+            return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(ids) // 4 for ids in found], dtype=np.int64)
+        start, stop, inside = _pieces(data, offsets)
+        core, lowered = _cores(data, start, stop)
+        # A document is its pieces, each a word and perhaps the punctuation after it, and the end id.
+        tail = np.flatnonzero(core < stop)
+        length = stop[tail] - core[tail]
+        closing = np.repeat(core[tail] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        tails, tail_at = _distinct(data[closing], length)
+        inside[closing] = False
+        words, word_at = _distinct(lowered[inside], core - start)
+        ids = [*self._ids(words), *self._ids(tails), end]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        first = np.searchsorted(start, offsets)
+        before = np.arange(len(start)) + np.repeat(np.arange(docs), np.diff(first))  # units but tails
+        has_tail = np.zeros(len(start) + 1, dtype=np.int64)
+        has_tail[tail + 1] = 1
+        tails_before = np.cumsum(has_tail)
+        code = np.full(len(start) + docs + len(tail), len(ids) - 1, dtype=np.int64)
+        place = before + tails_before[:-1]
+        code[place] = word_at
+        code[place[tail] + 1] = len(words) + tail_at
+        many = size[code]
+        upto = np.cumsum(many)
+        out = flat[np.repeat((np.cumsum(size) - size)[code] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = upto[first[1:] + np.arange(docs) + tails_before[first[1:]]]
+        return out, np.diff(ends, prepend=0)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces between white space begin and end, and their bytes; none goes over the end of a text."""
+    inside = W.SPACED[data]
+    opens, closes = inside.copy(), inside.copy()
+    edges = np.zeros(len(data) + 1, dtype=bool)
+    edges[offsets] = True
+    opens[1:] &= ~inside[:-1] | edges[1:-1]
+    closes[:-1] &= ~inside[1:] | edges[1:-1]
+    return np.flatnonzero(opens), np.flatnonzero(closes) + 1, inside
+
+
+def _cores(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece's word ends, and ``data`` with the pieces in lower case where that is safe.
+
+    The tokenizer composes before it lower-cases, so only pieces wholly of ASCII are
+    lower-cased here; the texts of special tokens, told apart by case, stay as they are
+    and are not split.
+    """
+    wide = np.flatnonzero(data >= 0x80)
+    plain = np.searchsorted(wide, start) == np.searchsorted(wide, stop)
+    marks = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if len(data) else wide
+    special = np.searchsorted(marks, start) < np.searchsorted(marks, stop - 1)
+    capital = np.flatnonzero(_CAPITAL[data])
+    lowered = data.copy()
+    lowered[capital[(plain & ~special)[np.searchsorted(start, capital, side="right") - 1]]] += 32
+    # The last byte that is no closing punctuation.
+    solid = np.flatnonzero(~_CLOSING[data])
+    last = np.searchsorted(solid, stop) - 1
+    at = solid[np.maximum(last, 0)] if len(solid) else np.zeros(len(start), dtype=np.int64)
+    cut = (last >= 0) & (at >= start) & ~special
+    cut[cut] &= _LETTER_OR_DIGIT[data[at[cut]]]
+    return np.where(cut, at + 1, stop), lowered
+
+
+def _distinct(data: np.ndarray, length: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct among the byte strings of these lengths, and which of them each is."""
+    places = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(places), pa.py_buffer(data)])
+    coded = column.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -247,14 +314,17 @@ def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = uri = None
         for batch in batches:
+            data, offsets = W.binary_parts(batch.column(1))
             ids = batch.column(0).to_pylist()
-            for low in range(0, batch.num_rows, 256):
-                texts = [t or b"" for t in batch.column(1).slice(low, 256).to_pylist()]
+            low = 0
+            while low < len(ids):
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + TEXT_BYTES, side="right")) - 1)
                 if writer is None:
                     stream, uri = store.open_output(folder, store.attempt_name("shard", ".bin"))
                     writer = ShardWriter(stream, id_bits(vocabulary), block_ids)
-                for doc_id, tokens in zip(ids[low:low + 256], _encoder(path, pieces).encode(texts, end_id)):
-                    writer.add(doc_id, tokens)
+                writer.add_many(ids[low:high], *_encoder(path, pieces).encode(
+                    data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], end_id))
+                low = high
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict(

@@ -104,6 +104,19 @@ def test_urls_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(((i, *slow_verdict(u, clean)) for i, u, _ in rows), key=str)
 
 
+def test_prefix_join_confirms_whole_digests(spark):
+    """With a prefix of one digit most expressions meet rules that are not theirs; only whole digests count."""
+    urls = [f"http://{h}{p}" for h in ("a.org", "b.org", "a.b.org", "c.com") for p in ("/", "/x/", "/y/", "/x/y/", "/zz")]
+    rules = [("block" if i % 3 else "allow", h, p) for i, (h, p) in enumerate(
+        [("a.org", "/x/"), ("b.org", "/y"), ("org", "/zz"), ("com", "/x/"), ("a.b.org", "/"), ("c.com", "/x/y/"), ("d.net", "/")])]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = urlfilter.judge(pages, urlfilter.rule_table(spark, rules), prefix_digits=1)
+    assert sorted(map(tuple, judged.collect())) == sorted((i, *slow_verdict(u, rules)) for i, u in enumerate(urls))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and joins[0].count("=") == 1 and "prefix" in joins[0]
+
+
 def test_no_pages_and_no_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     rules = urlfilter.rule_table(spark, [])
@@ -127,16 +140,24 @@ def test_id_bits():
     assert [tokenbin.id_bits(n) for n in (1, 2, 3, 49408, 65536, 65537)] == [1, 1, 2, 16, 16, 17]
 
 
+def encoded(encoder, texts):
+    """The ids of each text, as lists."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    ids, sizes = encoder.encode(data, np.cumsum([0, *map(len, raw)]), 2)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_pieces_encode_as_whole_texts():
     rng = random.Random(1)
     parts = ["a", "B", "é", "É", "ß", "İ", "K", "1", "٣", " ", "\n", "\x1c", "\x85", "\xa0", "'s", "'T", "'", ".", ",", "|)", "<|endoftext|>",
              "<|ENDOFTEXT|>", "<|", "\u0301", "\u0338", "日本", "😀", "×", "ﬁ", "\x00", "</w>", "don't.", "Σς"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(3000)]
     encoder = tokenbin.PieceEncoder(TOKENIZER)
-    got = encoder.encode([t.encode() for t in texts], 2)
-    assert [x.tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
-    plain = tokenbin.PieceEncoder(TOKENIZER, pieces=False).encode([t.encode() for t in texts[:50]], 2)
-    assert [x.tolist() for x in plain] == [x.tolist() for x in got[:50]]
+    got = encoded(encoder, texts)
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert encoded(tokenbin.PieceEncoder(TOKENIZER, pieces=False), texts[:50]) == got[:50]
+    assert encoded(encoder, ["", " ", "a"])[:2] == [[2], [2]]
 
 
 def test_capitals_that_compose_only_when_small():
@@ -148,8 +169,8 @@ def test_capitals_that_compose_only_when_small():
     assert {"J\u030c", "T\u0308", "W\u030a", "Y\u030a", "H\u0331"} <= set(apart)
     texts = [x for a in apart for x in (a, f"{a}an, ", f"x{a}", f"({a}URA) OTHER \u00c9T\u00c9.", f"{a}\u0301 {a.lower()}")]
     encoder = tokenbin.PieceEncoder(TOKENIZER)
-    got = encoder.encode([t.encode() for t in texts], 2)
-    assert [x.tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    got = encoded(encoder, texts)
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
 @pytest.mark.parametrize("block_ids", [1 << 16, 3])
