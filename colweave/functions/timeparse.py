@@ -19,10 +19,30 @@ LAYOUTS = (
 )
 
 
+# A time begins with a digit, after blanks and perhaps a sign or the mark of a time of day.
+_BEGINS = r"^[\x00-\x20]*[Tt+-]?\d"
+# No accepted form is longer, blanks aside.
+LONGEST = 64
+
+
+def may_be_time(text: Column) -> Column:
+    """Whether some layout could fit, from the value's shape alone."""
+    return (F.length(text) <= LONGEST) & text.rlike(_BEGINS)
+
+
 def parse_attempts(text: Column) -> list[Column]:
-    """One nullable timestamp per layout; ISO needs a dash so plain numbers stay numbers."""
-    iso = F.when(text.contains("-"), F.try_to_timestamp(text))
-    return [iso] + [F.try_to_timestamp(text, F.lit(layout)) for layout in LAYOUTS]
+    """One nullable timestamp per layout; ISO needs a dash so plain numbers stay numbers.
+
+    Each layout is tried only on values that hold its separators.
+    """
+    dash, slash, letter = text.contains("-"), text.contains("/"), text.rlike("[A-Za-z]")
+    shapes = {"/": slash, "-": dash & letter, " ": text.contains(" ") & letter}
+    attempts = [F.when(dash, F.try_to_timestamp(text))]
+    for layout in LAYOUTS:
+        separator = next((mark for mark in "/- " if mark in layout), None)
+        shape = shapes[separator] if separator else text.rlike(r"^[+]?\d{8,}$")
+        attempts.append(F.when(shape, F.try_to_timestamp(text, F.lit(layout))))
+    return attempts
 
 
 def best_layout(text: Column) -> Column:

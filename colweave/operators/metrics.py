@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import null_if_zero
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.operators.paths import ROW_NODES, hop_counts, labels_from_reach, links, two_way
+from colweave.operators.paths import ROW_NODES, links, reaches, two_way
 from colweave.session import materialise
 
 METRICS = ["node_count", "edge_count", "density", "avg_degree", "connected_components", "isolated_nodes",
@@ -42,31 +42,50 @@ def isolated_nodes(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
 def clustering(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
     """Mean unweighted clustering over all nodes; directed graphs count directed triangles.
 
-    Each triangle is listed once, from its lowest to its highest index.  A pair
-    linked both ways has multiplicity 2, which yields the directed count.
+    Each triangle is listed once, from its node with the fewest links; those of complete
+    graphs are not listed.  A pair linked both ways has multiplicity 2, which yields the
+    directed count.
     """
     pairs = materialise(
         ordered.where("s <> t").groupBy(*GRAPH_KEYS, F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
         .agg(F.count(F.when(F.col("directed"), 1)).alias("ways"))
         # An undirected edge appears in both orders but is one link.
         .select(*GRAPH_KEYS, "a", "b", F.greatest("ways", F.lit(1)).alias("ways")))
-    first = pairs.select(*GRAPH_KEYS, "a", "b", F.col("ways").alias("w1"))
-    second = pairs.select(*GRAPH_KEYS, F.col("a").alias("b"), F.col("b").alias("c"), F.col("ways").alias("w2"))
-    third = pairs.select(*GRAPH_KEYS, "a", F.col("b").alias("c"), F.col("ways").alias("w3"))
-    triangles = (first.join(second, [*GRAPH_KEYS, "b"]).join(third, [*GRAPH_KEYS, "a", "c"])
+    directed = ordered.groupBy(*GRAPH_KEYS).agg(F.bool_or("directed").alias("directed"))
+    # Where every pair is linked in every way, each node's neighbours are all linked: nothing to list.
+    size = nodes.groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    full = materialise(
+        pairs.groupBy(*GRAPH_KEYS).agg(F.count(F.lit(1)).alias("links"), F.min("ways").alias("least"))
+        .join(size, GRAPH_KEYS).join(directed, GRAPH_KEYS)
+        .where("2 * links = n * (n - 1) AND (NOT directed OR least = 2)").select(*GRAPH_KEYS, "n"))
+    open_pairs = pairs.join(full, GRAPH_KEYS, "left_anti")
+    # A link leads from its node with fewer links, so a hub's links all lead to it and no node has
+    # more than about the root of twice the links going out: the paths of two links stay few.
+    links = (open_pairs.select(*GRAPH_KEYS, F.explode(F.array("a", "b")).alias("idx"))
+             .groupBy(*GRAPH_KEYS, "idx").agg(F.count(F.lit(1)).alias("links")))
+    ends = (open_pairs.join(links.select(*GRAPH_KEYS, F.col("idx").alias("a"), F.col("links").alias("la")), [*GRAPH_KEYS, "a"])
+            .join(links.select(*GRAPH_KEYS, F.col("idx").alias("b"), F.col("links").alias("lb")), [*GRAPH_KEYS, "b"]))
+    forward = F.struct("la", "a") < F.struct("lb", "b")
+    led = materialise(ends.select(*GRAPH_KEYS, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("s"),
+                                  F.when(forward, F.col("b")).otherwise(F.col("a")).alias("t"), "ways"))
+    one = led.select(*GRAPH_KEYS, "s", F.col("t").alias("b"), F.col("ways").alias("w1"))
+    two = led.select(*GRAPH_KEYS, "s", F.col("t").alias("c"), F.col("ways").alias("w2"))
+    wedges = one.join(two, [*GRAPH_KEYS, "s"]).where("b < c")
+    closing = open_pairs.select(*GRAPH_KEYS, F.col("a").alias("b"), F.col("b").alias("c"), F.col("ways").alias("w3"))
+    triangles = (wedges.join(closing, [*GRAPH_KEYS, "b", "c"])
                  .withColumn("found", F.col("w1") * F.col("w2") * F.col("w3")))
-    per_node = (triangles.select(*GRAPH_KEYS, "found", F.explode(F.array("a", "b", "c")).alias("idx"))
+    per_node = (triangles.select(*GRAPH_KEYS, "found", F.explode(F.array("s", "b", "c")).alias("idx"))
                 .groupBy(*GRAPH_KEYS, "idx").agg(F.sum("found").alias("found")))
     degrees = (pairs.select(*GRAPH_KEYS, "ways", F.explode(F.array("a", "b")).alias("idx"))
                .groupBy(*GRAPH_KEYS, "idx").agg(F.sum("ways").alias("degree"),
                                                 F.count(F.when(F.col("ways") == 2, 1)).alias("mutual")))
-    directed = ordered.groupBy(*GRAPH_KEYS).agg(F.bool_or("directed").alias("directed"))
     room = F.col("degree") * (F.col("degree") - 1)
     local = F.when(F.col("directed"), F.col("found") / null_if_zero(room - 2 * F.col("mutual"))).otherwise(
         2 * F.col("found") / null_if_zero(room))
     return (nodes.join(degrees, [*GRAPH_KEYS, "idx"], "left").join(per_node, [*GRAPH_KEYS, "idx"], "left")
-            .join(directed, GRAPH_KEYS, "left")
-            .groupBy(*GRAPH_KEYS).agg(F.avg(F.coalesce(local, F.lit(0.0))).alias("clustering_coefficient")))
+            .join(directed, GRAPH_KEYS, "left").join(full, GRAPH_KEYS, "left")
+            .groupBy(*GRAPH_KEYS).agg(F.avg(F.when(F.col("n") >= 3, 1.0).when(F.col("n") < 3, 0.0)
+                                            .otherwise(F.coalesce(local, F.lit(0.0)))).alias("clustering_coefficient")))
 
 
 def extent(nodes: DataFrame, ordered: DataFrame, counts: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
@@ -82,10 +101,8 @@ def extent(nodes: DataFrame, ordered: DataFrame, counts: DataFrame, row_nodes: i
     starts = nodes.select(*GRAPH_KEYS, "idx", F.lit("any").alias("variant")).unionByName(
         nodes.join(counts.where("directed"), GRAPH_KEYS, "left_semi")
         .select(*GRAPH_KEYS, "idx", F.lit("along").alias("variant")))
-    reach = materialise(hop_counts(starts, near, variant, row_nodes))
-    parts = labels_from_reach(reach.where("variant = 'any'"))
-    far = reach.groupBy(*variant, F.col("s").alias("idx")).agg(
-        F.max("hops").alias("far"), F.count(F.lit(1)).alias("reached"))
+    far = materialise(reaches(starts, near, variant, row_nodes))
+    parts = far.where("variant = 'any'").select(*GRAPH_KEYS, "idx", F.col("least").alias("label"))
     strong = far.where("variant = 'along'").groupBy(*GRAPH_KEYS).agg(F.sum("reached").alias("pairs"))
     sizes = parts.groupBy(*GRAPH_KEYS, "label").agg(F.count(F.lit(1)).alias("size"))
     largest = Window.partitionBy(*GRAPH_KEYS).orderBy(F.col("size").desc(), "label")

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.session import materialise, max_group_rows
+from colweave.session import materialise, max_group_rows, ready_workers
 
 # Two path lengths closer than this share of their size are equally short.
 LENGTH_TOLERANCE = 1e-12
@@ -20,6 +22,8 @@ LENGTH_TOLERANCE = 1e-12
 # row and are solved by array expressions, all graphs in parallel and without
 # rounds.  Larger ones take the join rounds.
 ROW_NODES = 200
+# Sources that one task sweeps a larger graph from.
+SWEEP_SOURCES = 512
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -106,23 +110,74 @@ def labels_from_reach(reach: DataFrame) -> DataFrame:
     return reach.groupBy(*GRAPH_KEYS, F.col("s").alias("idx")).agg(F.min("t").alias("label"))
 
 
-def hop_counts(nodes: DataFrame, near: DataFrame, keys: list[str], row_nodes: int = ROW_NODES) -> DataFrame:
-    """Fewest hops between all reachable ordered pairs: ``(keys, s, t, hops)``, self at 0."""
+def _sweep(pairs: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+    """Breadth-first sweeps from a block of sources at once, one bit per source and node."""
+    starts = np.unique(sources["idx"].to_numpy())
+    s, t = pairs["s"].to_numpy(), pairs["t"].to_numpy()
+    names = np.unique(np.concatenate([starts, s, t]))
+    place = np.searchsorted(names, starts)
+    words = -(-len(starts) // 64)
+    bit = np.arange(len(starts))
+    seen = np.zeros((len(names), words), dtype=np.uint64)
+    seen[place, bit // 64] |= np.uint64(1) << (bit % 64).astype(np.uint64)
+    order = np.argsort(t, kind="stable")
+    leave, arrive = np.searchsorted(names, s[order]), np.searchsorted(names, t[order])
+    opens = np.flatnonzero(np.diff(arrive, prepend=-1))
+    front, far, hops = seen.copy(), np.zeros(len(starts), dtype=np.int64), 0
+    while len(opens):
+        hops += 1
+        fresh = np.zeros_like(seen)
+        fresh[arrive[opens]] = np.bitwise_or.reduceat(front[leave], opens, axis=0)
+        fresh &= ~seen
+        alive = np.unpackbits(np.bitwise_or.reduce(fresh, axis=0).view(np.uint8), bitorder="little")[:len(starts)].astype(bool)
+        if not alive.any():
+            break
+        far[alive] = hops
+        seen |= fresh
+        front = fresh
+    reached, least = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), len(names))
+    for low in range(0, len(names), 4096):
+        bits = np.unpackbits(seen[low:low + 4096].view(np.uint8), axis=1, bitorder="little")[:, :len(starts)]
+        reached += bits.sum(axis=0, dtype=np.int64)
+        first = np.where(bits.any(axis=0), low + bits.argmax(axis=0), len(names))
+        least = np.minimum(least, first)
+    return pd.DataFrame({"idx": starts, "far": far, "reached": reached, "least": names[least]})
+
+
+def reaches(nodes: DataFrame, near: DataFrame, keys: list[str], row_nodes: int = ROW_NODES, block: int = SWEEP_SOURCES) -> DataFrame:
+    """Per node the hops to its farthest reachable node, how many it reaches, and the least: ``(keys, idx, far, reached, least)``.
+
+    Larger graphs are swept by blocks of sources: a block meets its graph's links in one
+    task and gives one row per source, never one per pair.  Nodes linked to all others
+    need no sweep.
+    """
     if fits_rows(nodes, keys, row_nodes):
         lengths = _row_lengths(nodes, near.withColumn("length", F.lit(1.0)), keys)
-        return lengths.select(*keys, "s", "t", F.col("d").cast("int").alias("hops"))
-    near = materialise(near)
-    frontier = materialise(nodes.select(*keys, F.col("idx").alias("s"), F.col("idx").alias("t"),
-                                        F.lit(0).alias("hops")))
-    reached = [frontier]
-    step = near.select(*keys, F.col("s").alias("t"), F.col("t").alias("next"))
-    while True:
-        found = (frontier.join(step, [*keys, "t"])
-                 .select(*keys, "s", F.col("next").alias("t"), (F.col("hops") + 1).alias("hops")).distinct())
-        frontier = materialise(found.join(union_all(reached).select(*keys, "s", "t"), [*keys, "s", "t"], "left_anti"))
-        if not has_rows(frontier):
-            return union_all(reached)
-        reached.append(frontier)
+        return lengths.groupBy(*keys, F.col("s").alias("idx")).agg(
+            F.max(F.col("d").cast("int")).alias("far"), F.count(F.lit(1)).alias("reached"), F.min("t").alias("least"))
+    near = materialise(near.where("s <> t").select(*keys, "s", "t").distinct())
+    nodes = materialise(nodes.select(*keys, "idx"))
+    size = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("lowest"))
+    out = near.groupBy(*keys, F.col("s").alias("idx")).agg(F.count(F.lit(1)).alias("out"))
+    known = materialise(nodes.join(size, keys).join(out, [*keys, "idx"], "left").fillna(0, ["out"]))
+    whole = F.col("out") == F.col("n") - 1
+    direct = known.where(whole | (F.col("out") == 0)).select(
+        *keys, "idx", F.when(F.col("out") > 0, 1).otherwise(0).alias("far"), (F.col("out") + 1).alias("reached"),
+        F.when(F.col("out") > 0, F.col("lowest")).otherwise(F.col("idx")).alias("least"))
+    rank = Window.partitionBy(*keys).orderBy("idx")
+    swept = (known.where(~whole & (F.col("out") > 0)).withColumn("_at", F.row_number().over(rank) - 1)
+             .select(*keys, "idx", F.floor(F.col("_at") / block).cast("long").alias("block")))
+    blocks = materialise(swept.select(*keys, "block").distinct())
+    sent = near.join(blocks, keys).repartition(F.col("block"), *keys)
+    kinds = ", ".join(f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sweep(key: tuple, pairs: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+        return _sweep(pairs, sources).assign(**dict(zip(keys, key)))[[*keys, "idx", "far", "reached", "least"]]
+
+    found = (ready_workers(sent).groupBy(*keys, "block").cogroup(ready_workers(swept).groupBy(*keys, "block"))
+             .applyInPandas(sweep, f"{kinds}, idx {nodes.schema['idx'].dataType.simpleString()}, far int, reached long, "
+                                   f"least {nodes.schema['idx'].dataType.simpleString()}"))
+    return direct.select(*keys, "idx", F.col("far").cast("int").alias("far"), F.col("reached").cast("long").alias("reached"), "least").unionByName(found)
 
 
 def shortest_lengths(nodes: DataFrame, ordered: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colweave.functions.stats import is_integer, is_numeric
-from colweave.functions.timeparse import parse_attempts
+from colweave.functions.timeparse import may_be_time, parse_attempts
 from colweave.operators.ordered import sequence_tests
 from colweave.operators.profile import column_profile
 from colweave.session import GROUP_ROW_LIMIT, materialise
@@ -63,28 +63,34 @@ def time_name_score(name: Column) -> Column:
             .when(_any([low.contains(k) for k in TIME_FRAGMENTS]), 1).otherwise(0))
 
 
-def _values(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All present values as text: ``(station, column, value)``."""
-    long = df.select("station", *[F.col(c).cast("string").alias(c) for c in cols])
-    return long.unpivot(["station"], cols, "column", "value").where("value IS NOT NULL")
+def extremes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(station, column, largest, values_differ)`` of columns that are no text; one aggregate."""
+    wide = df.groupBy("station").agg(*[agg for i, c in enumerate(cols) for agg in (
+        F.min(F.col(c)).alias(f"a{i}"), F.max(F.col(c)).alias(f"z{i}"))])
+    return wide.select("station", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"),
+                 (F.col(f"z{i}").cast("double") if is_numeric(df.schema[c].dataType) else F.lit(None).cast("double")).alias("largest"),
+                 (F.col(f"a{i}") != F.col(f"z{i}")).alias("values_differ")) for i, c in enumerate(cols)])))
 
 
-def parse_quality(values: DataFrame) -> DataFrame:
-    """Best share of a column's values that one layout parses, and whether its times and values differ.
+def parse_quality(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Best share of a text column's values that one layout parses, and whether its times differ.
 
-    One aggregate over all values: counts and extremes are combined within tasks,
-    no value is shuffled.
+    ``(station, column, parse_ratio, times_differ)``.  Values are counted first, those
+    without the shape of a time all together, so a layout reads each distinct value
+    once and long texts are never shuffled.
     """
+    shaped = [F.when(may_be_time(F.col(c)), F.col(c)).alias("value") for c in cols]
+    cells = df.select("station", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("present"), value) for c, value in zip(cols, shaped)])))
+    counts = cells.where("present").groupBy("station", "column", "value").agg(F.count(F.lit(1)).alias("n"))
     attempts = parse_attempts(F.col("value"))
-    per_layout = values.groupBy("station", "column").agg(
-        F.count(F.lit(1)).alias("present"),
-        F.max(F.expr("try_cast(value as double)")).alias("largest"),
-        (F.min("value") != F.max("value")).alias("values_differ"),
-        F.array(*[F.struct(F.count(a).alias("parsed"), (F.min(a) != F.max(a)).alias("differ"))
+    per_layout = counts.groupBy("station", "column").agg(
+        F.sum("n").alias("present"),
+        F.array(*[F.struct(F.sum(F.when(a.isNotNull(), F.col("n")).otherwise(0)).alias("parsed"), (F.min(a) != F.max(a)).alias("differ"))
                   for a in attempts]).alias("layouts"))
     return (per_layout.withColumn("best", F.array_max("layouts"))
-            .select("station", "column", "largest", "values_differ",
-                    (F.col("best.parsed") / F.col("present")).alias("parse_ratio"),
+            .select("station", "column", (F.col("best.parsed") / F.col("present")).alias("parse_ratio"),
                     F.coalesce("best.differ", F.lit(False)).alias("times_differ")))
 
 
@@ -104,11 +110,14 @@ def column_roles(df: DataFrame, cols: list[str], order: list[str], strict_time_n
 
     stats = materialise(column_profile(df, cols)) if stats is None else stats
     name = F.col("column")
-    if integers + texts:
-        stats = stats.join(parse_quality(_values(df, integers + texts)),
-                           ["station", "column"], "left")
+    if texts:
+        stats = stats.join(parse_quality(df, texts), ["station", "column"], "left")
     else:
-        stats = stats.selectExpr("*", "0D largest", "false values_differ", "0D parse_ratio", "false times_differ")
+        stats = stats.selectExpr("*", "0D parse_ratio", "false times_differ")
+    if integers:
+        stats = stats.join(extremes(df, integers), ["station", "column"], "left")
+    else:
+        stats = stats.selectExpr("*", "0D largest", "false values_differ")
     if integers:
         stats = stats.join(sequence_tests(df, integers, order, limit), ["station", "column"], "left")
     else:
@@ -154,13 +163,15 @@ def likely_timestamp(df: DataFrame, cols: list[str], order: list[str],
     if not usable:
         return df.select("station").limit(0).selectExpr(
             "station", "'' column", "0 score", "0D parse_ratio")
-    quality = parse_quality(_values(df, usable))
-    native = [c for c in usable if not isinstance(kinds[c], T.StringType)]
-    known = F.col("column").isin(native)
-    ranked = quality.select(
-        "station", "column", time_name_score(F.col("column")).alias("score"),
-        F.when(known, 1.0).otherwise(F.col("parse_ratio")).alias("parse_ratio"),
-        F.when(known, F.col("values_differ")).otherwise(F.col("times_differ")).alias("differ"),
+    texts = [c for c in usable if isinstance(kinds[c], T.StringType)]
+    native = [c for c in usable if c not in texts]
+    parts = []
+    if texts:
+        parts.append(parse_quality(df, texts).withColumnRenamed("times_differ", "differ"))
+    if native:
+        parts.append(extremes(df, native).select("station", "column", F.lit(1.0).alias("parse_ratio"), F.col("values_differ").alias("differ")))
+    ranked = reduce(lambda a, b: a.unionByName(b), parts).select(
+        "station", "column", time_name_score(F.col("column")).alias("score"), "parse_ratio", "differ",
         F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column")).alias("idx"))
     best = Window.partitionBy("station").orderBy(F.col("score").desc(), F.col("parse_ratio").desc(), "idx")
     return (ranked.where("parse_ratio >= 0.8 and differ")

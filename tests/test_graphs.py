@@ -293,3 +293,85 @@ def test_both_forms_agree_on_missing(spark, rows, offset):
     want = np.corrcoef(np.array(both).T)[0, 1]
     found = {(r["station"], r["i"], r["j"]): r["r"] for r in similarity.pearson_pairs(df, cols, wide_limit=0).collect()}
     assert found[(None, 0, 1)] == pytest.approx(want, abs=1e-9)
+
+
+def _graph(spark, name, n, links, directed=False):
+    nodes = spark.createDataFrame([("s", name, f"n{i}", i) for i in range(n)], "station string, graph_type string, node string, idx int")
+    edges = spark.createDataFrame([("s", name, f"n{a}", f"n{b}", 1.0, directed) for a, b in links],
+                                  "station string, graph_type string, source string, target string, weight double, directed boolean")
+    return nodes, edges
+
+
+def _clustering_by_hand(n, links, directed):
+    out = np.zeros((n, n), dtype=int)
+    for a, b in links:
+        out[a, b] = 1
+        if not directed:
+            out[b, a] = 1
+    np.fill_diagonal(out, 0)
+    if directed:
+        both = out + out.T
+        total, mutual = both.sum(axis=1), (out * out.T).sum(axis=1)
+        found = np.diag(np.linalg.matrix_power(both, 3)) / 2
+        room = total * (total - 1) - 2 * mutual
+    else:
+        total = out.sum(axis=1)
+        found, room = np.diag(np.linalg.matrix_power(out, 3)), total * (total - 1)
+    return float(np.mean(np.where(room > 0, found / np.maximum(room, 1), 0.0)))
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_triangles_of_hubs_and_complete_graphs(spark, directed):
+    rng = np.random.default_rng(3)
+    hub = [(0, i) for i in range(1, 40)] + [tuple(map(int, p)) for p in rng.integers(1, 40, (60, 2)) if p[0] != p[1]]
+    every = [(a, b) for a in range(7) for b in range(7) if (a != b if directed else a < b)]
+    one_way = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    if not directed:
+        hub = sorted({(min(p), max(p)) for p in hub})
+    for n, links in ((40, sorted(set(hub))), (7, every), (6, one_way), (2, [(0, 1)]), (3, [])):
+        nodes, edges = _graph(spark, "g", n, links, directed)
+        got = metrics.clustering(nodes, paths.links(nodes, edges)).first()["clustering_coefficient"]
+        assert got == pytest.approx(_clustering_by_hand(n, links, directed), abs=1e-12), (n, directed)
+
+
+def test_sweeps_agree_with_lengths_in_a_row(spark):
+    rng = np.random.default_rng(6)
+    for directed in (False, True):
+        for n, m in ((60, 70), (60, 400), (5, 20), (30, 0)):
+            links = sorted({tuple(map(int, p)) for p in rng.integers(0, n, (m, 2)) if p[0] != p[1]})
+            nodes, edges = _graph(spark, "g", n, links, directed)
+            near = paths.two_way(paths.links(nodes, edges)) if not directed else paths.links(nodes, edges)
+            keys = ["station", "graph_type"]
+            rows = [sorted(tuple(r) for r in paths.reaches(nodes, near, keys, limit, block=7).select("idx", "far", "reached", "least").collect())
+                    for limit in (200, 0)]
+            assert rows[0] == rows[1] and len(rows[0]) == n
+
+
+def test_extent_of_large_graphs(spark):
+    """A ring and a random graph of thousands of nodes, without a row per pair."""
+    n = 5000
+    ring, _ = [(i, (i + 1) % n) for i in range(n)], None
+    nodes, edges = _graph(spark, "g", n, ring)
+    found = metrics.extent(nodes, paths.links(nodes, edges), metrics.basic_counts(nodes, paths.links(nodes, edges))).first()
+    assert (found["diameter"], found["radius"], found["connected_components"], found["partial"]) == (2500.0, 2500.0, 1, False)
+    rng = np.random.default_rng(1)
+    links = sorted({(min(p), max(p)) for p in map(tuple, rng.integers(0, n, (20_000, 2)).tolist()) if p[0] != p[1]})
+    nodes, edges = _graph(spark, "g", n, links)
+    found = metrics.extent(nodes, paths.links(nodes, edges), metrics.basic_counts(nodes, paths.links(nodes, edges))).first()
+    near = [[] for _ in range(n)]
+    for a, b in links:
+        near[a].append(b)
+        near[b].append(a)
+    far, labels = [], {}
+    for start in range(n):
+        seen, front, hops = {start}, [start], 0
+        while front:
+            front = [v for v in {w for u in front for w in near[u]} if v not in seen]
+            seen.update(front)
+            hops += bool(front)
+        labels.setdefault(min(seen), []).append(hops)
+        if start >= 40 and min(seen) == 0:  # a sample is enough for the bounds below
+            break
+    main = labels[0]
+    assert max(main) <= found["diameter"] and found["radius"] <= min(main)
+    assert found["diameter"] <= 2 * found["radius"]
