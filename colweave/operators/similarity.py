@@ -9,6 +9,7 @@ Both forms take NaN as missing and a NULL station as a station.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,6 +22,8 @@ from colweave.session import materialise, ready_workers
 
 # Columns up to which one aggregate with N(N-1)/2 expressions stays in codegen.
 WIDE_LIMIT = 12
+# Columns of a block; a task holds the sums of the pairs between two blocks.
+TILE_COLS = 512
 # Bytes of partial sums a task may hold before it hands them downstream.
 PARTIAL_BYTES = 128 * 1024 * 1024
 
@@ -46,42 +49,50 @@ def _wide_pairs(df: DataFrame, cols: list[str], expr, diagonal: bool) -> DataFra
     return wide.select("station", F.inline(cells))
 
 
-def _block_sums(n_cols: int):
-    """Arrow batches of (station, feature array) -> partial sums per station and pair."""
-    upper_i, upper_j = np.triu_indices(n_cols)
+def _tile_sums(left: list[int], right: list[int]):
+    """Arrow batches of (station, left columns, right columns) -> partial sums per station and pair.
+
+    ``left`` and ``right`` are column numbers; where they are the same, each pair counts once.
+    """
+    same = left == right
+    at_i, at_j = np.triu_indices(len(left)) if same else np.indices((len(left), len(right))).reshape(2, -1)
+    names_i, names_j = pa.array(np.array(left, dtype=np.int32)[at_i]), pa.array(np.array(right, dtype=np.int32)[at_j])
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        for station, (n, sx, sxx, sxy) in held.items():
-            size = len(upper_i)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([station] * size, pa.string()),
-                pa.array(upper_i, pa.int32()), pa.array(upper_j, pa.int32()),
-                pa.array(n[upper_i, upper_j]),
-                pa.array(sx[upper_i, upper_j]), pa.array(sx[upper_j, upper_i]),
-                pa.array(sxx[upper_i, upper_j]), pa.array(sxx[upper_j, upper_i]),
-                pa.array(sxy[upper_i, upper_j]),
-            ], names=["station", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+        for station, sums in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([station] * len(at_i), pa.string()), names_i, names_j, *(pa.array(x[at_i, at_j]) for x in sums)],
+                names=["station", "i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    def matrix(column: pa.Array, rows: int, width: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        room = max(1, PARTIAL_BYTES // (4 * 8 * n_cols * n_cols))
+        room = max(1, PARTIAL_BYTES // (6 * 8 * len(left) * len(right)))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(batch.num_rows, n_cols)
+            x = matrix(batch.column(1), batch.num_rows, len(left))
+            y = x if same else matrix(batch.column(2), batch.num_rows, len(right))
             codes = batch.column(0).dictionary_encode(null_encoding="encode")
             keys = codes.dictionary.to_pylist()
             order = np.argsort(codes.indices.to_numpy(), kind="stable")
             bounds = np.searchsorted(codes.indices.to_numpy()[order], np.arange(len(keys) + 1))
             for pos, key in enumerate(keys):
-                part = x[order[bounds[pos]:bounds[pos + 1]]]
-                here = (~np.isnan(part)).astype(np.float64)
-                part = np.nan_to_num(part, nan=0.0)
-                # sx[i, j]: sum of column i over rows where column j is present too.
-                sums = (here.T @ here, part.T @ here, (part * part).T @ here, part.T @ part)
+                rows = order[bounds[pos]:bounds[pos + 1]]
+                a = x[rows]
+                in_a, a = (~np.isnan(a)).astype(np.float64), np.nan_to_num(a, nan=0.0)
+                # The sum of a column over the rows where the other one is present too.
+                if same:
+                    sx, sxx = a.T @ in_a, (a * a).T @ in_a
+                    sums = in_a.T @ in_a, sx, sx.T, sxx, sxx.T, a.T @ a
+                else:
+                    b = y[rows]
+                    in_b, b = (~np.isnan(b)).astype(np.float64), np.nan_to_num(b, nan=0.0)
+                    sums = in_a.T @ in_b, a.T @ in_b, in_a.T @ b, (a * a).T @ in_b, in_a.T @ (b * b), a.T @ b
                 old = held.get(key)
-                held[key] = sums if old is None else tuple(a + b for a, b in zip(old, sums))
+                held[key] = sums if old is None else tuple(p + q for p, q in zip(old, sums))
             if len(held) >= room:
                 yield from flush(held)
                 held = {}
@@ -90,22 +101,35 @@ def _block_sums(n_cols: int):
     return run
 
 
-def pair_sums(df: DataFrame, cols: list[str], centred: bool = False) -> DataFrame:
+def _tile(df: DataFrame, cols: list[str], left: list[int], right: list[int], centred: bool) -> DataFrame:
+    """Partial sums of the pairs between two blocks of columns, from a scan of these columns alone."""
+    used = [cols[k] for k in (left if left == right else left + right)]
+    part = normalise_nan(df.select("station", *used))
+    if not centred:
+        means = materialise(part.groupBy("station").agg(*[F.avg(c).alias(f"{c}__m") for c in used]))
+        part = join_station(part, means)
+
+    def values(block: list[int]) -> Column:
+        return F.array(*[F.col(cols[k]).cast("double") if centred else F.col(cols[k]) - F.col(f"{cols[k]}__m") for k in block])
+
+    sides = [values(left).alias("x")] + ([] if left == right else [values(right).alias("y")])
+    blocks = part.select(F.col("station").cast("string").alias("station"), *sides)
+    return ready_workers(blocks).mapInArrow(_tile_sums(left, right), PARTIAL_SCHEMA)
+
+
+def pair_sums(df: DataFrame, cols: list[str], centred: bool = False, tile: int = TILE_COLS) -> DataFrame:
     """Sums over rows where both columns are present, for every pair i <= j.
 
     ``centred`` says the columns already have mean near 0.  Otherwise each
     station's column means are subtracted first so large offsets do not cancel;
     correlation does not change under that shift.
+
+    More than ``tile`` columns are cut into blocks and each pair of blocks is a scan of
+    its own columns, so a task holds sums of a tile of pairs however wide the table is.
     """
-    df = normalise_nan(df.select("station", *cols))
-    if not centred:
-        means = materialise(df.groupBy("station").agg(*[F.avg(c).alias(f"{c}__m") for c in cols]))
-        df = join_station(df, means)
-        values = [F.col(c) - F.col(f"{c}__m") for c in cols]
-    else:
-        values = [F.col(c).cast("double") for c in cols]
-    blocks = df.select(F.col("station").cast("string").alias("station"), F.array(*values).alias("x"))
-    partial = ready_workers(blocks).mapInArrow(_block_sums(len(cols)), PARTIAL_SCHEMA)
+    blocks = [list(range(low, min(low + tile, len(cols)))) for low in range(0, len(cols), tile)]
+    partial = reduce(lambda a, b: a.unionAll(b), [
+        _tile(df, cols, left, right, centred) for k, left in enumerate(blocks) for right in blocks[k:]])
     return partial.groupBy("station", "i", "j").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 

@@ -32,6 +32,25 @@ def test_pairs_match_numpy(dummy, matrix, wide_limit):
         assert r["r"] == pytest.approx((gram / np.outer(norm, norm))[r["i"], r["j"]], abs=1e-12)
 
 
+def test_tiles_of_pairs_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 23)) + 1e3
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cols = [f"c{i}" for i in range(23)]
+    df = spark.createDataFrame([("s" if k % 3 else None, *map(float, r)) for k, r in enumerate(x)],
+                               "station string, " + ", ".join(f"{c} double" for c in cols))
+    for station, rows in ((None, x[::3]), ("s", x[np.arange(90) % 3 > 0])):
+        for centred in (False, True):
+            sums = similarity.pair_sums(df, cols, centred, tile=5).where(
+                "station IS NULL" if station is None else "station = 's'")
+            got = {(r["i"], r["j"]): r for r in similarity.pairs_from_sums(sums, cols).collect()}
+            assert sorted(got) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+            for (i, j), r in got.items():
+                both = ~np.isnan(rows[:, i]) & ~np.isnan(rows[:, j])
+                want = np.corrcoef(rows[both, i], rows[both, j])[0, 1]
+                assert r["r"] == pytest.approx(want, abs=1e-9 if not centred else 1e-4)
+
+
 @pytest.mark.parametrize("wide_limit", [12, 0])
 def test_undefined_pairs_are_zero(spark, wide_limit):
     df = spark.createDataFrame([("s", 1.0, 7.0, 1e9 + 1, None), ("s", 2.0, 7.0, 1e9 + 2, None), ("s", 4.0, 7.0, 1e9 + 4, 1.0)],
@@ -350,7 +369,7 @@ def test_sweeps_agree_with_lengths_in_a_row(spark):
 def test_extent_of_large_graphs(spark):
     """A ring and a random graph of thousands of nodes, without a row per pair."""
     n = 5000
-    ring, _ = [(i, (i + 1) % n) for i in range(n)], None
+    ring = [(i, (i + 1) % n) for i in range(n)]
     nodes, edges = _graph(spark, "g", n, ring)
     found = metrics.extent(nodes, paths.links(nodes, edges), metrics.basic_counts(nodes, paths.links(nodes, edges))).first()
     assert (found["diameter"], found["radius"], found["connected_components"], found["partial"]) == (2500.0, 2500.0, 1, False)
