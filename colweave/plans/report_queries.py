@@ -62,6 +62,30 @@ def csv_stations(spark, sf_dir):
                          "price", "note")
 
 
+@query("csv_single_file", """
+SELECT 'one' AS station, o_orderkey AS order_key, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
+       'line 1' || chr(10) || chr(10) || '"' || o_orderpriority || ',' || chr(10) AS note FROM orders""")
+def csv_single_file(spark, sf_dir):
+    """All orders in one CSV file whose quoted values go on over lines, read in many small splits that end anywhere."""
+    orders = inputs.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_key"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice").cast("string")).otherwise("NA").alias("price"),
+        F.concat(F.lit("line 1\n\n\""), "o_orderpriority", F.lit(",\n")).alias("note"))
+    folder = _scratch(spark)
+    (orders.coalesce(1).write.option("header", "true").option("escape", '"').option("ignoreTrailingWhiteSpace", "false")
+     .csv(f"{folder}/one"))
+    small = {"spark.sql.files.maxPartitionBytes": "32k", "spark.sql.files.openCostInBytes": "1"}
+    before = {key: spark.conf.get(key) for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        (_, loaded), = discovery.load_stations(spark, folder).tables
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return loaded.select("station", F.col("order_key").cast("long").alias("order_key"), "price", "note")
+
+
 @query("day_first_times", """
 SELECT o_orderstatus AS station, o_orderkey AS row_id, strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS seen
 FROM orders""")

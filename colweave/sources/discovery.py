@@ -87,24 +87,27 @@ def _escape(text: str) -> str:
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = []
+        found, rows = [], []
         for path, ext in zip(pdf["path"], pdf["ext"]):
             uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
             store, inner = pafs.FileSystem.from_uri(uri.replace(" ", "%20"))
             if ext in PARQUET_ENDINGS:
-                found.append(list(pq.read_schema(inner, filesystem=store).names))
+                footer = pq.read_metadata(inner, filesystem=store)
+                found.append(list(footer.schema.to_arrow_schema().names))
+                rows.append(footer.num_rows)
             else:
+                rows.append(None)
                 with store.open_input_stream(inner) as stream:
                     # To the end of the first record, however long it is.
                     text = io.TextIOWrapper(stream, encoding="utf-8-sig", errors="replace", newline="")
                     found.append(next(csv.reader(text, delimiter=TEXT_SEPARATORS[ext]), []))
-        yield pdf.assign(columns=found)
+        yield pdf.assign(columns=found, footer_rows=pd.array(rows, dtype="Int64"))
 
 
 def with_columns(files: DataFrame) -> DataFrame:
-    """Adds each file's column names, read from its first line or its footer by the tasks."""
+    """Adds each file's column names, read from its first line or its footer by the tasks, and a footer's row count."""
     names = files.schema.names
-    schema = ", ".join(f"{n} string" for n in names) + ", columns array<string>"
+    schema = ", ".join(f"{n} string" for n in names) + ", columns array<string>, footer_rows long"
     return ready_workers(files).mapInPandas(_read_headers, schema)
 
 
@@ -186,20 +189,23 @@ def load_stations(spark: SparkSession, data_dir: str, strict: bool = False) -> L
     listed = materialise(_listed(spark, data_dir))
     files = materialise(with_columns(listed.where(_readable())))
     unread = listed.select("station").distinct().join(files, "station", "left_anti")
-    # Metadata only: Spark itself keeps the file list on the driver.
-    found = files.select("ext", "columns", "path").collect()
-    if not found:
+    texts = [r["path"] for r in files.where(F.col("ext").isin(*TEXT_SEPARATORS)).select("path").collect()]
+    broken = sorted(with_line_breaks(spark, sorted(texts))) if texts else []
+    marks = spark.createDataFrame([(p, True) for p in broken], "path string, broken boolean")
+    # One row per schema with its files: Spark itself keeps the list of the files it reads on the driver.
+    groups = (files.join(marks, "path", "left").groupBy("ext", "columns", F.coalesce("broken", F.lit(False)).alias("broken"))
+              .agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("ext", "columns", "broken").collect())
+    if not groups:
         raise EmptyStation(f"no data files in {data_dir}")
-    texts = [row["path"] for row in found if row["ext"] in TEXT_SEPARATORS]
-    broken = with_line_breaks(spark, sorted(texts)) if texts else set()
-    groups: dict[tuple, list[str]] = {}
-    for row in found:
-        groups.setdefault((row["ext"], tuple(row["columns"]), row["path"] in broken), []).append(row["path"])
-    reads = {key: read_files(spark, key[0], sorted(paths), key[2], list(key[1])) for key, paths in groups.items()}
+    reads = {(g["ext"], tuple(g["columns"]), g["broken"]): read_files(spark, g["ext"], g["paths"], g["broken"], list(g["columns"]))
+             for g in groups}
+    # Parquet footers know their rows; only text files are scanned for them.
+    scanned = [df.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+               for (ext, _, _), df in reads.items() if ext in TEXT_SEPARATORS]
     counts = reduce(lambda a, b: a.unionByName(b), [
-        df.groupBy(F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("rows")) for df in reads.values()])
+        files.where("footer_rows IS NOT NULL").select("path", F.col("footer_rows").alias("rows")), *scanned])
     inventory = materialise(
-        files.join(counts, "path", "left").select(
+        files.drop("footer_rows").join(counts, "path", "left").select(
             "station", "file_name", "path", F.coalesce("rows", F.lit(0)).alias("rows"),
             F.size("columns").alias("cols"), "columns",
             F.concat_ws("\u0001", F.array_sort("columns")).alias("signature")))

@@ -6,7 +6,7 @@ import pytest
 from colweave import Settings
 from colweave.operators import similarity
 from colweave.plans import stations
-from colweave.plans.stations import run_folder, save_run
+from colweave.plans.stations import export_run, run_folder, save_run
 
 
 @pytest.fixture(scope="module")
@@ -61,8 +61,12 @@ def test_whole_folder(spark, folder, rows, tmp_path):
     assert report["alpha"]["rows"] == 61 and report["alpha"]["duplicate_rows"] == 1
     assert len(report["alpha"]["graph_structures"]) == 4
     assert run.tables["comparison"].count() == 2
-    save_run(run, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "edges")).count() == run.edges.count()
+    store = save_run(run, str(tmp_path / "out"))
+    assert store.read("edges").count() == run.edges.count()
+    assert sorted(store.read("cleaned", columns=[c for c in run.cleaned.columns if c not in ("station", "row_id", "_order_ts")]).columns) == sorted(
+        c for c in run.cleaned.columns if c not in ("row_id", "_order_ts"))
+    export_run(run, str(tmp_path / "plain"))
+    assert spark.read.parquet(str(tmp_path / "plain" / "edges")).count() == run.edges.count()
 
 
 def test_forest_and_kept_duplicates(spark, folder):
@@ -88,3 +92,18 @@ def test_interpolation_without_a_time_fails_one_station(spark, rows):
     assert rows(failed, "station", "status") == [("bad", "Failed")]
     assert rows(used) == [("good", "interpolate")]
     assert rows(out.where("row_id = 4"), "station", "a") == [("good", 17.0)] and out.count() == 8
+
+
+def test_cosine_ranks_the_top_k_graph(spark):
+    rng = np.random.default_rng(2)
+    rows = [("s", i, *map(float, r)) for i, r in enumerate(rng.normal(size=(60, 4)))]
+    df = spark.createDataFrame(rows, "station string, row_id long, a double, b double, c double, d double")
+    run = stations.run_stations(df, list("abcd"), Settings(top_k_similarity="cosine", top_k_neighbors=1, outlier_treatment="none"))
+    x = np.array([r[2:] for r in rows])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    unit = x / np.linalg.norm(x, axis=0)
+    cosine = np.abs(unit.T @ unit) - np.eye(4)
+    got = {(r["source"], r["target"]): r["weight"] for r in run.edges.where("graph_type = 'top_k'").collect()}
+    assert got.keys() == {("abcd"[i], "abcd"[int(cosine[i].argmax())]) for i in range(4)}
+    with pytest.raises(ValueError):
+        Settings(top_k_similarity="angle")
