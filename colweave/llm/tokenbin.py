@@ -34,10 +34,10 @@ MAGIC = b"CWPACK01"
 BLOCK_IDS = 1 << 16
 END_ID = 2
 # Pieces a worker remembers; as many that were used before those are kept beside them.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 WORDS_PER_TEXT = 512
 # Texts are encoded in groups of about this many bytes, in which each distinct piece is looked up once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 # One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
 ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?|)\"]}"))
