@@ -34,10 +34,10 @@ MAGIC = b"CWPACK01"
 BLOCK_IDS = 1 << 16
 END_ID = 2
 # Pieces a worker remembers; as many that were used before those are kept beside them.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 WORDS_PER_TEXT = 512
 # Texts are encoded in groups of about this many bytes, in which each distinct piece is looked up once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 4 << 20
 # One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
 ONE_WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
 _CLOSING = np.isin(np.arange(256), list(b".,;:!?|)\"]}"))
@@ -174,10 +174,11 @@ class PieceEncoder:
     while it is remembered; pieces that were not used lately are forgotten.
     """
 
-    def __init__(self, path: str, pieces: bool = True) -> None:
+    def __init__(self, path: str, pieces: bool = True, remembered: int = CACHE_PIECES) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = pieces
+        self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -213,7 +214,7 @@ class PieceEncoder:
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words, encoding those that are not remembered."""
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.remembered:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         fresh = []
@@ -306,11 +307,11 @@ def _distinct(data: np.ndarray, length: np.ndarray) -> tuple[list[bytes], np.nda
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pieces: bool) -> PieceEncoder:
-    return PieceEncoder(path, pieces)
+def _encoder(path: str, pieces: bool, remembered: int) -> PieceEncoder:
+    return PieceEncoder(path, pieces, remembered)
 
 
-def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, block_ids: int):
+def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, block_ids: int, text_bytes: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = uri = None
         for batch in batches:
@@ -318,11 +319,11 @@ def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, b
             ids = batch.column(0).to_pylist()
             low = 0
             while low < len(ids):
-                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + TEXT_BYTES, side="right")) - 1)
+                high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + text_bytes, side="right")) - 1)
                 if writer is None:
                     stream, uri = store.open_output(folder, store.attempt_name("shard", ".bin"))
                     writer = ShardWriter(stream, id_bits(vocabulary), block_ids)
-                writer.add_many(ids[low:high], *_encoder(path, pieces).encode(
+                writer.add_many(ids[low:high], *_encoder(path, pieces, remembered).encode(
                     data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], end_id))
                 low = high
         if writer is not None:
@@ -335,7 +336,8 @@ def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, b
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, pieces: bool = True,
-                 end_id: int = END_ID, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+                 end_id: int = END_ID, shards: int | None = None, block_ids: int = BLOCK_IDS,
+                 text_bytes: int = TEXT_BYTES, remembered: int = CACHE_PIECES) -> DataFrame:
     """Encode whole texts, append ``end_id``, write shards; the written manifest comes back.
 
     Manifest: ``(shard, uri, n_docs, n_ids, start)``, ``start`` being the ids of all
@@ -348,6 +350,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     ``spark.sql.shuffle.partitions``), so many rows of one id spread too.  A shard is
     named in the manifest only when its task has ended; files of lost attempts are
     never read.
+
+    ``text_bytes`` and ``remembered`` trade memory of a worker for time: groups of texts
+    whose distinct words are looked up once, and words whose ids are kept.
     """
     spark = docs.sparkSession
     folder = folder or store.new_folder(spark, "tokens")
@@ -358,7 +363,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                         F.xxhash64("text").alias("text_key"))
     dealt = (ready_workers(texts).repartitionByRange(shards, "doc_id", "text_key")
              .sortWithinPartitions("doc_id", "text_key").select("doc_id", "text"))
-    manifest = materialise(dealt.mapInArrow(_write(folder, tokenizer_path, pieces, vocabulary, end_id, block_ids),
+    manifest = materialise(dealt.mapInArrow(_write(folder, tokenizer_path, pieces, vocabulary, end_id, block_ids, text_bytes, remembered),
                                             "shard long, uri string, n_docs long, n_ids long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
