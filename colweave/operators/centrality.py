@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colweave.functions.stats import null_if_zero
 from colweave.operators.graphs import GRAPH_KEYS
-from colweave.operators.paths import (ROW_NODES, has_rows, links, path_counts, shortest_lengths, tight_links, union_all)
+from colweave.operators.paths import SWEEP_SOURCES, has_rows, links, path_sums
 from colweave.session import materialise, max_group_rows
 
 MAX_ROUNDS = 1000
@@ -41,43 +41,25 @@ def degree(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
             .select(*GRAPH_KEYS, "idx", F.coalesce(share, F.lit(1.0)).alias("degree_centrality")))
 
 
-def closeness(nodes: DataFrame, lengths: DataFrame) -> DataFrame:
+def length_sums(lengths: DataFrame) -> DataFrame:
+    """Lengths of pairs added up by the node they end in: ``(keys, idx, total, others)``."""
+    return (lengths.where("s <> t").groupBy(*GRAPH_KEYS, F.col("t").alias("idx"))
+            .agg(F.sum("d").alias("total"), F.count(F.lit(1)).alias("others")))
+
+
+def closeness(nodes: DataFrame, sums: DataFrame) -> DataFrame:
     """Incoming closeness, scaled by the share of nodes that reach the node."""
-    reach = (lengths.where("s <> t").groupBy(*GRAPH_KEYS, F.col("t").alias("idx"))
-             .agg(F.sum("d").alias("total"), F.count(F.lit(1)).alias("others")))
+    reach = sums.select(*GRAPH_KEYS, "idx", "total", "others")
     value = F.col("others") / null_if_zero(F.col("total")) * (F.col("others") / null_if_zero(F.col("n") - 1))
     return (nodes.join(_sizes(nodes), GRAPH_KEYS).join(reach, [*GRAPH_KEYS, "idx"], "left")
             .select(*GRAPH_KEYS, "idx", F.coalesce(value, F.lit(0.0)).alias("closeness_centrality")))
 
 
-def betweenness(nodes: DataFrame, ordered: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Share of shortest paths through a node, ends excluded, over ``(n-1)(n-2)``.
-
-    Dependencies flow back along shortest-path links only, so no triple of nodes
-    is ever formed.
-    """
-    tight = materialise(tight_links(lengths, ordered))
-    counts = materialise(path_counts(nodes, tight))
-    near = counts.select(*GRAPH_KEYS, "s", F.col("t").alias("u"), F.col("paths").alias("pu"))
-    far = counts.select(*GRAPH_KEYS, "s", F.col("t").alias("v"), F.col("paths").alias("pv"))
-    shares = materialise(tight.join(near, [*GRAPH_KEYS, "s", "u"]).join(far, [*GRAPH_KEYS, "s", "v"])
-                         .select(*GRAPH_KEYS, "s", "u", "v", (F.col("pu") / F.col("pv")).alias("share")))
-    front = counts.where("s <> t").select(*GRAPH_KEYS, "s", F.col("t").alias("v"), F.lit(1.0).alias("flow"))
-    layers: list[DataFrame] = []
-    while True:
-        front = materialise(front.join(shares, [*GRAPH_KEYS, "s", "v"])
-                            .groupBy(*GRAPH_KEYS, "s", F.col("u").alias("v"))
-                            .agg(F.sum(F.col("flow") * F.col("share")).alias("flow")))
-        if not has_rows(front):
-            break
-        layers.append(front)
-    sizes = _sizes(nodes)
-    if not layers:
-        return nodes.select(*GRAPH_KEYS, "idx", F.lit(0.0).alias("betweenness_centrality"))
-    flows = (union_all(layers).where("s <> v").groupBy(*GRAPH_KEYS, F.col("v").alias("idx"))
-             .agg(F.sum("flow").alias("flow")))
+def betweenness(nodes: DataFrame, sums: DataFrame) -> DataFrame:
+    """Share of shortest paths through a node, ends excluded, over ``(n-1)(n-2)``."""
+    flows = sums.select(*GRAPH_KEYS, "idx", "flow")
     room = null_if_zero((F.col("n") - 1) * (F.col("n") - 2))
-    return (nodes.join(sizes, GRAPH_KEYS).join(flows, [*GRAPH_KEYS, "idx"], "left")
+    return (nodes.join(_sizes(nodes), GRAPH_KEYS).join(flows, [*GRAPH_KEYS, "idx"], "left")
             .select(*GRAPH_KEYS, "idx",
                     F.coalesce(F.col("flow") / room, F.lit(0.0)).alias("betweenness_centrality")))
 
@@ -205,13 +187,13 @@ def _by_joins(nodes: DataFrame, weighted: DataFrame, name: str, rank: bool) -> D
     return state.select(*GRAPH_KEYS, "idx", F.when(F.col("done"), F.col("x")).otherwise(0.0).alias(name))
 
 
-def centralities(nodes: DataFrame, edges: DataFrame, row_nodes: int = ROW_NODES) -> DataFrame:
+def centralities(nodes: DataFrame, edges: DataFrame, block: int = SWEEP_SOURCES) -> DataFrame:
     """All five centralities: one row per node of every graph."""
     nodes = materialise(nodes)
     ordered = materialise(with_distance(links(nodes, edges)))
-    lengths = materialise(shortest_lengths(nodes, ordered, row_nodes))
+    sums = materialise(path_sums(nodes, ordered, block))
     out = nodes.select(*GRAPH_KEYS, "node", "idx")
-    for part in (degree(nodes, ordered), betweenness(nodes, ordered, lengths), closeness(nodes, lengths),
+    for part in (degree(nodes, ordered), betweenness(nodes, sums), closeness(nodes, sums),
                  eigenvector(nodes, ordered), pagerank(nodes, ordered)):
         out = out.join(part, [*GRAPH_KEYS, "idx"], "left")
     return out.fillna(0.0, CENTRALITIES)

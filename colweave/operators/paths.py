@@ -6,7 +6,7 @@ shared folder, so lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -26,10 +26,6 @@ ROW_NODES = 200
 SWEEP_SOURCES = 512
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def has_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
@@ -203,25 +199,84 @@ def shortest_lengths(nodes: DataFrame, ordered: DataFrame, row_nodes: int = ROW_
             return best.select(*GRAPH_KEYS, "s", "t", "d")
 
 
-def tight_links(lengths: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Links that lie on a shortest path from ``s``: ``(keys, s, u, v)``."""
-    hop = ordered.select(*GRAPH_KEYS, F.col("s").alias("u"), F.col("t").alias("v"), "distance")
-    near = lengths.select(*GRAPH_KEYS, "s", F.col("t").alias("u"), F.col("d").alias("du"))
-    far = lengths.select(*GRAPH_KEYS, "s", F.col("t").alias("v"), F.col("d").alias("dv"))
-    gap = F.abs(F.col("du") + F.col("distance") - F.col("dv"))
-    return (near.join(hop, [*GRAPH_KEYS, "u"]).join(far, [*GRAPH_KEYS, "s", "v"])
-            .where((F.col("v") != F.col("s")) & (gap <= LENGTH_TOLERANCE * F.col("dv")))
-            .select(*GRAPH_KEYS, "s", "u", "v"))
-
-
-def path_counts(nodes: DataFrame, tight: DataFrame) -> DataFrame:
-    """Number of shortest paths from ``s`` to ``t``: ``(keys, s, t, paths)``."""
-    front = materialise(nodes.select(*GRAPH_KEYS, F.col("idx").alias("s"), F.col("idx").alias("t"),
-                                     F.lit(1.0).alias("paths")))
-    layers = [front]
-    while True:
-        front = materialise(front.withColumnRenamed("t", "u").join(tight, [*GRAPH_KEYS, "s", "u"])
-                            .groupBy(*GRAPH_KEYS, "s", F.col("v").alias("t")).agg(F.sum("paths").alias("paths")))
-        if not has_rows(front):
-            return union_all(layers).groupBy(*GRAPH_KEYS, "s", "t").agg(F.sum("paths").alias("paths"))
-        layers.append(front)
+def _lengths_from(source: int, first: np.ndarray, arrive: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Shortest length from one node to every node, infinite where it cannot go."""
+    far = np.full(len(first) - 1, np.inf)
+    far[source] = 0.0
+    queue = [(0.0, source)]
+    while queue:
+        at, node = heapq.heappop(queue)
+        if at > far[node]:
+            continue
+        ends = arrive[first[node]:first[node + 1]]
+        reach = at + length[first[node]:first[node + 1]]
+        shorter = reach < far[ends]
+        ends, reach = ends[shorter], reach[shorter]
+        np.minimum.at(far, ends, reach)
+        for item in zip(reach.tolist(), ends.tolist()):
+            heapq.heappush(queue, item)
+    return far
+
+
+def _fold_paths(hops: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+    """Sums over all shortest paths from a block of sources, one row per node reached."""
+    starts = np.unique(sources["idx"].to_numpy())
+    s, t = hops["s"].to_numpy(), hops["t"].to_numpy()
+    names = np.unique(np.concatenate([s, t]))
+    order = np.argsort(s, kind="stable")
+    leave, arrive = np.searchsorted(names, s[order]), np.searchsorted(names, t[order])
+    length = hops["distance"].to_numpy(dtype=float)[order]
+    first = np.searchsorted(leave, np.arange(len(names) + 1))
+    flow, total = np.zeros(len(names)), np.zeros(len(names))
+    others = np.zeros(len(names), dtype=np.int64)
+    for source in np.searchsorted(names, starts).tolist():
+        far = _lengths_from(source, first, arrive, length)
+        usable = np.flatnonzero(np.isfinite(far[leave]) & (arrive != source))
+        before, after = far[leave[usable]], far[arrive[usable]]
+        tight = (before < after) & (np.abs(before + length[usable] - after) <= LENGTH_TOLERANCE * after)
+        steps = usable[tight][np.argsort(after[tight], kind="stable")]
+        # Out in order of distance: every path into a node is counted before it goes on.
+        pairs = list(zip(leave[steps].tolist(), arrive[steps].tolist()))
+        paths = [0.0] * len(names)
+        paths[source] = 1.0
+        for u, v in pairs:
+            paths[v] += paths[u]
+        # And back: a node passes on what it carries for the nodes behind it.
+        carried = [0.0] * len(names)
+        for u, v in reversed(pairs):
+            carried[u] += paths[u] / paths[v] * (1.0 + carried[v])
+        carried[source] = 0.0
+        flow += carried
+        reached = np.isfinite(far)
+        reached[source] = False
+        total[reached] += far[reached]
+        others += reached
+    met = others > 0
+    return pd.DataFrame({"idx": names[met], "flow": flow[met], "total": total[met], "others": others[met]})
+
+
+def path_sums(nodes: DataFrame, ordered: DataFrame, block: int = SWEEP_SOURCES) -> DataFrame:
+    """Per node the shortest paths through and into it: ``(keys, idx, flow, total, others)``.
+
+    ``flow`` is the share of shortest paths between other nodes that pass the node, ``total``
+    the length of the shortest paths into it and ``others`` how many nodes reach it; nodes
+    that none reaches have no row.  ``ordered`` carries a positive ``distance``.  Sources are
+    dealt over tasks by blocks of column indices; a block meets its graph's links (columns,
+    not rows of the table) in one task and gives one row per node, never one per pair or hop.
+    """
+    keys = GRAPH_KEYS
+    hops = ordered.where("s <> t").select(*keys, "s", "t", "distance")
+    at = F.floor(F.col("idx") / block).cast("long").alias("block")
+    sources = materialise(hops.select(*keys, F.col("s").alias("idx")).distinct().select(*keys, "idx", at))
+    blocks = materialise(sources.select(*keys, "block").distinct())
+    sent = hops.join(blocks, keys)
+    kind = nodes.schema["idx"].dataType.simpleString()
+    schema = ", ".join(f"{k} {nodes.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fold(key: tuple, links_of: pd.DataFrame, sources_of: pd.DataFrame) -> pd.DataFrame:
+        return _fold_paths(links_of, sources_of).assign(**dict(zip(keys, key)))[[*keys, "idx", "flow", "total", "others"]]
+
+    parts = (ready_workers(sent).groupBy(*keys, "block").cogroup(sources.groupBy(*keys, "block"))
+             .applyInPandas(fold, f"{schema}, idx {kind}, flow double, total double, others long"))
+    return parts.groupBy(*keys, "idx").agg(
+        F.sum("flow").alias("flow"), F.sum("total").alias("total"), F.sum("others").alias("others"))

@@ -4,27 +4,81 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colweave.functions.vectors import euclidean
 from colweave.operators.layers import RUN_KEYS
 from colweave.session import ready_workers
 
 SMALL_VALUE = 1e-3
 COLLAPSED_STD = 1e-4
-
-
-def pairwise_distances(embeddings: DataFrame) -> DataFrame:
-    """Distance of every unordered node pair of a run.
-
-    Nodes are table columns, so a run has as many pairs as its graph has cells;
-    the join is on the run, in node order.
+# Vectors of a block, and numbers that a task holds of a tile at once.
+PAIR_BLOCK = 1024
+TILE_CELLS = 2_000_000
+
+
+def _joined_spread(a: tuple, b: tuple) -> tuple:
+    """Count, mean and squared deviations of two lots together."""
+    n = a[0] + b[0]
+    if not n:
+        return a
+    gap = b[1] - a[1]
+    return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+
+
+def _tile_spread(pdf: pd.DataFrame, inner: bool) -> tuple:
+    """Spread of the distances between two blocks of vectors, or within one, a few rows at a time."""
+    vectors = np.vstack(pdf["embedding"].to_numpy()).astype(float)
+    upper = pdf["upper"].to_numpy(dtype=bool)
+    left, right = (vectors, vectors) if inner else (vectors[~upper], vectors[upper])
+    step = max(1, TILE_CELLS // max(1, right.size))
+    found = (0, 0.0, 0.0)
+    for low in range(0, len(left), step):
+        some = left[low:low + step]
+        cells = np.sqrt(((some[:, None, :] - right[None, :, :]) ** 2).sum(axis=2))
+        if inner:
+            values = cells[np.arange(len(right))[None, :] > np.arange(low, low + len(some))[:, None]]
+        else:
+            values = cells.ravel()
+        if len(values):
+            mean = values.mean()
+            found = _joined_spread(found, (len(values), mean, ((values - mean) ** 2).sum()))
+    return found
+
+
+def distance_spread(embeddings: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Mean and deviation of the distances of all unordered node pairs of a run.
+
+    The nodes of a run fall into blocks by their hash, every two blocks meet in a task of
+    their own, and only the count, mean and squared deviations of that tile leave it: no row
+    per pair.  A vector travels once per block of its run.  Nodes with a NULL in their vector
+    take no part; vectors of different sizes have no distance.  ``(keys,
+    avg_pairwise_distance, std_pairwise_distance)``; runs without any pair have no row.
     """
-    a = embeddings.select(*RUN_KEYS, F.col("node").alias("source"), F.col("embedding").alias("left"))
-    b = embeddings.select(*RUN_KEYS, F.col("node").alias("target"), F.col("embedding").alias("right"))
-    return (a.join(b, RUN_KEYS).where("source < target")
-            .select(*RUN_KEYS, "source", "target", euclidean(F.col("left"), F.col("right")).alias("distance")))
+    whole = embeddings.where(~F.exists("embedding", lambda v: v.isNull())).select(
+        *RUN_KEYS, F.size("embedding").alias("dims"), "node", "embedding")
+    sizes = whole.groupBy(*RUN_KEYS, "dims").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    placed = (whole.join(sizes, [*RUN_KEYS, "dims"])
+              .withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+    dealt = placed.select(*RUN_KEYS, "dims", F.least("at", "other").alias("first"), F.greatest("at", "other").alias("second"),
+                          (F.col("at") > F.col("other")).alias("upper"), "embedding")
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, squares = _tile_spread(pdf, key[3] == key[4])
+        return pd.DataFrame({**{k: [v] for k, v in zip(RUN_KEYS, key)}, "n": [n], "mean": [mean], "squares": [squares]})
+
+    kinds = ", ".join(f"{k} {embeddings.schema[k].dataType.simpleString()}" for k in RUN_KEYS)
+    tiles = (ready_workers(dealt).groupBy(*RUN_KEYS, "dims", "first", "second")
+             .applyInPandas(tile, f"{kinds}, n long, mean double, squares double").where("n > 0")
+             # Arrow makes NULL of NaN.
+             .fillna(float("nan"), ["mean", "squares"]))
+    run = Window.partitionBy(*RUN_KEYS)
+    centre = F.sum(F.col("n") * F.col("mean")).over(run) / F.sum("n").over(run)
+    between = F.col("n") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))
+    return tiles.withColumn("centre", centre).groupBy(*RUN_KEYS).agg(
+        F.max("centre").alias("avg_pairwise_distance"),
+        F.sqrt(F.sum(F.col("squares") + between) / F.sum("n")).alias("std_pairwise_distance"))
 
 
 def dimension_stats(embeddings: DataFrame) -> DataFrame:
@@ -39,8 +93,7 @@ def embedding_quality(embeddings: DataFrame) -> DataFrame:
 
     Runs of a single node are left out.
     """
-    spread = pairwise_distances(embeddings).groupBy(*RUN_KEYS).agg(
-        F.avg("distance").alias("avg_pairwise_distance"), F.stddev_pop("distance").alias("std_pairwise_distance"))
+    spread = distance_spread(embeddings)
     dims = dimension_stats(embeddings).groupBy(*RUN_KEYS).agg(
         F.max("n").alias("node_count"), F.count(F.lit(1)).alias("dimension"),
         F.avg("variance").alias("dimension_variance"), (F.sum("small") / F.sum("n")).alias("sparsity"))

@@ -60,16 +60,20 @@ def _joined(spark, sf_dir, name: str, graph_type: str):
     nodes = materialise(nodes)
     found = materialise(centrality.with_distance(paths.links(nodes, edges)))
     if name == "closeness":
-        out = centrality.closeness(nodes, materialise(paths.shortest_lengths(nodes, found, row_nodes=0)))
+        lengths = materialise(paths.shortest_lengths(nodes, found, row_nodes=0))
+        out = centrality.closeness(nodes, centrality.length_sums(lengths))
+    elif name == "betweenness":
+        # Sources of one graph in several tasks.
+        out = centrality.betweenness(nodes, paths.path_sums(nodes, found, block=2))
     else:
         out = getattr(centrality, name)(nodes, found, row_links=0)
     return out.join(nodes, ["station", "graph_type", "idx"]).select(
         "station", "node", rounded(F.col(out.columns[-1])).alias("value"))
 
 
-for _name in ("closeness", "eigenvector", "pagerank"):
+for _name in ("closeness", "betweenness", "eigenvector", "pagerank"):
     for _type in ("correlation", "top_k"):
-        query(f"{_name}_centrality_{_type}_joined", SQL[f"{_name}_centrality_{_type}"])(
+        query(f"{_name}_centrality_{_type}_{'blocks' if _name == 'betweenness' else 'joined'}", SQL[f"{_name}_centrality_{_type}"])(
             lambda spark, sf_dir, n=_name, t=_type: _joined(spark, sf_dir, n, t))
 
 

@@ -268,9 +268,7 @@ def _centrality(spark, sf_dir, graph_type, name):
     elif name == "pagerank":
         out = centrality.pagerank(nodes, ordered)
     else:
-        lengths = materialise(paths.shortest_lengths(nodes, ordered))
-        out = (centrality.closeness(nodes, lengths) if name == "closeness"
-               else centrality.betweenness(nodes, ordered, lengths))
+        out = getattr(centrality, name)(nodes, paths.path_sums(nodes, ordered))
     value = [c for c in out.columns if c not in ("station", "graph_type", "idx")][0]
     return out.join(nodes, ["station", "graph_type", "idx"]).select(
         "station", "node", rounded(F.col(value)).alias("value"))

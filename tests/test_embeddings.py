@@ -131,6 +131,27 @@ def test_health_and_quality(spark):
     assert fine["sparsity"] == pytest.approx(3 / 6)
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_distance_spread_by_tiles(spark, block):
+    """All pairs of a run, whatever its blocks; equal distances spread by nothing; NULLs and other sizes stay out."""
+    x = np.random.default_rng(6).normal(size=(60, 5)) + 1e3
+    made = [("s", "many", f"n{i}", list(map(float, v))) for i, v in enumerate(x)]
+    made += [("s", "many", "gap", [1.0, None, 2.0, 3.0, 4.0]), ("s", "many", "none", None), ("s", "many", "short", [1.0])]
+    made += [("s", "two", "a", [0.0]), ("s", "two", "b", [0.1]), ("s", "one", "a", [0.0])]
+    made += [("s", "same", f"n{i}", [1.0, 2.0]) for i in range(30)] + [("s", "empty", "a", []), ("s", "empty", "b", [])]
+    made += [("s", "nan", "a", [float("nan")]), ("s", "nan", "b", [1.0])]
+    df = spark.createDataFrame(made, "station string, run string, node string, embedding array<double>")
+    got = {r["run"]: r for r in quality.distance_spread(df, block).collect()}
+    assert sorted(got) == ["empty", "many", "nan", "same", "two"]
+    dist = np.array([np.linalg.norm(a - b) for i, a in enumerate(x) for b in x[i + 1:]])
+    assert got["many"]["avg_pairwise_distance"] == pytest.approx(dist.mean(), rel=1e-12)
+    assert got["many"]["std_pairwise_distance"] == pytest.approx(dist.std(), rel=1e-9)
+    assert got["two"]["avg_pairwise_distance"] == 0.1 and got["two"]["std_pairwise_distance"] == 0.0
+    assert got["same"]["avg_pairwise_distance"] == 0.0 and got["same"]["std_pairwise_distance"] == 0.0
+    assert got["empty"]["avg_pairwise_distance"] == 0.0
+    assert np.isnan(got["nan"]["avg_pairwise_distance"])
+
+
 def test_projection(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(7, 4))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from colweave.operators import centrality, graphs, learned, metrics, paths, similarity
+from colweave.session import materialise
 
 FEATS = ["feat1", "feat2", "feat3", "feat4"]
 
@@ -270,10 +271,10 @@ def random_graphs(spark):
                                      "directed boolean").cache()
 
 
-@pytest.mark.parametrize("row_nodes", [200, 0])
-def test_centralities(random_graphs, row_nodes):
+@pytest.mark.parametrize("block", [512, 3])
+def test_centralities(random_graphs, block):
     found, nodes, edges = random_graphs
-    got = centrality.centralities(nodes, edges, row_nodes).toPandas()
+    got = centrality.centralities(nodes, edges, block).toPandas()
     for name, (_, directed, n, es) in found.items():
         part = got[got.station == name].sort_values("idx")
         close, between = _by_hand(n, es, directed)
@@ -284,6 +285,27 @@ def test_centralities(random_graphs, row_nodes):
             assert np.allclose(part[column], want, atol=1e-9), (name, column)
 
 
+def test_path_sums_of_ties_and_long_rings(spark, rows):
+    """A square has two equally short ways, a far node none, a ring many hops; forms by pairs agree."""
+    square = [("s", a, b, d) for x, y, d in ((0, 1, 0.1), (1, 3, 0.2), (0, 2, 0.2), (2, 3, 0.1 + 1e-17))
+              for a, b in ((x, y), (y, x))]
+    ring = [("r", a, b, 1.0) for i in range(400) for a, b in ((i, (i + 1) % 400), ((i + 1) % 400, i))]
+    ordered = spark.createDataFrame([(s, "weighted", a, b, d) for s, a, b, d in square + ring],
+                                    "station string, graph_type string, s int, t int, distance double")
+    nodes = spark.createDataFrame([(s, "weighted", f"n{i}", i) for s, n in (("s", 5), ("r", 400)) for i in range(n)],
+                                  "station string, graph_type string, node string, idx int")
+    sums = materialise(paths.path_sums(nodes, ordered, 60))
+    assert rows(sums.where("station = 's'"), "idx", "flow", "others") == [(i, 1.0, 3) for i in range(4)]
+    # From each source one node lies opposite and halves its two ways: 199 * 198 + 199 shares a node.
+    got = sums.where("station = 'r'").toPandas()
+    assert len(got) == 400 and np.allclose(got["flow"], 199 * 198 + 199)
+    assert np.allclose(got["total"], 2 * sum(range(1, 200)) + 200)
+    few = nodes.where("station = 's'")
+    pairs = centrality.length_sums(paths.shortest_lengths(few, ordered.where("station = 's'")))
+    assert rows(pairs, "idx", "total", "others") == rows(sums.where("station = 's'"), "idx", "total", "others")
+    assert paths.path_sums(nodes, ordered.where("false")).count() == 0
+
+
 def test_power_iterations_by_joins(random_graphs):
     found, nodes, edges = random_graphs
     keep = "station = 'arcs'"

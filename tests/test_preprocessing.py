@@ -219,6 +219,34 @@ def test_outliers(spark):
     assert report[0]["upper_bound"] == pytest.approx(x.mean() + 3 * x.std(ddof=1))
 
 
+def test_sketches_follow_a_changed_set_of_files(spark):
+    made = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("s")).alias("station"),
+        F.concat(F.lit("f"), (F.col("id") % 4).cast("string")).alias("file"),
+        F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, F.repeat((F.col("id") % 50).cast("string"), F.lit(40))).alias("b"),
+        F.lit(None).cast("double").alias("c"))
+    kept = materialise(profile.distinct_sketches(made, ["a", "b", "c"], ["file"]))
+    assert kept.count() == 2 * 4 * 3
+    for files in (["f0", "f1", "f2", "f3"], ["f1", "f2"], ["f3"]):
+        about = {(r["station"], r["column"]): r for r in profile.profile_of_sketches(
+            kept.where(F.col("file").isin(files))).collect()}
+        exact = profile.column_profile(made.where(F.col("file").isin(files)), ["a", "b", "c"]).collect()
+        assert len(about) == len(exact) == 6
+        for want in exact:
+            got = about[want["station"], want["column"]]
+            assert all(got[f] == want[f] for f in ("dtype", "rows", "nulls", "null_ratio"))
+            assert got["distinct_values"] == pytest.approx(want["distinct_values"], rel=0.04, abs=1)
+    assert profile.profile_of_sketches(profile.distinct_sketches(made.where("false"), ["a"], ["file"])).count() == 0
+
+
+def test_long_texts_count_by_hash(spark, rows):
+    long, twin = "x" * 40, "x" * 39 + "y"
+    import hashlib
+    values = [long, long, twin, "#" + hashlib.md5(long.encode()).hexdigest(), "", None, None]
+    df = spark.createDataFrame([("s", v) for v in values], "station string, a string")
+    assert rows(profile.column_profile(df, ["a"]), "rows", "nulls", "distinct_values") == [(7, 2, 5 + 0)]
+
+
 def test_duplicate_columns_need_equal_types(spark, rows):
     df = spark.createDataFrame([("s", 1, 1.0, 1, 2, None), ("s", 2, 2.0, 2, 1, None)],
                                "station string, a long, b double, c long, d long, e long")
