@@ -9,7 +9,7 @@ before the shuffle, so no task ever holds a station's values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colweave.functions.stats import join_station
@@ -40,56 +40,55 @@ def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], limit:
     quantile = F.when(share == 0, F.col("at")).otherwise(F.col("at") + (F.col("after") - F.col("at")) * share)
     placed = cells.join(found, "cell", "left").select("station", "i", "k", quantile.alias("q"))
     wide = placed.groupBy("station").agg(*[
-        F.array(*[F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.col("q"))) for k in range(len(probs))]).alias(c)
+        F.expr(_array(f"max(CASE WHEN i = {i} AND k = {k} THEN q END)" for k in range(len(probs)))).alias(c)
         for i, c in enumerate(cols)])
     return wide.select("station", *[F.when(F.col(f"`{c}`")[0].isNotNull(), F.col(f"`{c}`")).alias(c) for c in cols])
 
 
+# Expressions over all columns and percentiles are written as SQL text: one call each, however many they hold.
+def _array(parts) -> str:
+    return f"array({', '.join(parts)})"
+
+
 def _bracketed(values: DataFrame, width: int, probs: list[float], accuracy: int) -> DataFrame:
     """A row per station, column and percentile: ``cell``, the values ``low`` and ``high`` around it, and counts."""
     spread = 2.0 / accuracy
     ends = sorted({min(1.0, max(0.0, p + side * spread)) for p in probs for side in (-1, 1)})
-    sketch = values.groupBy("station").agg(*[agg for i in range(width) for agg in (
-        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"a{i}"), F.max(f"v{i}").alias(f"z{i}"),
-        F.percentile_approx(f"v{i}", ends, accuracy).alias(f"s{i}"))])
+    sketch = values.groupBy("station").agg(*[F.expr(agg) for i in range(width) for agg in (
+        f"count(v{i}) AS n{i}", f"min(v{i}) AS a{i}", f"max(v{i}) AS z{i}",
+        f"percentile_approx(v{i}, {_array(f'{float(e)!r}D' for e in ends)}, {accuracy}) AS s{i}")])
 
-    def end(i: int, p: float, side: int) -> Column:
+    def end(i: int, p: float, side: int) -> str:
         # Of a few values all lie within; the outermost ranks are the least and the greatest.
-        outer = F.col(f"{'az'[side > 0]}{i}")
+        outer = f"{'az'[side > 0]}{i}"
         place = ends.index(min(1.0, max(0.0, p + side * spread)))
-        if not 0 < ends[place] < 1:
-            return outer
-        return F.when(F.col(f"n{i}") <= 4 * accuracy, outer).otherwise(F.col(f"s{i}")[place])
-
-    rows = sketch.select("station", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"n{i}").alias("held"), F.col(f"a{i}").alias("least"),
-                 F.col(f"z{i}").alias("most"), end(i, p, -1).alias("low"), end(i, p, 1).alias("high"),
-                 (F.lit(float(p)) * (F.col(f"n{i}") - 1)).alias("position"))
-        for i in range(width) for k, p in enumerate(probs)])))
+        return f"if(n{i} <= {4 * accuracy}, {outer}, s{i}[{place}])" if 0 < ends[place] < 1 else outer
+
+    rows = sketch.selectExpr("station", "inline(" + _array(
+        f"struct({i} AS i, {k} AS k, n{i} AS held, a{i} AS least, z{i} AS most, {end(i, p, -1)} AS low, "
+        f"{end(i, p, 1)} AS high, {float(p)!r}D * (n{i} - 1) AS position)"
+        for i in range(width) for k, p in enumerate(probs)) + ")")
     return materialise(rows.withColumn("cell", F.monotonically_increasing_id()))
 
 
 def _counted(values: DataFrame, cells: DataFrame, width: int, percentiles: int) -> DataFrame:
     """``(cell, value, n, below)``: values within brackets with their number; ``below`` on rows without a value."""
+    pairs = [(i, k) for i in range(width) for k in range(percentiles)]
     brackets = cells.groupBy("station").agg(*[
-        F.max(F.when((F.col("i") == i) & (F.col("k") == k), F.struct("cell", "low", "high"))).alias(f"b{i}_{k}")
-        for i in range(width) for k in range(percentiles)])
+        F.expr(f"max(CASE WHEN i = {i} AND k = {k} THEN struct(cell, low, high) END) AS b{i}_{k}") for i, k in pairs])
     rows = join_station(values, materialise(brackets))
-    pairs = [(i, k) for i in range(width) for k in range(percentiles)]
-    within = F.filter(F.array(*[
-        F.when(F.col(f"v{i}").between(F.col(f"b{i}_{k}.low"), F.col(f"b{i}_{k}.high")),
-               F.struct(F.col(f"b{i}_{k}.cell").alias("cell"), F.col(f"v{i}").alias("value")))
-        for i, k in pairs]), lambda x: x.isNotNull())
+    within = "filter(" + _array(
+        f"CASE WHEN v{i} BETWEEN b{i}_{k}.low AND b{i}_{k}.high THEN struct(b{i}_{k}.cell AS cell, v{i} AS value) END"
+        for i, k in pairs) + ", x -> x IS NOT NULL)"
     # A row counts once for what it is below of, whatever number of brackets it lies in.
-    events = rows.select("station", *[f"v{i}" for i in range(width)], *[f"b{i}_{k}" for i, k in pairs],
-                         F.posexplode_outer(within).alias("at", "event"))
-    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    events = rows.selectExpr("station", *[f"v{i}" for i in range(width)], *[f"b{i}_{k}" for i, k in pairs],
+                             f"posexplode_outer({within}) AS (at, event)")
     counts = materialise(events.groupBy("station", F.col("event.cell").alias("cell"), F.col("event.value").alias("value")).agg(
-        F.count("*").alias("n"),
-        *[F.count(F.when(first & (F.col(f"v{i}") < F.col(f"b{i}_{k}.low")), 1)).alias(f"c{i}_{k}") for i, k in pairs]))
-    below = counts.groupBy("station").agg(*[F.sum(f"c{i}_{k}").alias(f"c{i}_{k}") for i, k in pairs])
-    below = below.select("station", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"c{i}_{k}").alias("below")) for i, k in pairs])))
+        F.count("*").alias("n"), *[F.expr(
+            f"count(CASE WHEN coalesce(at = 0, true) AND v{i} < b{i}_{k}.low THEN 1 END) AS c{i}_{k}") for i, k in pairs]))
+    below = counts.groupBy("station").agg(*[F.expr(f"sum(c{i}_{k}) AS c{i}_{k}") for i, k in pairs])
+    below = below.selectExpr("station", "inline(" + _array(
+        f"struct({i} AS i, {k} AS k, c{i}_{k} AS below)" for i, k in pairs) + ")")
     own = cells.select(F.col("station").alias("_own"), "i", "k", "cell")
     placed = below.join(own, F.col("station").eqNullSafe(F.col("_own")) & (below.i == own.i) & (below.k == own.k))
     inside = counts.where("cell IS NOT NULL").groupBy("cell", "value").agg(F.sum("n").alias("n"))
