@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colweave.llm import words as W
@@ -149,7 +149,14 @@ def _link_runs(limit: int):
     return run
 
 
-def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed(node, variant)`` whose variant others have too, with its ``count``."""
+    # A count joined back would shuffle all variants twice.
+    return keyed.withColumn("count", F.count("*").over(Window.partitionBy("variant"))).where("count > 1")
+
+
+def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: int = BLOCK_ROWS,
+                  variant_tasks: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` that connect all nodes whose prints differ by at most ``limit`` bits and share a variant.
 
     ``nodes``: ``node long``, ``segments array<long>`` of at most 32 bits each,
@@ -157,6 +164,8 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
     variant only enough edges to join its classes come out, never all pairs, so a
     dense family costs rows in proportion to its members.  A variant with more than
     ``block_rows`` members is compared as pairs of blocks, which go to different tasks.
+    Many variants a node go through one exchange into ``variant_tasks``, so that a task
+    sorts few of them; by default their counts are joined back.
     """
     # A task makes many rows of each node, so nodes are dealt over as many tasks as the shuffle has.
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -166,8 +175,11 @@ def variant_links(nodes: DataFrame, segment_bits: int, limit: int, block_rows: i
             f"transform(segments, (s, k) -> transform(sequence(0, {segment_bits - 1}),"
             f" p -> shiftleft(cast(k * {segment_bits} + p as bigint), 32) | (s & ~shiftleft(1L, p))))"))).alias("variant"))
     # Only keys travel with the variants; prints join the few that meet.
-    shared = keyed.groupBy("variant").count().where("count > 1")
-    met = keyed.join(shared, "variant").select(
+    if variant_tasks:
+        met = _met(keyed.repartition(variant_tasks, "variant"))
+    else:
+        met = keyed.join(keyed.groupBy("variant").count().where("count > 1"), "variant")
+    met = met.select(
         "variant", "node", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks"))
     own = F.expr("pmod(xxhash64(node), blocks)")
     dealt = met.withColumn("own", own).withColumn(
@@ -213,7 +225,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, limit: int = 2) -> Dat
 
 # ---- near copies by similarity -------------------------------------------------------------
 
-# Each band is a key of the least of BAND_ROWS orders of the shingles: sets of similarity s share
+# 256-bit fingerprints over the set of shingles; nine segments of 28 bits make 252 one-wildcard variants.
+PRINT_WORDS, SEGMENT_BITS, SEGMENTS = 4, 28, 9
+_SEEDS = W.mix(np.arange(1, PRINT_WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+# What fingerprints of 0.8 miss is found by bands. Each band is a key of the least of BAND_ROWS orders of the shingles: sets of similarity s share
 # one with probability 1 - (1 - s ** BAND_ROWS) ** BANDS, whatever kind of edit parts them.
 # That is 0.9998 at 0.8, 0.38 at 0.5 and 0.002 at 0.2.
 BAND_ROWS, BANDS = 6, 28
@@ -250,16 +265,47 @@ def _shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
                             W.runs(hashes[low:high], max(1, high - low)))
 
 
-def _keys_and_digests(shingle: int):
+def set_print(shingles: np.ndarray) -> bytes:
+    """The SimHash of a set of shingle hashes, ``PRINT_WORDS`` words of 64 bits."""
+    return majority(W.mix(shingles[:, None] ^ _SEEDS)).tobytes()
+
+
+def bit_limit(similarity: float, bits: int = 64 * PRINT_WORDS, slack: float = 3.0) -> int:
+    """Differing bits up to which prints are candidates for this Jaccard similarity.
+
+    Sets of similarity s have cosine 2s / (1 + s) at equal sizes, and a bit differs with
+    probability acos(cosine) / pi; ``slack`` standard deviations keep pairs at the edge.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def print_candidates(prints: DataFrame, similarity: float) -> DataFrame:
+    """``(node, variant, count)``: nodes that SimHash puts together, ``variant`` being their component.
+
+    ``prints``: ``(node, print)``, nodes distinct.  Nodes meet on a one-wildcard variant of a
+    segment and stay together where whole prints differ by at most :func:`bit_limit` bits.
+    """
+    per = SEGMENT_BITS // 4
+    cuts = [F.conv(F.substring(F.hex("print"), 1 + k * per, per), 16, 10).cast("long") for k in range(SEGMENTS)]
+    nodes = prints.select("node", F.array(*cuts).alias("segments"), "print")
+    tasks = 3 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = materialise(components(variant_links(nodes, SEGMENT_BITS, bit_limit(similarity), variant_tasks=tasks)))
+    sizes = together.groupBy("root").count()
+    return together.join(sizes, "root").select("node", F.col("root").alias("variant"), "count")
+
+
+def _prints_and_keys(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, digests = [], []
+            prints, keys, digests = [], [], []
             for own in _shingle_sets(batch.column(2), shingle):
+                prints.append(set_print(own))
                 keys.append(band_keys(own).view(np.int64))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
-                ["doc_id", "text_key", "keys", "digest"])
+                [batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(digests, pa.binary())], ["doc_id", "text_key", "print", "keys", "digest"])
         W.release()
 
     return run
@@ -367,19 +413,27 @@ def _links_in_units(units: DataFrame, sets: DataFrame, similarity: float) -> Dat
             .mapInArrow(_link_set_runs(similarity), "a long, b long"))
 
 
-def set_links(keyed: DataFrame, sets: DataFrame, similarity: float, block_rows: int = SET_BLOCK_ROWS) -> DataFrame:
+def set_links(keyed: DataFrame, sets: DataFrame, similarity: float, block_rows: int = SET_BLOCK_ROWS,
+              known: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of all that links among nodes that share a key: ``keyed(node, variant, count)``.
 
+    ``known(node, root)`` are classes found before; they go on, and no pair within one is compared.
+
     First each key's members link within blocks of about ``block_rows``; a family is
     mostly joined then, so only pairs of blocks that still hold several classes are
     compared after it.  Every link is decided on the whole sets.
     """
     blocks = keyed.withColumn("blocks", F.ceil(F.col("count") / block_rows).cast("long")).withColumn(
         "own", F.expr("pmod(xxhash64(node, variant), blocks)"))
-    once = blocks.select(F.xxhash64("variant", "own").alias("unit"), "node", F.col("node").alias("class"))
-    first = materialise(_links_in_units(once, sets, similarity))
+    if known is None:
+        blocks = blocks.withColumn("class", F.col("node"))
+    else:
+        blocks = blocks.join(known, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    once = blocks.select(F.xxhash64("variant", "own").alias("unit"), "node", "class")
+    first = _links_in_units(once, sets, similarity)
+    first = materialise(first if known is None else first.unionAll(known.toDF("a", "b")))
     roots = materialise(components(first))
-    wide = blocks.where("blocks > 1").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    wide = blocks.where("blocks > 1").drop("class").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     held = materialise(wide.select("variant", "node", "class", "blocks", "own"))
     # Keys of one class are done.
     open_keys = held.groupBy("variant").agg((F.min("class") != F.max("class")).alias("open")).where("open").select("variant")
@@ -397,38 +451,42 @@ def set_links(keyed: DataFrame, sets: DataFrame, similarity: float, block_rows:
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, text_key, group, keep)``: near copies at a shingle similarity.
+    """``(doc_id, text_key, group, keep)``: near copies by SimHash at a shingle similarity.
+
+    Candidates are the :func:`print_candidates` of the fingerprints over the sets of
+    ``shingle``-word shingles; they link where the Jaccard similarity of these sets (of
+    64-bit hashes) is at least ``similarity``.  Fingerprints miss links near 0.8, so pairs
+    not in one class by then that share one of the :func:`band_keys` are decided too.
 
-    Candidates share one of the :func:`band_keys` of their sets of ``shingle``-word
-    shingles; they link where the Jaccard similarity of these sets (of 64-bit hashes) is
-    at least ``similarity``.  Groups are components of links; in each the row with the
-    smallest doc_id (nulls last, then the text's hash) has ``keep``.  ``text_key`` is
-    xxhash64 of the text, so that ``(doc_id, text_key)`` finds the row again; rows equal
-    in both are all marked.
+    Groups are components of links; in each the row with the smallest doc_id (nulls last,
+    then the text's hash) has ``keep``.  ``text_key`` is xxhash64 of the text, so that
+    ``(doc_id, text_key)`` finds the row again; rows equal in both are all marked.
 
     Texts without words (null, empty, blank) form one group.  Sets are made again for
-    the texts that share a key, so that no others are stored.
+    the texts that have candidates, so that no others are stored.
     """
     spark = docs.sparkSession
     texts = ready_workers(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.col("text").cast("binary").alias("text"))
-    prints = materialise(texts.mapInArrow(_keys_and_digests(shingle), "doc_id long, text_key long, keys array<long>, digest binary"))
+    prints = materialise(texts.mapInArrow(
+        _prints_and_keys(shingle), "doc_id long, text_key long, print binary, keys array<long>, digest binary"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    distinct = materialise(prints.groupBy("digest").agg(F.min(rank).alias("best"), F.first("keys").alias("keys"))
+    distinct = materialise(prints.groupBy("digest").agg(F.min(rank).alias("best"), F.first("print").alias("print"),
+                                                         F.first("keys").alias("keys"))
                            .withColumn("node", F.monotonically_increasing_id()))
+    together = materialise(print_candidates(distinct.select("node", "print"), similarity))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.repartition(n).select("node", F.explode("keys").alias("variant"))
-    shared = keyed.groupBy("variant").count().where("count > 1")
-    met = materialise(keyed.join(shared, "variant"))
-    wanted = distinct.join(met.select("node").distinct(), "node").select("node", "digest", F.col("best.text_key").alias("text_key"))
+    met = materialise(_met(distinct.repartition(n).select("node", F.explode("keys").alias("variant"))))
+    candidates = together.select("node").unionAll(met.select("node")).distinct()
+    wanted = distinct.join(candidates, "node").select("node", "digest", F.col("best.text_key").alias("text_key"))
     wanted = materialise(wanted)
     held = spark.sparkContext.broadcast(_bit_map(wanted))
     made = texts.select("text_key", "text").mapInArrow(
         _wanted_sets(shingle, held), "text_key long, digest binary, shingles binary")
     # A set that several rows have is met once.
     sets = materialise(made.join(wanted.select("node", "digest"), "digest").select("node", "shingles").dropDuplicates(["node"]))
-    roots = set_links(met, sets, similarity)
+    roots = set_links(met, sets, similarity, known=set_links(together, sets, similarity))
     labelled = distinct.join(roots, "node", "left").select("digest", "best", F.coalesce("root", "node").alias("group"))
     best = labelled.groupBy("group").agg(F.min("best").alias("winner"))
     labels = materialise(labelled.join(best, "group").select("digest", "group", "winner"))

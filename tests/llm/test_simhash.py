@@ -219,3 +219,41 @@ def test_links_of_sets_in_blocks(spark, block_rows):
                 if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8:
                     root[i] = root[j] = min(root[i], root[j])
     assert [found.get(i, i) for i in range(len(sets))] == root
+
+
+def test_fingerprints_find_near_copies_before_the_bands(spark, monkeypatch):
+    """Links of SimHash candidates are there before any band is asked; unrelated texts are no candidates."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for _ in range(60):
+        words = [word() for _ in range(300)]
+        rows += [words, words + [word() for _ in range(8)]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    asked, whole = [], simhash.set_links
+    monkeypatch.setattr(simhash, "set_links", lambda *args, **named: asked.append(whole(*args, **named)) or asked[-1])
+    group = {r["doc_id"]: r["group"] for r in simhash.near_duplicate_groups(df).collect()}
+    assert all(group[2 * i] == group[2 * i + 1] for i in range(60)) and len(set(group.values())) == 60
+    by_prints, by_all = ({r["node"]: r["root"] for r in found.collect()} for found in asked)
+    assert len(set(by_all.values())) == 60 and len(by_prints) >= 118 and by_prints.items() <= by_all.items()
+
+
+def test_candidates_by_fingerprints_of_edited_copies(spark):
+    pairs = edited_pairs(random.Random(5))
+    sets = list(simhash._shingle_sets(simhash.pa.array([t.encode() for pair in pairs for t in pair]), 5))
+    prints = spark.createDataFrame([(i, simhash.set_print(x)) for i, x in enumerate(sets)], "node long, print binary")
+    rows = simhash.print_candidates(prints, 0.8).collect()
+    found = {r["node"]: r["variant"] for r in rows}
+    # Of 300 pairs of 0.80-0.90 fingerprints alone bring 199; the bands bring the rest.
+    assert sum(found.get(2 * i, -1) == found.get(2 * i + 1) for i in range(len(pairs))) >= 190
+    assert all(r["count"] == sum(v == r["variant"] for v in found.values()) for r in rows)
+
+
+def test_known_classes_go_on(spark):
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 50, 55, 500)]
+    table = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    keyed = spark.createDataFrame([(i, 1, 4) for i in range(4)], "node long, variant long, count long")
+    known = spark.createDataFrame([(1, 0), (0, 0)], "node long, root long")
+    for block_rows in (100, 1):
+        found = {r["node"]: r["root"] for r in simhash.set_links(keyed, table, 0.8, block_rows, known).collect()}
+        assert [found.get(i, i) for i in range(4)] == [0, 0, 0, 3]
