@@ -42,28 +42,37 @@ _CLASSES = {
 }
 
 
+# Bytes in lower case times a factor for each place of a trigram; ``BUCKETS`` is a power of two.
+_FIRST, _SECOND, _THIRD = (W.LOWER.astype(np.uint32) * np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+
+
 def text_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(bucket, document)`` of every byte trigram within a document, letters in lower case."""
-    low = W.LOWER[data].astype(np.uint32)
-    n = len(low) - 2
+    n = len(data) - 2
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    h = (low[:n] * np.uint32(0x9E3779B1)) ^ (low[1:n + 1] * np.uint32(0x85EBCA77)) ^ (low[2:] * np.uint32(0xC2B2AE3D))
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)
-    inside = document[:n] == document[2:]
-    return ((h ^ (h >> np.uint32(13))) % np.uint32(BUCKETS)).astype(np.int64)[inside], document[:n][inside]
+    h = _FIRST[data[:n]]
+    h ^= _SECOND[data[1:n + 1]]
+    h ^= _THIRD[data[2:]]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x27D4EB2F)
+    h ^= h >> np.uint32(13)
+    h &= np.uint32(BUCKETS - 1)
+    # The last two bytes of a document begin no trigram.
+    inside = np.ones(len(data), dtype=bool)
+    ends = offsets[1:][np.diff(offsets) > 0]
+    inside[ends - 1] = False
+    inside[np.maximum(ends - 2, 0)] = False
+    # Single bytes take the byte before along, which is the end of another document.
+    return h[inside[:n]].astype(np.int64), np.repeat(np.arange(len(offsets) - 1), np.maximum(np.diff(offsets) - 2, 0))
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Numbers of the metadata view that come from the page's layout: sizes and shares of byte classes."""
     size = np.diff(offsets)
-    rows = [np.log1p(size)]
-    for members in _CLASSES.values():
-        table = np.zeros(256, dtype=bool)
-        table[members] = True
-        before = np.concatenate([[0], np.cumsum(table[data])])
-        rows.append((before[offsets[1:]] - before[offsets[:-1]]) / np.maximum(size, 1))
+    bounds = offsets.tolist()
+    found = np.stack([np.bincount(data[low:high], minlength=256) for low, high in zip(bounds, bounds[1:])])
+    rows = [np.log1p(size), *((found[:, members].sum(axis=1)) / np.maximum(size, 1) for members in _CLASSES.values())]
     lines = rows[-1] * size
     rows.append(np.log1p(size / (lines + 1)))
     return np.stack(rows, axis=1)
@@ -186,10 +195,19 @@ def _cell(odds: np.ndarray) -> np.ndarray:
     return np.clip((odds + ODDS_RANGE) * (ODDS_CELLS / (2 * ODDS_RANGE)), 0, ODDS_CELLS - 1).astype(np.int64)
 
 
+def _text_mean(weights: np.ndarray, bucket: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Per document the mean weight of its trigrams, zero without any; ``owner`` ascends."""
+    first = np.searchsorted(owner, np.arange(n + 1))
+    number = np.diff(first)
+    sums = np.zeros(n)
+    full = number > 0
+    if full.any():
+        sums[full] = np.add.reduceat(weights[bucket], first[:-1][full])
+    return sums / np.maximum(number, 1)
+
+
 def _both_odds(views: dict, bucket: np.ndarray, owner: np.ndarray, meta: np.ndarray) -> dict:
-    n = len(meta)
-    sums = np.bincount(owner, weights=views["text"].weights[bucket], minlength=n)
-    return {"text": sums / np.maximum(np.bincount(owner, minlength=n), 1) + views["text"].bias, "meta": views["meta"].odds(meta)}
+    return {"text": _text_mean(views["text"].weights, bucket, owner, len(meta)) + views["text"].bias, "meta": views["meta"].odds(meta)}
 
 
 def _blocks(name: str, bucket: np.ndarray, owner: np.ndarray, meta: np.ndarray, chosen: np.ndarray):
@@ -407,9 +425,8 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.5) -
                 if model is None:
                     continue
                 bucket, owner = text_buckets(data, offsets)
-                sums = np.bincount(owner, weights=model.text.weights[bucket], minlength=high - low)
-                number = np.bincount(owner, minlength=high - low)
-                text_odds[low:high] = model.text.slope * (sums / np.maximum(number, 1) + model.text.bias) + model.text.shift
+                mean = _text_mean(model.text.weights, bucket, owner, high - low)
+                text_odds[low:high] = model.text.slope * (mean + model.text.bias) + model.text.shift
                 meta_odds[low:high] = model.meta.odds(
                     metadata(lang[low:high], source[low:high], chars[low:high], layout(data, offsets)))
             both = _sigmoid(0.5 * (text_odds + meta_odds))

@@ -380,3 +380,23 @@ def test_license_scan_is_native(spark):
 def test_mixing_query_matches_documents(spark):
     got = op2_mixing(spark, SF).collect()
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_quality_views_against_byte_loops():
+    """Trigrams, layout and mean weights of many short documents."""
+    rng = np.random.default_rng(6)
+    weights = rng.normal(size=quality.BUCKETS)
+    for _ in range(300):
+        size = rng.integers(0, 6, rng.integers(1, 8))
+        offsets = np.r_[0, np.cumsum(size)]
+        data = rng.integers(9, 256, offsets[-1]).astype(np.uint8)
+        bucket, owner = quality.text_buckets(data, offsets)
+        assert owner.tolist() == [d for d, n in enumerate(size) for _ in range(max(0, n - 2))]
+        texts = [data[a:b] for a, b in zip(offsets, offsets[1:])]
+        alone = [quality.text_buckets(t, np.array([0, len(t)]))[0] for t in texts]
+        assert bucket.tolist() == np.concatenate(alone).tolist()
+        means = [weights[b].mean() if len(b) else 0.0 for b in alone]
+        assert np.allclose(quality._text_mean(weights, bucket, owner, len(size)), means)
+        shape = quality.layout(data, offsets)
+        digits = [sum(0x30 <= x < 0x3A for x in t.tolist()) / max(1, len(t)) for t in texts]
+        assert np.allclose(shape[:, 1 + list(quality._CLASSES).index("digit")], digits)
