@@ -62,6 +62,7 @@ def _item_windows(window: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, pa.string()), pa.array(texts, pa.binary()), pa.array(lengths, pa.int32()),
                          pa.array(np.concatenate(prints).view(np.int64))], ["item_id", "words", "length", "print"])
+        W.release()
 
     return run
 
@@ -121,6 +122,7 @@ def _candidates(lengths: list[int], held):
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64()),
                  pa.array(counts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(texts, pa.binary())],
                 ["doc_id", "text_key", "n_words", "start", "windows", "length", "print", "words"])
+        W.release()
 
     return run
 

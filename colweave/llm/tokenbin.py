@@ -36,6 +36,8 @@ END_ID = 2
 # Pieces a worker remembers; as many that were used before those are kept beside them.
 CACHE_PIECES = 400_000
 WORDS_PER_TEXT = 512
+# Characters that go to the tokenizer at once; its encodings take many times as much.
+ENCODED_CHARS = 1 << 15
 # Texts are encoded in groups of about this many bytes, in which each distinct piece is looked up once.
 TEXT_BYTES = 4 << 20
 # One word to any tokenizer that keeps letters together: ASCII letters and the letters of Latin-1.
@@ -188,17 +190,29 @@ class PieceEncoder:
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
+    def forget(self) -> None:
+        """Drop the remembered pieces."""
+        self.known, self.older = {}, {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        low = held = 0
+        for high, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= ENCODED_CHARS or high == len(texts):
+                for found in self.tokenizer.encode_batch_fast(texts[low:high], add_special_tokens=False):
+                    yield np.array(found.ids, dtype="<u4")
+                low, held = high, 0
+
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return [ids.tobytes() for ids in self._encoded(texts)]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Ids of pieces that are one word each: many go in one text, and end-of-word ids part them."""
         out: list[bytes] = []
         groups = [words[i:i + WORDS_PER_TEXT] for i in range(0, len(words), WORDS_PER_TEXT)]
         texts = [b" ".join(group).decode() for group in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4")
+        for group, ids in zip(groups, self._encoded(texts)):
             ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             if len(ends) == len(group):
                 raw = ids.tobytes()
@@ -311,7 +325,8 @@ def _encoder(path: str, pieces: bool, remembered: int) -> PieceEncoder:
     return PieceEncoder(path, pieces, remembered)
 
 
-def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, block_ids: int, text_bytes: int, remembered: int):
+def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, block_ids: int, text_bytes: int, remembered: int,
+           keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = uri = None
         for batch in batches:
@@ -331,13 +346,17 @@ def _write(folder: str, path: str, pieces: bool, vocabulary: int, end_id: int, b
             yield pa.RecordBatch.from_pydict(
                 {"shard": [TaskContext.get().partitionId()], "uri": [uri], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.ids]},
                 pa.schema([("shard", pa.int64()), ("uri", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            if not keep:
+                # The words alone: a tokenizer that is loaded again takes more memory each time.
+                _encoder(path, pieces, remembered).forget()
+        W.release()
 
     return run
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, pieces: bool = True,
                  end_id: int = END_ID, shards: int | None = None, block_ids: int = BLOCK_IDS,
-                 text_bytes: int = TEXT_BYTES, remembered: int = CACHE_PIECES) -> DataFrame:
+                 text_bytes: int = TEXT_BYTES, remembered: int = CACHE_PIECES, keep: bool = True) -> DataFrame:
     """Encode whole texts, append ``end_id``, write shards; the written manifest comes back.
 
     Manifest: ``(shard, uri, n_docs, n_ids, start)``, ``start`` being the ids of all
@@ -352,7 +371,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     never read.
 
     ``text_bytes`` and ``remembered`` trade memory of a worker for time: groups of texts
-    whose distinct words are looked up once, and words whose ids are kept.
+    whose distinct words are looked up once, and words whose ids are kept.  Without ``keep``
+    the words go when a task ends, so that a worker's next task, of whatever kind, does
+    not stand on top of them.
     """
     spark = docs.sparkSession
     folder = folder or store.new_folder(spark, "tokens")
@@ -363,7 +384,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                         F.xxhash64("text").alias("text_key"))
     dealt = (ready_workers(texts).repartitionByRange(shards, "doc_id", "text_key")
              .sortWithinPartitions("doc_id", "text_key").select("doc_id", "text"))
-    manifest = materialise(dealt.mapInArrow(_write(folder, tokenizer_path, pieces, vocabulary, end_id, block_ids, text_bytes, remembered),
+    manifest = materialise(dealt.mapInArrow(_write(folder, tokenizer_path, pieces, vocabulary, end_id, block_ids, text_bytes, remembered, keep),
                                             "shard long, uri string, n_docs long, n_ids long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return materialise(manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,15 @@ SPACED = _table([(0x20, 0x20), (0x09, 0x0D)])
 ALPHANUMERIC = _table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
 
+# glibc alone has it; others give free memory back by themselves.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def release() -> None:
-    """Give Arrow's free memory back: a worker that waits for its next task should hold little."""
+    """Give free memory back: a worker that waits for its next task should hold little."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Row bound per group under which a plain window or an exact built-in
 # percentile over the group is known to fit in one task.
 GROUP_ROW_LIMIT = 1_000_000
+# What goes to a Python worker at once; 10,000 long rows would be held several times over, by it and by its executor.
+BATCH_BYTES = "2m"
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -35,6 +37,11 @@ def build_session(app: str = "colweave", cores: str = "*", shuffle_partitions: i
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows reach the Python workers of ``spark`` in batches of about ``BATCH_BYTES``, a longer row alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 

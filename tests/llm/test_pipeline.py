@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from colweave.llm import simhash
+from colweave.llm import simhash, tokenbin
 from colweave.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,54 @@ def test_near_copies_at_the_threshold(spark):
     near = [(a, b) for a, b, j in pairs if j >= 0.8]
     assert near and np.mean([group[a] == group[b] for a, b in near]) >= 0.99
     assert not [1 for a, b, j in pairs if j < 0.4 and group[a] == group[b]]
+
+
+def test_workers_get_small_batches(spark):
+    """10,000 long rows were one batch, held by the executor and by its workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(400).selectExpr("id", "repeat('word next ', IF(id = 7, 400000, 4000)) AS text").repartition(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    try:
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.decontamination):
+            spark.conf.set(key, before)
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            largest, rows = docs.mapInArrow(sizes, "n long").selectExpr("max(n)", "sum(n)").first()
+            assert largest <= 100 and rows == 400
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_forget_words_and_encode_few_at_a_time(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"alpha beta number{i}") for i in range(50)], "doc_id long, text string").repartition(1)
+    remembered = 12_345  # an encoder of its own in each worker
+    tokenbin.write_tokens(docs, tokenizer_path(), str(tmp_path), shards=2, remembered=remembered, keep=False).collect()
+
+    def held(batches):
+        import pyarrow as pa
+        for _ in batches:
+            encoder = tokenbin._encoder(tokenizer_path(), True, remembered)
+            yield pa.RecordBatch.from_pydict({"n": [len(encoder.known) + len(encoder.older)]})
+
+    assert spark.range(16).repartition(8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.largest, self.model = inner, 0, inner.model
+
+        def encode_batch_fast(self, texts, **options):
+            self.largest = max(self.largest, sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    encoder = tokenbin.PieceEncoder(tokenizer_path())
+    text = " ".join(f"w{i}x-{i}" for i in range(30_000)).encode()
+    want = encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    ids, _ = encoder.encode(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), 2)
+    assert ids.tolist() == [*want, 2]
+    assert encoder.tokenizer.largest <= 2 * tokenbin.ENCODED_CHARS < len(text)
