@@ -85,7 +85,7 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     whitened = whitening.whiten(_table(spark, sf_dir, "embeddings"))
-    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+    return whitened.withColumn("deviation", F.expr("try_cast(cast(deviation AS string) AS long)"))
 
 
 QUERIES = {run.__name__: run for run in (

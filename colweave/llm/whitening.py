@@ -11,14 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DecimalType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType, UserDefinedType
 
 from colweave.session import materialise, ready_workers
 
@@ -33,6 +32,24 @@ COMPONENTS = 8
 LEAST_SHARE = 1e-13
 
 
+class WholeNumber(UserDefinedType):
+    """Whole numbers of any size, past the 38 digits of decimals: ``int`` in Python, digits as a string in Spark."""
+
+    @classmethod
+    def sqlType(cls) -> StringType:
+        return StringType()
+
+    @classmethod
+    def module(cls) -> str:
+        return __name__
+
+    def serialize(self, obj: int | None) -> str | None:
+        return None if obj is None else str(obj)
+
+    def deserialize(self, datum: str | None) -> int | None:
+        return None if datum is None else int(datum)
+
+
 def whole_entries(column: pa.Array, width: int) -> np.ndarray:
     """``floor(1024 * c) + 100000`` of each entry; a shorter vector counts as padded with zeros."""
     size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -174,12 +191,12 @@ def fit(usable: DataFrame, components: int = COMPONENTS) -> Whitening | None:
 def project(usable: DataFrame, model: Whitening) -> DataFrame:
     """``(vec_id, deviation, whitened)`` per row: the exact squared distance from the mean times n, and the projections.
 
-    ``deviation`` is null past 38 digits; a projection on an axis without variance is null.
+    ``deviation`` is a :class:`WholeNumber`; a projection on an axis without variance is null.
     """
     n, sums, width = model.n, model.sums, len(model.sums)
     some = model.values > LEAST_SHARE * max(float(np.trace(model.covariance)), 0.0)
     scaled = np.where(some, model.axes / np.sqrt(np.where(some, model.values, 1.0)), np.nan)
-    schema = StructType([usable.schema["vec_id"], StructField("deviation", DecimalType(38, 0)),
+    schema = StructType([usable.schema["vec_id"], StructField("deviation", WholeNumber()),
                          StructField("whitened", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +205,7 @@ def project(usable: DataFrame, model: Whitening) -> DataFrame:
                 part = batch.slice(low, BLOCK_ROWS)
                 y = centred(whole_entries(part.column(1), width), n, sums)
                 far = square_sums(np.ascontiguousarray(y.T))
-                values = pa.array([Decimal(v) if v < 10 ** 38 else None for v in far], pa.decimal128(38, 0))
+                values = pa.array([str(v) for v in far], pa.string())
                 at = (y / n).astype(np.float64) @ np.nan_to_num(scaled)
                 flat = pa.array(np.where(some, at, 0.0).ravel(), mask=np.broadcast_to(~some, at.shape).ravel())
                 rows = pa.ListArray.from_arrays(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32), flat)
@@ -209,7 +226,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     There are ``min(components, dimensions)`` components.  On one without variance (equal
     vectors, fewer rows than dimensions) ``whitened`` is null; ``explained`` is null if
     nothing varies, and ``identity_error`` covers the components with variance (null if
-    none has).  Equal eigenvalues may turn their axes.  ``deviation`` is a decimal.
+    none has).  Equal eigenvalues may turn their axes.  ``deviation`` is a
+    :class:`WholeNumber`; its cast to a string gives the digits.
     """
     usable = usable_vectors(vectors)
     model = fit(usable, components)
@@ -217,7 +235,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     if model is None:
         return usable.where("false").select(
             "vec_id", *(F.lit(None).cast(kind).alias(name) for name, kind in zip(
-                names[1:], ("int", "long", "decimal(38,0)", "double", "double", "double"))))
+                names[1:], ("int", "long", WholeNumber(), "double", "double", "double"))))
     count = len(model.values)
     # Written once: the check of the fit and the result both read it.
     rows = materialise(project(usable, model))

@@ -172,3 +172,11 @@ def test_whitening_query(spark):
     assert dict(got.dtypes)["deviation"] == "bigint"
     first = got.first()
     assert first["identity_error"] <= 1e-4 and got.count() == 8 * first["n"]
+
+
+def test_deviation_past_38_digits(spark):
+    rows = [(1, [3e15]), (2, [-3e15]), (3, [3e38])]
+    got = whitening.whiten(spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], VECTORS)).collect()
+    held = [min(1 << 62, int(1024 * float(np.float32(v[0])))) + 100_000 for _, v in rows]
+    want = {i: (3 * x - sum(held)) ** 2 for (i, _), x in zip(rows, held)}
+    assert want[2] > 10 ** 38 and {r["vec_id"]: r["deviation"] for r in got} == want
