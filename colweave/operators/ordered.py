@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colweave.session import GROUP_ROW_LIMIT, materialise, max_group_rows
 
@@ -29,6 +30,25 @@ def sliced(df: DataFrame, keys: list[str], order: list[str],
     return materialise(ranged), True
 
 
+def numbered(df: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``df`` with the row ids ``(file, block, pos)`` of loaded rows as one whole number in the same order; others stay.
+
+    A number is compared and kept by aggregates where it stands; they would sort all rows by
+    content to keep the least of a struct.  Read twice, so ``df`` has to be a written table.
+    """
+    kind = df.schema[row_id].dataType
+    if not isinstance(kind, T.StructType) or kind.names != ["file", "block", "pos"]:
+        return df
+    # One row per split of a file; the places within a split count on from those before.
+    splits = df.groupBy(f"{row_id}.file", f"{row_id}.block").agg(F.min(f"{row_id}.pos").alias("_least"), F.max(f"{row_id}.pos").alias("_most"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "_least", F.coalesce(
+        F.sum(F.col("_most") - F.col("_least") + 1).over(before), F.lit(0)).alias("_start"))
+    own = (F.col(f"{row_id}.file") == F.col("_file")) & (F.col(f"{row_id}.block") == F.col("_block"))
+    return df.join(materialise(starts), own).withColumn(
+        row_id, F.col("_start") + F.col(f"{row_id}.pos") - F.col("_least")).select(*df.columns)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
                   limit: int = GROUP_ROW_LIMIT) -> DataFrame:
     """Inclusive running sum of ``value`` in order within each group."""

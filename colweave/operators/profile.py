@@ -17,6 +17,10 @@ WIDTHS = {T.LongType: 8, T.IntegerType: 4, T.ShortType: 2, T.ByteType: 1, T.Doub
 HASHED_BYTES = 32
 # Logarithm of the cells of a distinct sketch.
 SKETCH_BITS = 14
+# Columns of one type up to which each is counted by a scan of its own of a written table.
+SCANNED_COLS = 12
+# Bits of the parts a hash is added up in; their sums stay whole numbers of 64 bits over 2 ** 41 rows.
+HASH_PARTS = ((42, 22), (21, 21), (0, 21))
 Z_LIMIT = 3.0
 FENCE = 1.5
 
@@ -32,13 +36,14 @@ def table_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).cast("long").alias("cols"), size.alias("bytes"))
 
 
-def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
+def column_profile(df: DataFrame, cols: list[str], written: bool = False) -> DataFrame:
     """Rows, nulls and distinct values (NULL counts as one) of every column.
 
     Columns of one type are unpivoted together and counted by value, so the
     work of a large station is spread by value and a repeated value is combined
     before the shuffle.  Long texts travel as their 128-bit hash.  Where an estimate will
-    do, ``distinct_sketches`` shuffles no values at all.
+    do, ``distinct_sketches`` shuffles no values at all.  ``written`` says that ``df`` is a
+    written table: each of a few columns is then read alone, which makes no row per cell.
     """
     families: dict[str, list[str]] = {}
     for c in cols:
@@ -46,13 +51,18 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     out = None
     for dtype, members in families.items():
         told = [_told_apart(F.col(c)).alias(c) for c in members] if dtype == "string" else members
-        values = (df.select("station", *told).unpivot(["station"], members, "column", "value")
-                  .groupBy("station", "column", "value").agg(F.count(F.lit(1)).alias("n")))
-        part = values.groupBy("station", "column").agg(
-            F.lit(dtype).alias("dtype"), F.sum("n").alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count(F.lit(1)).alias("distinct_values"))
-        out = part if out is None else out.unionByName(part)
+        shown = df.select("station", *told)
+        if written and len(members) <= SCANNED_COLS:
+            counted = [shown.select("station", F.lit(c).alias("column"), F.col(c).alias("value")) for c in members]
+        else:
+            counted = [shown.unpivot(["station"], members, "column", "value")]
+        for cells in counted:
+            values = cells.groupBy("station", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+            part = values.groupBy("station", "column").agg(
+                F.lit(dtype).alias("dtype"), F.sum("n").alias("rows"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+                F.count(F.lit(1)).alias("distinct_values"))
+            out = part if out is None else out.unionByName(part)
     return out.withColumn("null_ratio", F.col("nulls") / F.col("rows"))
 
 
@@ -93,12 +103,17 @@ def profile_of_sketches(sketches: DataFrame) -> DataFrame:
                          (F.col("nulls") / F.col("rows")).alias("null_ratio"))
 
 
-def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+def duplicate_rows(df: DataFrame, cols: list[str], kept: DataFrame | None = None) -> DataFrame:
     """Rows beyond the first of each identical group.
 
     Only a hash per row is shuffled first; full rows are compared just where a
-    hash occurs more than once.
+    hash occurs more than once.  ``kept(station, rows)`` is the number of different rows, if
+    these were told apart before: what is missing of a station's rows was a repetition.
     """
+    if kept is not None:
+        totals = df.groupBy("station").agg(F.count(F.lit(1)).alias("rows"))
+        return join_station(totals, kept.withColumnRenamed("rows", "different")).select(
+            "station", "rows", (F.col("rows") - F.col("different")).alias("duplicate_rows"))
     hashed = df.select("station", F.xxhash64(*cols).alias("_h"), *cols)
     repeated = (hashed.groupBy("station", "_h").agg(F.count(F.lit(1)).alias("n"))
                 .where("n > 1").select("station", "_h"))
@@ -117,10 +132,13 @@ def duplicate_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     compared row by row with the first column that has its hash sum.  Both passes
     are aggregates of one row per station.
     """
-    sums = df.groupBy("station").agg(*[
-        F.sum(F.xxhash64(c).cast("decimal(38,0)")).alias(f"h{i}") for i, c in enumerate(cols)])
+    hashes = df.select("station", *[F.xxhash64(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    sums = hashes.groupBy("station").agg(*[
+        F.sum(F.shiftright(f"x{i}", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).alias(f"h{i}_{low}")
+        for i in range(len(cols)) for low, bits in HASH_PARTS])
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                               F.col(f"h{i}").alias("h")) for i, c in enumerate(cols)])
+                               F.struct(*[F.col(f"h{i}_{low}").alias(f"h{low}") for low, _ in HASH_PARTS]).alias("h"))
+                      for i, c in enumerate(cols)])
     firsts = materialise(
         sums.select("station", F.inline(cells)).groupBy("station", "dtype", "h")
         .agg(F.sort_array(F.collect_list("i")).alias("members")).where("size(members) > 1")
@@ -192,8 +210,12 @@ def node_stats(df: DataFrame, cols: list[str]) -> DataFrame:
                        {"mean": "mean", "std": "std", "min": "min", "max": "max"}).withColumnRenamed("column", "node")
 
 
-def audit(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT, stats: DataFrame | None = None) -> DataFrame:
-    """The whole profile as one nested row per station; ``stats`` is a column profile made before."""
+def audit(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT, stats: DataFrame | None = None,
+          kept: DataFrame | None = None) -> DataFrame:
+    """The whole profile as one nested row per station.
+
+    ``stats`` is a column profile made before, ``kept`` the number of different rows.
+    """
     numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
     columns = column_profile(df, cols) if stats is None else stats
     if numeric:
@@ -212,5 +234,5 @@ def audit(df: DataFrame, cols: list[str], limit: int = GROUP_ROW_LIMIT, stats: D
     twins = duplicate_columns(df, cols).groupBy("station").agg(
         F.sort_array(F.collect_list(F.struct("first_column", "duplicate_column"))).alias("duplicate_columns"))
     return (table_profile(df, cols)
-            .join(duplicate_rows(df, cols).select("station", "duplicate_rows"), "station")
+            .join(duplicate_rows(df, cols, kept).select("station", "duplicate_rows"), "station")
             .join(twins, "station", "left").join(listed, "station"))

@@ -18,6 +18,9 @@ from colweave.session import GROUP_ROW_LIMIT, materialise
 
 # The sketch's rank error is one in so many rows; a pair of values encloses about four of these.
 ACCURACY = 2000
+# A sketch keeps so many values for each of these; then 99 of 100 err by less than half of what a pair allows for.
+KEPT_VALUES = 4
+MOST_KEPT = 65_535
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], probs: list[float], limit: int = GROUP_ROW_LIMIT,
@@ -56,13 +59,13 @@ def _bracketed(values: DataFrame, width: int, probs: list[float], accuracy: int)
     ends = sorted({min(1.0, max(0.0, p + side * spread)) for p in probs for side in (-1, 1)})
     sketch = values.groupBy("station").agg(*[F.expr(agg) for i in range(width) for agg in (
         f"count(v{i}) AS n{i}", f"min(v{i}) AS a{i}", f"max(v{i}) AS z{i}",
-        f"percentile_approx(v{i}, {_array(f'{float(e)!r}D' for e in ends)}, {accuracy}) AS s{i}")])
+        f"kll_sketch_agg_double(v{i}, {min(MOST_KEPT, max(8, KEPT_VALUES * accuracy))}) AS s{i}")])
 
     def end(i: int, p: float, side: int) -> str:
         # Of a few values all lie within; the outermost ranks are the least and the greatest.
         outer = f"{'az'[side > 0]}{i}"
         place = ends.index(min(1.0, max(0.0, p + side * spread)))
-        return f"if(n{i} <= {4 * accuracy}, {outer}, s{i}[{place}])" if 0 < ends[place] < 1 else outer
+        return f"if(n{i} <= {4 * accuracy}, {outer}, kll_sketch_get_quantile_double(s{i}, {ends[place]!r}D))" if 0 < ends[place] < 1 else outer
 
     rows = sketch.selectExpr("station", "inline(" + _array(
         f"struct({i} AS i, {k} AS k, n{i} AS held, a{i} AS least, z{i} AS most, {end(i, p, -1)} AS low, "
@@ -77,15 +80,17 @@ def _counted(values: DataFrame, cells: DataFrame, width: int, percentiles: int)
     brackets = cells.groupBy("station").agg(*[
         F.expr(f"max(CASE WHEN i = {i} AND k = {k} THEN struct(cell, low, high) END) AS b{i}_{k}") for i, k in pairs])
     rows = join_station(values, materialise(brackets))
+    lies = {(i, k): f"v{i} BETWEEN b{i}_{k}.low AND b{i}_{k}.high" for i, k in pairs}
     within = "filter(" + _array(
-        f"CASE WHEN v{i} BETWEEN b{i}_{k}.low AND b{i}_{k}.high THEN struct(b{i}_{k}.cell AS cell, v{i} AS value) END"
-        for i, k in pairs) + ", x -> x IS NOT NULL)"
+        f"CASE WHEN {lies[i, k]} THEN struct(b{i}_{k}.cell AS cell, v{i} AS value) END" for i, k in pairs) + ", x -> x IS NOT NULL)"
+    # Most rows lie in no bracket: for these no array is made.
+    flagged = rows.selectExpr("station", *[f"v{i} < b{i}_{k}.low AS u{i}_{k}" for i, k in pairs],
+                              f"CASE WHEN {' OR '.join(lies.values())} THEN {within} END AS events")
     # A row counts once for what it is below of, whatever number of brackets it lies in.
-    events = rows.selectExpr("station", *[f"v{i}" for i in range(width)], *[f"b{i}_{k}" for i, k in pairs],
-                             f"posexplode_outer({within}) AS (at, event)")
+    events = flagged.selectExpr("station", *[f"u{i}_{k}" for i, k in pairs], "posexplode_outer(events) AS (at, event)")
     counts = materialise(events.groupBy("station", F.col("event.cell").alias("cell"), F.col("event.value").alias("value")).agg(
         F.count("*").alias("n"), *[F.expr(
-            f"count(CASE WHEN coalesce(at = 0, true) AND v{i} < b{i}_{k}.low THEN 1 END) AS c{i}_{k}") for i, k in pairs]))
+            f"count(CASE WHEN coalesce(at = 0, true) AND u{i}_{k} THEN 1 END) AS c{i}_{k}") for i, k in pairs]))
     below = counts.groupBy("station").agg(*[F.expr(f"sum(c{i}_{k}) AS c{i}_{k}") for i, k in pairs])
     below = below.selectExpr("station", "inline(" + _array(
         f"struct({i} AS i, {k} AS k, c{i}_{k} AS below)" for i, k in pairs) + ")")

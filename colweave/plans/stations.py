@@ -17,6 +17,7 @@ from colweave.config import Settings
 from colweave.functions.stats import is_float, is_numeric, normalise_nan
 from colweave.operators import (centrality, clean, embed, graphs, iforest, impute, learned, metrics, outliers, profile,
                                 quality, reports, roles, scale, similarity)
+from colweave.operators.ordered import numbered
 from colweave.session import GROUP_ROW_LIMIT, materialise
 from colweave.sources.discovery import in_time_order, load_stations, with_times
 from colweave.sources.results import ResultStore, global_report, metadata
@@ -85,18 +86,19 @@ def run_stations(df: DataFrame, cols: list[str], settings: Settings | None = Non
     order = ["_order_ts", "row_id"]
     stations = materialise(similarity.row_counts(dated))
 
-    stats = materialise(profile.column_profile(dated, cols))
-    audit = materialise(profile.audit(dated, cols, limit, stats))
-    found = materialise(roles.column_roles(dated, cols, order, cfg.strict_time_names, limit, stats))
-
     # Cleaning, in this order: repeated rows, infinities, sparse, constant, missing, redundant, outliers.
-    rows = dated
+    rows = numbered(dated)
     if cfg.drop_duplicates:
-        rows = clean.dedupe_rows(dated, [*cols, "_order_ts"])
+        rows = clean.dedupe_rows(rows, [*cols, "_order_ts"])
     floats = [c for c in cols if is_float(df.schema[c].dataType)]
     rows = materialise(clean.infinite_to_missing(rows, floats))
     kept_rows = materialise(similarity.row_counts(rows))
 
+    stats = materialise(profile.column_profile(dated, cols, written=True))
+    # The time is read off a column, so rows equal in all columns are those that were dropped.
+    audit = materialise(profile.audit(dated, cols, limit, stats, kept_rows if cfg.drop_duplicates else None))
+    found = materialise(roles.column_roles(dated, cols, order, cfg.strict_time_names, limit, stats))
+
     sparse = clean.sparse_columns(rows, cols, cfg.missing_threshold_drop, found)
     drops = materialise(_reasons(sparse, F.format_string("Excessive missingness (%.1f%%)", F.col("null_ratio") * 100)))
     rows, left = clean.apply_drops(rows, drops, cols)
