@@ -16,6 +16,9 @@ GROUP_ROW_LIMIT = 1_000_000
 # What goes to a Python worker at once; 10,000 long rows would be held several times over, by it and by its executor.
 BATCH_BYTES = "2m"
 
+# Bytes of files that a task reads at least, however small the splits are, unless cores would be idle.
+TASK_BYTES = 8 * 1024 * 1024
+
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -72,6 +75,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_tasks(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``df`` over files, with small splits read one after the other by a task; a split's rows stay together.
+
+    Its files are those of ``source``, a plain read, or its own.
+    """
+    size = int(str((source or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 def max_group_rows(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group: one aggregate, one number to the driver."""
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]

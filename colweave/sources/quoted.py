@@ -3,23 +3,27 @@
 Whether a line begins a record depends on all quotes before it.  Every split of a file is
 walked once under both assumptions, that it starts outside quotes and that it starts
 inside; the splits of a file are then chained from the file's start, which tells each
-split its true state and the number of records before it.  Lines that are records by
-themselves stay where they are, only the lines of longer records are brought together.
+split its true state and the number of records before it.  Knowing these, each split is
+walked once more and gives its records as they are; only the two ends of a split, which may
+hold parts of a record, are brought together with their neighbours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colweave.session import materialise, ready_workers
+from colweave.session import few_tasks, materialise, ready_workers
 
 _SIDES = ("outside", "inside")
-_WALKED = ("file string, block long, at long, value string, blank boolean, "
-           + ", ".join(f"{kind}_{side} {t}" for side in _SIDES for kind, t in (("begins", "boolean"), ("ends", "boolean"), ("record", "long"))))
+_SPLITS = "file_no int, block long, " + ", ".join(f"{kind}_{side} {t}" for side in _SIDES for kind, t in (("ends", "boolean"), ("record", "long")))
+_PIECES = "file_no int, number long, block long, text string"
+PIECES_AT_ONCE = 10_000
 
 
 def ends_outside(line: str, inside: bool, separator: str) -> bool:
@@ -45,27 +49,88 @@ def ends_outside(line: str, inside: bool, separator: str) -> bool:
         inside = False
 
 
-def _walk(separator: str):
-    """Numbers the lines of each split, with the records they begin under both assumptions."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, at, states, records = None, 0, [], []
-        for frame in frames:
-            out = []
-            for file, block, line in zip(frame["file"], frame["block"], frame["value"]):
-                if (file, block) != split:
-                    split, at, states, records = (file, block), 0, [False, True], [0, 0]
-                blank = not line.strip("\r\n ")
-                row = [file, block, at, line, blank]
-                for k in (0, 1):
+def _is_blank(line: str) -> bool:
+    return not line or line[0] in "\r\n " and not line.strip("\r\n ")
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``(file_no, block, batch, first row, lines)`` of consecutive lines of one split, first columns of the batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, blocks = (batch.column(i).to_numpy() for i in (0, 1))
+        lines = batch.column(2).to_numpy(zero_copy_only=False).tolist()
+        cuts = np.flatnonzero((np.diff(files) != 0) | (np.diff(blocks) != 0)) + 1
+        for low, high in zip([0, *cuts], [*cuts, len(lines)]):
+            yield int(files[low]), int(blocks[low]), batch, int(low), lines[low:high]
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def _survey(separator: str):
+    """A row per split: whether it ends outside quotes and how many records it begins, under both assumptions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, split, states, records = [], None, [], []
+        for file_no, block, _, _, lines in _by_split(batches):
+            if (file_no, block) != split:
+                if split:
+                    done.append((*split, not states[0], records[0], not states[1], records[1]))
+                split, states, records = (file_no, block), [False, True], [0, 0]
+            (first, second), (n, m) = states, records
+            for line in lines:
+                if '"' in line:
+                    n += not first
+                    m += not second
+                    first, second = not ends_outside(line, first, separator), not ends_outside(line, second, separator)
+                elif not (first and second or _is_blank(line)):
                     # A blank line between records is none.
-                    begins = not states[k] and not blank
-                    records[k] += begins
-                    if '"' in line:
-                        states[k] = not ends_outside(line, states[k], separator)
-                    row += [begins, not states[k], records[k]]
-                out.append(row)
-                at += 1
-            yield pd.DataFrame(out, columns=[name.split()[0] for name in _WALKED.split(", ")])
+                    n += not first
+                    m += not second
+            states, records = [first, second], [n, m]
+        if split:
+            done.append((*split, not states[0], records[0], not states[1], records[1]))
+        yield _rows(done, _SPLITS)
+
+    return run
+
+
+def _cut(separator: str):
+    """The records of each split as they are, and with its ``block`` what it holds of a record that it shares with others."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held, inside, number, begun, out = None, [], False, 0, False, []
+        for file_no, block, batch, low, lines in _by_split(batches):
+            if (file_no, block) != split:
+                if held:
+                    out.append((split[0], number, split[1], "\n".join(held)))
+                split, held, begun = (file_no, block), [], False
+                inside, number = batch.column(3)[low].as_py(), batch.column(4)[low].as_py()
+            for line in lines:
+                if not inside:
+                    if _is_blank(line):
+                        continue
+                    number += 1
+                    begun = True
+                if '"' in line:
+                    inside = not ends_outside(line, inside, separator)
+                if inside:
+                    held.append(line)
+                elif held or not begun:
+                    held.append(line)
+                    out.append((file_no, number, None if begun else block, "\n".join(held)))
+                    held = []
+                else:
+                    out.append((file_no, number, None, line))
+            if len(out) > PIECES_AT_ONCE:
+                yield _rows(out, _PIECES)
+                out = []
+        if held:
+            out.append((split[0], number, split[1], "\n".join(held)))
+        yield _rows(out, _PIECES)
 
     return run
 
@@ -75,10 +140,10 @@ def _chain(blocks: pd.DataFrame) -> pd.DataFrame:
     blocks = blocks.sort_values("block")
     inside, before, out = False, 0, []
     for row in blocks.itertuples():
-        out.append((row.file, row.block, inside, before))
+        out.append((row.file_no, row.block, inside, before))
         before += row.record_inside if inside else row.record_outside
         inside = not (row.ends_inside if inside else row.ends_outside)
-    return pd.DataFrame(out, columns=["file", "block", "starts_inside", "before"])
+    return pd.DataFrame(out, columns=["file_no", "block", "starts_inside", "before"])
 
 
 def read_records(spark: SparkSession, paths: list[str], separator: str, path_of) -> DataFrame:
@@ -87,30 +152,44 @@ def read_records(spark: SparkSession, paths: list[str], separator: str, path_of)
     Numbers follow the order in the file.  A quote that is never closed makes one record
     of the rest of its file.  Blank lines between records are left out.
     """
-    lines = spark.read.text(paths, lineSep="\n").select(
-        path_of.alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    walked = ready_workers(lines).mapInPandas(_walk(separator), _WALKED)
-    last = F.max_by(F.struct(*[f"{kind}_{side}" for side in _SIDES for kind in ("ends", "record")]), "at").alias("last")
-    splits = walked.groupBy("file", "block").agg(last).select("file", "block", "last.*")
-    states = materialise(splits.groupBy("file").applyInPandas(_chain, "file string, block long, starts_inside boolean, before long"))
-    known = walked.join(states, ["file", "block"])
-    for kind in ("begins", "ends", "record"):
-        known = known.withColumn(kind, F.when(F.col("starts_inside"), F.col(f"{kind}_inside")).otherwise(F.col(f"{kind}_outside")))
-    # Every line of a record has its number; blank lines only count within one.
-    numbered = known.select("file", "block", "at", "value", "begins", "ends", "blank", (F.col("before") + F.col("record")).alias("number"))
-    whole = numbered.where("begins AND ends").select("file", "number", F.col("value").alias("record"))
-    spread = (numbered.where("NOT (begins AND ends) AND NOT (blank AND ends)")
-              .groupBy("file", "number")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n")
+    names = spark.read.format("binaryFile").load(paths).select(path_of.alias("file")).distinct()
+    names = materialise(names.select("file", F.row_number().over(Window.orderBy("file")).alias("file_no")))
+    source = spark.read.text(paths, lineSep="\n")
+    lines = few_tasks(source.select(path_of.alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"), source)
+    # The lines of a split stay in order, so files and splits, whose list the driver holds anyway, are broadcast at any number.
+    lines = ready_workers(lines).join(F.broadcast(names), "file").select("file_no", "block", "value")
+    splits = lines.mapInArrow(_survey(separator), _SPLITS)
+    states = materialise(splits.groupBy("file_no").applyInPandas(_chain, "file_no int, block long, starts_inside boolean, before long"))
+    known = lines.join(F.broadcast(states), ["file_no", "block"]).select("file_no", "block", "value", "starts_inside", "before")
+    pieces = few_tasks(materialise(known.mapInArrow(_cut(separator), _PIECES)))
+    whole = pieces.where("block IS NULL").select("file_no", "number", F.col("text").alias("record"))
+    spread = (pieces.where("block IS NOT NULL").groupBy("file_no", "number")
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n")
                    .alias("record")))
-    records = whole.unionAll(spread).where("number > 1").select(
-        "file", "number", F.regexp_replace("record", "\r$", "").alias("record"))
-    return materialise(records)
+    records = whole.unionAll(few_tasks(materialise(spread))).where("number > 1")
+    return records.join(names, "file_no").select("file", "number", F.regexp_replace("record", "\r$", "").alias("record"))
+
+
+# Shapes that every text of a kind has.  A cast that fails costs many times one that does not, or a look at the shape.
+_BLANK = r"[\x00-\x20\x7f]*"
+_WHOLE = f"^{_BLANK}[+-]?\\d+{_BLANK}$"
+_SHAPES = {
+    "int": _WHOLE, "bigint": _WHOLE,
+    "double": f"^{_BLANK}[+-]?(\\d|\\.\\d|(?i:inf|nan))",
+    # A year alone has at least four digits; before a point there are two colons.
+    "timestamp": f"^{_BLANK}([+-]?\\d{{4,7}}{_BLANK}$|[+-]?\\d+[^.\\d]|[Tt])",
+    "boolean": f"^{_BLANK}(?i:t|true|y|yes|1|f|false|n|no|0){_BLANK}$",
+}
+
+
+def cast_if_shaped(value, kind: str):
+    """``try_cast``, tried only where the text may be of that kind."""
+    return F.when(value.rlike(_SHAPES[kind]), value.try_cast(kind)) if kind in _SHAPES else value.try_cast(kind)
 
 
 def _exact(value, kind: str):
     """A text as ``kind``, NULL if it has blanks around it or is something else."""
-    return F.when(F.trim(value) == value, value.try_cast(kind))
+    return F.when(F.trim(value) == value, cast_if_shaped(value, kind))
 
 
 def typed(records: DataFrame, columns: list[str], separator: str) -> DataFrame:
