@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from colweave.functions.stats import is_float, is_numeric, normalise_nan
 from colweave.operators import (centrality, clean, embed, graphs, iforest, impute, learned, metrics, outliers, profile,
                                 quality, reports, roles, scale, similarity)
 from colweave.operators.ordered import numbered
-from colweave.session import GROUP_ROW_LIMIT, materialise
+from colweave.session import GROUP_ROW_LIMIT, materialise, side_by_side
 from colweave.sources.discovery import in_time_order, load_stations, with_times
 from colweave.sources.results import ResultStore, global_report, metadata
 
@@ -308,7 +309,7 @@ def run_folder(spark: SparkSession, data_dir: str, settings: Settings | None = N
     """
     cfg = settings or Settings()
     loaded = load_stations(spark, data_dir, cfg.strict_mode)
-    runs = [run_stations(df, cols, cfg) for cols, df in loaded.tables]
+    runs = side_by_side([partial(run_stations, df, cols, cfg) for cols, df in loaded.tables])
     failures = loaded.failures
     for run in runs:
         failures = failures.unionByName(run.failures)

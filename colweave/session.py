@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ TASK_BYTES = 8 * 1024 * 1024
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_first = threading.Lock()
 
 
 def build_session(app: str = "colweave", cores: str = "*", shuffle_partitions: int = 8,
@@ -57,8 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if sc.applicationId not in _local_roots:
-        _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="colweave-")
+    with _first:
+        if sc.applicationId not in _local_roots:
+            _local_roots[sc.applicationId] = tempfile.mkdtemp(prefix="colweave-")
     return _local_roots[sc.applicationId]
 
 
@@ -75,6 +82,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(calls: list[Callable[[], Any]], most: int = 4) -> list:
+    """The results of independent calls in their order, run by up to ``most`` threads; many small jobs leave cores idle."""
+    if len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(most) as pool:
+        running = [pool.submit(inheritable_thread_target(call)) for call in calls]
+        try:
+            return [run.result() for run in running]
+        except BaseException:
+            for run in running:
+                run.cancel()
+            raise
+
+
 def few_tasks(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """``df`` over files, with small splits read one after the other by a task; a split's rows stay together.
 
@@ -93,14 +114,15 @@ def max_group_rows(df: DataFrame, keys: list[str]) -> int:
 def ready_workers(df: DataFrame) -> DataFrame:
     """``df``, after its Python workers were given this package (once per application)."""
     sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        package = os.path.dirname(os.path.abspath(__file__))
-        target = os.path.join(tempfile.mkdtemp(prefix="colweave-"), "colweave.zip")
-        with zipfile.ZipFile(target, "w") as archive:
-            for folder, _, names in os.walk(package):
-                for name in sorted(n for n in names if n.endswith(".py")):
-                    path = os.path.join(folder, name)
-                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
-        sc.addPyFile(target)
-        _shipped.add(sc.applicationId)
+    with _first:
+        if sc.applicationId not in _shipped:
+            package = os.path.dirname(os.path.abspath(__file__))
+            target = os.path.join(tempfile.mkdtemp(prefix="colweave-"), "colweave.zip")
+            with zipfile.ZipFile(target, "w") as archive:
+                for folder, _, names in os.walk(package):
+                    for name in sorted(n for n in names if n.endswith(".py")):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+            sc.addPyFile(target)
+            _shipped.add(sc.applicationId)
     return df

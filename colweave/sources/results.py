@@ -18,11 +18,12 @@ import re
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colweave.session import side_by_side
 from colweave.sources import artefacts
 
 MANIFEST_SCHEMA = ("run string, save string, saved_at timestamp, column_set string, columns array<string>, "
@@ -60,14 +61,16 @@ class ResultStore:
         """
         save = uuid.uuid4().hex
         root = f"{self.folder.rstrip('/')}/data/{plain_name(run)}/{save}"
-        rows = []
+        rows, writes = [], []
         for number, (columns, tables) in enumerate([*sets, ([], common or {})]):
             for name, df in tables.items():
                 path = f"{root}/{number}/{plain_name(name)}"
                 nested = any(f.dataType.simpleString().startswith(("array", "struct", "map")) for f in df.schema.fields)
                 writer = df.write.format("parquet")
-                (writer.partitionBy("station") if "station" in df.columns and not nested and len(df.columns) > 1 else writer).save(path)
+                by_station = "station" in df.columns and not nested and len(df.columns) > 1
+                writes.append(partial((writer.partitionBy("station") if by_station else writer).save, path))
                 rows.append((run, save, column_set(columns) if columns else "", sorted(columns), name, path, "parquet"))
+        side_by_side(writes)
         listed = self.spark.createDataFrame(rows, "run string, save string, column_set string, columns array<string>, name string, path string, format string")
         # One task, so one file: it is either there as a whole or not at all.
         (listed.withColumn("saved_at", F.current_timestamp()).select(*[c.split()[0] for c in MANIFEST_SCHEMA.split(", ")])
